@@ -6,15 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.fingerprints import edit_fingerprints
+from gridloom.llm.jaccard import groups
+from gridloom.llm.langid import identified
 from gridloom.llm.packing import packed
+from gridloom.llm.quality import judged
 from gridloom.llm.session import documents
+from gridloom.llm.substring import deduplicated
+from gridloom.llm.suffixes import deduplicated_bytes
 from gridloom.llm.tokencounts import token_counts
+from gridloom.llm.warc import round_trip
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(documents(spark, sf_dir))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents(spark, sf_dir), width=50).drop("kept_text")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(documents(spark, sf_dir), width=5, percent=75).drop("row")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_bytes(documents(spark, sf_dir), width=200)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 

@@ -44,11 +44,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder (to a fresh path unless one is given) and read it again."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path = path or scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -126,7 +126,7 @@ def _blocks(limit: int):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, block_bytes: int = 16 << 20, group: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, block_bytes: int = 10 << 20, group: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row; null text counts as empty.
 
     Repeated rows and null doc_ids each keep their own row; an empty table gives no rows. `group`: input partitions
