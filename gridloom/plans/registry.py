@@ -33,4 +33,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    import gridloom.plans.firm_queries  # noqa: F401
+    import gridloom.plans.model_queries  # noqa: F401
+    import gridloom.plans.rollup_queries  # noqa: F401
+    import gridloom.plans.series_queries  # noqa: F401
+    import gridloom.plans.stream_queries  # noqa: F401
