@@ -1,24 +1,67 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last
+returns the pieces of the packed sequences. No stage can be expressed in SQL on whole tables fast enough to compare
+(the learned model not at all), so ORACLE_SQL is None and the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import jaccard, langid, quality, repeats, substring
 from gridloom.llm.packing import packed
-from gridloom.llm.session import documents, ship, written
+from gridloom.llm.session import documents, written
 
 ORACLE_SQL = None
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or of which no language holds half of the words, go."""
+    return langid.recognised(docs)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that fail the base rules or are depleted of their own lines go."""
+    docs = repeats.stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
+    bad = quality.judged(docs).where("not kept").select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc"))
+    return repeats.without(docs, bad)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays (of repeated rows of it, the first)."""
+    docs = repeats.stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
+    found = written(jaccard.groups(docs), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = found.where(first & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("row").alias("kept"), F.count("*").alias("times")).where("times > 1")
+    repeated = found.where(first & (F.col("n_shingles") > 0)).join(again, "doc_id").where("row > kept").select("row", "doc_id")
+    drops = found.where(~first).select("row", "doc_id").unionByName(repeated)
+    return repeats.without(docs, drops.select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc")))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages of 50 words or more that a document with a smaller id has are removed from the texts."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = substring.deduplicated(docs, width=50, carry=carry)
+    values = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language", language),
+    ("quality", rules),
+    ("near_copies", near_copies),
+    ("passages", passages),
+    ("packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

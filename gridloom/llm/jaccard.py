@@ -11,7 +11,7 @@ similar sets share one. A set with too few parts that aren't empty takes finer p
    fraction of a row for each signature. Only sets with a shared signature go on.
 3. Each set is paired with the first set of each of its signatures. A 64-byte sketch drops pairs that are far from
    similar (five standard deviations), the others are verified on their whole sets.
-4. Signatures whose sets aren't all in one component by then are compared within the signature, sketch against sketch
+4. Signatures of three sets or more that aren't all in one component by then are compared within the signature, sketch against sketch
    in blocks; what passes and lies in different components is verified too. So no link between components is lost,
    and no pair within one is made.
 5. Components of the verified links, by large-star and small-star rounds.
@@ -37,6 +37,10 @@ from gridloom.llm.session import ship, scratch, tasks, written
 #: Below so many differences, groups of three parts and subsets of two.
 SMALL = 16
 BINS = 64
+#: Bits of a shingle's name; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
+NAME = 50
+#: Bytes of a name that sets are verified by.
+KEPT = 5
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
 
@@ -55,11 +59,9 @@ class Sets:
         few = np.flatnonzero((size > 0) & (size < width))
         h = np.concatenate([roll.span(at, at + width), roll.span(w.bound[few], w.bound[few + 1])])
         row = np.concatenate([w.row[at], few])
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        self.h, self.row = h[new], row[new]
+        key = np.sort((row.astype(U) << U(NAME)) | (h >> U(64 - NAME)))
+        key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+        self.h, self.row = key & U((1 << NAME) - 1), (key >> U(NAME)).astype(np.int64)
         self.bound = np.searchsorted(self.row, np.arange(len(col) + 1))
         self.size = np.diff(self.bound)
 
@@ -89,7 +91,7 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     first, allowed = bands(percent, 1 << int(s.size.max()).bit_length())
     band = np.searchsorted(first, s.size, "right") - 1
     with np.errstate(over="ignore"):
-        value = mixed(s.h * U(0x9FB21C651E98DF25))
+        value = mixed(s.h * U(0x9FB21C651E98DF25) + U(1))
         place = mixed(s.h ^ U(0x2545F4914F6CDD1D)) >> U(32)
         for back in (0, 1):
             pair = band - back  # the pair of bands
@@ -147,6 +149,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def names_of(data) -> np.ndarray:
+    """A set's names from KEPT bytes each."""
+    low = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :KEPT] = low
+    return out.view("<u8").ravel()
+
+
 class Keys:
     """The shared signature keys of this task's input partition."""
 
@@ -184,44 +194,40 @@ class Join:
         self.n = tasks(self.spark)
         self.buckets = 4 * self.n
 
-    def sizes(self) -> DataFrame:
-        width, slice_bytes = self.width, self.slice_bytes
+    def first_pass(self) -> DataFrame:
+        """A row for each input row (row, doc, n, g1, g2), and the packed signature keys (part, bucket, keys)."""
+        width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
+        names = ["row", "doc", "n", "g1", "g2", "part", "bucket", "keys"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row = TaskContext.get().partitionId() << 32
+            part_id = TaskContext.get().partitionId()
+            row = part_id << 32
             for batch in batches:
                 for part in slices(batch, limit=slice_bytes):
                     s = Sets(part.column("text"), width)
                     with np.errstate(over="ignore"):
                         g = [signed(s.sums(mixed(s.h ^ x))) for x in (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id").fill_null(LAST), pa.array(s.size), pa.array(g[0]), pa.array(g[1])], ["row", "doc", "n", "g1", "g2"])
-                    row += part.num_rows
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(LAST), pa.array(s.size), pa.array(g[0]), pa.array(g[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                    row += n
+                    key = np.sort(short(signatures(s, percent)[0], buckets))
+                    key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]  # twice at most
+                    bucket = (key >> U(32)).astype(np.int64)
+                    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    low = (key & U(0xFFFFFFFF)).astype("<u4")
+                    keys = [low[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False)]
+                    none = pa.nulls(len(cut), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary())], names)
 
-        return written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long"), "sets")
+        return written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets")
 
     def beside(self, rows: DataFrame, name: str, *columns: str) -> str:
         path = scratch(self.spark, name)
         rows.repartition(self.n, "part").select("part", *columns).write.partitionBy("part").parquet(path)
         return path
 
-    def shared_keys(self, firsts: str) -> str:
+    def shared_keys(self, rows: DataFrame) -> str:
         """Keys that two sets have, by input partition."""
-        width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part_id, listed = TaskContext.get().partitionId(), Side(firsts)
-            for batch in batches:
-                for part in slices(batch, limit=slice_bytes):
-                    if not (got := sorted(listed.rows(part))):
-                        continue
-                    sig, _ = signatures(Sets(part.column("text").take(pa.array(got)), width), percent)
-                    key = np.sort(short(sig, buckets))
-                    key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]  # twice at most
-                    bucket = (key >> U(32)).astype(np.int64)
-                    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    low = (key & U(0xFFFFFFFF)).astype("<u4")
-                    keys = [low[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([part_id] * len(cut), pa.int64()), pa.array(keys, pa.binary())], ["bucket", "part", "keys"])
 
         def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[int, np.ndarray]] = []
@@ -244,7 +250,6 @@ class Join:
             if held:
                 yield flush()
 
-        rows = self.docs.mapInArrow(packed, "bucket int, part long, keys binary")
         rows = rows.repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
         return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary"), "keys", "bucket", "keys")
 
@@ -269,9 +274,9 @@ class Join:
                     have = np.unique(row)
                     none = pa.nulls(len(sig), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.nulls(len(sig), pa.int64()), none, none], names)
-                    drawn = sketches(s)
+                    drawn, low = sketches(s), s.h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(have), pa.int64()), pa.array(ids[have]), pa.array(s.size[have]), pa.array([drawn[i].tobytes() for i in have.tolist()], pa.binary()), pa.array([s.h[s.bound[i] : s.bound[i + 1]].tobytes() for i in have.tolist()], pa.binary())],
+                        [pa.nulls(len(have), pa.int64()), pa.array(ids[have]), pa.array(s.size[have]), pa.array([drawn[i].tobytes() for i in have.tolist()], pa.binary()), pa.array([low[s.bound[i] : s.bound[i + 1]].tobytes() for i in have.tolist()], pa.binary())],
                         names,
                     )
 
@@ -291,7 +296,7 @@ class Join:
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = batch.column("hashes_a"), batch.column("hashes_b")
-                ok = [similar(np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U), percent) for i in range(batch.num_rows)]
+                ok = [similar(names_of(x[i].as_buffer()), names_of(y[i].as_buffer()), percent) for i in range(batch.num_rows)]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         def side(what: str, *columns: str) -> DataFrame:
@@ -309,38 +314,69 @@ class Join:
         marked = written(marked, "labelled")
         open_ = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         rows = marked.join(written(open_, "open"), "sig").join(sets.select("row", "n", "sketch"), "row")
+        some = 16  # sizes up to which signatures are compared all at once
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def flush(held: list[tuple]) -> pa.RecordBatch:
-            row, label, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
-            sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, BINS)
+        def few(sig: np.ndarray, row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+            """All small signatures of a batch: rows that are d apart, for each d."""
+            i = [np.flatnonzero((sig[d:] == sig[:-d]) & (label[d:] != label[:-d])) for d in range(1, some)]
+            d = np.repeat(np.arange(1, some), [len(x) for x in i])
+            i = np.concatenate(i)
+            j = i + d
+            _, once = np.unique(np.stack([np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]), axis=1, return_index=True)
+            i, j = i[once], j[once]
+            ok = plausible(sketch[i], sketch[j], n[i], n[j], percent)
+            return pairs(row[i[ok]], row[j[ok]])
+
+        def many(row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """One large signature, in blocks of rows of similar sizes."""
             order = np.argsort(n, kind="stable")
             row, label, n, sketch = row[order], label[order], n[order], sketch[order]
-            a, b = [], []
             for lo in range(0, len(row), 64):
                 hi = min(lo + 64, len(row))
                 end = int(np.searchsorted(n, n[hi - 1] * 100 // percent, "right"))
                 for at in range(lo, end, 2048):
                     to = min(at + 2048, end)
-                    ok = plausible(sketch[lo:hi, None], sketch[None, at:to], n[lo:hi, None], n[None, at:to], percent)
-                    ok &= label[lo:hi, None] != label[None, at:to]
-                    ok &= np.arange(lo, hi)[:, None] < np.arange(at, to)[None]
-                    i, j = np.nonzero(ok)
-                    a.append(row[lo + i])
-                    b.append(row[at + j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    want = (label[lo:hi, None] != label[None, at:to]) & (np.arange(lo, hi)[:, None] < np.arange(at, to)[None])
+                    i, j = np.nonzero(want)
+                    for k in range(0, len(i), 1 << 16):
+                        x, y = lo + i[k : k + (1 << 16)], at + j[k : k + (1 << 16)]
+                        ok = plausible(sketch[x], sketch[y], n[x], n[y], percent)
+                        if ok.any():
+                            yield pairs(row[x[ok]], row[y[ok]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, now = [], None
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+                return (*(np.asarray(batch.column(c)) for c in ("sig", "row", "label", "n")), raw(batch.column("sketch"))[0].reshape(-1, BINS))
+
+            def flush(x: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+                sig = x[0]
+                if not len(sig):
+                    return
+                cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                size = np.diff(np.append(cut, len(sig)))
+                large = np.repeat(size > some, size)
+                yield few(*(c[~large] for c in x))
+                for a, k in zip(cut[size > some].tolist(), size[size > some].tolist(), strict=True):
+                    yield from many(*(c[a : a + k] for c in x[1:]))
+
             for batch in batches:
-                for sig, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "row", "label", "n", "sketch")), strict=True):
-                    if sig != now and held:
-                        yield flush(held)
-                        held = []
-                    now = sig
-                    held.append(rest)
+                if not batch.num_rows:
+                    continue
+                x = columns(batch)
+                if x[0][0] == x[0][-1] and held and held[-1][0][-1] == x[0][0]:
+                    held.append(x)  # a signature goes on
+                    continue
+                last = int(np.searchsorted(x[0], x[0][-1]))
+                held.append(tuple(c[:last] for c in x))
+                yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = [tuple(c[last:] for c in x)]
             if held:
-                yield flush(held)
+                yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
         rows = rows.select("sig", "row", "label", "n", "sketch").repartition(self.n, "sig").sortWithinPartitions("sig")
         return rows.mapInArrow(run, "a long, b long").distinct()
@@ -373,18 +409,21 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
     unless it links. Repeated rows keep a row each. An empty table gives no rows.
     """
     j = Join(docs, width, percent, slice_bytes)
-    rows = j.sizes()
+    first = j.first_pass()
+    rows = first.where("row is not null").select("row", "doc", "n", "g1", "g2")
+    keys = j.shared_keys(first.where("row is null").select("part", "bucket", "keys"))
     key = ["n", "g1", "g2"]
     classes = written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row")), "classes")
     firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.lit(1).alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
-    found = j.candidates(firsts, j.shared_keys(firsts))
+    found = j.candidates(firsts, keys)
     sets, live = found.where("sig is null").select("row", "n", "sketch", "hashes"), found.where("sig is not null").select("sig", "row")
 
-    lead = written(live.groupBy("sig").agg(F.min("row").alias("b"), F.max("row").alias("most")).where("b < most").drop("most"), "leads")
-    pairs = live.join(lead, "sig").where("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    lead = live.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
+    live = written(live.join(written(lead, "leads"), "sig"), "live")
+    pairs = live.where("row <> b").select(F.col("row").alias("a"), "b").distinct()
     links = written(j.verified(pairs, sets), "links")
     label = components(links)
-    more = written(j.verified(j.across(live, label, sets), sets), "links")
+    more = written(j.verified(j.across(live.where("times > 2").select("sig", "row"), label, sets), sets), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.arrowtext import Words, slices
 from gridloom.llm.session import id_and_text, ship
@@ -188,7 +189,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -
     return Model(got["text"], got["lang"])
 
 
-def _predicted(packed: bytes, switch: float):
+def _predicted(packed: bytes, switch: float, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = pickle.loads(packed)
         k = len(model.languages)
@@ -209,7 +210,8 @@ def _predicted(packed: bytes, switch: float):
                     label = [model.languages[b] if a else "und" for a, b in zip(any_letter.tolist(), best.tolist(), strict=True)]
                     change = np.flatnonzero((path[1:] != path[:-1]) & (words.row[1:] == words.row[:-1]))
                     mixed = np.bincount(words.row[change], minlength=n) + any_letter
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score), pa.array(mixed)], ["doc_id", "held_out", "lang_pred", "score", "n_spans"])
+                out = [part.column(c) for c in carry] + [pa.array(label, pa.string()), pa.array(score), pa.array(mixed)]
+                yield pa.RecordBatch.from_arrays(out, [*carry, "lang_pred", "score", "n_spans"])
 
     return run
 
@@ -221,7 +223,17 @@ def identified(docs: DataFrame, model: Model | None = None, switch: float = SWIT
     row each; a null doc_id isn't held out and isn't learned from; an empty table gives no rows. The model (a table of
     fixed size) goes to the executors with the code.
     """
+    return _labelled(docs, id_and_text(docs).withColumn("held_out", held_out()), ["doc_id", "held_out"], model, switch)
+
+
+def recognised(docs: DataFrame, least: float = 0.5, model: Model | None = None, switch: float = SWITCH) -> DataFrame:
+    """The rows, with all their columns, whose language is not `und` and holds at least that share of the words."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return _labelled(docs, rows, rows.columns, model, switch).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+
+
+def _labelled(docs: DataFrame, rows: DataFrame, carry: list[str], model: Model | None, switch: float) -> DataFrame:
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model or learned(docs)))
-    rows = id_and_text(docs).withColumn("held_out", held_out())
-    return rows.mapInArrow(lambda it: _predicted(packed.value, switch)(it), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    schema = T.StructType([*(rows.schema[c] for c in carry), *T._parse_datatype_string("lang_pred string, score double, n_spans long").fields])
+    return rows.mapInArrow(lambda it: _predicted(packed.value, switch, carry)(it), schema)

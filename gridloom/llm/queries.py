@@ -10,6 +10,7 @@ from gridloom.llm.fingerprints import edit_fingerprints
 from gridloom.llm.jaccard import groups
 from gridloom.llm.langid import identified
 from gridloom.llm.packing import packed
+from gridloom.llm.pieces import encoded
 from gridloom.llm.quality import judged
 from gridloom.llm.session import documents
 from gridloom.llm.substring import deduplicated
@@ -35,7 +36,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir))
+    return judged(documents(spark, sf_dir)).drop("row")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 

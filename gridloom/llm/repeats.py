@@ -196,7 +196,7 @@ def stable(docs: DataFrame, carry: list[str]) -> DataFrame:
     """doc_id, text and the columns to carry, in an order that repeated scans keep: a scan of files, else written first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    simple = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Aggregate", "Join", "Window", "Sample", "Python", "Arrow", "Limit", "Union", "InMemory", "Generate"))
+    simple = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Aggregate", "Join", "Window", "Sample", "Python", "Arrow", "Limit", "Union", "InMemoryTableScan", "Generate"))
     return rows if simple else written(rows, "input")
 
 
@@ -268,5 +268,19 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     return docs.mapInArrow(last, fields)
 
 
+def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs (a scan of files, as stable() tells) without the rows whose place in the input drops lists (row, doc)."""
+    side = _to_side(drops.select("row", F.lit(0).alias("s"), F.lit(1).alias("n"), "doc"), "drops")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = Side(side)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[list(listed.rows(batch))] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
