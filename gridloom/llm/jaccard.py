@@ -24,14 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
-from gridloom.llm.repeats import LAST, Side, stable
+from gridloom.llm.repeats import LAST, Side, beside, stable
 from gridloom.llm.session import ship, scratch, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
@@ -161,15 +159,10 @@ class Keys:
     """The shared signature keys of this task's input partition."""
 
     def __init__(self, path: str):
-        part = TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-        found = fs.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
         got = []
-        for f in found:
-            if f.base_name.endswith(".parquet"):
-                t = pq.read_table(f.path, filesystem=fs, partitioning=None)
-                for bucket, keys in zip(t.column("bucket").to_pylist(), t.column("keys").to_pylist(), strict=True):
-                    got.append((U(bucket) << U(32)) | np.frombuffer(keys, "<u4").astype(U))
+        for t in beside(path):
+            for bucket, keys in zip(t.column("bucket").to_pylist(), t.column("keys").to_pylist(), strict=True):
+                got.append((U(bucket) << U(32)) | np.frombuffer(keys, "<u4").astype(U))
         self.keys = np.sort(np.concatenate(got)) if got else np.zeros(0, U)
 
     def has(self, v: np.ndarray) -> np.ndarray:

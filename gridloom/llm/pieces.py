@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,14 +25,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import raw, slices
-from gridloom.llm.repeats import stable
+from gridloom.llm.repeats import beside, stable
 from gridloom.llm.session import scratch, ship, tasks, written
 
 SPACE = "▁"
@@ -124,11 +123,10 @@ class Pieces:
 
     def _best(self, unit: str) -> list[int]:
         n = len(unit)
-        best, back = [0.0] + [0.0] * n, [0] * (n + 1)
+        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for e in range(1, n + 1):
-            best[e], back[e] = best[e - 1] + self.score.get(unit[e - 1 : e], self.worst), e - 1
-            for s in range(max(0, e - self.longest), e - 1):
-                x = self.score.get(unit[s:e])
+            for s in range(max(0, e - self.longest), e):
+                x = self.score.get(unit[s:e], self.worst if s == e - 1 else None)
                 if x is not None and best[s] + x > best[e]:
                     best[e], back[e] = best[s] + x, s
         out, e = [], n
@@ -221,13 +219,13 @@ aggregate(sequence(1, n - 1), sequence(0, n), (b, t) -> if(size(b) < 3, b,
   element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), i -> try_element_at(edges, b[i] * 64 + b[i + 2] - b[i]).rank * 64 + i))),
     q -> if(q is null, b, filter(b, (x, i) -> i <> q % 64 + 1))), 1)))
 """
-#: For each place, the best score there and the start of its last edge; then the boundaries, from the end.
+#: For each place, the best score there and the start (the earliest, negated) of its last edge; then the boundaries.
 VITERBI = """
-aggregate(sequence(1, n), array(struct(cast(0 as double) as score, 0 as start)), (a, e) -> concat(a, array(
+aggregate(sequence(1, n), array(struct(cast(0 as double) as score, 0 as back)), (a, e) -> concat(a, array(
   array_max(transform(sequence(greatest(0, e - {longest}), e - 1), s -> if(try_element_at(edges, s * 64 + e - s) is null and s < e - 1, null,
-    struct(a[s].score + coalesce(try_element_at(edges, s * 64 + e - s).score, {worst}) as score, s as start)))))))
+    struct(a[s].score + coalesce(try_element_at(edges, s * 64 + e - s).score, {worst}) as score, -s as back)))))))
 """
-BACK = "aggregate(sequence(1, n), array(n), (b, t) -> if(b[0] = 0, b, concat(array(path[b[0]].start), b)))"
+BACK = "aggregate(sequence(1, n), array(n), (b, t) -> if(b[0] = 0, b, concat(array(-path[b[0]].back), b)))"
 
 
 def folded(lattices: DataFrame, pieces: Pieces) -> DataFrame:
@@ -242,11 +240,10 @@ def folded(lattices: DataFrame, pieces: Pieces) -> DataFrame:
 
 def _ordered(path: str, side: str, slice_bytes: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part_id, block = load(path), TaskContext.get().partitionId(), 0
-        fs, root = pafs.FileSystem.from_uri(side) if ":/" in side else (pafs.LocalFileSystem(), side)
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/part={part_id}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
-        known = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files]).sort_by([("block", "ascending"), ("at", "ascending")]).combine_chunks() if files else None
-        blocks = np.asarray(known.column("block")) if files else np.zeros(0, np.int32)
+        pieces, block = load(path), 0
+        tables = beside(side)
+        known = pa.concat_tables(tables).sort_by([("block", "ascending"), ("at", "ascending")]).combine_chunks() if tables else None
+        blocks = np.asarray(known.column("block")) if tables else np.zeros(0, np.int32)
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
                 cut = Cut(part.column("text"), pieces)

@@ -8,7 +8,8 @@ consecutive and form a chunk. What is exchanged are chunks (about one for each d
    repeat; its chunks go.
 2. `name` names all units of a chunk. Equal names settle all windows of the chunks at once.
 3. Where chunks with different names share a key (a repeat begins or ends inside), one chunk of each name gives its
-   windows, by a 128-bit name each, which are grouped.
+   windows, by a 96-bit name each. Their distinct names are exchanged in packed, sorted runs by range of names, and a
+   bit for each comes back.
 All groupings are sums or minima with map-side combining, joins are ones that Spark can split, so that a passage that
 a third of the documents share stays spread. Texts are never exchanged: what a task needs of the results for its rows
 is written by input partition to the shared folder and read by that partition's task in the next pass over the texts.
@@ -115,32 +116,122 @@ def _chunk_rows(parse: Callable, width: int, slice_bytes: int):
     return run
 
 
-def _window_rows(parse: Callable, width: int, slice_bytes: int, side: str):
-    """The windows of the runs of starts that the side files list: two names, doc, row, start."""
+class Open:
+    """The windows of the runs of starts that a side file lists, of one slice, by distinct name in sorted order."""
+
+    def __init__(self, part: pa.RecordBatch, got: dict, first: int, parse: Callable, width: int):
+        some = sorted(got)
+        rows = part.take(pa.array(some))
+        u: Units = parse(rows.column("text"))
+        at, row = [], []
+        for k, i in enumerate(some):
+            begin, end, _ = got[i]
+            a = np.flatnonzero(covered(begin, end, int(u.bound[k + 1] - u.bound[k]))) + u.bound[k]
+            at.append(a)
+            row.append(np.full(len(a), k))
+        at, row = np.concatenate(at), np.concatenate(row)
+        name = [Rolling(h, k).span(at, at + width) for k, h in enumerate(u.hashes)]
+        name[1] >>= U(32)
+        order = np.lexsort((name[1], name[0]))
+        self.one, self.two = name[0][order], name[1][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.one[1:] != self.one[:-1]) | (self.two[1:] != self.two[:-1])
+        self.cut = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.size = np.diff(np.append(self.cut, len(order)))
+        self.doc = np.asarray(rows.column("doc_id").fill_null(LAST))[row[order]]
+        self.low = np.minimum.reduceat(self.doc, self.cut) if len(order) else self.doc
+        self.row = first + np.array(some)[row[order]]
+        self.start = (at - u.bound[row])[order]
+
+    def packed(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(range of names, distinct names with the least document and whether there are several)."""
+        one, two = self.one[self.cut], self.two[self.cut]
+        bucket = ((one >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for a, b in zip(edge, [*edge[1:], len(one)], strict=False):
+            yield int(bucket[a]), one[a:b].astype("<u8").tobytes() + two[a:b].astype("<u4").tobytes() + self.low[a:b].astype("<i8").tobytes() + (self.size[a:b] > 1).astype("u1").tobytes()
+
+
+def _window_names(parse: Callable, width: int, slice_bytes: int, side: str, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, part_id = Side(side), TaskContext.get().partitionId()
+        for batch in batches:
+            for part in slices(batch, limit=slice_bytes):
+                if got := listed.rows(part):
+                    rows = list(Open(part, got, listed.first, parse, width).packed(buckets))
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part_id] * n, pa.int64()), pa.array([listed.first] * n, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "part", "first", "packed"])
+
+    return run
+
+
+def _decided(others: bool):
+    """Packed names of a range together: a bit for each, whether it also starts elsewhere (in a smaller document)."""
+
+    def decide(held: list[tuple[int, int, bytes]], bucket: int) -> pa.RecordBatch:
+        size = [len(x[2]) // 21 for x in held]
+        field = lambda kind, at, width: np.concatenate([np.frombuffer(x[2], kind, n, at * n) for x, n in zip(held, size, strict=True)])
+        one, two, low, many = field("<u8", 0, 8), field("<u4", 8, 4), field("<i8", 12, 8), field("u1", 20, 1)
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        cut, group = np.flatnonzero(new), np.cumsum(new) - 1
+        if others:
+            bit = np.minimum.reduceat(low[order], cut)[group] < low[order]
+        else:
+            bit = np.add.reduceat(1 + many[order].astype(np.int64), cut)[group] > 1
+        back = np.empty(len(order), bool)
+        back[order] = bit
+        ends = np.cumsum([0, *size]).tolist()
+        bits = [np.packbits(back[x:y]).tobytes() for x, y in zip(ends, ends[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["part", "first", "bucket", "n", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        now = None
+        for batch in batches:
+            for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "first", "packed")), strict=True):
+                if bucket != now and held:
+                    yield decide(held, now)
+                    held = []
+                now = bucket
+                held.append(tuple(rest))
+        if held:
+            yield decide(held, now)
+
+    return run
+
+
+def _hits(parse: Callable, width: int, slice_bytes: int, side: str, bits: str, others: bool):
+    """Rows (row, s, n, doc): the runs of starts of the windows that were decided to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = Side(side)
+        table = beside(bits)
+        known = {}
+        for t in table:
+            for first, bucket, n, x in zip(*(t.column(c).to_pylist() for c in ("first", "bucket", "n", "bits")), strict=True):
+                known.setdefault(first, []).append((bucket, n, x))
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
-                got = listed.rows(part)
-                if not got:
+                if not (got := listed.rows(part)):
                     continue
-                some = part.take(pa.array(sorted(got)))
-                u: Units = parse(some.column("text"))
-                roll = [Rolling(h, k) for k, h in enumerate(u.hashes)]
-                at, row = [], []
-                for k, i in enumerate(sorted(got)):
-                    begin, end, _ = got[i]
-                    a = np.flatnonzero(covered(begin, end, int(u.bound[k + 1] - u.bound[k]))) + u.bound[k]
-                    at.append(a)
-                    row.append(np.full(len(a), listed.first + i))
-                at, row = np.concatenate(at), np.concatenate(row)
-                text = np.searchsorted(u.bound, at, "right") - 1
-                doc = np.asarray(some.column("doc_id").fill_null(LAST))[text]
-                for a in range(0, len(at), 1 << 18):
-                    b = slice(a, a + (1 << 18))
-                    w = [signed(r.span(at[b], at[b] + width)) for r in roll]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(doc[b]), pa.array(row[b]), pa.array((at[b] - u.bound[text[b]]).astype(np.int32))], ["name1", "name2", "doc", "row", "s"])
+                w = Open(part, got, listed.first, parse, width)
+                told = sorted(known.get(listed.first, []))
+                bit = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in told]).astype(bool)
+                if len(bit) != len(w.cut):
+                    raise RuntimeError("the input's rows came in other batches in this pass; write it to a table first")
+                if others:
+                    hit = bit[w.group] | (w.doc > w.low[w.group])
+                else:
+                    hit = bit[w.group]
+                order = np.lexsort((w.start[hit], w.row[hit]))
+                row, s, doc = (x[hit][order] for x in (w.row, w.start, w.doc))
+                cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (s[1:] != s[:-1] + 1) | (row[1:] != row[:-1])]))
+                n = np.diff(np.append(cut, len(s)))
+                yield pa.RecordBatch.from_arrays([pa.array(row[cut]), pa.array(s[cut].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(doc[cut])], ["row", "s", "n", "doc"])
 
     return run
 
@@ -153,15 +244,20 @@ def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def beside(path: str) -> list[pa.Table]:
+    """What was written below path for this task's input partition."""
+    fs, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/part={TaskContext.get().partitionId()}", allow_not_found=True))
+    return [pq.read_table(f.path, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+
+
 class Side:
     """What the side files say of this task's input partition; rows must come in the order of the first pass."""
 
     def __init__(self, path: str):
         part = TaskContext.get().partitionId()
         self.first, self.doc = part << 32, None
-        fs, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-        found = fs.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-        tables = [pq.read_table(f.path, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+        tables = beside(path)
         self.row, self.s, self.n, self.doc = (np.concatenate([np.asarray(t.column(c)) for t in tables]) if tables else np.zeros(0, np.int64) for c in ("row", "s", "n", "doc"))
         order = np.argsort(self.row, kind="stable")
         self.row, self.s, self.n, self.doc = (x[order].astype(np.int64) for x in (self.row, self.s, self.n, self.doc))
@@ -238,14 +334,14 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
 
     # 3. windows of what is left
     side = _to_side(met.where("gives"), "open")
-    windows = written(texts.mapInArrow(_window_rows(parse, width, slice_bytes, side), "name1 long, name2 long, doc long, row long, s int"), "windows")
-    if others:
-        twice = windows.groupBy("name1", "name2").agg(F.min("doc").alias("least"), F.max("doc").alias("high")).where("least < high").drop("high")
-        hits = windows.join(written(twice, "twice"), ["name1", "name2"]).where("doc > least")
-    else:
-        twice = windows.groupBy("name1", "name2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-        hits = windows.join(written(twice, "twice"), ["name1", "name2"])
-    spans = met.where("settled").select("row", "s", "n", "doc").unionByName(hits.select("row", "s", F.lit(1).alias("n"), "doc"))
+    n, buckets = tasks(spark), 4 * tasks(spark)
+    names = texts.mapInArrow(_window_names(parse, width, slice_bytes, side, buckets), "bucket int, part long, first long, packed binary")
+    names = names.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
+    bits = scratch(spark, "bits")
+    names.mapInArrow(_decided(others), "part long, first long, bucket int, n int, bits binary").repartition(n, "part").write.partitionBy("part").parquet(bits)
+    hits = texts.mapInArrow(_hits(parse, width, slice_bytes, side, bits, others), "row long, s int, n int, doc long")
+    hits = written(hits, "hits")  # by itself: in a union its tasks would have other numbers than the scan's
+    spans = met.where("settled").select("row", "s", "n", "doc").unionByName(hits)
     side = _to_side(spans, "spans")
 
     names = [x.split()[0] for x in schema.split(", ")]
