@@ -9,11 +9,11 @@ similar sets share one. A set with too few parts that aren't empty takes finer p
 1. Equal sets are one class, and its document with the smallest id stands for it.
 2. Signatures that two sets share are found from sorted runs of 4-byte keys, packed by task and key range, which is a
    fraction of a row for each signature. Only sets with a shared signature go on.
-3. Each set is paired with the first set of each of its signatures. A 64-byte sketch drops pairs that are far from
+3. Each set is paired with the first set of each of its signatures. A 128-byte sketch drops pairs that are far from
    similar (five standard deviations), the others are verified on their whole sets.
-4. Signatures of three sets or more that aren't all in one component by then are compared within the signature, sketch against sketch
-   in blocks; what passes and lies in different components is verified too. So no link between components is lost,
-   and no pair within one is made.
+4. Signatures of three sets or more that aren't all in one component by then are compared within the signature,
+   sketch against sketch in blocks; what passes and lies in different components is verified too. So no link between
+   components is lost, and no pair within one is made.
 5. Components of the verified links, by large-star and small-star rounds.
 """
 
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
 from gridloom.llm.repeats import LAST, Side, beside, stable
-from gridloom.llm.session import ship, scratch, tasks, written
+from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
 SMALL = 16
-BINS = 64
+BINS = 256
 #: Bits of a shingle's name; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
 NAME = 50
 #: Bytes of a name that sets are verified by.
@@ -123,21 +123,27 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(s: Sets) -> np.ndarray:
-    """rows x BINS bytes: the low byte of the least hash of each bin, 0 for an empty bin."""
+    """rows x BINS / 2 bytes: four bits of the least hash of each bin, 0 for an empty bin."""
     h = mixed(s.h ^ U(0x94D049BB133111EB))
-    cell = s.row * BINS + (h >> U(58)).astype(np.int64)
+    cell = s.row * BINS + (h >> U(64 - BINS.bit_length() + 1)).astype(np.int64)
     least = np.full(len(s.size) * BINS, 0xFFFFFFFFFFFFFFFF, U)
     np.minimum.at(least, cell, h)
-    got = (least & U(0xFF)) % U(255) + U(1)
+    got = (least & U(0xFFFF)) % U(15) + U(1)
     got[least == U(0xFFFFFFFFFFFFFFFF)] = 0
-    return got.astype(np.uint8).reshape(-1, BINS)
+    got = got.astype(np.uint8).reshape(-1, BINS)
+    return got[:, : BINS // 2] | (got[:, BINS // 2 :] << 4)
+
+
+#: By byte: how many of its two halves are 0, and aren't.
+ZEROS = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 
 def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes n, m with these sketches may be similar."""
     t = percent / 100
-    used = ((a > 0) | (b > 0)).sum(-1)
-    same = ((a == b) & (a > 0)).sum(-1)
+    empty = ZEROS[a | b].sum(-1, dtype=np.int32)
+    same = ZEROS[a ^ b].sum(-1, dtype=np.int32) - empty
+    used = BINS - empty
     near = same >= used * (t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
     return near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
@@ -187,7 +193,7 @@ class Join:
         self.n = tasks(self.spark)
         self.buckets = 4 * self.n
 
-    def first_pass(self) -> DataFrame:
+    def first_pass(self, path: str) -> DataFrame:
         """A row for each input row (row, doc, n, g1, g2), and the packed signature keys (part, bucket, keys)."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
         names = ["row", "doc", "n", "g1", "g2", "part", "bucket", "keys"]
@@ -212,11 +218,12 @@ class Join:
                     none = pa.nulls(len(cut), pa.int64())
                     yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary())], names)
 
-        return written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets")
+        return written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets", path)
 
     def beside(self, rows: DataFrame, name: str, *columns: str) -> str:
         path = scratch(self.spark, name)
         rows.repartition(self.n, "part").select("part", *columns).write.partitionBy("part").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # as in written()
         return path
 
     def shared_keys(self, rows: DataFrame) -> str:
@@ -227,10 +234,15 @@ class Join:
             now = None
 
             def flush() -> pa.RecordBatch:
-                whole = np.sort(np.concatenate([k for _, k in held]))
-                twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
-                found = [(p, k[np.isin(k, twice)]) for p, k in held]
-                found = [(p, np.unique(k)) for p, k in found if len(k)]
+                whole = np.concatenate([k for _, k in held])
+                order = np.argsort(whole)
+                same = whole[order][1:] == whole[order][:-1]
+                twice = np.zeros(len(whole), bool)
+                twice[order[1:][same]] = True
+                twice[order[:-1][same]] = True
+                ends = np.cumsum([0, *(len(k) for _, k in held)]).tolist()
+                found = [(p, np.unique(k[twice[a:b]])) for (p, k), a, b in zip(held, ends, ends[1:], strict=False)]
+                found = [(p, k) for p, k in found if len(k)]
                 held.clear()
                 return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([now] * len(found), pa.int32()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["part", "bucket", "keys"])
 
@@ -282,7 +294,7 @@ class Join:
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x, y = (raw(batch.column(c))[0].reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+                    x, y = (raw(batch.column(c))[0].reshape(-1, BINS // 2) for c in ("sketch_a", "sketch_b"))
                     ok = plausible(x, y, np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), percent)
                     yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -309,10 +321,33 @@ class Join:
         rows = marked.join(written(open_, "open"), "sig").join(sets.select("row", "n", "sketch"), "row")
         some = 16  # sizes up to which signatures are compared all at once
 
-        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+        def once(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Pairs without most repeats: the signatures of a task that two sets share give the pair again."""
+            held: list[np.ndarray] = []
+            size, limit = 0, 1 << 18
+
+            def put() -> pa.RecordBatch:
+                x = held[0]
+                return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+            for x in found:
+                held.append(x)
+                size += len(x)
+                if size > 2 * limit:
+                    held[:] = [np.unique(np.concatenate(held), axis=0)]
+                    size = len(held[0])
+                    if size > limit:
+                        yield put()
+                        held.clear()
+                        size = 0
+            if held:
+                held[:] = [np.unique(np.concatenate(held), axis=0)]
+                yield put()
 
-        def few(sig: np.ndarray, row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        def few(sig: np.ndarray, row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
             """All small signatures of a batch: rows that are d apart, for each d."""
             i = [np.flatnonzero((sig[d:] == sig[:-d]) & (label[d:] != label[:-d])) for d in range(1, some)]
             d = np.repeat(np.arange(1, some), [len(x) for x in i])
@@ -323,7 +358,7 @@ class Join:
             ok = plausible(sketch[i], sketch[j], n[i], n[j], percent)
             return pairs(row[i[ok]], row[j[ok]])
 
-        def many(row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def many(row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
             """One large signature, in blocks of rows of similar sizes."""
             order = np.argsort(n, kind="stable")
             row, label, n, sketch = row[order], label[order], n[order], sketch[order]
@@ -340,13 +375,13 @@ class Join:
                         if ok.any():
                             yield pairs(row[x[ok]], row[y[ok]])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             held: list[tuple[np.ndarray, ...]] = []
 
             def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-                return (*(np.asarray(batch.column(c)) for c in ("sig", "row", "label", "n")), raw(batch.column("sketch"))[0].reshape(-1, BINS))
+                return (*(np.asarray(batch.column(c)) for c in ("sig", "row", "label", "n")), raw(batch.column("sketch"))[0].reshape(-1, BINS // 2))
 
-            def flush(x: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            def flush(x: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
                 sig = x[0]
                 if not len(sig):
                     return
@@ -372,25 +407,26 @@ class Join:
                 yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
         rows = rows.select("sig", "row", "label", "n", "sketch").repartition(self.n, "sig").sortWithinPartitions("sig")
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        return rows.mapInArrow(lambda batches: once(compared(batches)), "a long, b long").distinct()
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    n = edges.agg(F.count("*").alias("n"), F.countDistinct("a").alias("a")).first()
+    return n.n == n.a and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): b is the smallest node that a, which isn't it, reaches over the undirected edges (a, b)."""
-    now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    state = None
-    while True:
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large")
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").distinct(), "edges")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == state:
-            return now
-        state = seen
+    return now
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 6 << 20) -> DataFrame:
@@ -402,9 +438,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
     unless it links. Repeated rows keep a row each. An empty table gives no rows.
     """
     j = Join(docs, width, percent, slice_bytes)
-    first = j.first_pass()
-    rows = first.where("row is not null").select("row", "doc", "n", "g1", "g2")
+    place = scratch(j.spark, "first")
+    first = j.first_pass(place)
+    rows = written(first.where("row is not null").select("row", "doc", "n", "g1", "g2"), "rows")
     keys = j.shared_keys(first.where("row is null").select("part", "bucket", "keys"))
+    removed(j.spark, place)
     key = ["n", "g1", "g2"]
     classes = written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row")), "classes")
     firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.lit(1).alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
@@ -418,7 +456,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
     label = components(links)
     more = written(j.verified(j.across(live.where("times > 2").select("sig", "row"), label, sets), sets), "links")
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        label = components(label.unionByName(more))
 
     named = label.unionByName(label.select(F.col("b").alias("a"), "b").distinct())
     met = written(named.join(classes.select(F.col("row").alias("a"), "doc"), "a"), "members")

@@ -110,4 +110,16 @@ def test_empty(spark):
     df = frame(spark, ["a b"])
     assert groups(df.limit(0)).collect() == []
     assert [tuple(r)[:3] for r in groups(df).collect()] == [(0, 1, 0)]
-    assert jaccard.BINS == 64
+    assert jaccard.BINS == 256
+
+
+def test_sketches_pass_similar_sets():
+    r = random.Random(6)
+    for n in (3, 10, 40, 300, 3000):
+        a = [f"w{r.random()}" for _ in range(n)]
+        b = a[: max(1, round(0.86 * n))] + [f"v{r.random()}" for _ in range(n - max(1, round(0.86 * n)))]
+        c = [f"u{r.random()}" for _ in range(n)]
+        s = Sets(pa.array([" ".join(x) for x in (a, b, c)]), 1)
+        d = jaccard.sketches(s)
+        assert jaccard.plausible(d[0], d[1], s.size[0], s.size[1], 75)
+        assert n < 40 or not jaccard.plausible(d[0], d[2], s.size[0], s.size[2], 75)
