@@ -153,12 +153,12 @@ def topk_lanes(spark, sf_dir):
 PIVOT = ", ".join(f"avg(w) FILTER (cluster_id = '{c}') AS {c}" for c in ("click", "view", "purchase"))
 
 
-@query(f"WITH {TELE}, p AS (SELECT t, cluster_id, avg(w) AS x, count(*) AS n FROM tele WHERE w BETWEEN 0 AND 1000 GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT t, count(*) AS sensors, sum(x) AS total, min(x) AS least, max(x) AS most FROM p GROUP BY t) SELECT t, sensors, round(total, 4) AS total, round(most - least, 4) AS spread FROM c WHERE sensors >= 4")
+@query(f"WITH {TELE}, p AS (SELECT t, cluster_id, avg(w) AS x, count(*) AS n FROM tele WHERE w BETWEEN 0 AND 1000 GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT t, count(*) AS sensors, sum(x) AS total, min(x) AS least, max(x) AS most FROM p GROUP BY t) SELECT t, sensors, round(total, 9) AS total, round(most - least, 9) AS spread FROM c WHERE sensors >= 4")
 def sensor_pivot_hourly(spark, sf_dir):
     """Hours with enough rows of enough sensors, from one pivoting aggregate instead of a join per sensor."""
     p = telemetry(spark, sf_dir).where("w BETWEEN 0 AND 1000").groupBy("t", "cluster_id").agg(F.avg("w").alias("x"), F.count("*").alias("n")).where("n >= 2")
     c = p.groupBy("t").agg(F.count("*").alias("sensors"), F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most")).where("sensors >= 4")
-    return c.select("t", "sensors", F.round("total", 4).alias("total"), F.round(F.col("most") - F.col("least"), 4).alias("spread"))
+    return c.select("t", "sensors", F.round("total", 9).alias("total"), F.round(F.col("most") - F.col("least"), 9).alias("spread"))
 
 
 NUMBERS = ["0.4-0.5", "~0.3", "17", "Brand#17", "~ 2 - 4", "n/a", "1e3", ""]
