@@ -65,6 +65,34 @@ def plateaus(days: DataFrame, least: int, spread: float) -> DataFrame:
     return days.where("v is not null").groupBy("cluster_id").applyInPandas(one, "cluster_id string, first long, last long, mean double")
 
 
+def changepoint_band(days: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """(k, p5, p95): the best split of (i, v) and the band of it when blocks of residuals are drawn again; the series is
+    a row a day, so that one task has it whole."""
+
+    def best(v: np.ndarray) -> int:
+        n = len(v)
+        s, q = np.cumsum(v), np.cumsum(v * v)
+        k = np.arange(5, n - 5)
+        sse = q[k - 1] - s[k - 1] ** 2 / k + (q[-1] - q[k - 1]) - (s[-1] - s[k - 1]) ** 2 / (n - k)
+        return int(k[sse.argmin()])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("i")["v"].to_numpy()
+        if len(v) < 11 + block:
+            return pd.DataFrame({"k": [], "p5": [], "p95": []})
+        k = best(v)
+        mean = np.where(np.arange(len(v)) < k, v[:k].mean(), v[k:].mean())
+        r = np.random.default_rng(seed)
+        found = []
+        for _ in range(reps):
+            start = r.integers(0, len(v) - block + 1, -(-len(v) // block))
+            at = (start[:, None] + np.arange(block)).ravel()[: len(v)]
+            found.append(best(mean + (v - mean)[at]))
+        return pd.DataFrame({"k": [k], "p5": [float(np.quantile(found, 0.05))], "p95": [float(np.quantile(found, 0.95))]})
+
+    return days.groupBy().applyInPandas(one, "k long, p5 double, p95 double")
+
+
 def nnls(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Non-negative least squares of the normal equations, by active sets."""
     n = len(right)

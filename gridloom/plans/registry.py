@@ -33,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
+    import gridloom.plans.audit_queries  # noqa: F401
     import gridloom.plans.firm_queries  # noqa: F401
     import gridloom.plans.model_queries  # noqa: F401
     import gridloom.plans.rollup_queries  # noqa: F401
