@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.session import scratch, ship, written
+from gridloom.llm.session import scratch, ship, tasks, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame long, frame_offset long, frame_bytes long, offset long, length long"
@@ -213,7 +213,7 @@ def read_back(index: DataFrame, frames: int = 32) -> DataFrame:
     """All records of the bundles in an index, read from the bundles; a task takes runs of `frames` frames."""
     run = F.floor(F.col("frame") / frames)
     todo = index.groupBy("bundle", run.alias("run")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    return todo.repartition("bundle", "run").mapInArrow(_read, RECORDS)
+    return todo.repartition(tasks(index.sparkSession), "bundle", "run").mapInArrow(_read, RECORDS)
 
 
 def round_trip(pages: DataFrame, root: str | None = None, **options) -> DataFrame:
