@@ -108,6 +108,8 @@ class BundleWriter:
         body = b"".join(struct.pack("<II", *x) for x in self.table) + struct.pack("<IBI", len(self.table), 0, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # of a task that ran before; not every file system renames over a file
         self.fs.move(self.temporary, self.path)
         return rows
 
