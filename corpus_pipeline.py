@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or of which no language holds half of the words, go."""
+    """Texts without a letter, or of which no language holds 40 % of the words, go."""
     return langid.recognised(docs)
 
 

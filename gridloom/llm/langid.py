@@ -38,7 +38,7 @@ SCRIPTS = {
 }
 OTHER = len(SCRIPTS) + 1  # letters of scripts that aren't listed
 BITS = 17
-FLOOR = -10.0
+FLOOR = -6.0
 SWITCH = 12.0
 #: Rows that the model is learned on, by language, and languages (the most frequent ones).
 SAMPLE, LANGUAGES = 1500, 100
@@ -122,44 +122,64 @@ class Model:
         return out, s > 0
 
 
-def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best path over a text's words; ties go to staying, then to the first language."""
+def viterbi(scores: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best path over the words of each text (words bound[r]..bound[r+1]), all texts a step at a time; ties go to
+    staying, then to the first language."""
     n, k = scores.shape
-    back = np.empty((n, k), np.int32)
-    stay = np.arange(k)
-    v = scores[0].copy()
-    for t in range(1, n):
-        best = int(v.argmax())
-        moved = v[best] - switch
-        change = moved > v
-        back[t] = np.where(change, best, stay)
-        v = np.where(change, moved, v) + scores[t]
-    path = np.empty(n, np.int32)
-    path[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    size = np.diff(bound)
+    order = np.argsort(-size, kind="stable")
+    first, size = bound[:-1][order], size[order]
+    active = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), "right")  # texts with more words than t
+    best, change = np.zeros(n, np.int32), np.zeros((n, k), bool)
+    path = np.zeros(n, np.int32)
+    if not n:
+        return path
+    m = int(active[0])
+    v = scores[first[:m]].astype(np.float64)
+    for t in range(1, len(active)):
+        m = int(active[t])
+        now, at = v[:m], first[:m] + t
+        top = now.argmax(1)
+        moved = (now[np.arange(m), top] - switch)[:, None]
+        best[at] = top
+        change[at] = moved > now
+        v[:m] = np.maximum(now, moved) + scores[at]
+    state = np.zeros(len(size), np.int32)
+    state[: len(v)] = v.argmax(1)
+    for t in range(len(active) - 1, -1, -1):
+        m = int(active[t])
+        at = first[:m] + t
+        here = state[:m]
+        path[at] = here
+        state[:m] = np.where(change[at, here], best[at], here)
     return path
 
 
 def paths(scores: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """viterbi() of every text, words bound[r]..bound[r+1]. Where no run of words gains more than half a switch over the
-    text's best single language, that language is the best path; only the other texts need the recursion."""
+    """viterbi(), with the recursion for those texts alone whose best path may change: where no run of words gains more
+    than a switch over the text's best single language, and none at an end more than half, that language is the path."""
     rows = len(bound) - 1
     size = np.diff(bound)
     total = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, 0)])
     best = (total[bound[1:]] - total[bound[:-1]]).argmax(1)
-    path = np.repeat(best, size)
+    path = np.repeat(best, size).astype(np.int32)
     row = np.repeat(np.arange(rows), size)
+    some = np.flatnonzero(size)
     mixed = np.zeros(rows, bool)
     for k in range(scores.shape[1]):
         gain = scores[:, k] - scores[np.arange(len(path)), path]
         run = np.concatenate([[0.0], np.cumsum(gain)])
         drop = 4.0 * (1 + np.abs(gain).sum()) * row  # so that a text's values lie below those of the texts before
         low = np.minimum.accumulate(run[:-1] - drop)
-        over = (run[1:] - drop - low) > switch / 2
+        over = (run[1:] - drop - low) > switch
         mixed[row[over]] = True
-    for r in np.flatnonzero(mixed).tolist():
-        path[bound[r] : bound[r + 1]] = viterbi(scores[bound[r] : bound[r + 1]], switch)
+        if len(some):
+            mixed[some] |= np.maximum.reduceat(run[1:], bound[some]) - run[bound[some]] > switch / 2
+            mixed[some] |= run[bound[some + 1]] - np.minimum.reduceat(run[:-1], bound[some]) > switch / 2
+    pick = np.flatnonzero(mixed)
+    if len(pick):
+        words = mixed[row]
+        path[words] = viterbi(scores[words], np.concatenate([[0], np.cumsum(size[pick])]), switch)
     return path
 
 
@@ -168,7 +188,7 @@ def spans(text: str, model: Model, switch: float = SWITCH) -> list[tuple[int, in
     w = text.split()
     if not w or not model.languages:
         return []
-    p = viterbi(model.scores(w)[0], switch)
+    p = viterbi(model.scores(w)[0], np.array([0, len(w)]), switch)
     cut = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
     return [(a, b, model.languages[p[a]]) for a, b in zip(cut, cut[1:], strict=False)]
 
@@ -226,7 +246,7 @@ def identified(docs: DataFrame, model: Model | None = None, switch: float = SWIT
     return _labelled(docs, id_and_text(docs).withColumn("held_out", held_out()), ["doc_id", "held_out"], model, switch)
 
 
-def recognised(docs: DataFrame, least: float = 0.5, model: Model | None = None, switch: float = SWITCH) -> DataFrame:
+def recognised(docs: DataFrame, least: float = 0.4, model: Model | None = None, switch: float = SWITCH) -> DataFrame:
     """The rows, with all their columns, whose language is not `und` and holds at least that share of the words."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     return _labelled(docs, rows, rows.columns, model, switch).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
