@@ -204,19 +204,21 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id long, rank long, score double")
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(unit, n, edges): edges maps 64 * start + length to the rank, score and id of the piece there."""
+def lattice(units: DataFrame, table: DataFrame, longest: int, kind: int) -> DataFrame:
+    """(unit, n, edges): edges maps 64 * start + length to the piece there: rank * 2**20 + id for a BPE model, else
+    score and id."""
     spots = units.select("unit", F.length("unit").alias("n")).select("unit", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("s"))
     spots = spots.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({longest}, n - s))")).alias("l"))
     edges = spots.withColumn("piece", F.expr("substring(unit, s + 1, l)")).join(F.broadcast(table), "piece")
-    entry = F.struct((F.col("s") * 64 + F.col("l")).alias("key"), F.struct("rank", "score", "id"))
+    value = (F.shiftleft("rank", 20) + F.col("id")) if kind == BPE else F.struct("score", "id")
+    entry = F.struct((F.col("s") * 64 + F.col("l")).alias("key"), value.alias("value"))
     return edges.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
 
 
 #: Boundaries after all merges. Each step looks for the best edge over two neighbours and drops the boundary in it.
 MERGES = """
 aggregate(sequence(1, n - 1), sequence(0, n), (b, t) -> if(size(b) < 3, b,
-  element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), i -> try_element_at(edges, b[i] * 64 + b[i + 2] - b[i]).rank * 64 + i))),
+  element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), i -> try_element_at(edges, b[i] * 64 + b[i + 2] - b[i]) * 64 + i))),
     q -> if(q is null, b, filter(b, (x, i) -> i <> q % 64 + 1))), 1)))
 """
 #: For each place, the best score there and the start (the earliest, negated) of its last edge; then the boundaries.
@@ -234,8 +236,8 @@ def folded(lattices: DataFrame, pieces: Pieces) -> DataFrame:
         rows = lattices.withColumn("bounds", F.expr(MERGES))
     else:
         rows = lattices.withColumn("path", F.expr(VITERBI.format(longest=pieces.longest, worst=repr(pieces.worst)))).withColumn("bounds", F.expr(BACK))
-    ids = "transform(sequence(0, size(bounds) - 2), i -> try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i]).id)"
-    return rows.select("unit", F.expr(ids).alias("ids"))
+    piece = "try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i])" + ("& 1048575" if pieces.kind == BPE else ".id")
+    return rows.select("unit", F.expr(f"transform(sequence(0, size(bounds) - 2), i -> {piece})").alias("ids"))
 
 
 def _ordered(path: str, side: str, slice_bytes: int, texts: bool):
@@ -295,7 +297,7 @@ def _spelling(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(text), np.uint8), size, np.concatenate([[0], np.cumsum(size)[:-1]])
 
 
-def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slice_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers) and decoded_sha256 of every row; with
     texts also the ids and the decoded text.
 
@@ -308,7 +310,7 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slic
     pieces = load(path)
     docs = stable(docs, []).select("doc_id", "text")
     rows = written(docs.mapInArrow(_units(path, slice_bytes), "part long, block int, at int, unit string"), "units")
-    found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces.longest), pieces)
+    found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces.longest, pieces.kind), pieces)
     met = rows.join(written(found, "pieces"), "unit").select("part", "block", "at", "ids")
     side = scratch(spark, "pieces")
     met.repartition(tasks(spark), "part").write.partitionBy("part").parquet(side)
