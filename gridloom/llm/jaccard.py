@@ -9,8 +9,9 @@ similar sets share one. A set with too few parts that aren't empty takes finer p
 1. Equal sets are one class, and its document with the smallest id stands for it.
 2. Signatures that two sets share are found from sorted runs of 4-byte keys, packed by task and key range, which is a
    fraction of a row for each signature. Only sets with a shared signature go on.
-3. Each set is paired with the first set of each of its signatures. A 128-byte sketch drops pairs that are far from
-   similar (five standard deviations), the others are verified on their whole sets.
+3. Each set is paired with the first of the first sets of its signatures, then with those of the others that lie in
+   another component by then. A 256-byte sketch drops pairs that are far from similar (five standard deviations), the
+   others are verified on their whole sets.
 4. Signatures of three sets or more that aren't all in one component by then are compared within the signature,
    sketch against sketch in blocks; what passes and lies in different components is verified too. So no link between
    components is lost, and no pair within one is made.
@@ -34,7 +35,7 @@ from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
 SMALL = 16
-BINS = 256
+BINS = 512
 #: Bits of a shingle's name; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
 NAME = 50
 #: Bytes of a name that sets are verified by.
@@ -429,6 +430,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    x, y = label.select("a", F.col("b").alias("x")), label.select(F.col("a").alias("b"), F.col("b").alias("y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 6 << 20) -> DataFrame:
     """Every row's doc_id, n_shingles, component_id, and row (its place in the input).
 
@@ -451,9 +458,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
 
     lead = live.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
     live = written(live.join(written(lead, "leads"), "sig"), "live")
-    pairs = live.where("row <> b").select(F.col("row").alias("a"), "b").distinct()
-    links = written(j.verified(pairs, sets), "links")
-    label = components(links)
+    pairs = live.where("row <> b").select(F.col("row").alias("a"), "b")
+    label = components(written(j.verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets), "links"))
+    more = written(j.verified(apart(pairs.distinct(), label), sets), "links")
+    if not more.isEmpty():
+        label = components(label.unionByName(more))
     more = written(j.verified(j.across(live.where("times > 2").select("sig", "row"), label, sets), sets), "links")
     if not more.isEmpty():
         label = components(label.unionByName(more))

@@ -110,7 +110,7 @@ def test_empty(spark):
     df = frame(spark, ["a b"])
     assert groups(df.limit(0)).collect() == []
     assert [tuple(r)[:3] for r in groups(df).collect()] == [(0, 1, 0)]
-    assert jaccard.BINS == 256
+    assert jaccard.BINS == 512
 
 
 def test_sketches_pass_similar_sets():
