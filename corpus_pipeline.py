@@ -17,16 +17,24 @@ from gridloom.llm.session import documents, written
 ORACLE_SQL = None
 
 
+def carried(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+
+
+def shortened(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of docs from rows with kept_text."""
+    values = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or of which no language holds 40 % of the words, go."""
     return langid.recognised(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base rules or are depleted of their own lines go."""
-    docs = repeats.stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
-    bad = quality.judged(docs).where("not kept").select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc"))
-    return repeats.without(docs, bad)
+    """Texts that fail the base rules or are depleted of their own lines go; the others lose the lines their host shares."""
+    return shortened(docs, quality.judged(docs, carry=carried(docs)).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +50,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words or more that a document with a smaller id has are removed from the texts."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring.deduplicated(docs, width=50, carry=carry)
-    values = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return shortened(docs, substring.deduplicated(docs, width=50, carry=carried(docs)))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

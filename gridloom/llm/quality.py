@@ -1,11 +1,13 @@
 """Quality rules: measures of each text, and lines that too many documents of a host share.
 
-1. One pass over the texts gives, for each row, the base measures, a digest of the text, and its distinct lines
-   (normalised: ASCII lower case, white space collapsed) as 64-bit hashes with the words of all their occurrences.
+1. A pass over the texts gives, for each row, a digest of the text and its distinct lines (normalised: ASCII lower
+   case, white space collapsed) as 64-bit hashes.
 2. For each host and line, the distinct documents are counted (equal texts are one document: copies are for
-   deduplication to find). Lines in more than `line_limit` documents and `line_share` of the host's are removed.
-3. A document is rejected if it fails the base rules, or is depleted: it lost words, and what remains has fewer than
-   `min_words` words or less than `min_left` of the words.
+   deduplication to find). Lines in more than `line_limit` documents and `line_share` of the host's are removed: their
+   hashes are written beside the rows that have them.
+3. A second pass gives the base measures and the text without the removed lines. A document is rejected if it fails the
+   base rules, or is depleted: it lost words, and what remains has fewer than `min_words` words or less than `min_left`
+   of the words.
 Lines of more than `longest_line` words are prose, not page furniture; they aren't counted. Only hashes are shuffled.
 """
 
@@ -19,13 +21,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridloom.llm import repeats
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, signed, slices
-from gridloom.llm.session import ship, written
+from gridloom.llm.session import removed, scratch, ship, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-MEASURES = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<struct<line:long,words:int>>"
+LINES = "row long, doc long, host string, digest long, lines array<long>"
+VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_line_words long, kept_text string, row long"
 
 
 def repeated_words(words: Words, width: int = 5) -> np.ndarray:
@@ -55,66 +60,92 @@ def _by_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _lines(text: bytes, longest: int) -> tuple[int, list[dict]]:
-    """(lines with a word that equal an earlier line, distinct normalised lines)."""
-    seen, again, found = set(), 0, {}
+def _line(w: list[bytes]) -> int:
+    h = xxhash.xxh3_64_intdigest(b" ".join(w).lower())
+    return h - ((h >> 63) << 64)
+
+
+def _lines(text: bytes, longest: int) -> list[int]:
+    """The distinct normalised lines."""
+    return list({_line(w) for line in text.split(b"\n") if 0 < len(w := line.split()) <= longest})
+
+
+def _left(text: bytes, shared: set[int]) -> tuple[int, int, bytes]:
+    """(lines with a word that equal an earlier line, words of shared lines, the text without these lines)."""
+    seen, again, gone, left = set(), 0, 0, []
     for line in text.split(b"\n"):
         w = line.split()
-        if not w:
-            continue
-        if line in seen:
+        if w and line in seen:
             again += 1
-        seen.add(line)
-        if len(w) <= longest:
-            h = xxhash.xxh3_64_intdigest(b" ".join(w).lower())
-            h -= (h >> 63) << 64
-            found[h] = found.get(h, 0) + len(w)
-    return again, [{"line": h, "words": n} for h, n in found.items()]
+        elif w:
+            seen.add(line)
+        if w and shared and _line(w) in shared:
+            gone += len(w)
+        else:
+            left.append(line)
+    return again, gone, b"\n".join(left) if gone else text
 
 
-def _measured(longest: int):
-    kinds = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
+def _hashed(longest: int):
+    names = [x.split()[0] for x in LINES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
                 n = part.num_rows
-                words = Words(part.column("text"))
-                starts = (words.data & 0xC0) != 0x80  # of code points
                 texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
-                lines = [_lines(t, longest) for t in texts]
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("host"), pa.array(np.diff(words.bound)), pa.array(_by_row(starts & words.solid, words.off)), pa.array(_by_row(SYMBOLS[words.data], words.off)),
-                     pa.array([x[0] for x in lines], pa.int64()), pa.array(repeated_words(words)), pa.array(signed(digest)), pa.array([x[1] for x in lines], kinds)],
-                    [x.split()[0] for x in MEASURES.split(", ")],
-                )
+                lines = pa.array([_lines(t, longest) for t in texts], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(repeats.LAST), part.column("host"), pa.array(signed(digest)), lines], names)
                 row += n
 
     return run
 
 
-def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_share: float = 0.01, longest_line: int = 40, min_words: int = 10, min_left: float = 0.5) -> DataFrame:
-    """Every row's doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_line_words (words of lines that too many documents of the host share) and row (its place in the input).
+def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float):
+    names = ["doc_id", *carry, *(x.split()[0] for x in VERDICT.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = repeats.Side(side)
+        for batch in batches:
+            for part in slices(batch):
+                shared = {i: set(lines.tolist()) for i, (lines, _, _) in listed.rows(part).items()}
+                words = Words(part.column("text"))
+                starts = (words.data & 0xC0) != 0x80  # of code points
+                again, gone, left = zip(*(_left(t.as_buffer().to_pybytes(), shared.get(i, set())) for i, t in enumerate(part.column("text"))), strict=True)
+                n, again, gone, twice = np.diff(words.bound), np.array(again), np.array(gone), repeated_words(words)
+                base = (n < min_words) | (100 * twice > 20 * n)
+                depleted = (gone > 0) & ((n - gone < min_words) | (n - gone < min_left * n))
+                values = [n, _by_row(starts & words.solid, words.off), _by_row(SYMBOLS[words.data], words.off), again, twice, base, ~base & ~depleted, gone]
+                text = pa.array(left, pa.binary()).cast(pa.string())
+                row = listed.first + np.arange(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *carry)), *map(pa.array, values), text, pa.array(row)], names)
+
+    return run
+
+
+def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_share: float = 0.01, longest_line: int = 40, min_words: int = 10, min_left: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's doc_id, the carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, n_line_words (words of lines that too many documents of the host share), kept_text (the text
+    without these lines) and row (its place in the input).
 
     A null text has no words and fails the base rules. Rows without a host are one host. Repeated rows are judged
     alike and keep a row each. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    host = F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    measures = written(rows.mapInArrow(_measured(longest_line), MEASURES), "quality")
-    lines = measures.select("row", "host", "digest", F.inline("lines"))
+    own = [host] if host in docs.columns and host not in ("doc_id", "text", *carry) else []
+    given = F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")
+    docs = repeats.stable(docs, [*own, *carry])
+    place = scratch(spark, "quality")
+    found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed(longest_line), LINES), "quality", place)
+    lines = found.select("row", "doc", "host", "digest", F.explode("lines").alias("line"))
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
-    shared = shared.join(measures.groupBy("host").agg(F.count("*").alias("all")), "host").where(F.col("documents") > line_share * F.col("all"))
+    shared = shared.join(found.groupBy("host").agg(F.count("*").alias("all")), "host").where(F.col("documents") > line_share * F.col("all"))
     shared = written(shared.select("host", "line"), "shared-lines")
-    lost = lines.join(shared, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("lost"))
-    out = measures.drop("lines", "digest", "host").join(lost, "row", "left")
-    gone = F.coalesce("lost", F.lit(0).cast("long"))
-    left = F.col("n_words") - gone
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    depleted = (gone > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~depleted).alias("kept"), gone.alias("n_line_words"), "row")
+    lost = lines.join(shared, ["host", "line"], "left_semi")
+    side = repeats._to_side(lost.select("row", F.col("line").alias("s"), F.lit(0).alias("n"), "doc"), "lost-lines")
+    removed(spark, place)
+    fields = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carry), *T._parse_datatype_string(VERDICT).fields])
+    return docs.select("doc_id", "text", *carry).mapInArrow(_verdicts(side, tuple(carry), min_words, min_left), fields)

@@ -53,3 +53,13 @@ def test_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert {r.doc_id for r in got.select(*key).collect()} == set(rows[4])
+
+
+def test_shared_lines_do_not_pass_the_rules(spark, tmp_path):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, f"Home | About us\n{own(i)}", "en", "s", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.rules(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, own(i), len(own(i))) for i in range(60)}

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from gridloom.llm.quality import judged
 
 from .data import corpus, frame
@@ -47,3 +49,13 @@ def test_shared_lines(spark):
     assert all(got[i].kept for i in range(12, 32))
     assert all(r.kept for r in judged(df, line_limit=12).collect())
     assert all(r.kept for r in judged(df.drop("source").withColumn("source", df.doc_id.cast("string")), line_limit=5).collect())
+
+
+def test_shared_lines_leave_the_text(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    texts = [f"Home |  About us\r\n{own(i)}\n\nhome | about US\nlast {i}" for i in range(8)] + [own(9) + "\nHome | About us here"]
+    df = frame(spark, texts).withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in judged(df, line_limit=5, carry=("lang",)).collect()}
+    assert [got[i].kept_text for i in range(8)] == [f"{own(i)}\n\nlast {i}" for i in range(8)]
+    assert all(got[i].kept and got[i].n_line_words == 8 and got[i].n_words == 40 for i in range(8))
+    assert (got[8].kept_text, got[8].n_line_words, got[8].lang) == (texts[8], 0, "de")
