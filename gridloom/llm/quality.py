@@ -8,7 +8,7 @@
 3. A second pass gives the base measures and the text without the removed lines. A document is rejected if it fails the
    base rules, or is depleted: it lost words, and what remains has fewer than `min_words` words or less than `min_left`
    of the words.
-Lines of more than `longest_line` words are prose, not page furniture; they aren't counted. Only hashes are shuffled.
+Lines of any length count, a text without newlines is one line. Only hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -65,9 +65,9 @@ def _line(w: list[bytes]) -> int:
     return h - ((h >> 63) << 64)
 
 
-def _lines(text: bytes, longest: int) -> list[int]:
+def _lines(text: bytes) -> list[int]:
     """The distinct normalised lines."""
-    return list({_line(w) for line in text.split(b"\n") if 0 < len(w := line.split()) <= longest})
+    return list({_line(w) for line in text.split(b"\n") if (w := line.split())})
 
 
 def _left(text: bytes, shared: set[int]) -> tuple[int, int, bytes]:
@@ -86,21 +86,17 @@ def _left(text: bytes, shared: set[int]) -> tuple[int, int, bytes]:
     return again, gone, b"\n".join(left) if gone else text
 
 
-def _hashed(longest: int):
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LINES.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in slices(batch):
-                n = part.num_rows
-                texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U, n)
-                lines = pa.array([_lines(t, longest) for t in texts], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(repeats.LAST), part.column("host"), pa.array(signed(digest)), lines], names)
-                row += n
-
-    return run
+    row = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in slices(batch):
+            n = part.num_rows
+            texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
+            digest = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U, n)
+            lines = pa.array([_lines(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(repeats.LAST), part.column("host"), pa.array(signed(digest)), lines], names)
+            row += n
 
 
 def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float):
@@ -125,7 +121,7 @@ def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float
     return run
 
 
-def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_share: float = 0.01, longest_line: int = 40, min_words: int = 10, min_left: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_share: float = 0.01, min_words: int = 10, min_left: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row's doc_id, the carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_line_words (words of lines that too many documents of the host share), kept_text (the text
     without these lines) and row (its place in the input).
@@ -139,7 +135,7 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_sha
     given = F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")
     docs = repeats.stable(docs, [*own, *carry])
     place = scratch(spark, "quality")
-    found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed(longest_line), LINES), "quality", place)
+    found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed, LINES), "quality", place)
     lines = found.select("row", "doc", "host", "digest", F.explode("lines").alias("line"))
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
     shared = shared.join(found.groupBy("host").agg(F.count("*").alias("all")), "host").where(F.col("documents") > line_share * F.col("all"))

@@ -59,3 +59,12 @@ def test_shared_lines_leave_the_text(spark):
     assert [got[i].kept_text for i in range(8)] == [f"{own(i)}\n\nlast {i}" for i in range(8)]
     assert all(got[i].kept and got[i].n_line_words == 8 and got[i].n_words == 40 for i in range(8))
     assert (got[8].kept_text, got[8].n_line_words, got[8].lang) == (texts[8], 0, "de")
+
+
+def test_long_shared_lines(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
+    notice = " ".join(f"notice{j}" for j in range(60))
+    df = frame(spark, [f"{own(i)}\n{notice}" for i in range(8)] + [notice + f" {i}" for i in range(3)]).withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in judged(df, line_limit=5).collect()}
+    assert all((got[i].kept_text, got[i].n_line_words, got[i].kept) == (own(i), 60, True) for i in range(8))
+    assert all(got[i].n_line_words == 0 for i in range(8, 11))
