@@ -3,7 +3,7 @@
 1. A pass over the texts gives, for each row, a digest of the text and its distinct lines (normalised: ASCII lower
    case, white space collapsed) as 64-bit hashes.
 2. For each host and line, the distinct documents are counted (equal texts are one document: copies are for
-   deduplication to find). Lines in more than `line_limit` documents and `line_share` of the host's are removed: their
+   deduplication to find). Lines in more than `line_limit` documents are removed, however many the host has: their
    hashes are written beside the rows that have them.
 3. A second pass gives the base measures and the text without the removed lines. A document is rejected if it fails the
    base rules, or is depleted: it lost words, and what remains has fewer than `min_words` words or less than `min_left`
@@ -121,7 +121,7 @@ def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float
     return run
 
 
-def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_share: float = 0.01, min_words: int = 10, min_left: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, min_words: int = 10, min_left: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row's doc_id, the carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_line_words (words of lines that too many documents of the host share), kept_text (the text
     without these lines) and row (its place in the input).
@@ -138,7 +138,6 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, line_sha
     found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed, LINES), "quality", place)
     lines = found.select("row", "doc", "host", "digest", F.explode("lines").alias("line"))
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
-    shared = shared.join(found.groupBy("host").agg(F.count("*").alias("all")), "host").where(F.col("documents") > line_share * F.col("all"))
     shared = written(shared.select("host", "line"), "shared-lines")
     lost = lines.join(shared, ["host", "line"], "left_semi")
     side = repeats._to_side(lost.select("row", F.col("line").alias("s"), F.lit(0).alias("n"), "doc"), "lost-lines")

@@ -68,3 +68,12 @@ def test_long_shared_lines(spark):
     got = {r.doc_id: r for r in judged(df, line_limit=5).collect()}
     assert all((got[i].kept_text, got[i].n_line_words, got[i].kept) == (own(i), 60, True) for i in range(8))
     assert all(got[i].n_line_words == 0 for i in range(8, 11))
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    few = [f"{own(i)}\nshared line of some documents" for i in range(8)]
+    df = frame(spark, few + [own(i) for i in range(8, 500)] + [own(0)] * 500).withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in judged(df, line_limit=5).collect()}
+    assert all((got[i].kept_text, got[i].n_line_words) == (own(i), 5) for i in range(8))
+    assert all(r.kept for r in got.values()) and sum(r.n_line_words for r in got.values()) == 40
