@@ -19,7 +19,17 @@ from gridloom.sources.tables import FLEET, HOURS, LANES, TELE, table, telemetry
 @query("WITH c AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS cap FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, round(coalesce(b.cap, (SELECT cap FROM c ORDER BY d LIMIT 1)), 2) AS cap FROM l ASOF LEFT JOIN c b ON l.d >= b.d")
 def asof_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capacity of the last day that has one; before the first, the first."""
-    c = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("cap"))
+    return _capacity(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query()
+def asof_capacity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asof_capacity from all orders."""
+    return _capacity(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _capacity(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    c = orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("cap"))
     days = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
     return lookups.daily(days, c, "d", "cap").select("l_orderkey", "l_linenumber", F.round("cap", 2).alias("cap"))
 
