@@ -38,8 +38,8 @@ SMALL = 16
 BINS = 512
 #: Bits of a shingle's name; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
 NAME = 50
-#: Bytes of a name that sets are verified by.
-KEPT = 5
+#: Bytes that hold a whole name, for verifying sets.
+KEPT = 7
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
 

@@ -123,3 +123,10 @@ def test_sketches_pass_similar_sets():
         d = jaccard.sketches(s)
         assert jaccard.plausible(d[0], d[1], s.size[0], s.size[1], 75)
         assert n < 40 or not jaccard.plausible(d[0], d[2], s.size[0], s.size[2], 75)
+
+
+def test_sets_are_verified_by_whole_names():
+    h = np.array([5, 5 + (1 << 40), (1 << jaccard.NAME) - 1], np.uint64)
+    kept = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : jaccard.KEPT]
+    assert jaccard.names_of(kept.tobytes()).tolist() == h.tolist()
+    assert not jaccard.similar(jaccard.names_of(kept[:1].tobytes()), jaccard.names_of(kept[1:2].tobytes()), 75)
