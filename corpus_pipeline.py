@@ -41,11 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (of repeated rows of it, the first)."""
     docs = repeats.stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
     found = written(jaccard.groups(docs), "groups")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    again = found.where(first & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("row").alias("kept"), F.count("*").alias("times")).where("times > 1")
-    repeated = found.where(first & (F.col("n_shingles") > 0)).join(again, "doc_id").where("row > kept").select("row", "doc_id")
-    drops = found.where(~first).select("row", "doc_id").unionByName(repeated)
-    return repeats.without(docs, drops.select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc")))
+    drops = found.where("row <> first").select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc"))
+    return repeats.without(docs, drops)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -437,7 +437,8 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 6 << 20) -> DataFrame:
-    """Every row's doc_id, n_shingles, component_id, and row (its place in the input).
+    """Every row's doc_id, n_shingles, component_id, row (its place in the input), and first (the row that stands for
+    its component: the first with the smallest doc_id).
 
     A text's set: its distinct shingles of `width` words, ASCII letters in lower case; with fewer words, all of them as
     one. Two rows link if 100 * intersection >= percent * union; rows without words link with nothing. component_id is
@@ -468,9 +469,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
         label = components(label.unionByName(more))
 
     named = label.unionByName(label.select(F.col("b").alias("a"), "b").distinct())
-    met = written(named.join(classes.select(F.col("row").alias("a"), "doc"), "a"), "members")
-    met = met.join(written(met.groupBy("b").agg(F.min("doc").alias("component")), "smallest"), "b").select(F.col("a").alias("row"), "component")
-    classes = written(classes.join(met, "row", "left").select(*key, F.coalesce("component", "doc").alias("component")), "classes")
+    own = F.struct("doc", "row")
+    met = written(named.join(classes.select(F.col("row").alias("a"), own.alias("f")), "a"), "members")
+    met = met.join(written(met.groupBy("b").agg(F.min("f").alias("least")), "smallest"), "b").select(F.col("a").alias("row"), "least")
+    classes = classes.join(met, "row", "left").withColumn("least", F.coalesce("least", own))
+    classes = written(classes.select(*key, F.col("least.doc").alias("component"), F.col("least.row").alias("first")), "classes")
     out = rows.join(classes, key, "left")
     null = lambda c: F.when(c != LAST, c)
-    return out.select(null(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"), "row")
+    return out.select(null(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"), "row", F.coalesce("first", "row").alias("first"))

@@ -32,7 +32,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(documents(spark, sf_dir), width=5, percent=75).drop("row")
+    return groups(documents(spark, sf_dir), width=5, percent=75).drop("row", "first")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

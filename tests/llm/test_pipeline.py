@@ -63,3 +63,11 @@ def test_shared_lines_do_not_pass_the_rules(spark, tmp_path):
     out = corpus_pipeline.rules(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, own(i), len(own(i))) for i in range(60)}
+
+
+def test_near_copies_without_ids_or_with_reused_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    rows = [(None, text("a") + f" {i}") for i in range(4)] + [(7, text("b")), (7, text("c")), (7, text("b") + " more"), (8, text("c"))] + [(None, text("d")), (9, text("d"))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [rows[0], rows[4], rows[5], rows[9]]
