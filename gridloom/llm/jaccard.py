@@ -6,27 +6,34 @@ one that isn't empty must be equal in both sets; small sets take groups of three
 two, since some group has at most one difference. A signature names the features of a set in a part (or subset), so
 similar sets share one. A set with too few parts that aren't empty takes finer partitions as well.
 
+A difference spoils one part, so a set shares not one but at least `need` signatures with each set like it: as many as
+it has, less those that its own greatest number of differences (a third of its size at 75 %) can spoil.
+
 1. Equal sets are one class, and its document with the smallest id stands for it.
-2. Signatures that two sets share are found from sorted runs of 4-byte keys, packed by task and key range, which is a
-   fraction of a row for each signature. Only sets with a shared signature go on.
-3. Each set is paired with the first of the first sets of its signatures, then with those of the others that lie in
-   another component by then. A 256-byte sketch drops pairs that are far from similar (five standard deviations), the
-   others are verified on their whole sets.
-4. Signatures of three sets or more that aren't all in one component by then are compared within the signature,
-   sketch against sketch in blocks; what passes and lies in different components is verified too. So no link between
-   components is lost, and no pair within one is made.
-5. Components of the verified links, by large-star and small-star rounds.
+2. Signatures that two sets have are found from sorted runs of 4-byte keys, packed by task and key range, which is a
+   fraction of a row for each signature. Only sets with `need` of them in one band pair go on, with their whole names.
+3. Of a set's L signatures that others have, the L - need + 1 rarest stay (two similar sets share one of these, since
+   the order is the same for all). Families are the components of sets over what stays.
+4. A family's sets meet in blocks of bounded size: a block, most often a whole family, is searched breadth first from
+   set to set over an inverted list of its shingles, with exact counts, among sets that aren't reached yet. Only the
+   component of each set leaves the task.
+5. Families of several blocks: one set of each component, then each set outside the family's largest component, is
+   counted exactly against the other blocks with sets of its sizes. What leaves the task are pairs of components.
+No sketch or estimate decides anything, and no pairs of documents are exchanged. Components of components, by
+large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
@@ -35,31 +42,42 @@ from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
 SMALL = 16
-BINS = 512
-#: Bits of a shingle's name; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
+#: Bits of a shingle's name in signatures; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
+#: Sets are verified on names of 64 bits.
 NAME = 50
-#: Bytes that hold a whole name, for verifying sets.
-KEPT = 7
+#: Names of a block: 1 MB.
+BLOCK = 1 << 17
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
 
 
+def shingles(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, row) of each shingle of a text column; a text of fewer words has one."""
+    data, off = raw(col)
+    low = pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(UPPER[data])])
+    w = Words(low)
+    n = len(w.start)
+    roll = Rolling(w.hashes()[0])
+    at = np.flatnonzero(w.row[: n - width + 1] == w.row[width - 1 :]) if n >= width else np.zeros(0, np.int64)
+    size = np.diff(w.bound)
+    few = np.flatnonzero((size > 0) & (size < width))
+    return np.concatenate([roll.span(at, at + width), roll.span(w.bound[few], w.bound[few + 1])]), np.concatenate([w.row[at], few])
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
 class Sets:
     """Distinct shingles of the rows of a text column, sorted by row and hash; bound: of each row."""
 
     def __init__(self, col: pa.Array, width: int):
-        data, off = raw(col)
-        low = pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(UPPER[data])])
-        w = Words(low)
-        n = len(w.start)
-        roll = Rolling(w.hashes()[0])
-        at = np.flatnonzero(w.row[: n - width + 1] == w.row[width - 1 :]) if n >= width else np.zeros(0, np.int64)
-        size = np.diff(w.bound)
-        few = np.flatnonzero((size > 0) & (size < width))
-        h = np.concatenate([roll.span(at, at + width), roll.span(w.bound[few], w.bound[few + 1])])
-        row = np.concatenate([w.row[at], few])
+        h, row = shingles(col, width)
         key = np.sort((row.astype(U) << U(NAME)) | (h >> U(64 - NAME)))
-        key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+        key = key[changes(key)]
         self.h, self.row = key & U((1 << NAME) - 1), (key >> U(NAME)).astype(np.int64)
         self.bound = np.searchsorted(self.row, np.arange(len(col) + 1))
         self.size = np.diff(self.bound)
@@ -69,6 +87,17 @@ class Sets:
         return total[self.bound[1:]] - total[self.bound[:-1]]
 
 
+def whole_names(col: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct 64-bit names of each row's shingles, sorted."""
+    h, row = shingles(col, width)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    keep = changes(h) | changes(row)
+    h, row = h[keep], row[keep]
+    bound = np.searchsorted(row, np.arange(len(col) + 1)).tolist()
+    return [h[a:b] for a, b in zip(bound, bound[1:], strict=False)]
+
+
 @lru_cache(4)
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(first size of each band, differences allowed between a set of the band and one of it or the next)."""
@@ -80,15 +109,15 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array([*k, 0])
 
 
-def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of the sets; similar sets share one."""
-    out: list[np.ndarray] = []
-    rows: list[np.ndarray] = []
-    some = np.flatnonzero(s.size)
-    if not len(some):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, group, need) of the sets. Signatures of a row and group come of one partition; similar sets
+    share at least `need` signatures of some group, both by the need of the one and by that of the other."""
+    out: list[tuple[np.ndarray, ...]] = []
+    if not s.size.any():
+        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
     first, allowed = bands(percent, 1 << int(s.size.max()).bit_length())
     band = np.searchsorted(first, s.size, "right") - 1
+    differ = (100 - percent) * (s.size + s.size * 100 // percent) // (100 + percent)
     with np.errstate(over="ignore"):
         value = mixed(s.h * U(0x9FB21C651E98DF25) + U(1))
         place = mixed(s.h ^ U(0x2545F4914F6CDD1D)) >> U(32)
@@ -96,11 +125,13 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
             pair = band - back  # the pair of bands
             use = (s.size > 0) & (pair >= 0)
             k = np.where(use, allowed[np.maximum(pair, 0)], 0)
+            spoilt = np.minimum(differ, k)
             for level in range(40):
                 if not use.any():
                     break
                 small = k < SMALL
-                parts = np.where(use, np.where(small, 3 * ((k + 2) // 2), (k + 1 + k // 3) << level), 0)
+                threes = (k + 2) // 2
+                parts = np.where(use, np.where(small, 3 * threes, (k + 1 + k // 3) << level), 0)
                 base = np.concatenate([[0], np.cumsum(parts)])
                 mine = use[s.row]
                 r = s.row[mine]
@@ -112,54 +143,66 @@ def signatures(s: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
                 index = (np.arange(base[-1]) - base[owner]).astype(U)
                 salt = mixed(index + (pair[owner].astype(U) << U(32)) + (U(level) << U(56)) + (U(1) << U(63)))
                 tiny = small[owner]
-                groups = acc[tiny].reshape(-1, 3)
-                out.append(mixed((groups.sum(1, dtype=U)[:, None] - groups).ravel() ^ salt[tiny]))
-                rows.append(owner[tiny])
+                threefold = acc[tiny].reshape(-1, 3)
+                # the first difference of a group of three spoils two subsets, the second the last
+                need = 3 * threes - np.where(spoilt <= threes, 2 * spoilt, threes + spoilt)
+                out.append((mixed((threefold.sum(1, dtype=U)[:, None] - threefold).ravel() ^ salt[tiny]), owner[tiny], np.full(int(tiny.sum()), back), np.maximum(need, 1)[owner[tiny]]))
                 big = filled & ~tiny
-                out.append(mixed(acc[big] ^ salt[big]))
-                rows.append(owner[big])
                 count = np.bincount(owner[big], minlength=len(parts))
+                out.append((mixed(acc[big] ^ salt[big]), owner[big], np.full(int(big.sum()), back + 2 * level + 2), np.maximum(count - spoilt, 1)[owner[big]]))
                 use = use & ~small & (count <= k)
-    return np.concatenate(out), np.concatenate(rows)
-
-
-def sketches(s: Sets) -> np.ndarray:
-    """rows x BINS / 2 bytes: four bits of the least hash of each bin, 0 for an empty bin."""
-    h = mixed(s.h ^ U(0x94D049BB133111EB))
-    cell = s.row * BINS + (h >> U(64 - BINS.bit_length() + 1)).astype(np.int64)
-    least = np.full(len(s.size) * BINS, 0xFFFFFFFFFFFFFFFF, U)
-    np.minimum.at(least, cell, h)
-    got = (least & U(0xFFFF)) % U(15) + U(1)
-    got[least == U(0xFFFFFFFFFFFFFFFF)] = 0
-    got = got.astype(np.uint8).reshape(-1, BINS)
-    return got[:, : BINS // 2] | (got[:, BINS // 2 :] << 4)
-
-
-#: By byte: how many of its two halves are 0, and aren't.
-ZEROS = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
-
-
-def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes n, m with these sketches may be similar."""
-    t = percent / 100
-    empty = ZEROS[a | b].sum(-1, dtype=np.int32)
-    same = ZEROS[a ^ b].sum(-1, dtype=np.int32) - empty
-    used = BINS - empty
-    near = same >= used * (t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
-    return near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def names_of(data) -> np.ndarray:
-    """A set's names from KEPT bytes each."""
-    low = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
-    out = np.zeros((len(low), 8), np.uint8)
-    out[:, :KEPT] = low
-    return out.view("<u8").ravel()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Index:
+    """An inverted list of the shingles of some sets, for counts of what a set has in common with each."""
+
+    def __init__(self, names: list[np.ndarray], who: np.ndarray):
+        """who: which sets to list."""
+        flat = np.concatenate([names[i] for i in who.tolist()]) if len(who) else np.zeros(0, U)
+        row = np.repeat(np.arange(len(who)), [len(names[i]) for i in who.tolist()])
+        order = np.argsort(flat, kind="stable")
+        flat, self.row, self.who = flat[order], row[order], who
+        first = np.flatnonzero(changes(flat))
+        self.name, self.first = flat[first], np.append(first, len(flat))
+
+    def common(self, a: np.ndarray) -> np.ndarray:
+        """For each listed set, the names it has in common with the sorted names a."""
+        if not len(self.name):
+            return np.zeros(len(self.who), np.int64)
+        at = np.searchsorted(self.name, a)
+        at = at[self.name[np.minimum(at, len(self.name) - 1)] == a]
+        size = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        spot = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - (ends - size), size)
+        return np.bincount(self.row[spot], minlength=len(self.who))
+
+
+def alike(common: np.ndarray, n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    return (common > 0) & (100 * common >= percent * (n + m - common))
+
+
+def reached(names: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the first of the sets that it reaches over links."""
+    n = np.fromiter(map(len, names), np.int64, len(names))
+    label = np.full(len(names), -1)
+    index, left = None, len(names)
+    for seed in range(len(names)):
+        if label[seed] >= 0:
+            continue
+        label[seed] = seed
+        left -= 1
+        queue = [seed]
+        while queue and left:
+            a = queue.pop()
+            if index is None or 2 * left < len(index.who):
+                index = Index(names, np.flatnonzero(label < 0))
+            ok = alike(index.common(names[a]), int(n[a]), n[index.who], percent) & (label[index.who] < 0)
+            new = index.who[ok]
+            label[new] = seed
+            left -= len(new)
+            queue += new.tolist()
+    return label
 
 
 class Keys:
@@ -183,18 +226,43 @@ def short(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (((sig >> U(40)) * U(buckets) >> U(24)) << U(32)) | (sig & U(0xFFFFFFFF))
 
 
+def by_key(batches: Iterator[pa.RecordBatch], keys: int, wanted: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Sorted rows, a group of equal first `keys` columns at a time: (key, rows of the wanted columns)."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in [*batch.schema.names[:keys], *wanted]), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
+
+
 class Join:
     """The steps over one input; width, percent: words of a shingle, and the least similarity in percent."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, slice_bytes: int):
+    def __init__(self, docs: DataFrame, width: int, percent: int, slice_bytes: int, block: int):
         self.spark = docs.sparkSession
         ship(self.spark)
         self.docs = stable(docs, []).select("doc_id", "text")
-        self.width, self.percent, self.slice_bytes = width, percent, slice_bytes
+        self.width, self.percent, self.slice_bytes, self.block = width, percent, slice_bytes, block
         self.n = tasks(self.spark)
         self.buckets = 4 * self.n
+        self.made: list[str] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(scratch(self.spark, name))
+        return written(df, name, self.made[-1])
 
-    def first_pass(self, path: str) -> DataFrame:
+    def cleared(self, since: int = 0) -> None:
+        """Delete the tables made since then."""
+        for path in self.made[since:]:
+            removed(self.spark, path)
+        del self.made[since:]
+
+    def first_pass(self) -> DataFrame:
         """A row for each input row (row, doc, n, g1, g2), and the packed signature keys (part, bucket, keys)."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
         names = ["row", "doc", "n", "g1", "g2", "part", "bucket", "keys"]
@@ -219,50 +287,38 @@ class Join:
                     none = pa.nulls(len(cut), pa.int64())
                     yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary())], names)
 
-        return written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets", path)
+        return self.written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets")
 
     def beside(self, rows: DataFrame, name: str, *columns: str) -> str:
-        path = scratch(self.spark, name)
-        rows.repartition(self.n, "part").select("part", *columns).write.partitionBy("part").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # as in written()
-        return path
+        self.made.append(scratch(self.spark, name))
+        rows.repartition(self.n, "part").select("part", *columns).write.partitionBy("part").parquet(self.made[-1])
+        return self.made[-1]
 
     def shared_keys(self, rows: DataFrame) -> str:
         """Keys that two sets have, by input partition."""
 
         def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[int, np.ndarray]] = []
-            now = None
-
-            def flush() -> pa.RecordBatch:
-                whole = np.concatenate([k for _, k in held])
+            for (bucket,), held in by_key(batches, 1, ["part", "keys"]):
+                keys = [np.frombuffer(k, "<u4") for _, k in held]
+                whole = np.concatenate(keys)
                 order = np.argsort(whole)
                 same = whole[order][1:] == whole[order][:-1]
                 twice = np.zeros(len(whole), bool)
                 twice[order[1:][same]] = True
                 twice[order[:-1][same]] = True
-                ends = np.cumsum([0, *(len(k) for _, k in held)]).tolist()
-                found = [(p, np.unique(k[twice[a:b]])) for (p, k), a, b in zip(held, ends, ends[1:], strict=False)]
+                ends = np.cumsum([0, *map(len, keys)]).tolist()
+                found = [(p, np.unique(k[twice[a:b]])) for (p, _), k, a, b in zip(held, keys, ends, ends[1:], strict=False)]
                 found = [(p, k) for p, k in found if len(k)]
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([now] * len(found), pa.int32()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["part", "bucket", "keys"])
-
-            for batch in batches:
-                for bucket, part, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "keys")), strict=True):
-                    if bucket != now and held:
-                        yield flush()
-                    now = bucket
-                    held.append((part, np.frombuffer(keys, "<u4")))
-            if held:
-                yield flush()
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["part", "bucket", "keys"])
 
-        rows = rows.repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
+        rows = rows.select("bucket", "part", "keys").repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
         return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary"), "keys", "bucket", "keys")
 
     def candidates(self, firsts: str, keys: str) -> DataFrame:
-        """Rows (sig, row) for shared signatures, and for each such set a row with sig null, its size, sketch, hashes."""
+        """Rows (sig, row, grp, need) for signatures that others have, of sets with enough of them, and for each such
+        set a row with sig null and its names."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
-        names = ["sig", "row", "n", "sketch", "hashes"]
+        names = ["sig", "row", "grp", "need", "n", "names"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             listed, live = Side(firsts), Keys(keys)
@@ -270,145 +326,114 @@ class Join:
                 for part in slices(batch, limit=slice_bytes):
                     if not (got := sorted(listed.rows(part))):
                         continue
-                    ids = np.array(got) + listed.first
-                    s = Sets(part.column("text").take(pa.array(got)), width)
-                    sig, row = signatures(s, percent)
+                    text = part.column("text").take(pa.array(got))
+                    sig, row, grp, need = signatures(Sets(text, width), percent)
                     keep = live.has(short(sig, buckets))
-                    sig, row = sig[keep], row[keep]
+                    sig, row, grp, need = sig[keep], row[keep], grp[keep], need[keep]
+                    _, of, count = np.unique(row * 128 + grp, return_inverse=True, return_counts=True)
+                    keep = count[of] >= need
+                    sig, row, grp, need = sig[keep], row[keep], grp[keep], need[keep]
                     if not len(sig):
                         continue
-                    have = np.unique(row)
-                    none = pa.nulls(len(sig), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.nulls(len(sig), pa.int64()), none, none], names)
-                    drawn, low = sketches(s), s.h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(have), pa.int64()), pa.array(ids[have]), pa.array(s.size[have]), pa.array([drawn[i].tobytes() for i in have.tolist()], pa.binary()), pa.array([low[s.bound[i] : s.bound[i + 1]].tobytes() for i in have.tolist()], pa.binary())],
-                        names,
-                    )
-
-        return written(self.docs.mapInArrow(run, "sig long, row long, n long, sketch binary, hashes binary"), "candidates")
-
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those whose sets are similar."""
-        percent = self.percent
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (raw(batch.column(c))[0].reshape(-1, BINS // 2) for c in ("sketch_a", "sketch_b"))
-                    ok = plausible(x, y, np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), percent)
-                    yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = batch.column("hashes_a"), batch.column("hashes_b")
-                ok = [similar(names_of(x[i].as_buffer()), names_of(y[i].as_buffer()), percent) for i in range(batch.num_rows)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    ids = np.array(got) + listed.first
+                    n, have = len(sig), np.unique(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.array(grp.astype(np.int32)), pa.array(need.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                    sets = whole_names(text.take(pa.array(have)), width)
+                    n = len(have)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[have]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
+
+        return self.written(self.docs.mapInArrow(run, "sig long, row long, grp int, need int, n long, names binary"), "candidates")
+
+    def families(self, live: DataFrame) -> DataFrame:
+        """(row, family): sets that can be similar are in one family; sets alone in theirs are left out."""
+        times = live.groupBy("sig").agg(F.count("*").alias("times")).where("times > 1")
+        own = W.partitionBy("row", "grp")
+        ranked = live.join(times, "sig").withColumns({"rank": F.row_number().over(own.orderBy("times", "sig")), "all": F.count("*").over(own)})
+        kept = self.written(ranked.where("all >= need and rank <= all - need + 1").select("sig", "row"), "rarest")
+        lead = kept.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
+        return rooted(self.components(kept.join(lead.select("sig", "b"), "sig").select(F.col("row").alias("a"), "b"))).select(F.col("a").alias("row"), F.col("b").alias("family"))
+
+    def blocks(self, family: DataFrame, sets: DataFrame) -> DataFrame:
+        """(family, band, block, row): where each set meets the others; band is -1 where a family is one block."""
+        ratio = math.log(100 / self.percent) * 1.0001  # so that similar sets are at most one band apart
+        rows = self.written(family.join(sets.select("row", "n"), "row").withColumn("band", F.floor(F.log("n") / ratio).cast("int")), "members")
+        total = rows.groupBy("family").agg(F.sum("n").alias("total"))
+        parts = rows.groupBy("family", "band").agg(F.ceil(F.sum("n") / self.block).alias("parts"))
+        rows = rows.join(total, "family").join(parts, ["family", "band"])
+        one = F.col("total") <= self.block
+        block = F.when(one, F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), "parts")).cast("int")
+        return self.written(rows.select("family", F.when(one, F.lit(-1)).otherwise(F.col("band")).alias("band"), block.alias("block"), "row", F.col("parts").cast("int").alias("parts")), "blocks")
+
+    def met(self, rows: DataFrame, sets: DataFrame, work: Callable, wanted: list[str], schema: str) -> DataFrame:
+        """Rows (family, band, block, ...) with their sets, a block together."""
+        key = ["family", "band", "block"]
+        rows = rows.join(sets.select("row", "names"), "row").select(*key, *wanted)
+        order = [c for c in wanted if c in ("kind", "row")]
 
-        def side(what: str, *columns: str) -> DataFrame:
-            return sets.select(F.col("row").alias(what), *(F.col(c).alias(f"{c}_{what}") for c in columns))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [x.split()[0] for x in schema.split(", ")]
+            held: list[tuple] = []
+            for k, group in by_key(batches, 3, wanted):
+                held += work(k, group)
+                if len(held) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], columns)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], columns)
 
-        some = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        some = written(some.mapInArrow(near, "a long, b long"), "plausible")
-        whole = some.join(side("b", "hashes"), "b").join(side("a", "hashes"), "a").select("a", "b", "hashes_a", "hashes_b")
-        return whole.mapInArrow(exact, "a long, b long")
+        return rows.repartition(self.n, *key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
-    def across(self, live: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-        """Plausible pairs of sets that share a signature and lie in different components."""
+    def inside(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+        """(row, label): the smallest row of its block that each set reaches over links in the block."""
         percent = self.percent
-        marked = live.join(label.withColumnRenamed("a", "row").withColumnRenamed("b", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        marked = written(marked, "labelled")
-        open_ = marked.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-        rows = marked.join(written(open_, "open"), "sig").join(sets.select("row", "n", "sketch"), "row")
-        some = 16  # sizes up to which signatures are compared all at once
-
-        def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-
-        def once(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Pairs without most repeats: the signatures of a task that two sets share give the pair again."""
-            held: list[np.ndarray] = []
-            size, limit = 0, 1 << 18
-
-            def put() -> pa.RecordBatch:
-                x = held[0]
-                return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-
-            for x in found:
-                held.append(x)
-                size += len(x)
-                if size > 2 * limit:
-                    held[:] = [np.unique(np.concatenate(held), axis=0)]
-                    size = len(held[0])
-                    if size > limit:
-                        yield put()
-                        held.clear()
-                        size = 0
-            if held:
-                held[:] = [np.unique(np.concatenate(held), axis=0)]
-                yield put()
-
-        def few(sig: np.ndarray, row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-            """All small signatures of a batch: rows that are d apart, for each d."""
-            i = [np.flatnonzero((sig[d:] == sig[:-d]) & (label[d:] != label[:-d])) for d in range(1, some)]
-            d = np.repeat(np.arange(1, some), [len(x) for x in i])
-            i = np.concatenate(i)
-            j = i + d
-            _, once = np.unique(np.stack([np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]), axis=1, return_index=True)
-            i, j = i[once], j[once]
-            ok = plausible(sketch[i], sketch[j], n[i], n[j], percent)
-            return pairs(row[i[ok]], row[j[ok]])
-
-        def many(row: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
-            """One large signature, in blocks of rows of similar sizes."""
-            order = np.argsort(n, kind="stable")
-            row, label, n, sketch = row[order], label[order], n[order], sketch[order]
-            for lo in range(0, len(row), 64):
-                hi = min(lo + 64, len(row))
-                end = int(np.searchsorted(n, n[hi - 1] * 100 // percent, "right"))
-                for at in range(lo, end, 2048):
-                    to = min(at + 2048, end)
-                    want = (label[lo:hi, None] != label[None, at:to]) & (np.arange(lo, hi)[:, None] < np.arange(at, to)[None])
-                    i, j = np.nonzero(want)
-                    for k in range(0, len(i), 1 << 16):
-                        x, y = lo + i[k : k + (1 << 16)], at + j[k : k + (1 << 16)]
-                        ok = plausible(sketch[x], sketch[y], n[x], n[y], percent)
-                        if ok.any():
-                            yield pairs(row[x[ok]], row[y[ok]])
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-                return (*(np.asarray(batch.column(c)) for c in ("sig", "row", "label", "n")), raw(batch.column("sketch"))[0].reshape(-1, BINS // 2))
-
-            def flush(x: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
-                sig = x[0]
-                if not len(sig):
-                    return
-                cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-                size = np.diff(np.append(cut, len(sig)))
-                large = np.repeat(size > some, size)
-                yield few(*(c[~large] for c in x))
-                for a, k in zip(cut[size > some].tolist(), size[size > some].tolist(), strict=True):
-                    yield from many(*(c[a : a + k] for c in x[1:]))
 
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = columns(batch)
-                if x[0][0] == x[0][-1] and held and held[-1][0][-1] == x[0][0]:
-                    held.append(x)  # a signature goes on
-                    continue
-                last = int(np.searchsorted(x[0], x[0][-1]))
-                held.append(tuple(c[:last] for c in x))
-                yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
-                held = [tuple(c[last:] for c in x)]
-            if held:
-                yield from flush(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+        def work(key: tuple, group: list) -> list[tuple]:
+            names = [np.frombuffer(x, "<u8") for _, x in group]
+            return [(row, group[k][0]) for (row, _), k in zip(group, reached(names, percent).tolist(), strict=True)]
 
-        rows = rows.select("sig", "row", "label", "n", "sketch").repartition(self.n, "sig").sortWithinPartitions("sig")
-        return rows.mapInArrow(lambda batches: once(compared(batches)), "a long, b long").distinct()
+        return self.written(self.met(blocks, sets, work, ["row", "names"], "row long, label long"), "inside")
+
+    def across(self, search: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): labels of a searching set and of a member that is similar, in another block and with another label."""
+        percent = self.percent
+        there = members.select("family", F.col("band").alias("to"), F.col("parts")).distinct()
+        sent = search.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).drop("parts").join(there, ["family", "to"])
+        sent = sent.withColumn("at", F.explode(F.expr("sequence(0, parts - 1)"))).where("not (to = band and at = block)")
+        sent = sent.select("family", F.col("to").alias("band"), F.col("at").alias("block"), "row", "label", F.lit(1).alias("kind"))
+        rows = members.select("family", "band", "block", "row", "label", F.lit(0).alias("kind")).unionByName(sent)
+
+        def work(key: tuple, group: list) -> list[tuple]:
+            names = [np.frombuffer(x, "<u8") for *_, x in group]
+            n = sum(kind == 0 for kind, *_ in group)
+            label = np.array([x[2] for x in group[:n]])
+            size = np.fromiter(map(len, names[:n]), np.int64, n)
+            index = Index(names, np.arange(n))
+            out = set()
+            for (_, _, own, _), x in zip(group[n:], names[n:], strict=True):
+                ok = alike(index.common(x), len(x), size, percent) & (label != own)
+                out.update((own, b) for b in np.unique(label[ok]).tolist())
+            return list(out)
+
+        return self.met(rows, sets, work, ["kind", "row", "label", "names"], "a long, b long").distinct()
+
+    def linked(self, family: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): b is the smallest row that set a, which isn't it, reaches over links."""
+        blocks = self.blocks(family, sets)
+        label = self.inside(blocks, sets)
+        out = label.where("row <> label").select(F.col("row").alias("a"), F.col("label").alias("b"))
+        large = blocks.where("band >= 0")
+        if large.isEmpty():
+            return out
+        rows = self.written(large.join(label, "row"), "large")
+        links = self.across(rows.where("row = label"), rows, sets)
+        more = self.components(links)
+        rows = self.written(rows.join(rooted(more).select(F.col("a").alias("label"), F.col("b").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new"), "large")
+        most = rows.groupBy("family", "label").agg(F.count("*").alias("times")).groupBy("family").agg(F.max(F.struct("times", "label")).label.alias("most"))
+        links = self.across(rows.join(most, "family").where("label <> most").drop("most"), rows, sets)
+        return self.components(out.unionByName(more).unionByName(links))
+
+    def components(self, edges: DataFrame) -> DataFrame:
+        return components(edges, self.written)
 
 
 def stars(edges: DataFrame) -> bool:
@@ -417,7 +442,7 @@ def stars(edges: DataFrame) -> bool:
     return n.n == n.a and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written: Callable = written) -> DataFrame:
     """(a, b): b is the smallest node that a, which isn't it, reaches over the undirected edges (a, b)."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not stars(now):
@@ -430,50 +455,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    x, y = label.select("a", F.col("b").alias("x")), label.select(F.col("a").alias("b"), F.col("b").alias("y"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+def rooted(label: DataFrame) -> DataFrame:
+    """(a, b) with the smallest nodes too, as their own."""
+    return label.unionByName(label.select(F.col("b").alias("a"), "b").distinct())
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 6 << 20) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 4 << 20, block: int = BLOCK) -> DataFrame:
     """Every row's doc_id, n_shingles, component_id, row (its place in the input), and first (the row that stands for
     its component: the first with the smallest doc_id).
 
     A text's set: its distinct shingles of `width` words, ASCII letters in lower case; with fewer words, all of them as
     one. Two rows link if 100 * intersection >= percent * union; rows without words link with nothing. component_id is
     the smallest doc_id that a row reaches over links. A null doc_id comes after all others, and is its own component
-    unless it links. Repeated rows keep a row each. An empty table gives no rows.
+    unless it links. Repeated rows keep a row each. An empty table gives no rows. A very long text is one slice of its
+    own. Other columns are ignored, whatever their names. `block`: names that sets in a block have together.
     """
-    j = Join(docs, width, percent, slice_bytes)
-    place = scratch(j.spark, "first")
-    first = j.first_pass(place)
+    j = Join(docs, width, percent, slice_bytes, block)
+    first = j.first_pass()
     rows = written(first.where("row is not null").select("row", "doc", "n", "g1", "g2"), "rows")
     keys = j.shared_keys(first.where("row is null").select("part", "bucket", "keys"))
-    removed(j.spark, place)
+    removed(j.spark, j.made.pop(0))
     key = ["n", "g1", "g2"]
-    classes = written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row")), "classes")
+    classes = j.written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row")), "classes")
     firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.lit(1).alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
     found = j.candidates(firsts, keys)
-    sets, live = found.where("sig is null").select("row", "n", "sketch", "hashes"), found.where("sig is not null").select("sig", "row")
-
-    lead = live.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
-    live = written(live.join(written(lead, "leads"), "sig"), "live")
-    pairs = live.where("row <> b").select(F.col("row").alias("a"), "b")
-    label = components(written(j.verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets), "links"))
-    more = written(j.verified(apart(pairs.distinct(), label), sets), "links")
-    if not more.isEmpty():
-        label = components(label.unionByName(more))
-    more = written(j.verified(j.across(live.where("times > 2").select("sig", "row"), label, sets), sets), "links")
-    if not more.isEmpty():
-        label = components(label.unionByName(more))
-
-    named = label.unionByName(label.select(F.col("b").alias("a"), "b").distinct())
+    sets, live = found.where("sig is null").select("row", "n", "names"), found.where("sig is not null").select("sig", "row", "grp", "need")
+    label = j.linked(j.families(live), sets)
+
     own = F.struct("doc", "row")
-    met = written(named.join(classes.select(F.col("row").alias("a"), own.alias("f")), "a"), "members")
-    met = met.join(written(met.groupBy("b").agg(F.min("f").alias("least")), "smallest"), "b").select(F.col("a").alias("row"), "least")
+    met = j.written(rooted(label).join(classes.select(F.col("row").alias("a"), own.alias("f")), "a"), "members")
+    met = met.join(met.groupBy("b").agg(F.min("f").alias("least")), "b").select(F.col("a").alias("row"), "least")
     classes = classes.join(met, "row", "left").withColumn("least", F.coalesce("least", own))
     classes = written(classes.select(*key, F.col("least.doc").alias("component"), F.col("least.row").alias("first")), "classes")
+    j.cleared()
     out = rows.join(classes, key, "left")
     null = lambda c: F.when(c != LAST, c)
     return out.select(null(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"), "row", F.coalesce("first", "row").alias("first"))

@@ -49,7 +49,6 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver then drops the shuffle files of plans that have ended
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,12 +1,10 @@
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 pytest.importorskip("xxhash")
-from gridloom.llm import jaccard
-from gridloom.llm.jaccard import Sets, components, groups, signatures
+from gridloom.llm.jaccard import Sets, components, groups, reached, signatures, whole_names
 
 from .data import frame, words
 
@@ -57,16 +55,16 @@ def corpus(seed, n=140):
     return [*out, None, "", " \n", "x", "X"]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_groups_as_by_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 1 << 17), (2, 60), (3, 400)])
+def test_groups_as_by_brute_force(spark, seed, block):
     texts = corpus(seed)
     ids = [None if i in (3, 4) else (i * 37) % 1000 for i in range(len(texts))]
-    got = groups(frame(spark, texts, 4, ids), slice_bytes=3000)
+    got = groups(frame(spark, texts, 4, ids), slice_bytes=3000, block=block)
     rows = [(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()]
     assert sorted(rows, key=str) == sorted(brute(list(zip(ids, texts, strict=True))), key=str)
 
 
-def test_a_chain_within_a_signature(spark, monkeypatch):
+def test_a_chain_within_a_signature(spark):
     """Links that don't go through the first set of a signature are found as well."""
     r = random.Random(8)
     t = words(r, 120)
@@ -77,13 +75,30 @@ def test_a_chain_within_a_signature(spark, monkeypatch):
         t[k : k + 3] = [f"n{r.random()}"]
         texts.append(" ".join(t))
     r.shuffle(texts)
-    rows = [(x.doc_id, x.n_shingles, x.component_id) for x in groups(frame(spark, texts)).collect()]
+    rows = [(x.doc_id, x.n_shingles, x.component_id) for x in groups(frame(spark, texts), block=700).collect()]
     assert sorted(rows) == sorted(brute(list(enumerate(texts))))
 
 
-def test_similar_sets_share_a_signature():
+def test_a_family_near_the_threshold(spark):
+    """300 texts whose likeness to their common text, and so to each other, lies about 75 %; in blocks and in one."""
+    r = random.Random(21)
+    base = words(r, 90)
+    texts = []
+    for i in range(300):
+        t = list(base)
+        for k in r.sample(range(90), r.choice([1, 2, 3, 4])):
+            t[k] = f"e{i}-{k}" if r.random() < 0.8 else "e"
+        texts.append(" ".join(t[r.choice([0, 0, 4, 9]) :]))
+    want = sorted(brute(list(enumerate(texts))))
+    assert 10 < len({c for *_, c in want}) < 250
+    for block in (2000, 1 << 17):
+        rows = [(x.doc_id, x.n_shingles, x.component_id) for x in groups(frame(spark, texts), block=block).collect()]
+        assert sorted(rows) == want
+
+
+def test_similar_sets_share_as_many_signatures_as_both_need():
     r = random.Random(4)
-    for _ in range(300):
+    for _ in range(400):
         n = r.choice([1, 2, 3, 5, 8, 13, 30, 60, 61, 62, 150, 400])
         a = [f"w{r.random()}" for _ in range(n)]
         b = list(a)
@@ -93,8 +108,28 @@ def test_similar_sets_share_a_signature():
         s = Sets(pa.array([" ".join(a), " ".join(b)]), 1)
         x, y = (set(s.h[s.bound[i] : s.bound[i + 1]].tolist()) for i in (0, 1))
         if 100 * len(x & y) >= 75 * len(x | y):
-            sig, row = signatures(s, 75)
-            assert np.intersect1d(sig[row == 0], sig[row == 1]).size, (n, len(x & y), len(x | y))
+            sig, row, grp, need = signatures(s, 75)
+            met = 0
+            for g in set(grp.tolist()):
+                both = {h: len(set(sig[(row == 0) & (grp == g)].tolist()) & set(sig[(row == 1) & (grp == h)].tolist())) for h in (g, g ^ 1)}
+                for h, common in both.items():
+                    if common:
+                        least = max(need[(row == 0) & (grp == g)].max(), need[(row == 1) & (grp == h)].max())
+                        met += common >= least
+            assert met, (n, len(x & y), len(x | y))
+
+
+def test_reached():
+    r = random.Random(3)
+    t = [words(r, 60)]
+    for _ in range(60):
+        x = list(r.choice(t))
+        x[r.randrange(60)] = str(r.random())
+        t.append(x)
+    texts = [" ".join(x) for x in t]
+    want = {i: c for i, _, c in brute(list(enumerate(texts)))}
+    got = reached(whole_names(pa.array(texts), 5), 75).tolist()
+    assert dict(enumerate(got)) == want
 
 
 def test_components(spark):
@@ -110,23 +145,3 @@ def test_empty(spark):
     df = frame(spark, ["a b"])
     assert groups(df.limit(0)).collect() == []
     assert [tuple(r)[:3] for r in groups(df).collect()] == [(0, 1, 0)]
-    assert jaccard.BINS == 512
-
-
-def test_sketches_pass_similar_sets():
-    r = random.Random(6)
-    for n in (3, 10, 40, 300, 3000):
-        a = [f"w{r.random()}" for _ in range(n)]
-        b = a[: max(1, round(0.86 * n))] + [f"v{r.random()}" for _ in range(n - max(1, round(0.86 * n)))]
-        c = [f"u{r.random()}" for _ in range(n)]
-        s = Sets(pa.array([" ".join(x) for x in (a, b, c)]), 1)
-        d = jaccard.sketches(s)
-        assert jaccard.plausible(d[0], d[1], s.size[0], s.size[1], 75)
-        assert n < 40 or not jaccard.plausible(d[0], d[2], s.size[0], s.size[2], 75)
-
-
-def test_sets_are_verified_by_whole_names():
-    h = np.array([5, 5 + (1 << 40), (1 << jaccard.NAME) - 1], np.uint64)
-    kept = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : jaccard.KEPT]
-    assert jaccard.names_of(kept.tobytes()).tolist() == h.tolist()
-    assert not jaccard.similar(jaccard.names_of(kept[:1].tobytes()), jaccard.names_of(kept[1:2].tobytes()), 75)
