@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
-from gridloom.llm.repeats import LAST, Side, beside, stable
+from gridloom.llm.repeats import LAST, Side, beside, stable, without
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
@@ -460,6 +460,18 @@ def rooted(label: DataFrame) -> DataFrame:
     return label.unionByName(label.select(F.col("b").alias("a"), "b").distinct())
 
 
+def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, without those that link to a row with a smaller doc_id, directly or not; of rows of one id the
+    first in the input stays. See groups()."""
+    docs = stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
+    rows, made = _grouped(docs, width, percent, 4 << 20, BLOCK)
+    drops = rows.where("row <> first").select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    out = without(docs, drops)
+    for path in made:
+        removed(docs.sparkSession, path)
+    return out
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int = 4 << 20, block: int = BLOCK) -> DataFrame:
     """Every row's doc_id, n_shingles, component_id, row (its place in the input), and first (the row that stands for
     its component: the first with the smallest doc_id).
@@ -470,9 +482,15 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
     unless it links. Repeated rows keep a row each. An empty table gives no rows. A very long text is one slice of its
     own. Other columns are ignored, whatever their names. `block`: names that sets in a block have together.
     """
+    return _grouped(docs, width, percent, slice_bytes, block)[0]
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, slice_bytes: int, block: int) -> tuple[DataFrame, list[str]]:
+    """The rows of groups(), and the tables that they are read from."""
     j = Join(docs, width, percent, slice_bytes, block)
+    last = [scratch(j.spark, "rows"), scratch(j.spark, "classes")]
     first = j.first_pass()
-    rows = written(first.where("row is not null").select("row", "doc", "n", "g1", "g2"), "rows")
+    rows = written(first.where("row is not null").select("row", "doc", "n", "g1", "g2"), "rows", last[0])
     keys = j.shared_keys(first.where("row is null").select("part", "bucket", "keys"))
     removed(j.spark, j.made.pop(0))
     key = ["n", "g1", "g2"]
@@ -486,8 +504,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 75, slice_bytes: int
     met = j.written(rooted(label).join(classes.select(F.col("row").alias("a"), own.alias("f")), "a"), "members")
     met = met.join(met.groupBy("b").agg(F.min("f").alias("least")), "b").select(F.col("a").alias("row"), "least")
     classes = classes.join(met, "row", "left").withColumn("least", F.coalesce("least", own))
-    classes = written(classes.select(*key, F.col("least.doc").alias("component"), F.col("least.row").alias("first")), "classes")
+    classes = written(classes.select(*key, F.col("least.doc").alias("component"), F.col("least.row").alias("first")), "classes", last[1])
     j.cleared()
     out = rows.join(classes, key, "left")
     null = lambda c: F.when(c != LAST, c)
-    return out.select(null(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"), "row", F.coalesce("first", "row").alias("first"))
+    out = out.select(null(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"), "row", F.coalesce("first", "row").alias("first"))
+    return out, last

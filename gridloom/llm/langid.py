@@ -40,8 +40,8 @@ OTHER = len(SCRIPTS) + 1  # letters of scripts that aren't listed
 BITS = 17
 FLOOR = -6.0
 SWITCH = 12.0
-#: Rows that the model is learned on, by language, and languages (the most frequent ones).
-SAMPLE, LANGUAGES = 1500, 100
+#: Rows that the model is learned on, by language.
+SAMPLE = 1500
 
 
 def scripts() -> np.ndarray:
@@ -197,15 +197,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """A model from rows with text, lang and doc_id that aren't held out: about `sample` rows of each language."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003)
-    got = picked.select("text", "lang").where("text is not null").toArrow().to_pydict()
+def learned(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from rows with text, lang and doc_id that aren't held out: about `sample` rows of each language, whatever
+    languages there are."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    share = rows.groupBy("lang").agg((F.lit(sample) / F.count("*")).alias("share"))
+    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    got = picked.select("text", "lang").orderBy("doc_id").toArrow().to_pydict()
     return Model(got["text"], got["lang"])
 
 
@@ -239,17 +237,22 @@ def _predicted(packed: bytes, switch: float, carry: list[str]):
 def identified(docs: DataFrame, model: Model | None = None, switch: float = SWITCH) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the words with letters on the label's spans), n_spans of every row.
 
-    `und` with score 0 for null texts, texts without a letter, and when nothing could be learned. Repeated rows keep a
-    row each; a null doc_id isn't held out and isn't learned from; an empty table gives no rows. The model (a table of
-    fixed size) goes to the executors with the code.
+    `und` with score 0 for null texts, texts without a letter, and when nothing could be learned. Ties between languages
+    go to the first by name. Repeated rows keep a row each; a null doc_id isn't held out and isn't learned from; an empty
+    table gives no rows; other columns are ignored, whatever their names; a very long text is a slice of its own. The
+    model, a table of 2^17 values for each language, goes to the executors by broadcast.
     """
     return _labelled(docs, id_and_text(docs).withColumn("held_out", held_out()), ["doc_id", "held_out"], model, switch)
 
 
 def recognised(docs: DataFrame, least: float = 0.4, model: Model | None = None, switch: float = SWITCH) -> DataFrame:
-    """The rows, with all their columns, whose language is not `und` and holds at least that share of the words."""
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return _labelled(docs, rows, rows.columns, model, switch).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The rows, with all their columns, whose language is not `und` and holds at least that share of the words.
+
+    Columns go by their place, so that extra ones may have any name."""
+    place = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*place).withColumn("text", F.coalesce(F.col(place[docs.columns.index("text")]), F.lit("")))
+    out = _labelled(docs, rows, place, model, switch).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.select(*place).toDF(*docs.columns)
 
 
 def _labelled(docs: DataFrame, rows: DataFrame, carry: list[str], model: Model | None, switch: float) -> DataFrame:

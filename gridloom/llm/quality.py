@@ -127,7 +127,8 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, min_word
     without these lines) and row (its place in the input).
 
     A null text has no words and fails the base rules. Rows without a host are one host. Repeated rows are judged
-    alike and keep a row each. An empty table gives no rows.
+    alike and keep a row each. An empty table gives no rows. Long texts and long lines are treated like any other.
+    Carried columns may not be called like an output; the pipeline carries one struct.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -138,9 +139,11 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, min_word
     found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed, LINES), "quality", place)
     lines = found.select("row", "doc", "host", "digest", F.explode("lines").alias("line"))
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
-    shared = written(shared.select("host", "line"), "shared-lines")
+    few = scratch(spark, "shared-lines")
+    shared = written(shared.select("host", "line"), "shared-lines", few)
     lost = lines.join(shared, ["host", "line"], "left_semi")
     side = repeats._to_side(lost.select("row", F.col("line").alias("s"), F.lit(0).alias("n"), "doc"), "lost-lines")
     removed(spark, place)
+    removed(spark, few)
     fields = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carry), *T._parse_datatype_string(VERDICT).fields])
     return docs.select("doc_id", "text", *carry).mapInArrow(_verdicts(side, tuple(carry), min_words, min_left), fields)

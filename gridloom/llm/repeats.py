@@ -244,9 +244,19 @@ def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path as Spark spells it."""
+    if ":/" not in path:
+        return pafs.LocalFileSystem(), path
+    scheme, _, rest = path.partition(":")
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + ":" + rest)
+
+
 def beside(path: str) -> list[pa.Table]:
     """What was written below path for this task's input partition."""
-    fs, root = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    fs, root = opened(path)
     found = fs.get_file_info(pafs.FileSelector(f"{root}/part={TaskContext.get().partitionId()}", allow_not_found=True))
     return [pq.read_table(f.path, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
 
@@ -288,12 +298,31 @@ def _to_side(rows: DataFrame, name: str) -> str:
     return path
 
 
+def plain(docs: DataFrame) -> bool:
+    """Whether docs only selects from a scan of files, by the nodes of its plan."""
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation") or not node.deterministic():
+            return False
+        if not node.children().size() and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
 def stable(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc_id, text and the columns to carry, in an order that repeated scans keep: a scan of files, else written first."""
+    """doc_id, text and the columns to carry, in an order that repeated scans keep: a scan of files, else written first.
+
+    Spark cuts files into partitions by the number of cores that it sees when it plans a scan, unless
+    spark.sql.files.minPartitionNum is set; so it is set here, and executors that come or go between two passes don't
+    change the partitions.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    simple = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Aggregate", "Join", "Window", "Sample", "Python", "Arrow", "Limit", "Union", "InMemoryTableScan", "Generate"))
-    return rows if simple else written(rows, "input")
+    return rows if plain(rows) else written(rows, "input")
 
 
 def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish: Callable, schema: str, slice_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -316,21 +345,27 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
         live = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *by_key).where("low < high")
     else:
         live = found.groupBy("key").agg(F.count("*").alias("times"), *by_key).where("times > 1")
-    live = written(live.select("key", ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("many")), "keys")
-    left = written(found.join(live, "key"), "live")
+    made: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(scratch(spark, name))
+        return written(df, name, made[-1])
+
+    live = kept(live.select("key", ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).alias("many")), "keys")
+    left = kept(found.join(live, "key"), "live")
     removed(spark, place)
 
     # 2. chunks of equal names
     place = F.struct("row", "s")
     if others:
         same = left.groupBy("key", "name1", "name2").agg(F.min("doc").alias("least"))
-        met = left.join(written(same, "names"), ["key", "name1", "name2"])
+        met = left.join(kept(same, "names"), ["key", "name1", "name2"])
         settled, gives = F.col("doc") > F.col("least"), F.col("many") & (F.col("doc") == F.col("least"))
     else:
         same = left.groupBy("key", "name1", "name2").agg(F.min(place).alias("least"), F.count("*").alias("times"))
-        met = left.join(written(same, "names"), ["key", "name1", "name2"])
+        met = left.join(kept(same, "names"), ["key", "name1", "name2"])
         settled, gives = F.col("times") > 1, F.col("many") & ((F.col("times") == 1) | (place == F.col("least")))
-    met = written(met.select("row", "s", "n", "doc", settled.alias("settled"), gives.alias("gives")), "settled")
+    met = kept(met.select("row", "s", "n", "doc", settled.alias("settled"), gives.alias("gives")), "settled")
 
     # 3. windows of what is left
     side = _to_side(met.where("gives"), "open")
@@ -338,11 +373,14 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     names = texts.mapInArrow(_window_names(parse, width, slice_bytes, side, buckets), "bucket int, part long, first long, packed binary")
     names = names.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
     bits = scratch(spark, "bits")
+    made += [side, bits]
     names.mapInArrow(_decided(others), "part long, first long, bucket int, n int, bits binary").repartition(n, "part").write.partitionBy("part").parquet(bits)
     hits = texts.mapInArrow(_hits(parse, width, slice_bytes, side, bits, others), "row long, s int, n int, doc long")
-    hits = written(hits, "hits")  # by itself: in a union its tasks would have other numbers than the scan's
+    hits = kept(hits, "hits")  # by itself: in a union its tasks would have other numbers than the scan's
     spans = met.where("settled").select("row", "s", "n", "doc").unionByName(hits)
     side = _to_side(spans, "spans")
+    for path in made:
+        removed(spark, path)
 
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]

@@ -85,7 +85,8 @@ def deduplicated(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (),
 
     A word goes if one of the windows of `width` words over it also starts in a document with a smaller doc_id, judged
     on the input. Of rows with equal doc_ids none is the smaller; a null doc_id comes after all others. A null or empty
-    text has no words. An empty table gives no rows. width: at least 2 * REACH + ROUNDS[-1] - 1.
+    text has no words. An empty table gives no rows. Long texts are treated like any other. Carried columns may not be
+    called like an output; the pipeline carries one struct. width: at least 2 * REACH + ROUNDS[-1] - 1.
     """
     if width < 2 * REACH + ROUNDS[-1] - 1:
         raise ValueError(f"width must be at least {2 * REACH + ROUNDS[-1] - 1}")

@@ -71,3 +71,35 @@ def test_near_copies_without_ids_or_with_reused_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.near_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert [tuple(r) for r in out.collect()] == [rows[0], rows[4], rows[5], rows[9]]
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    names = ["score", "n_words", "kept_text", "lang_pred", "row", "first", "host", "others", "line"]
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, own(i % 10), "en", f"s{i % 2}", 0, *range(len(names))) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+            assert {tuple(r)[5:] for r in docs.collect()} == {tuple(range(len(names)))}
+    assert {r.doc_id for r in out.collect()} == set(range(10))
+
+
+def test_passes_read_the_same_partitions_when_cores_come_or_go(spark, tmp_path):
+    from gridloom.llm.substring import deduplicated
+
+    from .data import corpus, frame
+
+    frame(spark, corpus(9), 7).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    out = deduplicated(docs)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        got = sorted(str(r) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert got == sorted(str(r) for r in deduplicated(docs).collect())
