@@ -10,21 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import jaccard, langid, quality, repeats, substring
+from gridloom.llm import jaccard, langid, quality, substring
 from gridloom.llm.packing import packed
 from gridloom.llm.session import documents, written
 
 ORACLE_SQL = None
 
 
-def carried(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+def packed_up(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source, and all other columns as one struct, so that none clashes with what an operator adds."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = ["source"] if "source" in docs.columns else []
+    return docs.select("doc_id", "text", *own, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("others")) if rest else docs
 
 
 def shortened(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The columns of docs from rows with kept_text."""
+    """The columns of docs from rows with kept_text and the others in a struct."""
     values = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return out.select(*((values[c] if c in values else F.col("others").getField(c)).alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail the base rules or are depleted of their own lines go; the others lose the lines their host shares."""
-    return shortened(docs, quality.judged(docs, carry=carried(docs)).where("kept"))
+    rows = packed_up(docs)
+    return shortened(docs, quality.judged(rows, carry=tuple(c for c in rows.columns if c == "others")).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (of repeated rows of it, the first)."""
-    docs = repeats.stable(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
-    found = written(jaccard.groups(docs), "groups")
-    drops = found.where("row <> first").select("row", F.coalesce("doc_id", F.lit(repeats.LAST)).alias("doc"))
-    return repeats.without(docs, drops)
+    return jaccard.first_of_groups(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words or more that a document with a smaller id has are removed from the texts."""
-    return shortened(docs, substring.deduplicated(docs, width=50, carry=carried(docs)))
+    rows = packed_up(docs)
+    return shortened(docs, substring.deduplicated(rows, width=50, carry=tuple(c for c in rows.columns if c == "others")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
