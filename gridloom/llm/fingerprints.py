@@ -1,10 +1,15 @@
 """Merkle fingerprints of documents.
 
 A text is a tree: sections of paragraphs (lines) of short pieces. Pieces are cut after words whose hash says so, about
-four words apart, and at line ends; sections at blank lines and after paragraphs whose hash says so. So cuts depend on
-the text nearby alone, and an edit changes the nodes above it and no others. Every byte lies in one piece: equal roots
-mean equal texts, and walking down differing branches locates edits. The fingerprint is text: the root (32 hex
-digits), a colon, then the leaves as 8 hex digits each, paragraphs apart by "." and sections by "/".
+four words apart, at line ends, and after MOST words without a cut (words of more than WIDE bytes count as several), so
+that a piece is bounded. Sections end at blank lines and after paragraphs whose digest says so. So cuts depend on the
+text nearby alone, and an edit changes the nodes above it and few others. Every byte lies in one piece.
+
+A leaf is the 128-bit hash of its piece; a paragraph's digest is a cryptographic hash of its leaves, a section's of its
+paragraphs, the root's of the sections: equal roots mean equal texts, and walking down differing nodes locates edits.
+The fingerprint is text: the root (32 hex digits), a colon, then the sections apart by "/"; a section is its digest,
+"=", and its paragraphs apart by "."; a paragraph is its digest, "-", and its leaves. Digests of nodes below the root
+are cut to 8 hex digits; after a leaf's stand its bytes (2 hex digits, 255 at most). Likeness weighs leaves by bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +33,17 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: One cut in so many words, one section end in so many paragraphs (powers of two).
 PIECE, SECTION = 4, 8
+#: Most words of a piece, and the bytes of a word from which it counts as several.
+MOST, WIDE = 8, 16
+
+
+def _node(children: bytes) -> bytes:
+    return hashlib.blake2b(children, digest_size=16).digest()
 
 
 class Tree:
-    """leaves: 64-bit digests of the pieces; paragraph, section: the first leaf of each."""
+    """Digests of 16 bytes: leaves (of the pieces, in order), paragraphs, sections, root; paragraph, section: the first
+    leaf of each."""
 
     def __init__(self, data: bytes):
         d = np.frombuffer(data, np.uint8)
@@ -39,59 +52,64 @@ class Tree:
         before[:1] = True
         before[1:] = space[:-1]
         start = np.flatnonzero(~space & before)  # of words
-        roll = Rolling(BYTES[d])
-        if len(start) == 0:
-            start = np.zeros(1, np.int64)
         after = np.empty(len(d), bool)
         after[-1:] = True
         after[:-1] = space[1:]
-        end = np.flatnonzero(~space & after) + 1 if len(d) and not space.all() else np.array([len(d)])
-        word = roll.span(start, end)
+        end = np.flatnonzero(~space & after) + 1
+        if not len(start):
+            start, end = np.zeros(1, np.int64), np.array([len(d)])
+        if (many := np.maximum(end - start - 1, 0) // WIDE).any():  # long words, in parts
+            first = np.cumsum(many + 1) - many - 1
+            part = np.arange(len(start) + int(many.sum())) - np.repeat(first, many + 1)
+            start = np.repeat(start, many + 1) + WIDE * part
+            end = np.minimum(start + WIDE, np.repeat(end, many + 1))
+        word = Rolling(BYTES[d]).span(start, end)
         line = np.concatenate([[0], np.cumsum(d == 10)])[start]
         jump = np.diff(line)
         new = np.concatenate([[True], ((word[:-1] & U(PIECE - 1)) == 0) | (jump > 0)])
+        since = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        new |= since % MOST == 0
         at = start[new]
         at[0] = 0
         stop = np.append(at[1:], len(d))
-        self.leaves = roll.span(at, stop)
+        self.leaves = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
         steps = np.concatenate([[2], jump])[new]
-        self.paragraph = np.flatnonzero(steps > 0)
-        up = Rolling(self.leaves, 1)
-        digest = up.span(self.paragraph, np.append(self.paragraph[1:], len(self.leaves)))
-        ends = np.concatenate([[True], ((digest[:-1] & U(SECTION - 1)) == 0) | (steps[self.paragraph][1:] > 1)])
-        first = np.flatnonzero(ends)
-        self.section = self.paragraph[first]
-        nodes = Rolling(digest, 0).span(first, np.append(first[1:], len(digest)))
-        self.root = hashlib.blake2b(nodes.tobytes() + len(d).to_bytes(8, "little") + self.leaves.tobytes(), digest_size=16).hexdigest()
-        self.short = np.sort((self.leaves >> U(32)).astype(np.uint32))
+        self.paragraph = np.flatnonzero(steps > 0).tolist()
+        self.paragraphs = [_node(b"".join(self.leaves[a:b])) for a, b in zip(self.paragraph, [*self.paragraph[1:], len(self.leaves)], strict=True)]
+        jumps = steps[self.paragraph].tolist()
+        self.section = [0] + [k for k in range(1, len(jumps)) if jumps[k] > 1 or self.paragraphs[k - 1][0] % SECTION == 0]  # the first paragraph of each
+        self.sections = [_node(b"".join(self.paragraphs[a:b])) for a, b in zip(self.section, [*self.section[1:], len(jumps)], strict=True)]
+        self.root = _node(b"".join(self.sections) + len(data).to_bytes(8, "little")).hex()
+        self.bytes = np.minimum(stop - at, 255)
+        self.short = np.sort((np.frombuffer(b"".join(self.leaves), ">u4")[::4].astype(np.int64) << 8) | self.bytes)
 
     def __str__(self) -> str:
-        h = (self.leaves >> U(32)).astype(">u4").tobytes().hex()
-        p = self.paragraph.tolist()
-        s = set(self.section.tolist())
-        return f"{self.root}:" + "".join(("" if not a else "/" if a in s else ".") + h[8 * a : 8 * b] for a, b in zip(p, [*p[1:], len(self.leaves)], strict=True))
+        h = [f"{x[:4].hex()}{n:02x}" for x, n in zip(self.leaves, self.bytes.tolist(), strict=True)]
+        p = [f"{x[:4].hex()}-{''.join(h[a:b])}" for x, a, b in zip(self.paragraphs, self.paragraph, [*self.paragraph[1:], len(h)], strict=True)]
+        return f"{self.root}:" + "/".join(f"{x[:4].hex()}={'.'.join(p[a:b])}" for x, a, b in zip(self.sections, self.section, [*self.section[1:], len(p)], strict=True))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> float:
-    """Twice the leaves that two sorted lists have in common, over all leaves; equal ones count as often as in both."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    same = 0
-    if len(a) and len(b):
-        cut = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1], [True]]))
-        value, size = both[cut[:-1]], np.diff(cut)
-        many = size > 1
-        value, size = value[many], size[many]
-        n = np.searchsorted(a, value, "right") - np.searchsorted(a, value, "left")
-        same = int(np.minimum(n, size - n).sum())
-    return 2 * same / max(len(both), 1)
+    """Of two different texts: twice the bytes of the leaves that their sorted lists have in common, over the bytes of
+    all; equal ones count as often as in both. The same leaves in another order stay below 1."""
+    total = int((a & 255).sum() + (b & 255).sum())
+    value = np.unique(a)
+    times = [np.searchsorted(x, value, "right") - np.searchsorted(x, value) for x in (a, b)]
+    same = int((np.minimum(*times) * (value & 255)).sum())
+    return min(2 * same, total - 1) / total
+
+
+def _sections(f: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(digest, [(digest, leaves) of each paragraph]) of each section of a fingerprint."""
+    parted = (x.partition("=")[::2] for x in f.partition(":")[2].split("/"))
+    return [(d, [p.partition("-")[::2] for p in rest.split(".")]) for d, rest in parted]
 
 
 def likeness(a: str, b: str) -> float:
-    """Of two fingerprints, 0 to 1: 1 for equal ones, else the share of leaves in common."""
+    """Of two fingerprints, 0 to 1: 1 for equal ones, else the share of bytes in leaves that both have."""
     if a == b:
         return 1.0
-    x, y = (np.sort(np.frombuffer(bytes.fromhex(f.partition(":")[2].replace("/", "").replace(".", "")), ">u4")) for f in (a, b))
-    return _common(x, y)
+    return _common(*(np.sort(np.array([int(x[i : i + 10], 16) for _, s in _sections(f) for _, x in s for i in range(0, len(x), 10)])) for f in (a, b)))
 
 
 def fingerprint(text: str | None) -> str:
@@ -99,12 +117,12 @@ def fingerprint(text: str | None) -> str:
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of the branches of a that b doesn't have."""
+    """(section, paragraph) of the branches of a that b doesn't have, from the root down: a node that b has too is left."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    there = {p for s in b.partition(":")[2].split("/") for p in s.split(".")}
-    whole = set(b.partition(":")[2].split("/"))
-    return [(i, j) for i, s in enumerate(a.partition(":")[2].split("/")) if s not in whole for j, p in enumerate(s.split(".")) if p not in there]
+    there = _sections(b)
+    sections, paragraphs = {d for d, _ in there}, {d for _, s in there for d, _ in s}
+    return [(i, j) for i, (d, s) in enumerate(_sections(a)) if d not in sections for j, (p, _) in enumerate(s) if p not in paragraphs]
 
 
 def _near(a: Tree, b: Tree) -> float:
@@ -152,6 +170,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last n_chars // 4 code points replaced by the first as many (or all) of the next
     document's, in order of doc_id, then text; null ids come first; after the last comes the first, so that a single
     row is its own next. Null texts are empty. Repeated rows are documents of their own. An empty table gives no rows.
+    Other columns are ignored, whatever their names.
 
     Texts are dealt once, by ranges of doc_id; what the driver gathers is the first id of each range.
     """

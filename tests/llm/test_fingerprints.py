@@ -40,3 +40,26 @@ def test_odd_tables(spark):
     twice = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, None), (None, "q"), (0, "zz")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_chars, r.near_next) for r in edit_fingerprints(twice).collect()), key=str)
     assert [x[:2] for x in got] == [(0, 2), (1, 3), (1, 3), (None, 0), (None, 1)]
+
+
+def test_thue_morse_texts_differ():
+    """Texts that polynomial hashes modulo a power of two can't tell apart."""
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    for pre, post in (("", ""), ("some words before ", " and some after")):
+        a, b = fingerprint(pre + t + post), fingerprint(pre + u + post)
+        assert a != b and likeness(a, b) < 1
+
+
+def test_pieces_are_bounded():
+    for text in ("is " * 700, "Ertionha " * 90, "ab cd " * 200, "x" * 5000, "\u4e00\u4e8c" * 700):
+        edited = text[: len(text) - len(text) // 4] + ("another end " * 1000)[: len(text) // 4]
+        assert 0.5 < likeness(fingerprint(text), fingerprint(edited)) < 1
+
+
+def test_helper_columns_of_the_input_are_ignored(spark):
+    names = ["key", "at", "range", "bucket", "extra", "previous", "place"]
+    df = spark.createDataFrame([(i, f"text {i}", *range(7)) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(r.n_chars for r in edit_fingerprints(df).collect()) == [6] * 5
