@@ -4,7 +4,7 @@ Each task packs the rows that it reads, a bounded block at a time, so that nothi
 thousand sequences, and all of them are full. In a block, the cost of a piece of n tokens is estimated as
 `linear * n + quadratic * n * n` (attention is quadratic within a document). Documents longer than a sequence give
 full sequences of their own first. What is left goes, longest first, to the open sequence of the least cost that has
-room for all of it; where none of the cheapest few has, it is cut and fills the cheapest one. The tokens beyond the
+room for all of it; where none has, it is cut and fills the cheapest one. The tokens beyond the
 last full sequence form sequences whose lengths are powers of two, which need no padding.
 """
 
@@ -24,8 +24,46 @@ from gridloom.llm.arrowtext import raw, slices
 from gridloom.llm.session import id_and_text, ship
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Sequences of the least cost that are tried before a document is cut.
-TRIED = 8
+
+
+class Open:
+    """Open sequences: the one of the least cost among those with some room, by a tree over room of the least costs."""
+
+    def __init__(self, rooms: list[int]):
+        self.size = 1 << max(rooms, default=0).bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.best = [(float("inf"), -1)] * (2 * self.size)
+        for s, room in enumerate(rooms):
+            self.put(room, 0.0, s)
+
+    def _changed(self, room: int) -> None:
+        heap, i = self.heaps[room], room + self.size
+        self.best[i] = heap[0] if heap else (float("inf"), -1)
+        while i > 1:
+            i >>= 1
+            self.best[i] = min(self.best[2 * i], self.best[2 * i + 1])
+
+    def put(self, room: int, cost: float, s: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, s))
+        if self.heaps[room][0] == (cost, s):
+            self._changed(room)
+
+    def least(self, room: int) -> tuple[float, int]:
+        """(cost, sequence) of the cheapest with that much room, or sequence -1."""
+        found, i = (float("inf"), -1), room + self.size
+        if room >= self.size:
+            return found
+        found = min(found, self.best[i])
+        while i > 1:
+            if not i & 1:
+                found = min(found, self.best[i + 1])
+            i >>= 1
+        return found
+
+    def take(self, room: int) -> None:
+        """Remove the cheapest sequence with exactly that room."""
+        heapq.heappop(self.heaps[room])
+        self._changed(room)
 
 
 def pack(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -51,28 +89,23 @@ def pack(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float
         tail -= rooms[-1]
     used = [0] * len(rooms)
     cost = [0.0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
+    open_ = Open(rooms)
     rest.sort()
     for size, d, start in rest:
         left = -size
         while left:
-            tried, found = [], None
-            while heap and len(tried) < TRIED and found is None:
-                s = heapq.heappop(heap)[1]
-                if rooms[s] - used[s] >= left:
-                    found = s
-                else:
-                    tried.append(s)
-            s = tried.pop(0) if found is None else found
-            for x in tried:
-                heapq.heappush(heap, (cost[x], x))
-            n = min(left, rooms[s] - used[s])
+            s = open_.least(left)[1]
+            if s < 0:
+                s = open_.least(1)[1]
+            room = rooms[s] - used[s]
+            open_.take(room)
+            n = min(left, room)
             out.append((d, start, n, sequence + s, used[s]))
             used[s] += n
             cost[s] += linear * n + quadratic * n * n
             start, left = start + n, left - n
-            if used[s] < rooms[s]:
-                heapq.heappush(heap, (cost[s], s))
+            if n < room:
+                open_.put(room - n, cost[s], s)
     return out
 
 
@@ -81,7 +114,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024,
 
     A document's ids are those of the tokenizer file, then `end_id`; a null or empty text has that id alone. Repeated
     rows and null doc_ids are packed like any row. An empty table gives no rows. `sequence_id` is unique over the
-    result: the task's number and a count within it.
+    result: the task's number and a count within it. Other columns are ignored, whatever their names; a very long text is
+    a block of its own. Costs are balanced within a block.
     """
     ship(docs.sparkSession)
     path = tokenizer or bytebpe.default_path()
