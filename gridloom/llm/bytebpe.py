@@ -61,14 +61,18 @@ class ByteBpe:
             raise ValueError(f"{path}: not a byte-level BPE whose merges are in id order")
         self.special = special
         self.ranks = ranks
-        self._bpe = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+        self._bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # a text is one pre-token
         self._ids: dict[bytes, list[int]] = {}
 
+    def merged(self, piece: bytes) -> list[int]:
+        """The ids of a pre-token that isn't a special string."""
+        return self._bpe.encode_ordinary(piece.decode())
+
     def ids(self, piece: bytes) -> list[int]:
         got = self._ids.get(piece)
         if got is None:
             one = self.ranks.get(piece)
-            got = [one] if one is not None else [self.special[s]] if (s := piece.decode("utf-8", "replace")) in self.special else self._bpe._encode_single_piece(piece)
+            got = [one] if one is not None else [self.special[s]] if (s := piece.decode("utf-8", "replace")) in self.special else self.merged(piece)
             if len(self._ids) >= KEPT:
                 self._ids.clear()
             self._ids[piece] = got

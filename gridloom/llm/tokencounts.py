@@ -4,11 +4,12 @@ Three steps, two exchanges of compact rows, no exchange of texts:
 1. Each task cuts its texts into pre-tokens, a block of documents at a time, and emits for each block and distinct
    pre-token the frequencies by document (a packed list). Pre-tokens that are one piece by themselves need no lookup
    and are summed at once.
-2. Rows meet by pre-token in sorted order; the pieces of a pre-token are counted once, and count times frequency is
-   summed by document into one packed list per block and task.
+2. Rows meet by pre-token and group of blocks, in order of both; the pieces of a pre-token are counted once, and count
+   times frequency is summed by document into one packed list per block and task, of the documents that have any. A
+   task holds the sums of one group of blocks at a time, and the lists grow with the pre-tokens.
 3. The lists of a block are added up.
-A frequent pre-token has one row per block however often it occurs; blocks beyond `group` go to another task, so that
-no pre-token's rows grow without bound.
+A frequent pre-token has one row per block however often it occurs; blocks beyond `group` input partitions go to
+another task, so that no pre-token's rows grow without bound.
 """
 
 from __future__ import annotations
@@ -64,24 +65,44 @@ def _frequencies(path: str, block_bytes: int):
     return run
 
 
+#: What a packed list holds.
+HEAD, DENSE, SPARSE = 0, 1, 2
+
+
 def _summed(path: str):
-    """Sorted (piece, block, width, packed) rows to (block, head, packed): heads as they are, and sums by document."""
+    """Rows (salt, piece, block, width, packed) in order of salt and piece to (block, kind, packed): heads as they are,
+    and sums by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bytebpe.load(path)
         sums: dict[int, np.ndarray] = {}
-        last, pieces = None, 0
+        now, last, pieces = None, None, 0
+
+        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["block", "kind", "packed"])
 
-        def out(block: list, head: list, packed: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(head, pa.bool_()), pa.array(packed, pa.binary())], ["block", "head", "packed"])
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for block, got in sums.items():
+                at = np.flatnonzero(got)
+                if 6 * len(at) < 4 * len(got):
+                    rows.append((block, SPARSE, at.astype("<u2").tobytes() + got[at].astype("<u4").tobytes()))
+                else:
+                    rows.append((block, DENSE, got.astype("<u4").tobytes()))
+            sums.clear()
+            return out(rows)
 
         for batch in batches:
-            for block, piece, width, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "piece", "width", "packed")), strict=True):
+            for salt, block, piece, width, packed in zip(*(batch.column(c).to_pylist() for c in ("salt", "block", "piece", "width", "packed")), strict=True):
                 if piece is None:
-                    yield out([block], [True], [packed])
+                    yield out([(block, HEAD, packed)])
                     continue
+                if salt != now:
+                    if sums:
+                        yield flush()
+                    now, last = salt, None
                 if piece != last:
-                    last, pieces = piece, len(bpe._bpe._encode_single_piece(piece))
+                    last, pieces = piece, len(bpe.merged(piece))
                 n = len(packed) // (2 + width)
                 got = sums.get(block)
                 if got is None:
@@ -93,8 +114,8 @@ def _summed(path: str):
                     got[most] += pieces * int.from_bytes(packed[2:], "little")
                 else:
                     got[np.frombuffer(packed, "<u2", n)] += pieces * np.frombuffer(packed, f"<u{width}", n, 2 * n).astype(np.int64)
-        for block, got in sums.items():
-            yield out([block], [False], [got.astype("<u4").tobytes()])
+        if sums:
+            yield flush()
 
     return run
 
@@ -112,14 +133,17 @@ def _blocks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head, sums = None, b"", np.zeros(0, np.int64)
         for batch in batches:
-            for block, first, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "head", "packed")), strict=True):
-                if first:
+            for block, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "packed")), strict=True):
+                if kind == HEAD:
                     if now is not None:
                         yield done(head, sums)
                     now, head, sums = block, packed, np.zeros(len(packed) // 21, np.int64)
-                else:
+                elif kind == DENSE:
                     got = np.frombuffer(packed, "<u4")[: len(sums)]
                     sums[: len(got)] += got
+                else:
+                    n = len(packed) // 6
+                    sums[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, "<u4", n, 2 * n)
         if now is not None:
             yield done(head, sums)
 
@@ -129,8 +153,8 @@ def _blocks(limit: int):
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, block_bytes: int = 10 << 20, group: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row; null text counts as empty.
 
-    Repeated rows and null doc_ids each keep their own row; an empty table gives no rows. `group`: input partitions
-    whose rows of a pre-token meet in one task.
+    Repeated rows and null doc_ids each keep their own row; an empty table gives no rows; other columns are ignored,
+    whatever their names; a very long text is a block of its own. `group`: input partitions whose rows of a pre-token meet in one task.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -138,7 +162,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     rows = id_and_text(docs).mapInArrow(_frequencies(path, block_bytes), "block long, piece binary, width int, packed binary")
     place = F.shiftright("block", 24)
     met = rows.withColumn("salt", F.when(F.col("piece").isNull(), F.col("block")).otherwise(F.floor(place / group)))
-    met = met.repartition(tasks(spark), "piece", "salt").sortWithinPartitions("piece", "salt").drop("salt")
-    sums = met.mapInArrow(_summed(path), "block long, head boolean, packed binary")
-    back = sums.repartition(tasks(spark), "block").sortWithinPartitions("block", F.desc("head"))
+    met = met.repartition(tasks(spark), "piece", "salt").sortWithinPartitions("salt", "piece")
+    sums = met.mapInArrow(_summed(path), "block long, kind int, packed binary")
+    back = sums.repartition(tasks(spark), "block").sortWithinPartitions("block", "kind")
     return back.mapInArrow(_blocks(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
