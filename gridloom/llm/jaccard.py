@@ -10,8 +10,9 @@ A difference spoils one part, so a set shares not one but at least `need` signat
 it has, less those that its own greatest number of differences (a third of its size at 75 %) can spoil.
 
 1. Equal sets are one class, and its document with the smallest id stands for it.
-2. Signatures that two sets have are found from sorted runs of 4-byte keys, packed by task and key range, which is a
-   fraction of a row for each signature. Only sets with `need` of them in one band pair go on, with their whole names.
+2. How many rows have a signature is counted from sorted runs of 4-byte keys, packed by task and key range, which is a
+   fraction of a row for each signature. Only sets with `need` signatures in one band pair that more rows have than the
+   set has copies go on, with their whole names.
 3. Of a set's L signatures that others have, the L - need + 1 rarest stay (two similar sets share one of these, since
    the order is the same for all). Families are the components of sets over what stays.
 4. A family's sets meet in blocks of bounded size: a block, most often a whole family, is searched breadth first from
@@ -33,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
@@ -205,20 +205,29 @@ def reached(names: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+#: A count of rows that stands for itself and all above.
+MANY = 0xFFFF
+
+
 class Keys:
-    """The shared signature keys of this task's input partition."""
+    """The signature keys of this task's input partition that several rows have, and how many."""
 
     def __init__(self, path: str):
-        got = []
+        keys, times = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for t in beside(path):
-            for bucket, keys in zip(t.column("bucket").to_pylist(), t.column("keys").to_pylist(), strict=True):
-                got.append((U(bucket) << U(32)) | np.frombuffer(keys, "<u4").astype(U))
-        self.keys = np.sort(np.concatenate(got)) if got else np.zeros(0, U)
-
-    def has(self, v: np.ndarray) -> np.ndarray:
+            for bucket, k, n in zip(*(t.column(c).to_pylist() for c in ("bucket", "keys", "times")), strict=True):
+                keys.append((U(bucket) << U(32)) | np.frombuffer(k, "<u4").astype(U))
+                times.append(np.frombuffer(n, "<u2").astype(np.int64))
+        whole = np.concatenate(keys)
+        order = np.argsort(whole)
+        self.keys, self.times = whole[order], np.concatenate(times)[order]
+
+    def count(self, v: np.ndarray) -> np.ndarray:
+        """How many rows have each key, MANY at most; 0 for keys of one row."""
         if not len(self.keys):
-            return np.zeros(len(v), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, v), len(self.keys) - 1)] == v
+            return np.zeros(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, v), len(self.keys) - 1)
+        return np.where(self.keys[at] == v, self.times[at], 0)
 
 
 def short(sig: np.ndarray, buckets: int) -> np.ndarray:
@@ -263,9 +272,10 @@ class Join:
         del self.made[since:]
 
     def first_pass(self) -> DataFrame:
-        """A row for each input row (row, doc, n, g1, g2), and the packed signature keys (part, bucket, keys)."""
+        """A row for each input row (row, doc, n, g1, g2), and the packed signature keys (part, bucket, keys, more); more:
+        places and counts of keys that occur more than once."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
-        names = ["row", "doc", "n", "g1", "g2", "part", "bucket", "keys"]
+        names = ["row", "doc", "n", "g1", "g2", "part", "bucket", "keys", "more"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part_id = TaskContext.get().partitionId()
@@ -276,18 +286,23 @@ class Join:
                     with np.errstate(over="ignore"):
                         g = [signed(s.sums(mixed(s.h ^ x))) for x in (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB))]
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(LAST), pa.array(s.size), pa.array(g[0]), pa.array(g[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id").fill_null(LAST), pa.array(s.size), pa.array(g[0]), pa.array(g[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
                     row += n
                     key = np.sort(short(signatures(s, percent)[0], buckets))
-                    key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]  # twice at most
+                    first = np.flatnonzero(changes(key))
+                    key, times = key[first], np.diff(np.append(first, len(key))).astype("<u4")
                     bucket = (key >> U(32)).astype(np.int64)
                     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                     low = (key & U(0xFFFFFFFF)).astype("<u4")
-                    keys = [low[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False)]
+                    keys, more = [], []
+                    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False):
+                        keys.append(low[a:b].tobytes())
+                        at = np.flatnonzero(times[a:b] > 1)
+                        more.append(at.astype("<u4").tobytes() + times[a:b][at].tobytes())
                     none = pa.nulls(len(cut), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(more, pa.binary())], names)
 
-        return self.written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary"), "sets")
+        return self.written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary, more binary"), "sets")
 
     def beside(self, rows: DataFrame, name: str, *columns: str) -> str:
         self.made.append(scratch(self.spark, name))
@@ -295,63 +310,70 @@ class Join:
         return self.made[-1]
 
     def shared_keys(self, rows: DataFrame) -> str:
-        """Keys that two sets have, by input partition."""
+        """Keys that several rows have, and how many, by input partition."""
 
         def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (bucket,), held in by_key(batches, 1, ["part", "keys"]):
-                keys = [np.frombuffer(k, "<u4") for _, k in held]
+            for (bucket,), held in by_key(batches, 1, ["part", "keys", "more"]):
+                keys = [np.frombuffer(k, "<u4") for _, k, _ in held]
+                times = [np.ones(len(k), np.int64) for k in keys]
+                for x, (_, _, more) in zip(times, held, strict=True):
+                    at, n = np.frombuffer(more, "<u4").reshape(2, -1)
+                    x[at] = n
                 whole = np.concatenate(keys)
                 order = np.argsort(whole)
-                same = whole[order][1:] == whole[order][:-1]
-                twice = np.zeros(len(whole), bool)
-                twice[order[1:][same]] = True
-                twice[order[:-1][same]] = True
+                new = changes(whole[order])
+                total = np.add.reduceat(np.concatenate(times)[order], np.flatnonzero(new)) if len(whole) else np.zeros(0, np.int64)
+                count = np.empty(len(whole), np.int64)
+                count[order] = total[np.cumsum(new) - 1]
+                count = np.minimum(count, MANY)
                 ends = np.cumsum([0, *map(len, keys)]).tolist()
-                found = [(p, np.unique(k[twice[a:b]])) for (p, _), k, a, b in zip(held, keys, ends, ends[1:], strict=False)]
-                found = [(p, k) for p, k in found if len(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([k.tobytes() for _, k in found], pa.binary())], ["part", "bucket", "keys"])
+                found = [(p, k[n > 1], n[n > 1]) for (p, _, _), k, n in zip(held, keys, [count[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True) if n.max(initial=0) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([k.tobytes() for _, k, _ in found], pa.binary()), pa.array([n.astype("<u2").tobytes() for _, _, n in found], pa.binary())], ["part", "bucket", "keys", "times"])
 
-        rows = rows.select("bucket", "part", "keys").repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
-        return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary"), "keys", "bucket", "keys")
+        rows = rows.select("bucket", "part", "keys", "more").repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
+        return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary, times binary"), "keys", "bucket", "keys", "times")
 
     def candidates(self, firsts: str, keys: str) -> DataFrame:
-        """Rows (sig, row, grp, need) for signatures that others have, of sets with enough of them, and for each such
-        set a row with sig null and its names."""
+        """Rows (sig, row) for the rarest signatures that others have, of sets with enough of them, and for each such set
+        a row with sig null and its names."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
-        names = ["sig", "row", "grp", "need", "n", "names"]
+        names = ["sig", "row", "n", "names"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             listed, live = Side(firsts), Keys(keys)
             for batch in batches:
                 for part in slices(batch, limit=slice_bytes):
-                    if not (got := sorted(listed.rows(part))):
+                    if not (listing := listed.rows(part)):
                         continue
+                    got = sorted(listing)
+                    copies = np.array([int((end - begin)[0]) for begin, end, _ in map(listing.get, got)])
                     text = part.column("text").take(pa.array(got))
                     sig, row, grp, need = signatures(Sets(text, width), percent)
-                    keep = live.has(short(sig, buckets))
-                    sig, row, grp, need = sig[keep], row[keep], grp[keep], need[keep]
-                    _, of, count = np.unique(row * 128 + grp, return_inverse=True, return_counts=True)
-                    keep = count[of] >= need
-                    sig, row, grp, need = sig[keep], row[keep], grp[keep], need[keep]
+                    times = live.count(short(sig, buckets))
+                    keep = (times > copies[row]) | (times == MANY)
+                    sig, row, need, times, group = sig[keep], row[keep], need[keep], times[keep], (row * 128 + grp)[keep]
+                    order = np.lexsort((sig, times, group))
+                    sig, row, need, group = sig[order], row[order], need[order], group[order]
+                    first = np.flatnonzero(changes(group))
+                    size = np.diff(np.append(first, len(group)))
+                    rank = np.arange(len(group)) - np.repeat(first, size)
+                    keep = rank <= np.repeat(size, size) - need  # none where there are fewer than needed
+                    sig, row = sig[keep], row[keep]
                     if not len(sig):
                         continue
                     ids = np.array(got) + listed.first
                     n, have = len(sig), np.unique(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.array(grp.astype(np.int32)), pa.array(need.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
                     sets = whole_names(text.take(pa.array(have)), width)
                     n = len(have)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[have]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[have]), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
-        return self.written(self.docs.mapInArrow(run, "sig long, row long, grp int, need int, n long, names binary"), "candidates")
+        return self.written(self.docs.mapInArrow(run, "sig long, row long, n long, names binary"), "candidates")
 
     def families(self, live: DataFrame) -> DataFrame:
         """(row, family): sets that can be similar are in one family; sets alone in theirs are left out."""
-        times = live.groupBy("sig").agg(F.count("*").alias("times")).where("times > 1")
-        own = W.partitionBy("row", "grp")
-        ranked = live.join(times, "sig").withColumns({"rank": F.row_number().over(own.orderBy("times", "sig")), "all": F.count("*").over(own)})
-        kept = self.written(ranked.where("all >= need and rank <= all - need + 1").select("sig", "row"), "rarest")
-        lead = kept.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
-        return rooted(self.components(kept.join(lead.select("sig", "b"), "sig").select(F.col("row").alias("a"), "b"))).select(F.col("a").alias("row"), F.col("b").alias("family"))
+        lead = live.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
+        return rooted(self.components(live.join(lead.select("sig", "b"), "sig").select(F.col("row").alias("a"), "b"))).select(F.col("a").alias("row"), F.col("b").alias("family"))
 
     def blocks(self, family: DataFrame, sets: DataFrame) -> DataFrame:
         """(family, band, block, row): where each set meets the others; band is -1 where a family is one block."""
@@ -491,13 +513,13 @@ def _grouped(docs: DataFrame, width: int, percent: int, slice_bytes: int, block:
     last = [scratch(j.spark, "rows"), scratch(j.spark, "classes")]
     first = j.first_pass()
     rows = written(first.where("row is not null").select("row", "doc", "n", "g1", "g2"), "rows", last[0])
-    keys = j.shared_keys(first.where("row is null").select("part", "bucket", "keys"))
+    keys = j.shared_keys(first.where("row is null"))
     removed(j.spark, j.made.pop(0))
     key = ["n", "g1", "g2"]
-    classes = j.written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row")), "classes")
-    firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.lit(1).alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
+    classes = j.written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row"), "copies"), "classes")
+    firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.col("copies").alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
     found = j.candidates(firsts, keys)
-    sets, live = found.where("sig is null").select("row", "n", "names"), found.where("sig is not null").select("sig", "row", "grp", "need")
+    sets, live = found.where("sig is null").select("row", "n", "names"), found.where("sig is not null").select("sig", "row")
     label = j.linked(j.families(live), sets)
 
     own = F.struct("doc", "row")
