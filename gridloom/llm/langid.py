@@ -199,11 +199,11 @@ def held_out(doc_id: str = "doc_id"):
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows with text, lang and doc_id that aren't held out: about `sample` rows of each language, whatever
-    languages there are."""
+    languages there are. Each language's share is a row that is broadcast, where its part of the model has 2^17 values."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     share = rows.groupBy("lang").agg((F.lit(sample) / F.count("*")).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    got = picked.select("text", "lang").orderBy("doc_id").toArrow().to_pydict()
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    got = picked.select("text", "lang").toArrow().to_pydict()
     return Model(got["text"], got["lang"])
 
 
