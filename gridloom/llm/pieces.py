@@ -2,14 +2,16 @@
 
 Texts are cut where no piece can span: before a character whose pair with the one before occurs in no piece. What lies
 between are units; a unit is encoded once however often it occurs.
-1. Each task emits the distinct units of each block of texts.
+1. Each task emits the distinct units of its texts, an epoch (as many units as a worker should hold) at a time.
 2. Distinct units are exploded into substrings of bounded length, equi-joined to the piece table (of the vocabulary's
    size, so it is broadcast), and the edges that are found are grouped by unit again, without another exchange.
 3. A higher-order aggregate folds each unit's lattice: for a unigram model by Viterbi (the best sum of scores over
    the edges that end at each place); for a BPE model, whose results are not those of the best sum, by merges (the
-   adjacent pair with the best edge joins, the leftmost of equal ones, until none is left).
-4. The pieces of each block's units go beside its input partition, and a second pass over the texts puts them in
-   order. Texts and ids are never exchanged.
+   adjacent pair with the best edge joins, the leftmost of equal ones, until none is left). Merges need one pass over the
+   edges by rank, with the boundaries as the bits of a number, unless a merge makes one possible that comes before it:
+   that is seen, and the unit is folded step by step.
+4. A unit's boundaries and its longer pieces go beside its input partition, and a second pass over the texts puts them
+   in order. Texts and ids are never exchanged.
 Units of one character, and units longer than LONG, are encoded by the same rule in the worker that reads them.
 """
 
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import raw, slices
 from gridloom.llm.repeats import beside, stable
-from gridloom.llm.session import scratch, ship, tasks, written
+from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 SPACE = "▁"
-#: Most characters of a unit that is encoded relationally; ids are below 2**20.
-LONG = 40
+#: Most characters of a unit that is encoded relationally (places are bits of a number), and units of an epoch.
+LONG, EPOCH = 60, 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -69,6 +71,7 @@ class Pieces:
         self.score = {self.text[i]: m.pieces[i].score for i in normal}
         order = sorted(normal, key=lambda i: (-m.pieces[i].score, i))
         self.rank = {self.text[i]: r for r, i in enumerate(order)}
+        self.by_rank = np.array(order, np.int64)
         self.longest = max(len(self.text[i]) for i in normal)
         self.worst = min(self.score.values()) - 10.0
         chars = sorted({c for i in normal if len(self.text[i]) > 1 for c in self.text[i]})
@@ -81,6 +84,11 @@ class Pieces:
             for a, b in zip(t, t[1:], strict=False):
                 self.joins[at[a], at[b]] = True
 
+    def late(self, t: str) -> bool:
+        """Whether a merge to t can become possible after its rank: one of two parts has a higher rank."""
+        r = self.rank[t]
+        return any(max(self.rank.get(x, -1), self.rank.get(y, -1)) > r for x, y in ((t[:k], t[k:]) for k in range(1, len(t))) if (len(x) == 1 or x in self.rank) and (len(y) == 1 or y in self.rank))
+
     def spelled(self, c: str) -> list[int]:
         """The ids of a character that no edge covers."""
         return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
@@ -184,43 +192,87 @@ class Cut:
         self.chars = np.asarray(pc.utf8_length(self.units))
 
 
+class Epochs:
+    """Numbers for the distinct units of a task's slices, from 0 in each epoch; alike in every pass."""
+
+    def __init__(self):
+        self.number = 0
+        self.known: dict[str, int] = {}
+
+    def places(self, units: list[str]) -> np.ndarray:
+        known = self.known
+        return np.fromiter((known.setdefault(u, len(known)) for u in units), np.int64, len(units))
+
+    def full(self) -> bool:
+        return len(self.known) >= EPOCH
+
+    def next(self) -> None:
+        self.number += 1
+        self.known = {}
+
+
 def _units(path: str, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part_id, block = load(path), TaskContext.get().partitionId(), 0
+        pieces, part_id, epochs = load(path), TaskContext.get().partitionId(), Epochs()
+
+        def new(first: int) -> pa.RecordBatch:
+            units = list(epochs.known)[first:]
+            n = len(units)
+            return pa.RecordBatch.from_arrays([pa.array([part_id] * n, pa.int64()), pa.array([epochs.number] * n, pa.int32()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(units, pa.string())], ["part", "epoch", "at", "unit"])
+
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
                 cut = Cut(part.column("text"), pieces)
-                at = np.flatnonzero((cut.chars > 1) & (cut.chars <= LONG))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([part_id] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array(at.astype(np.int32)), cut.units.take(pa.array(at))], ["part", "block", "at", "unit"])
-                block += 1
+                first = len(epochs.known)
+                epochs.places(cut.units.filter(pa.array((cut.chars > 1) & (cut.chars <= LONG))).to_pylist())
+                yield new(first)
+                if epochs.full():
+                    epochs.next()
 
     return run
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, rank, score) of the pieces that stand for text."""
-    rows = [(t, i, pieces.rank[t], float(pieces.score[t])) for t, i in pieces.id.items()]
-    return spark.createDataFrame(rows, "piece string, id long, rank long, score double")
+    """(piece, rank, score, late) of the pieces that stand for text."""
+    rows = [(t, pieces.rank[t], float(pieces.score[t]), pieces.kind == BPE and pieces.late(t)) for t in pieces.id]
+    return spark.createDataFrame(rows, "piece string, rank long, score double, late boolean")
 
 
 def lattice(units: DataFrame, table: DataFrame, longest: int, kind: int) -> DataFrame:
-    """(unit, n, edges): edges maps 64 * start + length to the piece there: rank * 2**20 + id for a BPE model, else
-    score and id."""
-    spots = units.select("unit", F.length("unit").alias("n")).select("unit", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("s"))
-    spots = spots.select("unit", "n", "s", F.explode(F.expr(f"sequence(1, least({longest}, n - s))")).alias("l"))
+    """(unit, n, edges) of the distinct units with any edge. For a BPE model the edges of two characters and more, as
+    (key, ends, span, late) in order of rank and place: key is 4096 * rank + 64 * start + length, ends and span have the
+    bits of the first and last boundary, and of all between. For a unigram model a map from 64 * start + length to (score,
+    rank)."""
+    least = 2 if kind == BPE else 1
+    spots = units.select("unit", F.length("unit").alias("n")).select("unit", "n", F.explode(F.expr(f"sequence(0, n - {least})")).alias("s"))
+    spots = spots.select("unit", "n", "s", F.explode(F.expr(f"sequence({least}, least({longest}, n - s))")).alias("l"))
     edges = spots.withColumn("piece", F.expr("substring(unit, s + 1, l)")).join(F.broadcast(table), "piece")
-    value = (F.shiftleft("rank", 20) + F.col("id")) if kind == BPE else F.struct("score", "id")
-    entry = F.struct((F.col("s") * 64 + F.col("l")).alias("key"), value.alias("value"))
+    place = F.col("s") * 64 + F.col("l")
+    if kind == BPE:
+        ends = F.expr("shiftleft(1L, s) | shiftleft(1L, s + l)")
+        edge = F.struct((F.col("rank") * 4096 + place).alias("key"), ends.alias("ends"), F.expr("shiftleft(2L, s + l) - shiftleft(1L, s)").alias("span"), "late")
+        return edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    entry = F.struct(place.alias("key"), F.struct("score", "rank").alias("value"))
     return edges.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
 
 
-#: Boundaries after all merges. Each step looks for the best edge over two neighbours and drops the boundary in it.
-MERGES = """
-aggregate(sequence(1, n - 1), sequence(0, n), (b, t) -> if(size(b) < 3, b,
-  element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), i -> try_element_at(edges, b[i] * 64 + b[i + 2] - b[i]) * 64 + i))),
-    q -> if(q is null, b, filter(b, (x, i) -> i <> q % 64 + 1))), 1)))
+ALL = "(shiftleft(2L, n) - 1L)"
+#: Whether an edge joins two neighbours of the boundaries in a number: both ends are there, and one place between.
+JOINS = "(({m} & {e}.span) & {e}.ends) = {e}.ends AND bit_count({m} & {e}.span) = 3"
+JOINED = "(({m} & ~{e}.span) | {e}.ends)"
+#: This bit marks a unit in which a merge became possible after its turn.
+LATE = "shiftleft(1L, 62)"
+#: One pass by rank.
+MERGES = f"""
+aggregate(edges, {ALL}, (m, e) -> if({JOINS.format(m="m", e="e")},
+  if(size(late) > 0 AND exists(late, f -> f.key < e.key AND {JOINS.format(m=JOINED.format(m="m", e="e"), e="f")}), {JOINED.format(m="m", e="e")} | {LATE}, {JOINED.format(m="m", e="e")}), m))
+"""
+#: Step by step: the first edge by rank that joins two neighbours.
+STEPS = f"""
+aggregate(sequence(2, n), {ALL}, (m, t) -> element_at(transform(array(try_element_at(filter(edges, e -> {JOINS.format(m="m", e="e")}), 1)), f -> if(f is null, m, {JOINED.format(m="m", e="f")})), 1))
 """
+#: The pieces of two characters and more, by place.
+LONGER = "transform(array_sort(transform(filter(edges, e -> (mask & e.span) = e.ends), e -> named_struct('at', e.key & 4095, 'rank', shiftright(e.key, 12)))), x -> cast(x.rank AS int))"
 #: For each place, the best score there and the start (the earliest, negated) of its last edge; then the boundaries.
 VITERBI = """
 aggregate(sequence(1, n), array(struct(cast(0 as double) as score, 0 as back)), (a, e) -> concat(a, array(
@@ -231,53 +283,125 @@ BACK = "aggregate(sequence(1, n), array(n), (b, t) -> if(b[0] = 0, b, concat(arr
 
 
 def folded(lattices: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids): an id is null where no edge covers a character."""
+    """(unit, mask, ranks): boundaries as bits, and the ranks of the pieces of two characters and more, by place."""
     if pieces.kind == BPE:
-        rows = lattices.withColumn("bounds", F.expr(MERGES))
-    else:
-        rows = lattices.withColumn("path", F.expr(VITERBI.format(longest=pieces.longest, worst=repr(pieces.worst)))).withColumn("bounds", F.expr(BACK))
-    piece = "try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i])" + ("& 1048575" if pieces.kind == BPE else ".id")
-    return rows.select("unit", F.expr(f"transform(sequence(0, size(bounds) - 2), i -> {piece})").alias("ids"))
+        rows = lattices.withColumn("late", F.expr("filter(edges, e -> e.late)")).withColumn("once", F.expr(MERGES))
+        rows = rows.withColumn("mask", F.when(F.col("once").bitwiseAND(F.expr(LATE)) == 0, F.col("once")).otherwise(F.expr(STEPS)))
+        return rows.select("unit", "mask", F.expr(LONGER).alias("ranks"))
+    rows = lattices.withColumn("path", F.expr(VITERBI.format(longest=pieces.longest, worst=repr(pieces.worst)))).withColumn("bounds", F.expr(BACK))
+    longer = "filter(transform(sequence(0, size(bounds) - 2), i -> if(bounds[i + 1] - bounds[i] > 1, cast(try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i]).rank AS int), null)), r -> r is not null)"
+    return rows.select("unit", F.expr("aggregate(bounds, 0L, (m, b) -> m | shiftleft(1L, b))").alias("mask"), F.expr(longer).alias("ranks"))
+
+
+class Found:
+    """What the side files say of the units of this task's input partition."""
+
+    def __init__(self, side: str):
+        tables = beside(side)
+        if not tables:
+            self.epoch = self.at = self.mask = self.flat = np.zeros(0, np.int64)
+            self.bound = np.zeros(1, np.int64)
+            return
+        epoch, at = (np.concatenate([np.asarray(t.column(c)) for t in tables]).astype(np.int64) for c in ("epoch", "at"))
+        mask = np.concatenate([np.asarray(t.column("mask")) for t in tables])
+        lists = pa.chunked_array([c for t in tables for c in t.column("ranks").chunks]).combine_chunks()
+        size, flat = np.asarray(pc.list_value_length(lists)).astype(np.int64), np.asarray(lists.flatten())
+        order = np.lexsort((at, epoch))
+        first = np.concatenate([[0], np.cumsum(size)])
+        self.epoch, self.at, self.mask = epoch[order], at[order], mask[order]
+        self.bound = np.concatenate([[0], np.cumsum(size[order])])
+        self.flat = flat[np.arange(self.bound[-1]) + np.repeat(first[order] - self.bound[:-1], size[order])].astype(np.int64)
+
+    def of(self, epoch: int, places: np.ndarray) -> np.ndarray:
+        """The row of each place of an epoch, or -1."""
+        a, b = np.searchsorted(self.epoch, [epoch, epoch + 1])
+        if a == b:
+            return np.full(len(places), -1)
+        i = np.minimum(a + np.searchsorted(self.at[a:b], places), b - 1)
+        return np.where(self.at[i] == places, i, -1)
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[first : first + size] of each, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
+
+
+def _ids(cut: Cut, row: np.ndarray, found: Found, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all distinct units, bounds by unit); row: of each unit in found, or -1."""
+    size = cut.chars.astype(np.int64)
+    whole = (size > LONG).nonzero()[0]
+    mask = np.full(len(size), -1, np.int64)
+    mask[row >= 0] = found.mask[row[row >= 0]]
+    mask[whole] = 1
+    c = np.frombuffer("".join(cut.units.to_pylist()).encode("utf-32-le"), np.uint32)
+    first = np.cumsum(size) - size
+    place = np.arange(len(c)) - np.repeat(first, size)
+    begin = (np.repeat(mask, size) >> np.minimum(place, 63)) & 1 == 1
+    if len(whole):
+        begin[np.repeat(size > LONG, size) & (place > 0)] = False
+    start = np.flatnonzero(begin)
+    owner = np.repeat(np.arange(len(size)), size)[start]
+    width = np.diff(np.append(start, len(c)))
+    # spellings: all ids, then those of characters without a piece, then of long units
+    table: list[int] = list(range(len(pieces.text)))
+    at, n = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
+    longer = (width > 1) & (size[owner] <= LONG)
+    have = row[row >= 0]
+    ranks = gathered(found.flat, found.bound[have], found.bound[have + 1] - found.bound[have])
+    if len(ranks) != int(longer.sum()):
+        raise RuntimeError("the input's rows came in other slices in this pass; write it to a table first")
+    at[longer] = pieces.by_rank[ranks]
+    one = width == 1
+    points, of = np.unique(c[start[one]], return_inverse=True)
+    spot, many = np.zeros(len(points), np.int64), np.ones(len(points), np.int64)
+    for i, p in enumerate(points.tolist()):
+        x = pieces.id.get(chr(p))
+        if x is not None:
+            spot[i] = x
+        else:
+            ids = pieces.spelled(chr(p))
+            spot[i], many[i] = len(table), len(ids)
+            table += ids
+    at[one], n[one] = spot[of], many[of]
+    head = np.flatnonzero((size[owner] > LONG) & (width > 1))
+    for i in head.tolist():
+        ids = pieces.encoded(cut.units[int(owner[i])].as_py())
+        at[i], n[i] = len(table), len(ids)
+        table += ids
+    flat = gathered(np.array(table, np.int64), at, n)
+    per = np.bincount(owner, n, len(size)).astype(np.int64)
+    return flat.astype("<u4"), np.concatenate([[0], np.cumsum(per)])
 
 
 def _ordered(path: str, side: str, slice_bytes: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, block = load(path), 0
-        tables = beside(side)
-        known = pa.concat_tables(tables).sort_by([("block", "ascending"), ("at", "ascending")]).combine_chunks() if tables else None
-        blocks = np.asarray(known.column("block")) if tables else np.zeros(0, np.int32)
+        pieces, epochs, found = load(path), Epochs(), Found(side)
+        spell = _spelling(path)
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
                 cut = Cut(part.column("text"), pieces)
-                a, b = np.searchsorted(blocks, [block, block + 1]).tolist()
-                block += 1
-                lists: list[list[int] | None] = [None] * len(cut.units)
-                if a < b:
-                    own = known.slice(a, b - a)
-                    for at, ids in zip(own.column("at").to_pylist(), own.column("ids").to_pylist(), strict=True):
-                        if ids is not None and None not in ids:
-                            lists[at] = ids
-                for i, x in enumerate(lists):
-                    if x is None:
-                        lists[i] = pieces.encoded(cut.units[i].as_py())
-                size = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((i for x in lists for i in x), "<u4", int(size.sum()))
-                base = np.concatenate([[0], np.cumsum(size)])
-                count = size[cut.index]
-                ends = np.concatenate([[0], np.cumsum(count)])
-                ids = flat[np.arange(ends[-1]) + np.repeat(base[cut.index] - ends[:-1], count)]
-                bound = ends[cut.bound]
-                # decode: the bytes of each id, put together
-                spell = _spelling(path)
-                width = spell[1][ids]
-                stop = np.concatenate([[0], np.cumsum(width)])
-                data = spell[0][np.arange(stop[-1]) + np.repeat(spell[2][ids] - stop[:-1], width)]
+                some = (cut.chars > 1) & (cut.chars <= LONG)
+                row = np.full(len(cut.units), -1)
+                row[some] = found.of(epochs.number, epochs.places(cut.units.filter(pa.array(some)).to_pylist()))
+                if epochs.full():
+                    epochs.next()
+                flat, base = _ids(cut, row, found, pieces)
+                count = np.diff(base)[cut.index]
+                ids = gathered(flat, base[cut.index], count)
+                bound = np.concatenate([[0], np.cumsum(count)])[cut.bound]
+                # decode: the bytes of each id, put together, some rows at a time
                 rows = []
-                for r in range(part.num_rows):
-                    x, y = int(bound[r]), int(bound[r + 1])
-                    text = data[stop[x] : stop[y]].tobytes()
-                    text = text[1:] if pieces.prefix and text[:1] == b" " else text
-                    rows.append((y - x, zlib.crc32(ids[x:y]), hashlib.sha256(text).hexdigest(), ids[x:y].tolist() if texts else None, text.decode("utf-8", "replace") if texts else None))
+                for lo in range(0, part.num_rows, 256):
+                    hi = min(lo + 256, part.num_rows)
+                    own = ids[bound[lo] : bound[hi]]
+                    data = gathered(spell[0], spell[2][own], spell[1][own])
+                    stop = np.concatenate([[0], np.cumsum(spell[1][own])])
+                    for r in range(lo, hi):
+                        x, y = int(bound[r]), int(bound[r + 1])
+                        text = data[stop[x - bound[lo]] : stop[y - bound[lo]]].tobytes()
+                        text = text[1:] if pieces.prefix and text[:1] == b" " else text
+                        rows.append((y - x, zlib.crc32(ids[x:y]), hashlib.sha256(text).hexdigest(), ids[x:y].tolist() if texts else None, text.decode("utf-8", "replace") if texts else None))
                 out = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())]
                 names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"]
                 if texts:
@@ -302,17 +426,19 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slic
     texts also the ids and the decoded text.
 
     Ids are those of the model's library without begin and end. Decoding gives the text back (U+2581 comes back as a
-    space). A null or empty text has no pieces. Repeated rows keep a row each; an empty table gives no rows.
+    space). A null or empty text has no pieces. Repeated rows keep a row each; an empty table gives no rows; other columns
+    are ignored, whatever their names; a very long text is a slice of its own.
     """
     spark = docs.sparkSession
     ship(spark)
     path = model or default_path()
     pieces = load(path)
     docs = stable(docs, []).select("doc_id", "text")
-    rows = written(docs.mapInArrow(_units(path, slice_bytes), "part long, block int, at int, unit string"), "units")
+    place = scratch(spark, "units")
+    rows = written(docs.mapInArrow(_units(path, slice_bytes), "part long, epoch int, at int, unit string"), "units", place)
     found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces.longest, pieces.kind), pieces)
-    met = rows.join(written(found, "pieces"), "unit").select("part", "block", "at", "ids")
     side = scratch(spark, "pieces")
-    met.repartition(tasks(spark), "part").write.partitionBy("part").parquet(side)
+    rows.join(found, "unit").select("part", "epoch", "at", "mask", "ranks").repartition(tasks(spark), "part").write.partitionBy("part").option("compression", "zstd").parquet(side)
+    removed(spark, place)
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
     return docs.mapInArrow(_ordered(path, side, slice_bytes, texts), schema)
