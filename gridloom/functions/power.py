@@ -17,6 +17,23 @@ CURVES = {
 LINEAR = [0.0, 0.25, 0.5, 0.75, 1.0]
 IDLE, NULL_LEVEL, ONLINE_FLOOR, PUE = 0.20, 0.3, 0.43, 1.2
 HOST_IDLE, HOST_PEAK = 1.5, 4.0
+TDP_RANGES = {"A100": (300.0, 460.0), "A800": (300.0, 460.0)}
+TDP_SPREAD, XPU_RANGE = 0.15, (250.0, 700.0)
+PARAMETERS = {
+    "phi": ((0.15, 0.25), 0.20), "null_level": ((0.1, 0.5), 0.3), "pue": ((1.1, 1.4), 1.2), "online_floor": ((0.35, 0.50), 0.43),
+    "host_idle": ((1.0, 2.0), 1.5), "host_peak": ((3.0, 6.0), 4.0), "family": ((0.0, 1.0), 0.0),
+}
+ELIGIBILITY = ("conservative", "central", "liberal")
+BOUNDARIES = ("attributed", "idle_retained", "node_sleep")
+
+
+def configured(config: dict) -> dict:
+    """The parameters of a configuration: base values of the model where it has none of its own. A value may be a number
+    or have a base and a range."""
+    base = lambda x: x["base"] if isinstance(x, dict) else x
+    names = {"phi": "idle_frac", "null_level": "null_util_g", "pue": "pue", "online_floor": "online_floor_frac"}
+    out = {n: float(base(config.get(key, default))) for (n, key), (_, default) in zip(names.items(), (PARAMETERS[n] for n in names), strict=True)}
+    return out | {"tdp": {k: float(base(v)) for k, v in config.get("gpu_tdp_w", {}).items()}}
 
 
 def hinges(values: list[float], knots: list[float] = KNOTS) -> list[float]:
@@ -57,9 +74,21 @@ def energy(phi: Column | float = IDLE, null_level: Column | float = NULL_LEVEL)
     return tdp() * phi * F.col("gpu_hours"), tdp() * (1 - phi) * level
 
 
-def layer() -> Column:
-    shift = (F.col("priority_class") == "HP") & F.col("job_type").isin("training", "offline_inference")
-    return F.when(F.col("state") == "Standby", "standby").when(F.col("priority_class") == "LP", "curtail").when(shift, "shift").otherwise("floor")
+#: Who may be curtailed, as conditions on a row.
+CURTAILED = {
+    "conservative": "priority_class = 'LP' AND job_type IN ('training', 'offline_inference')",
+    "central": "priority_class = 'LP'",
+    "liberal": "priority_class = 'LP' OR (priority_class = 'HP' AND job_type = 'offline_inference')",
+}
+
+
+def layer_sql(eligibility: str = "central") -> str:
+    return f"CASE WHEN state = 'Standby' THEN 'standby' WHEN {CURTAILED[eligibility]} THEN 'curtail' WHEN priority_class = 'HP' AND job_type IN ('training', 'offline_inference') THEN 'shift' ELSE 'floor' END"
+
+
+def layer(eligibility: str = "central") -> Column:
+    """The layer of flexibility of a row; the first that fits."""
+    return F.expr(layer_sql(eligibility))
 
 
 def curtailed(boundary: str) -> Column:
@@ -71,11 +100,11 @@ def curtailed(boundary: str) -> Column:
 TDP_SQL = "CASE WHEN spec LIKE 'XPU%' THEN 475.0 " + " ".join(f"WHEN spec = '{k}' THEN {v}" for k, v in TDP.items()) + " ELSE 400.0 END"
 
 
-def _on_sql(values: list[float]) -> str:
-    return "(" + " + ".join(f"{c!r}::DOUBLE * {s}" for c, s in zip(hinges(values), ["s0", "s25", "s50", "s75"], strict=True)) + ")"
+def on_sql(values: list[float]) -> str:
+    return "(" + " + ".join(f"cast({c!r} AS DOUBLE) * {s}" for c, s in zip(hinges(values), ["s0", "s25", "s50", "s75"], strict=True)) + ")"
 
 
-UTILISED_SQL = "CASE " + " ".join(f"WHEN job_type = '{k}' THEN {_on_sql(v)}" for k, v in CURVES.items()) + f" ELSE {_on_sql(LINEAR)} END"
+UTILISED_SQL = "CASE " + " ".join(f"WHEN job_type = '{k}' THEN {on_sql(v)}" for k, v in CURVES.items()) + f" ELSE {on_sql(LINEAR)} END"
 
 
 def active_sql(phi: str = str(IDLE), null_level: str = str(NULL_LEVEL)) -> str:
@@ -84,4 +113,8 @@ def active_sql(phi: str = str(IDLE), null_level: str = str(NULL_LEVEL)) -> str:
     return f"{TDP_SQL} * (1 - {phi}) * CASE WHEN state = 'Standby' THEN 0 WHEN job_type = 'online_inference' THEN {c0} * gpu_hours + (1 - {c0} / 0.55) * {level} ELSE {level} END"
 
 
-LAYER_SQL = "CASE WHEN state = 'Standby' THEN 'standby' WHEN priority_class = 'LP' THEN 'curtail' WHEN priority_class = 'HP' AND job_type IN ('training', 'offline_inference') THEN 'shift' ELSE 'floor' END"
+LAYER_SQL = layer_sql()
+
+
+def curve_sql(u: str, values: list[float]) -> str:
+    return "(" + " + ".join(f"{c!r}::DOUBLE * greatest({u} - {k}, 0)" for c, k in zip(hinges(values), KNOTS, strict=False)) + ")"

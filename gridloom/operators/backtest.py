@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def origins(m: DataFrame, h: int, train: int, test: int, at: Iterable[int], low: float) -> DataFrame:
-    """Test windows (o, t, m) of each origin with the level k that its training windows set (and their number)."""
-    o = m.sparkSession.createDataFrame([(int(x),) for x in at], "o long")
-    both = m.select("t", "m").join(F.broadcast(o), (F.col("t") >= F.col("o") - train) & (F.col("t") + h <= F.col("o") + test))
+def origins(m: DataFrame, h: int, train: int, test: int, at: DataFrame, low: float) -> DataFrame:
+    """Test windows (o, t, m) of each origin of at (o), with the level k that its training windows set and their number."""
+    both = m.select("t", "m").join(at, (F.col("t") >= F.col("o") - train) & (F.col("t") + h <= F.col("o") + test))
     before = both.where(F.col("t") + h <= F.col("o")).groupBy("o").agg(F.percentile("m", F.lit(low)).alias("k"), F.count("*").alias("n_train"))
-    return both.where("t >= o").join(F.broadcast(before), "o")
+    return both.where("t >= o").join(before, "o")
 
 
 def derating(tests: DataFrame, alpha: float, least: float = 0.3, most: float = 1.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators.resample import drawn, numbered
 from gridloom.operators.rolling import filled, minima, over, supported
 
 
@@ -31,7 +32,7 @@ def complete(rows: DataFrame, unit: str, keys: Sequence[str] = ()) -> DataFrame:
     """The rows of hours in which every unit has a residual."""
     units = rows.groupBy(*keys).agg(F.countDistinct(unit).alias("units"))
     hours = rows.groupBy(*keys, "t").agg(F.count("r").alias("have"))
-    good = hours.join(F.broadcast(units), list(keys)) if keys else hours.crossJoin(F.broadcast(units))
+    good = hours.join(units, list(keys)) if keys else hours.crossJoin(units)
     return rows.join(good.where("have = units").select(*keys, "t"), [*keys, "t"])
 
 
@@ -60,24 +61,37 @@ def excess(rows: DataFrame, unit: str) -> DataFrame:
     return s.crossJoin(f).select(F.round(F.col("v") / F.col("s2") - 1, 6).alias("excess"), F.round(F.sqrt(F.col("v") / F.col("s2")), 6).alias("sync"), F.round((F.col("v") - F.col("s2")) / (F.col("s1") * F.col("s1") - F.col("s2")), 6).alias("rho_w"), F.round("hhi", 6).alias("hhi"))
 
 
-def subsets(rows: DataFrame, unit: str) -> DataFrame:
-    """(p, unit, n): every set of units, p being its bits; for a few units (at most 20)."""
-    names = [r[0] for r in rows.select(unit).distinct().orderBy(unit).limit(21).collect()]
-    if len(names) > 20:
-        raise ValueError("too many units to enumerate their sets")
-    o = rows.sparkSession.createDataFrame([(c, i) for i, c in enumerate(names)], f"{unit} string, i int")
-    p = rows.sparkSession.range(1, 1 << len(names)).withColumnRenamed("id", "p")
-    return p.join(F.broadcast(o), F.expr("shiftright(p, i) & 1 = 1")).select("p", unit, F.bit_count("p").cast("long").alias("n"))
+#: Units up to which all their sets are taken, and sets of each size drawn beyond that.
+ENUMERATED, DRAWN = 14, 200
+
+
+def subsets(rows: DataFrame, unit: str, most: int = ENUMERATED, draws: int = DRAWN, seed: int = 5) -> DataFrame:
+    """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` sets of each size drawn
+    without replacement, as a reference of its own for each size, and p is a number. Units are numbered in the plan."""
+    o = numbered(rows, unit)
+    size = o.agg(F.count("*").alias("units"))
+    whole = size.where(F.col("units") <= most).select(F.explode(F.expr(f"sequence(1L, shiftleft(1L, cast(least(units, {most}) AS int)) - 1)")).alias("p"))
+    whole = whole.join(o, F.expr("shiftright(p, cast(u AS int)) & 1 = 1")).select("p", unit, F.bit_count("p").cast("long").alias("n"))
+    some = size.where(F.col("units") > most).select(F.explode(F.expr("sequence(1L, units)")).alias("n")).crossJoin(rows.sparkSession.range(draws)).withColumn("p", F.col("n") * draws + F.col("id"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(drawn("p", "u", seed), "u"))
+    some = some.crossJoin(o).withColumn("rank", rank).where("rank <= n").select("p", unit, "n")
+    return whole.unionByName(some)
+
+
+def pairs(rows: DataFrame, unit: str, value: str, keys: Sequence[str] = (), every: bool = False) -> DataFrame:
+    """(keys, t, a, b, x, y) for units a < b of an hour, or for all a and b. Units are few: clusters, not rows."""
+    a, b = rows.select(*keys, "t", F.col(unit).alias("a"), F.col(value).alias("x")), rows.select(*keys, "t", F.col(unit).alias("b"), F.col(value).alias("y"))
+    both = a.join(b, [*keys, "t"])
+    return both if every else both.where("a < b")
 
 
 def covariances(x: DataFrame, unit: str) -> DataFrame:
-    a, b = x.select(F.col(unit).alias("a"), "t", F.col("r").alias("x")), x.select(F.col(unit).alias("b"), "t", F.col("r").alias("y"))
-    return a.join(b, "t").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"))
+    return pairs(x, unit, "r", every=True).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"))
 
 
 def portfolios(rows: DataFrame, unit: str) -> DataFrame:
     cv, m = covariances(complete(rows, unit), unit), subsets(rows, unit).where("n >= 2")
-    both = m.select("p", "n", F.col(unit).alias("a")).join(m.select("p", F.col(unit).alias("b")), "p").join(F.broadcast(cv), ["a", "b"])
+    both = m.select("p", "n", F.col(unit).alias("a")).join(m.select("p", F.col(unit).alias("b")), "p").join(cv, ["a", "b"])
     own = F.col("a") == F.col("b")
     z = both.groupBy("p", "n").agg(F.sum("c").alias("v"), F.sum(F.when(own, F.col("c"))).alias("s2"), F.sum(F.when(own, F.sqrt("c"))).alias("s1"))
     return z.select("p", "n", F.round(F.sqrt(F.col("v") / F.col("s2")), 6).alias("ratio"), F.round((F.col("v") - F.col("s2")) / (F.col("s1") * F.col("s1") - F.col("s2")), 6).alias("rho_w"))
@@ -85,7 +99,7 @@ def portfolios(rows: DataFrame, unit: str) -> DataFrame:
 
 def pooled(series: DataFrame, members: DataFrame, unit: str, key: str) -> DataFrame:
     """(key, n, t, v): the sum over a portfolio's units, NULL where one is missing."""
-    s = series.join(F.broadcast(members), unit).groupBy(key, "n", "t").agg(F.count("v").alias("have"), F.sum("v").alias("x"))
+    s = series.join(members, unit).groupBy(key, "n", "t").agg(F.count("v").alias("have"), F.sum("v").alias("x"))
     return s.select(key, "n", "t", F.when(F.col("have") == F.col("n"), F.col("x")).alias("v"))
 
 

@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.resample import PRIME, drawn_numbers, numbered
+from gridloom.operators.rolling import over, supported
+
 
 def power_law(rows: DataFrame, x: str, y: str) -> DataFrame:
     p = rows.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.log10(x).alias("x"), F.log10(y).alias("y"))
@@ -31,66 +34,58 @@ def parabola(rows: DataFrame) -> DataFrame:
 
 
 def surrogates(series: DataFrame, seed: int) -> DataFrame:
-    """(cluster_id, t, v, s): s has the amplitudes of v's spectrum and random phases; gaps count as the mean."""
+    """(cluster_id, t, v, s): the trend plus a residual with the amplitudes of its own spectrum and phases drawn anew.
+
+    series: (cluster_id, t, v, trend) on a complete calendar. The phases of the mean and, for an even number of hours,
+    of the last frequency stay 0, so that all amplitudes are kept. Gaps count as the mean residual and stay gaps.
+    """
+    rows = series.join(numbered(series, "cluster_id"), "cluster_id").select("cluster_id", "u", "t", "v", "trend")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        v = pdf["v"].fillna(pdf["v"].mean()).to_numpy()
-        spectrum = np.fft.rfft(v - v.mean())
-        phase = np.random.default_rng([seed, *map(ord, pdf["cluster_id"].iloc[0])]).uniform(0, 2 * np.pi, len(spectrum))
+        r = (pdf["v"] - pdf["trend"]).to_numpy(float)
+        gap = np.isnan(r)
+        if gap.all():
+            return pdf.assign(s=np.nan)[["cluster_id", "t", "v", "s"]]
+        spectrum = np.fft.rfft(np.where(gap, np.nanmean(r), r))
+        phase = 2 * np.pi * drawn_numbers(np.arange(len(spectrum)), int(pdf["u"].iloc[0]), seed) / PRIME
         phase[0] = 0
-        return pdf.assign(s=np.fft.irfft(np.abs(spectrum) * np.exp(1j * phase), len(v)) + v.mean())[["cluster_id", "t", "v", "s"]]
+        if len(r) % 2 == 0:
+            phase[-1] = 0
+        out = np.fft.irfft(np.abs(spectrum) * np.exp(1j * phase), len(r)) + pdf["trend"].to_numpy()
+        return pdf.assign(s=np.where(gap, np.nan, out))[["cluster_id", "t", "v", "s"]]
 
-    return series.select("cluster_id", "t", "v").groupBy("cluster_id").applyInPandas(one, "cluster_id string, t long, v double, s double")
+    out = rows.groupBy("cluster_id").applyInPandas(one, "cluster_id string, t long, v double, s double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("v", "s")})
 
 
-def plateaus(days: DataFrame, least: int, spread: float) -> DataFrame:
-    """(cluster_id, first, last, mean): runs of at least `least` days whose range is at most spread times the mean."""
+def plateaus(series: DataFrame, least: int, spread: float, window: int = 168, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, first, last, mean): runs of at least `least` hours whose centred mean over a window ranges by at most spread
+    times its mean. A run starts where the last ended, or an hour after a start that doesn't reach; so it is a step for
+    each start, not a window function. The series is an hour a row on a complete calendar; gaps end a run."""
+    rows = series.select(*keys, "t", supported(F.avg("v"), "v", over(keys, -(window // 2), window - window // 2 - 1), 24).alias("v"))
+    names = [*keys, "first", "last", "mean"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        day, v = pdf["day"].to_numpy(), pdf["v"].to_numpy()
+        pdf = pdf.sort_values("t")
+        t, v = pdf["t"].to_numpy(), pdf["v"].to_numpy(float)
         out, i = [], 0
-        while i + least <= len(v):
-            j = i
-            while j < len(v) and np.ptp(v[i : j + 1]) <= spread * v[i : j + 1].mean():
+        while i < len(v):
+            j, low, high, total = i, np.inf, -np.inf, 0.0
+            while j < len(v) and not np.isnan(v[j]):
+                low, high, total = min(low, v[j]), max(high, v[j]), total + v[j]
+                if high - low > spread * total / (j - i + 1):
+                    break
                 j += 1
             if j - i >= least:
-                out.append((pdf["cluster_id"].iloc[0], int(day[i]), int(day[j - 1]), float(v[i:j].mean())))
+                out.append((*(pdf[k].iloc[0] for k in keys), int(t[i]), int(t[j - 1]), float(v[i:j].mean())))
                 i = j
             else:
                 i += 1
-        return pd.DataFrame(out, columns=["cluster_id", "first", "last", "mean"])
-
-    return days.where("v is not null").groupBy("cluster_id").applyInPandas(one, "cluster_id string, first long, last long, mean double")
-
-
-def changepoint_band(days: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
-    """(k, p5, p95): the best split of (i, v) and the band of it when blocks of residuals are drawn again; the series is
-    a row a day, so that one task has it whole."""
-
-    def best(v: np.ndarray) -> int:
-        n = len(v)
-        s, q = np.cumsum(v), np.cumsum(v * v)
-        k = np.arange(5, n - 5)
-        sse = q[k - 1] - s[k - 1] ** 2 / k + (q[-1] - q[k - 1]) - (s[-1] - s[k - 1]) ** 2 / (n - k)
-        return int(k[sse.argmin()])
+        return pd.DataFrame(out, columns=names)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("i")["v"].to_numpy()
-        if len(v) < 11 + block:
-            return pd.DataFrame({"k": [], "p5": [], "p95": []})
-        k = best(v)
-        mean = np.where(np.arange(len(v)) < k, v[:k].mean(), v[k:].mean())
-        r = np.random.default_rng(seed)
-        found = []
-        for _ in range(reps):
-            start = r.integers(0, len(v) - block + 1, -(-len(v) // block))
-            at = (start[:, None] + np.arange(block)).ravel()[: len(v)]
-            found.append(best(mean + (v - mean)[at]))
-        return pd.DataFrame({"k": [k], "p5": [float(np.quantile(found, 0.05))], "p95": [float(np.quantile(found, 0.95))]})
-
-    return days.groupBy().applyInPandas(one, "k long, p5 double, p95 double")
+    kinds = [f"{k} string" for k in keys] + ["first long", "last long", "mean double"]
+    return rows.groupBy(*keys).applyInPandas(one, ", ".join(kinds))
 
 
 def nnls(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -117,10 +112,30 @@ def nnls(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
-def hinge_curve(rows: DataFrame, knots: Sequence[float]) -> DataFrame:
-    """(knot, coefficient) of w ~ sum of coefficients times max(u - knot, 0), plus a constant, none negative."""
-    basis = [F.lit(1.0), *[F.greatest(F.col("u") - k, F.lit(0.0)) for k in knots]]
+def increments(u: str, knots: Sequence[float], width: float) -> list[Column]:
+    """1, and how far u is into the segment after each knot, from 0 to 1: non-negative weights of these make any curve
+    that doesn't fall, a saturating one too."""
+    return [F.lit(1.0), *[F.least(F.greatest((F.col(u) - k) / width, F.lit(0.0)), F.lit(1.0)) for k in knots]]
+
+
+def gram(rows: DataFrame, basis: Sequence[Column], y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, g, b, n): the sums of a least-squares problem as arrays; sums of these are those of the rows together."""
     n = len(basis)
-    sums = rows.agg(*[F.sum(basis[i] * basis[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(n)], *[F.sum(basis[i] * F.col("w")).alias(f"b{i}") for i in range(n)]).first()
-    x = nnls(np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(n)] for i in range(n)]), np.array([sums[f"b{i}"] or 0.0 for i in range(n)]))
-    return rows.sparkSession.createDataFrame([(float(k), float(c)) for k, c in zip([-1.0, *knots], x, strict=True)], "knot double, coefficient double")
+    sums = rows.groupBy(*keys).agg(*[F.sum(basis[i] * basis[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(n)], *[F.sum(basis[i] * F.col(y)).alias(f"b{i}") for i in range(n)], F.count("*").alias("n"))
+    return sums.select(*keys, F.array(*[F.coalesce(F.col(f"g{i}_{j}"), F.lit(0.0)) for i in range(n) for j in range(n)]).alias("g"), F.array(*[F.coalesce(F.col(f"b{i}"), F.lit(0.0)) for i in range(n)]).alias("b"), "n")
+
+
+def solved(sums: DataFrame, keys: str = "") -> DataFrame:
+    """(keys, i, x): the non-negative solution of each row of gram()."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for _, r in pdf.iterrows():
+                b = np.asarray(r["b"], float)
+                x = nnls(np.asarray(r["g"], float).reshape(len(b), len(b)), b)
+                rows += [(*[r[k] for k in names], i, float(v)) for i, v in enumerate(x)]
+            yield pd.DataFrame(rows, columns=[*names, "i", "x"])
+
+    names = [k.split()[0] for k in keys.split(", ")] if keys else []
+    return sums.mapInPandas(run, (f"{keys}, " if keys else "") + "i long, x double")

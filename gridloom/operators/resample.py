@@ -1,48 +1,87 @@
-"""Resampling. Random numbers are drawn on the driver and shipped as small tables, so that any engine gets the same."""
+"""Resampling. Random numbers come from a rule on whole numbers, for as many draws and units as there are, so that any
+engine gets the same."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.rolling import minima
+from gridloom.operators.rolling import minima, span
+
+PRIME = 2147483647
+STEPS = 4
+
+
+def drawn_sql(a: str, b: str, seed: int, xor: str = "xor({x}, {x} >> 13)") -> str:
+    """A whole number from 0 up to PRIME that looks random, for whole numbers a and b."""
+    x = f"(({a} * 7919 + {b} * 104729 + {seed * 1299709 + 12345}) % {PRIME})"
+    for _ in range(STEPS):
+        x = f"(({xor.format(x=x)} * 48271) % {PRIME})"
+    return x
+
+
+def drawn(a: str, b: str, seed: int) -> Column:
+    x = F.expr(f"(cast({a} AS bigint) * 7919 + {b} * 104729 + {seed * 1299709 + 12345}) % {PRIME}")
+    for _ in range(STEPS):
+        x = (x.bitwiseXOR(F.shiftright(x, 13)) * 48271) % PRIME
+    return x
+
+
+def drawn_numbers(a: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """drawn() on an array."""
+    x = (np.asarray(a, np.int64) * 7919 + b * 104729 + seed * 1299709 + 12345) % PRIME
+    for _ in range(STEPS):
+        x = (x ^ (x >> 13)) * 48271 % PRIME
+    return x
+
+
+def uniform_sql(a: str, b: str, seed: int) -> str:
+    return f"({drawn_sql(a, b, seed)} / {PRIME}.0::DOUBLE)"
+
+
+def uniform(a: str, b: str, seed: int) -> Column:
+    return drawn(a, b, seed) / F.lit(float(PRIME))
 
 
-def shifts(draws: int, units: int, hours: int, seed: int = 0) -> list[tuple[int, int, int]]:
-    """(draw, unit, shift)"""
-    r = np.random.default_rng(seed)
-    return [(d, u, int(k)) for d in range(draws) for u, k in enumerate(r.integers(0, hours, units))]
+def numbered(units: DataFrame, unit: str) -> DataFrame:
+    """(unit, u): the units by name, from 0."""
+    return units.select(unit).distinct().withColumn("u", F.row_number().over(Window.orderBy(unit)).cast("long") - 1)
 
 
-def blocks(reps: int, hours: int, block: int, seed: int = 0) -> list[tuple[int, int, int]]:
-    """(rep, first position, source hour) of moving blocks; the last is cut at the end."""
-    r = np.random.default_rng(seed)
-    n = -(-hours // block)
-    return [(i, j * block, int(s)) for i in range(reps) for j, s in enumerate(r.integers(0, hours - block + 1, n))]
+def picks(units: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, i, u): as many units as there are (numbered by u), drawn with replacement."""
+    n = units.agg(F.count("*").alias("units"))
+    rows = units.select(F.col("u").alias("i")).crossJoin(n).crossJoin(units.sparkSession.range(reps).withColumnRenamed("id", "rep"))
+    return rows.select("rep", "i", (drawn("rep", "i", seed) % F.col("units")).alias("u"))
 
 
-def block_index(spark: SparkSession, table: list[tuple[int, int, int]], hours: int, block: int) -> DataFrame:
-    """(rep, pos, src)"""
-    b = spark.createDataFrame(table, "rep long, first long, source long")
-    return b.select("rep", F.explode(F.expr(f"transform(sequence(0, least({block}, {hours} - first) - 1), i -> struct(first + i AS pos, source + i AS src))")).alias("x")).select("rep", "x.pos", "x.src")
+def block_index(hours: DataFrame, reps: int, block: int, seed: int, circular: bool = False) -> DataFrame:
+    """(rep, pos, src) of moving blocks over a calendar (lo, n); the last is cut at the end. Circular blocks may start at
+    any hour and go on at the first."""
+    starts = F.col("n") if circular else F.col("n") - block + 1
+    b = hours.where(F.col("n") >= block).crossJoin(hours.sparkSession.range(reps).withColumnRenamed("id", "rep")).select("lo", "n", "rep", F.explode(F.expr(f"sequence(0L, (n + {block} - 1) div {block} - 1)")).alias("j"))
+    b = b.withColumn("source", drawn("rep", "j", seed) % starts).select("lo", "n", "rep", "j", "source", F.explode(F.expr(f"sequence(0, {block} - 1)")).alias("i"))
+    b = b.withColumn("pos", F.col("j") * block + F.col("i")).where("pos < n")
+    return b.select("rep", "pos", (F.col("lo") + (F.col("source") + F.col("i")) % F.col("n")).alias("src"))
 
 
-def decorrelated(series: DataFrame, unit: str, table: list[tuple[int, int, int]], hours: int) -> DataFrame:
-    """(draw, t, v): the sum over units of the trend and a residual that is rolled by the draw's shift, at least 0; an
-    hour with a missing term is missing. series: (unit, t, v, trend)."""
-    spark = series.sparkSession
-    names = series.select(unit).distinct().withColumn("u", F.row_number().over(Window.orderBy(unit)).cast("long") - 1)
-    s = spark.createDataFrame(table, "draw long, u long, shift long")
-    moves = F.broadcast(s.join(names, "u"))
-    rolled = series.select(unit, "t", (F.col("v") - F.col("trend")).alias("r")).join(moves, unit).select("draw", unit, F.pmod(F.col("t") + F.col("shift"), F.lit(hours)).alias("t"), "r")
-    both = rolled.join(series.select(unit, "t", "trend"), [unit, "t"])
-    sums = both.withColumn("x", F.col("r") + F.col("trend")).groupBy("draw", "t").agg(F.sum("x").alias("x"), F.count("x").alias("have"), F.count("*").alias("units"))
-    return sums.select("draw", "t", F.when(F.col("have") == F.col("units"), F.greatest("x", F.lit(0.0))).alias("v"))
+def decorrelated(series: DataFrame, unit: str, draws: int, seed: int, step: int = 1, clip: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, draw, t, v): the sum over units of the trend and a residual that is rolled by the draw's shift (a multiple of
+    step hours), at least 0; an hour with a missing term is missing. series: (keys, unit, t, v, trend)."""
+    moves = numbered(series, unit).crossJoin(series.sparkSession.range(draws).withColumnRenamed("id", "draw")).crossJoin(span(series))
+    moves = moves.withColumn("shift", step * (drawn("draw", "u", seed) % F.greatest(F.expr(f"n div {step}"), F.lit(1))))
+    rolled = series.select(*keys, unit, "t", (F.col("v") - F.col("trend")).alias("r")).join(moves, unit).select(*keys, "draw", unit, (F.col("lo") + (F.col("t") - F.col("lo") + F.col("shift")) % F.col("n")).alias("t"), "r")
+    both = rolled.join(series.select(*keys, unit, "t", "trend"), [*keys, unit, "t"])
+    sums = both.withColumn("x", F.col("r") + F.col("trend")).groupBy(*keys, "draw", "t").agg(F.sum("x").alias("x"), F.count("x").alias("have"), F.count("*").alias("units"))
+    x = F.greatest("x", F.lit(0.0)) if clip else F.col("x")
+    return sums.select(*keys, "draw", "t", F.when(F.col("have") == F.col("units"), x).alias("v"))
 
 
-def benchmark(series: DataFrame, unit: str, table: list[tuple[int, int, int]], hours: int, h: int, low: float) -> DataFrame:
+def benchmark(series: DataFrame, unit: str, draws: int, seed: int, h: int, low: float) -> DataFrame:
     """(k): the dependable load of decorrelated sums, its mean over the draws."""
-    k = minima(decorrelated(series, unit, table, hours), [h], ["draw"]).groupBy("draw").agg(F.percentile("m", F.lit(low)).alias("k"))
+    k = minima(decorrelated(series, unit, draws, seed), [h], ["draw"]).groupBy("draw").agg(F.percentile("m", F.lit(low)).alias("k"))
     return k.agg(F.avg("k").alias("k"))

@@ -4,28 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.sources.tables import HOURS
 
 
-def spine(spark: SparkSession, hours: int = HOURS) -> DataFrame:
-    return spark.range(hours).select(F.col("id").alias("t"))
+def span(series: DataFrame) -> DataFrame:
+    """(lo, n): the first hour and the number of hours of the calendar; no row if there is none."""
+    return series.agg(F.min("t").alias("lo"), (F.max("t") - F.min("t") + 1).alias("n")).where("lo is not null")
 
 
-def fleet(tele: DataFrame, value: Column | None = None, hours: int = HOURS) -> DataFrame:
+def spine(sums: DataFrame) -> DataFrame:
+    """(t): every hour from the first to the last."""
+    return span(sums).select(F.explode(F.expr("sequence(lo, lo + n - 1)")).alias("t"))
+
+
+def dense(sums: DataFrame) -> DataFrame:
+    """Rows by hour with the hours between them, whose other columns are NULL: each row is followed by its gap, so that
+    neither the calendar nor a join is needed."""
+    others = [c for c in sums.columns if c != "t"]
+    gap = F.expr("sequence(t, coalesce(_next, t + 1) - 1)")
+    rows = sums.withColumn("_next", F.lead("t").over(Window.orderBy("t"))).select(F.explode(gap).alias("_t"), "t", *others)
+    return rows.select(F.col("_t").alias("t"), *[F.when(F.col("_t") == F.col("t"), F.col(c)).alias(c) for c in others])
+
+
+def fleet(tele: DataFrame, value: Column | None = None) -> DataFrame:
     """(t, v): the sum by hour, NULL in hours without rows."""
-    sums = tele.groupBy("t").agg(F.sum(F.col("w") if value is None else value).alias("v"))
-    return spine(tele.sparkSession, hours).join(sums, "t", "left")
+    return dense(tele.where("t is not null").groupBy("t").agg(F.sum(F.col("w") if value is None else value).alias("v")))
 
 
-def lanes(tele: DataFrame, value: Column | None = None, hours: int = HOURS) -> DataFrame:
+def lanes(tele: DataFrame, value: Column | None = None, unit: str = "cluster_id") -> DataFrame:
     """(cluster_id, t, v): as fleet(), for each cluster."""
-    sums = tele.groupBy("cluster_id", "t").agg(F.sum(F.col("w") if value is None else value).alias("v"))
-    grid = tele.select("cluster_id").where("cluster_id is not null").distinct().crossJoin(F.broadcast(spine(tele.sparkSession, hours)))
-    return grid.join(sums, ["cluster_id", "t"], "left")
+    sums = tele.groupBy(unit, "t").agg(F.sum(F.col("w") if value is None else value).alias("v"))
+    grid = sums.select(unit).where(F.col(unit).isNotNull()).distinct().crossJoin(spine(sums))
+    return grid.join(sums, [unit, "t"], "left")
 
 
 def over(keys: Sequence[str], first: int, last: int, order: str = "t"):

@@ -38,8 +38,10 @@ def spans(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.sum("w").alias("gh"))
 
 
-def tolerance(rows: DataFrame, keys: Sequence[str], delay: str, w: str, least: Sequence[int]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.round(F.sum(F.when(F.col(delay) >= x, F.col(w))) / F.sum(w), 6).alias(f"s_{x}") for x in least])
+def tolerance(rows: DataFrame, keys: Sequence[str], delay: str, w: str, least: Sequence[int], digits: int | None = 6) -> DataFrame:
+    """(keys, s_x ...): the share of weight whose delay is at least x."""
+    share = lambda x: F.sum(F.when(F.col(delay) >= x, F.col(w))) / F.sum(w)
+    return rows.groupBy(*keys).agg(*[(share(x) if digits is None else F.round(share(x), digits)).alias(f"s_{x}") for x in least])
 
 
 def with_match(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -84,16 +86,28 @@ def concentration(rows: DataFrame, keys: Sequence[str], part: str, w: str) -> Da
 
 
 def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """An inner join that raises if right has a key twice; the check rides on the aggregate that removes repeats."""
-    once = right.groupBy(key).agg(F.count("*").alias("_n"))
+    """An inner join that raises if right has a key twice; the count by key needs the order that the join needs too."""
+    return left.join(unrepeated(right, key), key)
+
+
+def unrepeated(rows: DataFrame, key: str) -> DataFrame:
+    """The rows; raises if a key is there twice."""
     ok = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"))).cast("boolean"))
-    return left.join(once.where(ok).drop("_n"), key)
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(ok).drop("_n")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """As many_to_one, but left may not repeat a key either."""
+    return many_to_one(unrepeated(left, key), right, key)
+
+
+NUMBER, NUMBER_RANGE = r"^~?([0-9]*\.?[0-9]+)$", r"^~?([0-9]*\.?[0-9]+)\s*-\s*([0-9]*\.?[0-9]+)$"
 
 
 def number_of(column: str) -> Column:
-    """The number in a text, or the middle of a range a-b."""
-    one, two = r"([0-9]+\.?[0-9]*)", r"([0-9]+\.?[0-9]*)\s*-\s*([0-9]+\.?[0-9]*)"
-    a, b, c = F.regexp_extract(column, two, 1), F.regexp_extract(column, two, 2), F.regexp_extract(column, one, 1)
+    """The number that a text is, or the middle of a range a-b, either after an optional ~; NULL for any other text."""
+    text = F.trim(column)
+    a, b, c = F.regexp_extract(text, NUMBER_RANGE, 1), F.regexp_extract(text, NUMBER_RANGE, 2), F.regexp_extract(text, NUMBER, 1)
     return F.when(a != "", (a.try_cast("double") + b.try_cast("double")) / 2).otherwise(c.try_cast("double"))
 
 

@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import power
-from gridloom.operators import fitting, lookups, resample
-from gridloom.operators.rolling import filled, firm, fleet, lanes, minima, over, quantile, supported
+from gridloom.operators import events, lookups, resample
+from gridloom.operators.resample import drawn, drawn_sql
+from gridloom.operators.rolling import filled, firm, fleet, lanes, minima, over, quantile, span, supported
 from gridloom.plans.firm_queries import k_sql, m_sql
-from gridloom.plans.model_queries import SHIFTS, SHIFTS_SQL, ZERO, zero
+from gridloom.plans.model_queries import N_NULL, SHIFT_SEED, SHIFTS_SQL, ZERO, blocks_sql, zero
 from gridloom.plans.registry import query
-from gridloom.sources.tables import FLEET, HOURS, LANES, TELE, table, telemetry
+from gridloom.plans.series_queries import DAYS
+from gridloom.sources.tables import FLEET, LANES, TELE, table, telemetry
 
 
-@query("WITH c AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS cap FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, round(coalesce(b.cap, (SELECT cap FROM c ORDER BY d LIMIT 1)), 2) AS cap FROM l ASOF LEFT JOIN c b ON l.d >= b.d")
+@query("WITH c AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS cap FROM orders GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT l_orderkey, l_linenumber, round(coalesce(b.cap, (SELECT cap FROM c ORDER BY d LIMIT 1)), 2) AS cap FROM l ASOF LEFT JOIN c b ON l.d >= b.d")
 def asof_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capacity of the last day that has one; before the first, the first."""
-    return _capacity(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query()
-def asof_capacity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """asof_capacity from all orders."""
-    return _capacity(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def _capacity(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    c = orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("cap"))
+    c = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("cap"))
     days = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
     return lookups.daily(days, c, "d", "cap").select("l_orderkey", "l_linenumber", F.round("cap", 2).alias("cap"))
 
 
+def best_sql(source: str, keys: str) -> str:
+    """(keys, k): the split of (i, v) into two means with the least squared error."""
+    part, cols = (f"PARTITION BY {keys} ", f"{keys}, ") if keys else ("", "")
+    return f"SELECT {cols}arg_min(i, (round(sse, 6), i)) AS k FROM (SELECT {cols}i, (q1 - s1 * s1 / i) + (q - q1) - (s - s1) * (s - s1) / (n - i) AS sse, n FROM (SELECT {cols}i, sum(v) OVER b AS s1, sum(v * v) OVER b AS q1, sum(v) OVER a AS s, sum(v * v) OVER a AS q, count(*) OVER a AS n FROM {source} WINDOW b AS ({part}ORDER BY i ROWS UNBOUNDED PRECEDING), a AS ({part}))) WHERE i >= 5 AND i < n - 5" + (f" GROUP BY {keys}" if keys else "")
+
+
 CURVE = power.CURVES["training"]
 
 
@@ -44,23 +41,22 @@ def piecewise_lookup(spark, sf_dir):
     return rows.groupBy("cluster_id").agg(F.round(F.avg(lookups.curve("u", power.KNOTS, CURVE)), 9).alias("g"), F.count("*").alias("n"))
 
 
-@query(f"WITH {ZERO}, {SHIFTS_SQL}, rl AS (SELECT draw, (t + shift) % {HOURS} AS t, sum(v) AS v FROM lanes JOIN nm USING (cluster_id) JOIN sh USING (u) GROUP BY ALL), m AS ({m_sql('rl', [4], 'draw')}), k AS (SELECT draw, quantile_cont(m, 0.05) AS k FROM m GROUP BY draw) SELECT count(*) AS draws, round(avg(k), 6) AS k FROM k")
+@query(f"WITH {ZERO}, {SHIFTS_SQL}, rl AS (SELECT draw, lo + (t - lo + shift) % n AS t, sum(v) AS v FROM lanes JOIN nm USING (cluster_id) JOIN sh USING (u), span GROUP BY ALL), m AS ({m_sql('rl', [4], 'draw')}), k AS (SELECT draw, quantile_cont(m, 0.05) AS k FROM m GROUP BY draw) SELECT count(*) AS draws, round(avg(k), 6) AS k FROM k")
 def raw_shift_null(spark, sf_dir):
     """Whole series rolled apart, trend and all."""
     s = zero(lanes(telemetry(spark, sf_dir))).withColumn("trend", F.lit(0.0))
-    k = minima(resample.decorrelated(s, "cluster_id", SHIFTS, HOURS), [4], ["draw"]).groupBy("draw").agg(quantile("m", 0.05).alias("k"))
+    k = minima(resample.decorrelated(s, "cluster_id", N_NULL, SHIFT_SEED), [4], ["draw"]).groupBy("draw").agg(quantile("m", 0.05).alias("k"))
     return k.agg(F.count("*").alias("draws"), F.round(F.avg("k"), 6).alias("k"))
 
 
-PERM = [int(x) for x in np.random.default_rng(4).permutation(HOURS)]
-PERM_SQL = "pe AS (SELECT unnest([" + ", ".join(map(str, PERM)) + f"])::BIGINT AS src, unnest(range({HOURS})) AS t)"
+PERM_SQL = f"pe AS (SELECT t AS src, (SELECT lo FROM span) + row_number() OVER (ORDER BY {drawn_sql('t', '0', 4)}, t) - 1 AS t FROM spine)"
 
 
 @query(f"WITH {FLEET}, {PERM_SQL}, s AS (SELECT pe.t, v FROM pe JOIN fleet ON fleet.t = src), m AS ({m_sql('s', [1, 4])}), k AS ({k_sql('m')}) SELECT h, alpha, round(k, 6) AS k, n_windows FROM k")
 def shuffle_null(spark, sf_dir):
     """The dependable load of the same hours in a random order."""
-    p = F.broadcast(spark.createDataFrame(list(enumerate(PERM)), "t long, src long"))
-    s = fleet(telemetry(spark, sf_dir)).withColumnRenamed("t", "src").join(p, "src").select("t", "v")
+    f = fleet(telemetry(spark, sf_dir))
+    s = f.withColumn("i", F.row_number().over(Window.orderBy(drawn("t", "0", 4), "t")) - 1).crossJoin(span(f)).select((F.col("lo") + F.col("i")).alias("t"), "v")
     return firm(s, [1, 4], [0.5, 0.9, 0.95, 0.99]).withColumn("k", F.round("k", 6))
 
 
@@ -68,20 +64,20 @@ def shuffle_null(spark, sf_dir):
 def taylor_leave_one_out(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = o.groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"), F.count("*").alias("n")).where("n > 2")
-    left = n.crossJoin(F.broadcast(n.select(F.col("k").alias("left_out")))).where("k <> left_out and s > 0")
+    left = n.crossJoin(n.select(F.col("k").alias("left_out"))).where("k <> left_out and s > 0")
     return left.groupBy(F.col("left_out").cast("long").alias("left_out")).agg(F.count("*").alias("n"), F.round(F.regr_slope(F.log10("s"), F.log10("m")), 6).alias("slope"))
 
 
-PICKS = [(r, i, int(x)) for r, row in enumerate(np.random.default_rng(9).integers(0, 5, (6, 5))) for i, x in enumerate(row)]
-PICKS_SQL = "pk AS (SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, {c}::BIGINT)" for a, b, c in PICKS) + ") v(rep, i, u))"
+#: Replicates of a bootstrap over units.
+N_BOOT = 500
+PICKS_SQL = f"pk AS (SELECT rep, u AS i, {drawn_sql('rep', 'u', 9)} % (SELECT count(*) FROM x) AS u FROM x, (SELECT range AS rep FROM range({N_BOOT})))"
 
 
-@query(f"WITH {LANES}, {PICKS_SQL}, x AS (SELECT cluster_id, avg(v) AS a, stddev_samp(v) AS s, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM lanes GROUP BY 1) SELECT rep, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(s / a), 6) AS mean_cv FROM pk JOIN x USING (u) GROUP BY rep")
+@query(f"WITH {LANES}, x AS (SELECT cluster_id, avg(v) AS a, stddev_samp(v) AS s, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM lanes GROUP BY 1), {PICKS_SQL} SELECT rep, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(s / a), 6) AS mean_cv FROM pk JOIN x USING (u) GROUP BY rep")
 def unit_bootstrap(spark, sf_dir):
     """Units drawn with replacement."""
     x = lanes(telemetry(spark, sf_dir)).groupBy("cluster_id").agg(F.avg("v").alias("a"), F.stddev_samp("v").alias("s")).withColumn("u", (F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("long"))
-    p = spark.createDataFrame(PICKS, "rep long, i long, u long")
-    return F.broadcast(p).join(x, "u").groupBy("rep").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg(F.col("s") / F.col("a")), 6).alias("mean_cv"))
+    return resample.picks(x, N_BOOT, 9).join(x, "u").groupBy("rep").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg(F.col("s") / F.col("a")), 6).alias("mean_cv"))
 
 
 @query("WITH o AS (SELECT range AS o FROM range(168, 649, 24)), w AS (SELECT o, o - 168 AS a, o AS b, o AS c, o + 72 AS d FROM o) SELECT x.o AS origin, y.o AS other, greatest(0, least(x.d, y.d) - greatest(x.c, y.c)) AS test_overlap, greatest(0, least(x.b, y.d) - greatest(x.a, y.c)) AS leak FROM w x JOIN w y ON x.o < y.o AND y.c < x.d")
@@ -139,8 +135,18 @@ def calendar_reindex(spark, sf_dir):
     return spine.join(days, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+#: Replicates of the changepoint's band, days of a block, seed.
+CP_REPS, CP_BLOCK, CP_SEED = 300, 5, 7
+
+
+@query(f"""WITH {DAYS}, ds AS (SELECT 1 AS lo, count(*) AS n FROM days), b AS ({best_sql('days', '')}), f AS (SELECT i, v, avg(v) OVER (PARTITION BY i <= k) AS mean FROM days, b),
+{blocks_sql(CP_REPS, CP_BLOCK, CP_SEED, 'ds')}, d AS (SELECT rep, x.i, x.mean + y.v - y.mean AS v FROM ix JOIN f x ON x.i = pos + 1 JOIN f y ON y.i = src), k AS ({best_sql('d', 'rep')}) SELECT (SELECT k FROM b) AS k, round(quantile_cont(k, 0.05), 6) AS p5, round(quantile_cont(k, 0.95), 6) AS p95 FROM k""")
 def changepoint_interval(spark, sf_dir):
-    """A band for the day of the changepoint, from blocks of residuals."""
+    """A band for the day of the changepoint: the two means with blocks of residuals drawn again."""
     days = fleet(telemetry(spark, sf_dir)).groupBy(F.expr("t div 24 + 1").alias("i")).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
-    return fitting.changepoint_band(days, reps=40, block=5, seed=7)
+    k = events.changepoint(days).select("k")
+    f = days.crossJoin(k).withColumn("mean", F.avg("v").over(Window.partitionBy(F.col("i") <= F.col("k")))).select("i", "mean", (F.col("v") - F.col("mean")).alias("r"))
+    ix = resample.block_index(days.agg(F.lit(1).cast("long").alias("lo"), F.count("*").alias("n")), CP_REPS, CP_BLOCK, CP_SEED)
+    d = ix.join(f.select(F.col("i").alias("src"), "r"), "src").join(f.select((F.col("i") - 1).alias("pos"), "mean"), "pos").select("rep", (F.col("pos") + 1).alias("i"), (F.col("mean") + F.col("r")).alias("v"))
+    found = events.changepoint(d, keys=["rep"]).agg(F.percentile("k", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return k.crossJoin(found).select("k", F.round(F.col("q")[0], 6).alias("p5"), F.round(F.col("q")[1], 6).alias("p95"))

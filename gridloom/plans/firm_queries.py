@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators import backtest, events
-from gridloom.operators.rolling import filled, firm, fleet, islands, lanes, minima, over, quantile, supported, trend
+from gridloom.operators.rolling import dense, filled, firm, fleet, islands, lanes, minima, over, quantile, span, supported, trend
 from gridloom.plans.registry import query
 from gridloom.sources.tables import FLEET, LANES, telemetry
 
@@ -49,20 +49,20 @@ def k_by_hour(spark, sf_dir):
     return minima(fleet(telemetry(spark, sf_dir)), [1, 4]).groupBy("h", F.expr("t % 24").alias("hour")).agg(F.round(quantile("m", 0.05), 6).alias("k"), F.count("*").alias("n"))
 
 
-@query(f"WITH {FLEET}, e AS (SELECT era, t, CASE WHEN t // 240 = era THEN v END AS v FROM fleet, (SELECT unnest([0, 1, 2]) AS era)), m AS ({m_sql('e', [1, 4], 'era')}) SELECT era::BIGINT AS era, h, round(quantile_cont(m, 0.05), 6) AS k, count(*) AS n FROM m GROUP BY ALL")
+@query(f"WITH {FLEET}, e AS (SELECT era, t, CASE WHEN t // 240 = era THEN v END AS v FROM fleet, (SELECT DISTINCT t // 240 AS era FROM fleet)), m AS ({m_sql('e', [1, 4], 'era')}) SELECT era::BIGINT AS era, h, round(quantile_cont(m, 0.05), 6) AS k, count(*) AS n FROM m GROUP BY ALL")
 def k_eras(spark, sf_dir):
     """By era; windows that reach over an era's edge don't count."""
-    e = spark.range(3).withColumnRenamed("id", "era")
-    rows = fleet(telemetry(spark, sf_dir)).crossJoin(F.broadcast(e)).withColumn("v", F.when(F.expr("t div 240 = era"), F.col("v")))
+    rows = fleet(telemetry(spark, sf_dir)).withColumn("era", F.expr("t div 240"))
     return minima(rows, [1, 4], ["era"]).groupBy("era", "h").agg(F.round(quantile("m", 0.05), 6).alias("k"), F.count("*").alias("n"))
 
 
-@query(f"WITH {FLEET}, m AS ({m_sql('fleet', [1, 4])}), k AS (SELECT h, quantile_cont(m, 0.05) AS k FROM m WHERE t + h <= 360 GROUP BY h) SELECT h, round(k, 6) AS k, round(avg(CASE WHEN m >= k THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM m JOIN k USING (h) WHERE t >= 360 GROUP BY ALL")
+@query(f"WITH {FLEET}, m AS ({m_sql('fleet', [1, 4])}), k AS (SELECT h, quantile_cont(m, 0.05) AS k FROM m, span WHERE t + h <= lo + n // 2 GROUP BY h) SELECT h, round(k, 6) AS k, round(avg(CASE WHEN m >= k THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM m JOIN k USING (h), span WHERE t >= lo + n // 2 GROUP BY ALL")
 def k_holdout(spark, sf_dir):
     """How often the later half holds the dependable load of the first."""
-    m = minima(fleet(telemetry(spark, sf_dir)), [1, 4])
-    k = m.where("t + h <= 360").groupBy("h").agg(quantile("m", 0.05).alias("k"))
-    late = m.where("t >= 360").join(F.broadcast(k), "h")
+    f = fleet(telemetry(spark, sf_dir))
+    m = minima(f, [1, 4]).crossJoin(span(f).select(F.expr("lo + n div 2").alias("half")))
+    k = m.where("t + h <= half").groupBy("h").agg(quantile("m", 0.05).alias("k"))
+    late = m.where("t >= half").join(k, "h")
     return late.groupBy("h", F.round("k", 6).alias("k")).agg(F.round(F.avg((F.col("m") >= F.col("k")).cast("double")), 6).alias("coverage"))
 
 
@@ -71,8 +71,8 @@ PART = "sum(w) FILTER (priority_class = 'LP')"
 
 def two(tele: DataFrame) -> DataFrame:
     """(t, v, c): the whole load, and the part of low priority (0 where the hour has none)."""
-    part = fleet(tele, F.when(F.col("priority_class") == "LP", F.col("w")).otherwise(0.0)).withColumnRenamed("v", "c")
-    return fleet(tele).join(part, "t")
+    sums = tele.groupBy("t").agg(F.sum("w").alias("v"), F.sum(F.when(F.col("priority_class") == "LP", F.col("w")).otherwise(0.0)).alias("c"))
+    return dense(sums)
 
 
 TWO = FLEET + ", two AS (SELECT s.t, sum(w) AS v, sum(CASE WHEN priority_class = 'LP' THEN w WHEN w IS NOT NULL THEN 0 END) AS c FROM spine s LEFT JOIN tele USING (t) GROUP BY s.t)"
@@ -125,9 +125,8 @@ TROUGH = "k AS (SELECT quantile_cont(m, 0.05) AS k FROM m), s AS (SELECT t AS lo
 @query(f"WITH {FLEET}, m AS ({m_sql('fleet', [4])}), {TROUGH} SELECT min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY island")
 def trough_events(spark, sf_dir):
     """Windows at or below the dependable load, merged where they overlap or touch."""
-    m = minima(fleet(telemetry(spark, sf_dir)), [4])
-    k = m.agg(quantile("m", 0.05).alias("k"))
-    low = m.crossJoin(F.broadcast(k)).where("m <= k").select(F.col("t").alias("lo"), (F.col("t") + 3).alias("hi"))
+    m = minima(fleet(telemetry(spark, sf_dir)), [4]).withColumn("k", quantile("m", 0.05).over(Window.partitionBy()))
+    low = m.where("m <= k").select(F.col("t").alias("lo"), (F.col("t") + 3).alias("hi"))
     return islands(low, "lo", "hi").select("lo", "hi", "n")
 
 
@@ -137,7 +136,7 @@ def binding_hours(spark, sf_dir):
     tele = telemetry(spark, sf_dir)
     f = fleet(tele)
     m = minima(f, [4])
-    low = m.crossJoin(F.broadcast(m.agg(quantile("m", 0.05).alias("k")))).where("m <= k")
+    low = m.withColumn("k", quantile("m", 0.05).over(Window.partitionBy())).where("m <= k")
     hours = low.select(F.explode(F.expr("sequence(t, t + 3)")).alias("t")).distinct()
     busy = tele.groupBy("t").agg((F.sum(F.col("w") * F.col("u")) / F.sum(F.when(F.col("u").isNotNull(), F.col("w")))).alias("mean_u"))
     return hours.join(f, "t").join(busy, "t", "left").select("t", F.round("v", 4).alias("v"), F.round("mean_u", 6).alias("mean_u"))
@@ -147,31 +146,37 @@ def binding_hours(spark, sf_dir):
 def run_lengths(spark, sf_dir):
     """Runs of hours above the mean."""
     f = fleet(telemetry(spark, sf_dir))
-    on = f.crossJoin(F.broadcast(f.agg(F.avg("v").alias("a")))).select("t", F.coalesce(F.col("v") > F.col("a"), F.lit(False)).alias("on_"))
+    on = f.select("t", F.coalesce(F.col("v") > F.avg("v").over(Window.partitionBy()), F.lit(False)).alias("on_"))
     return events.runs(on, "on_").select("t", "hours")
 
 
-ORIGINS = "o AS (SELECT range AS o FROM range(168, 649, 24))"
+ORIGINS = "o AS (SELECT unnest(range(lo + 168, lo + n - 72 + 1, 24)) AS o FROM span)"
 WINDOWS = f"WITH {FLEET}, {ORIGINS}, m AS ({m_sql('fleet', [4])}), tr AS (SELECT o, quantile_cont(m, 0.05) AS k, count(*) AS n_train FROM m, o WHERE t >= o - 168 AND t + 4 <= o GROUP BY o), te AS (SELECT o, t, m FROM m, o WHERE t >= o AND t + 4 <= o + 72)"
 
 
+def tested(f: DataFrame) -> DataFrame:
+    """Test windows of origins a day apart, from a week after the first hour to three days before the end."""
+    at = span(f).select(F.explode(F.when(F.col("n") >= 240, F.expr("sequence(lo + 168, lo + n - 72, 24)"))).alias("o"))
+    return backtest.origins(minima(f, [4]), 4, 168, 72, at, 0.05)
+
+
 @query(f"{WINDOWS} SELECT o AS origin, n_train, round(k, 6) AS k, count(*) AS n_test, round(avg((m >= k)::INT), 6) AS coverage, round(max(greatest(k - m, 0)), 6) AS worst FROM te JOIN tr USING (o) GROUP BY ALL")
 def rolling_origin(spark, sf_dir):
     """A week before each origin sets the level, the three days after test it."""
-    b = backtest.origins(minima(fleet(telemetry(spark, sf_dir)), [4]), 4, 168, 72, range(168, 649, 24), 0.05)
+    b = tested(fleet(telemetry(spark, sf_dir)))
     return b.groupBy(F.col("o").alias("origin"), "n_train", F.round("k", 6).alias("k")).agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("m") >= F.col("k")).cast("int")), 6).alias("coverage"), F.round(F.max(F.greatest(F.col("k") - F.col("m"), F.lit(0.0))), 6).alias("worst"))
 
 
 @query(f"{WINDOWS}, q AS (SELECT m / k AS q FROM te JOIN tr USING (o) WHERE k > 0), r AS (SELECT q, row_number() OVER (ORDER BY q DESC) AS i, count(*) OVER () AS n FROM q) SELECT 0.95::DOUBLE AS alpha, round(greatest(0.3, least(1.5, q)), 6) AS d FROM r WHERE i = CAST(ceil(round(0.95 * n, 6)) AS BIGINT)")
 def derating(spark, sf_dir):
     """The largest factor on the level that holds in a share alpha of test windows: an order statistic, no search."""
-    b = backtest.origins(minima(fleet(telemetry(spark, sf_dir)), [4]), 4, 168, 72, range(168, 649, 24), 0.05)
+    b = tested(fleet(telemetry(spark, sf_dir)))
     return r6(backtest.derating(b, 0.95), "d")
 
 
 @query(f"{WINDOWS}, g AS (SELECT range / 20.0 AS d FROM range(10, 21)) SELECT d::DOUBLE AS d, round(avg((m >= d * k)::INT), 6) AS coverage, round(avg(d * k), 6) AS level FROM te JOIN tr USING (o), g GROUP BY d")
 def derating_grid(spark, sf_dir):
-    b = backtest.origins(minima(fleet(telemetry(spark, sf_dir)), [4]), 4, 168, 72, range(168, 649, 24), 0.05)
+    b = tested(fleet(telemetry(spark, sf_dir)))
     grid = spark.range(10, 21).select((F.col("id") / 20.0).alias("d"))
     return b.crossJoin(F.broadcast(grid)).groupBy("d").agg(F.round(F.avg((F.col("m") >= F.col("d") * F.col("k")).cast("int")), 6).alias("coverage"), F.round(F.avg(F.col("d") * F.col("k")), 6).alias("level"))
 
@@ -193,9 +198,7 @@ def jobs(tele: DataFrame) -> DataFrame:
     lp = F.col("priority_class") == "LP"
     part = lambda test: F.sum(F.col("w") * test.cast("int"))
     sums = tele.groupBy("t").agg(part(lp).alias("lp"), part(~lp & (F.col("job_type") == "training")).alias("tr"), part(~lp & (F.col("job_type") == "offline_inference")).alias("off"), F.sum("w").alias("v"))
-    from gridloom.operators.rolling import spine
-
-    return spine(tele.sparkSession).join(sums, "t", "left")
+    return dense(sums)
 
 
 @query(f"WITH {JOBS}, {GRID}, s AS (SELECT a_t, a_o, t, lp + a_t * tr + a_o * off AS v FROM jobs, g), m AS ({m_sql('s', [1, 4], 'a_t, a_o')}), r AS (SELECT *, row_number() OVER (PARTITION BY a_t, a_o, h ORDER BY m) AS i, count(*) OVER (PARTITION BY a_t, a_o, h) AS n FROM m), a AS (SELECT unnest([0.8, 0.95]) AS alpha) SELECT a_t::DOUBLE AS a_t, a_o::DOUBLE AS a_o, h, alpha::DOUBLE AS alpha, round(m, 6) AS cap FROM r, a WHERE i = n - CAST(ceil(round(alpha * n, 6)) AS BIGINT) + 1")
@@ -227,7 +230,7 @@ def low_day_counts(spark, sf_dir):
     rows = lanes(telemetry(spark, sf_dir))
     p = rows.where("v > 0").groupBy("cluster_id").agg(quantile("v", 0.1).alias("p10"))
     d = rows.groupBy("cluster_id", F.expr("t div 24").alias("day")).agg(F.min(F.coalesce("v", F.lit(0.0))).alias("least"))
-    x = d.join(F.broadcast(p), "cluster_id").groupBy("day").agg(F.sum((F.col("least") < F.col("p10")).cast("int")).alias("low"))
+    x = d.join(p, "cluster_id").groupBy("day").agg(F.sum((F.col("least") < F.col("p10")).cast("int")).alias("low"))
     return x.groupBy("low").agg(F.count("*").alias("days"))
 
 

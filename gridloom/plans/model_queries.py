@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import power
 from gridloom.operators import events, resample, rollups, screen
-from gridloom.operators.rolling import firm, fleet, lanes, minima, trend
+from gridloom.operators.rolling import dense, firm, fleet, lanes, minima, span, trend
 from gridloom.plans.firm_queries import TWO, m_sql, two
 from gridloom.plans.registry import query
 from gridloom.plans.rollup_queries import STATS_SQL
-from gridloom.sources.tables import HOURS, LANES, SPINE, TELE, table, telemetry
+from gridloom.plans.series_queries import TREND_168
+from gridloom.operators.resample import drawn, drawn_sql, uniform, uniform_sql
+from gridloom.sources.tables import LANES, SPINE, TELE, table, telemetry
 
 KEYS = ["t", "cluster_id", "spec", "job_type", "priority_class", "state"]
 STATS = f"{TELE}, st AS (SELECT {', '.join(KEYS)}, {STATS_SQL.replace('round(', '(').replace(', 4)', ')')} FROM tele GROUP BY ALL)"
@@ -41,46 +42,59 @@ def power_row_layers(spark, sf_dir):
 def power_components(spark, sf_dir):
     """Facility power by hour: devices, hosts above idle, times the facility's overhead."""
     g = rows(spark, sf_dir).groupBy("t").agg(F.sum("idle").alias("idle"), F.sum("active").alias("active"), (F.sum("s0") * (power.HOST_PEAK - power.HOST_IDLE)).alias("host"))
-    out = spark.range(HOURS).withColumnRenamed("id", "t").join(g, "t", "left")
+    out = dense(g)
     r = lambda c: F.round(c, 6)
     return out.select("t", F.col("idle").isNotNull().alias("have"), r("idle").alias("idle"), r("active").alias("active"), r("host").alias("host"), r(power.PUE * (F.col("idle") + F.col("active") + F.col("host"))).alias("facility"))
 
 
-@query(f"WITH {ROWS}, h AS (SELECT t, sum(idle + active) AS p FROM pw GROUP BY t), d AS (SELECT t % 24 AS hour, avg(p) AS a FROM h GROUP BY 1), y AS (SELECT t // 24 AS day, max(p) - min(p) AS amp FROM h GROUP BY 1) SELECT round(avg(p), 6) AS mean, round(avg(p) / max(p), 6) AS load_factor, round(100 * (avg(p) FILTER (t >= 552) / avg(p) FILTER (t < 168) - 1), 4) AS growth_pct, (SELECT arg_max(hour, a) FROM d) AS peak_hour, (SELECT arg_min(hour, a) FROM d) AS trough_hour, round((SELECT avg(amp) FROM y), 6) AS amplitude FROM h")
+@query(f"WITH {ROWS}, h AS (SELECT t, sum(idle + active) AS p FROM pw GROUP BY t), d AS (SELECT t % 24 AS hour, avg(p) AS a FROM h GROUP BY 1), y AS (SELECT t // 24 AS day, max(p) - min(p) AS amp FROM h GROUP BY 1) SELECT round(avg(p), 6) AS mean, round(avg(p) / max(p), 6) AS load_factor, round(100 * (avg(p) FILTER (t >= lo + n - 168) / avg(p) FILTER (t < lo + 168) - 1), 4) AS growth_pct, (SELECT arg_max(hour, a) FROM d) AS peak_hour, (SELECT arg_min(hour, a) FROM d) AS trough_hour, round((SELECT avg(amp) FROM y), 6) AS amplitude FROM h, (SELECT min(t) AS lo, max(t) - min(t) + 1 AS n FROM h)")
 def load_profile_summary(spark, sf_dir):
     h = rows(spark, sf_dir).groupBy("t").agg(F.sum(F.col("idle") + F.col("active")).alias("p"))
     d = h.groupBy(F.expr("t % 24").alias("hour")).agg(F.avg("p").alias("a")).agg(F.max_by("hour", "a").alias("peak_hour"), F.min_by("hour", "a").alias("trough_hour"))
     y = h.groupBy(F.expr("t div 24").alias("day")).agg((F.max("p") - F.min("p")).alias("amp")).agg(F.round(F.avg("amp"), 6).alias("amplitude"))
-    part = lambda c: F.avg(F.when(c, F.col("p")))
-    s = h.agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.avg("p") / F.max("p"), 6).alias("load_factor"), F.round(100 * (part(F.col("t") >= 552) / part(F.col("t") < 168) - 1), 4).alias("growth_pct"))
+    part = lambda c: F.avg(F.when(F.expr(c), F.col("p")))
+    s = h.crossJoin(span(h)).agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.avg("p") / F.max("p"), 6).alias("load_factor"), F.round(100 * (part("t >= lo + n - 168") / part("t < lo + 168") - 1), 4).alias("growth_pct"))
     return s.crossJoin(d).crossJoin(y)
 
 
-def _draws(n: int) -> list[tuple[int, float, float, float]]:
-    r = np.random.default_rng(0)
-    return [(i, round(float(r.uniform(0.15, 0.25)), 6), round(float(r.uniform(0.1, 0.5)), 6), round(float(r.uniform(1.1, 1.4)), 6)) for i in range(n)]
+#: Parameter draws, the seed, and what is drawn from which range, in this order.
+MC_DRAWS, MC_SEED = 300, 0
+RANGES = {"phi": (0.15, 0.25), "null_level": (0.1, 0.5), "pue": (1.1, 1.4)}
+DRAWS_SQL = "dr AS (SELECT draw, " + ", ".join(f"{a} + {b - a} * {uniform_sql('draw', str(i), MC_SEED)} AS {name}" for i, (name, (a, b)) in enumerate(RANGES.items())) + f" FROM (SELECT range AS draw FROM range({MC_DRAWS})))"
+#: What a draw needs of an hour: energy is linear in these sums.
+HOUR_SUMS = {
+    "base": "tdp * gpu_hours", "level": "CASE WHEN state <> 'Standby' AND job_type <> 'online_inference' THEN tdp * level END", "nul": "CASE WHEN state <> 'Standby' AND job_type <> 'online_inference' THEN tdp * gpu_hours_null_util END",
+    "on_hours": "CASE WHEN state <> 'Standby' AND job_type = 'online_inference' THEN tdp * gpu_hours END", "on_level": "CASE WHEN state <> 'Standby' AND job_type = 'online_inference' THEN tdp * level END", "on_nul": "CASE WHEN state <> 'Standby' AND job_type = 'online_inference' THEN tdp * gpu_hours_null_util END",
+}
 
 
-DRAWS = _draws(40)
-DRAWS_SQL = "dr AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, a, b, c in DRAWS) + ") v(draw, phi, null_level, pue))"
+def hour_sums(st: DataFrame) -> DataFrame:
+    return st.withColumns({"tdp": power.tdp(), "level": power.utilised()}).groupBy("t").agg(*[F.coalesce(F.sum(F.expr(e)), F.lit(0.0)).alias(n) for n, e in HOUR_SUMS.items()])
 
 
 @query(f"WITH {STATS}, {DRAWS_SQL}, g AS (SELECT t, spec, job_type, state, sum(gpu_hours) AS gpu_hours, sum(gpu_hours_null_util) AS gpu_hours_null_util, sum(s0) AS s0, sum(s25) AS s25, sum(s50) AS s50, sum(s75) AS s75 FROM st GROUP BY ALL), p AS (SELECT draw, t, sum(pue * ({power.TDP_SQL} * phi * gpu_hours + {power.active_sql('phi', 'null_level')})) AS p FROM g, dr GROUP BY ALL) SELECT t, round(quantile_cont(p, 0.05), 6) AS p5, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.95), 6) AS p95 FROM p GROUP BY t")
 def mc_bands(spark, sf_dir):
-    """Bands over drawn parameters. Energy is linear in the statistics, so that draws multiply small sums, not rows."""
-    sums = rollups.merged(statistics(spark, sf_dir), ["t", "spec", "job_type", "state"])
-    d = spark.createDataFrame(DRAWS, "draw long, phi double, null_level double, pue double")
-    idle, active = power.energy(F.col("phi"), F.col("null_level"))
-    p = sums.crossJoin(F.broadcast(d)).withColumn("e", F.col("pue") * (idle + active)).groupBy("draw", "t").agg(F.sum("e").alias("p"))
+    """Bands over drawn parameters. Energy is linear in six sums of an hour, so that draws multiply hours, not rows."""
+    d = spark.range(MC_DRAWS).select(F.col("id").alias("draw"), *[(a + (b - a) * uniform("id", str(i), MC_SEED)).alias(n) for i, (n, (a, b)) in enumerate(RANGES.items())])
+    c0 = F.greatest(F.lit(0.0), (F.lit(power.ONLINE_FLOOR) - F.col("phi")) / (1 - F.col("phi")))
+    online = c0 * F.col("on_hours") + (1 - c0 / F.lit(power.CURVES["online_inference"][-1])) * (F.col("on_level") + F.col("null_level") * F.col("on_nul"))
+    active = (1 - F.col("phi")) * (F.col("level") + F.col("null_level") * F.col("nul") + online)
+    p = hour_sums(statistics(spark, sf_dir)).crossJoin(d).withColumn("p", F.col("pue") * (F.col("phi") * F.col("base") + active))
     q = p.groupBy("t").agg(F.percentile("p", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
     return q.select("t", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
 
 
-SHIFTS = resample.shifts(6, 10, HOURS, seed=1)
-SHIFTS_SQL = "sh AS (SELECT * FROM (VALUES " + ", ".join(f"({d}::BIGINT, {u}::BIGINT, {k}::BIGINT)" for d, u, k in SHIFTS) + ") v(draw, u, shift)), nm AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM (SELECT DISTINCT cluster_id FROM lanes))"
-TREND_SQL = """w1 AS (SELECT *, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS x FROM lanes WINDOW w AS (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)),
-tl AS (SELECT cluster_id, t, v, coalesce(first_value(x IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(x IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS trend FROM w1)"""
-ROLL_SQL = f"""rl AS (SELECT draw, cluster_id, (t + shift) % {HOURS} AS t, v - trend AS r FROM tl JOIN nm USING (cluster_id) JOIN sh USING (u)), de AS (SELECT draw, t, CASE WHEN count(r + trend) = count(*) THEN greatest(sum(r + trend), 0) END AS v FROM rl JOIN (SELECT cluster_id, t, trend FROM tl) USING (cluster_id, t) GROUP BY ALL)"""
+#: Draws of a benchmark, and the seed of its shifts.
+N_NULL, SHIFT_SEED = 20, 1
+
+
+def shifts_sql(draws: int = N_NULL, step: int = 1, seed: int = SHIFT_SEED) -> str:
+    return f"nm AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM (SELECT DISTINCT cluster_id FROM lanes)), sh AS (SELECT draw, u, {step} * ({drawn_sql('draw', 'u', seed)} % greatest(n // {step}, 1)) AS shift FROM nm, span, (SELECT range AS draw FROM range({draws})))"
+
+
+SHIFTS_SQL = shifts_sql()
+TREND_SQL = TREND_168
+ROLL_SQL = """rl AS (SELECT draw, cluster_id, lo + (t - lo + shift) % n AS t, v - trend AS r FROM tl JOIN nm USING (cluster_id) JOIN sh USING (u), span), de AS (SELECT draw, t, CASE WHEN count(r + trend) = count(*) THEN greatest(sum(r + trend), 0) END AS v FROM rl JOIN (SELECT cluster_id, t, trend FROM tl) USING (cluster_id, t) GROUP BY ALL)"""
 # in the model queries a cluster's missing hour counts as no load
 ZERO = LANES.replace("sum(w) AS v FROM spine s CROSS", "coalesce(sum(w), 0) AS v FROM spine s CROSS")
 ZERO_LP = ZERO.replace("coalesce(sum(w), 0) AS v", "coalesce(sum(CASE WHEN priority_class = 'LP' THEN w END), 0) AS v")
@@ -94,19 +108,26 @@ def zero(series: DataFrame) -> DataFrame:
 def circular_shift_null(spark, sf_dir):
     """The dependable load if clusters kept their own patterns but not their coincidence."""
     s = trend(zero(lanes(telemetry(spark, sf_dir))), 84, 83, 24, ["cluster_id"])
-    k = minima(resample.decorrelated(s, "cluster_id", SHIFTS, HOURS), [1, 4], ["draw"]).groupBy("draw", "h").agg(F.percentile("m", F.lit(0.05)).alias("k"), F.count("*").alias("n"))
+    k = minima(resample.decorrelated(s, "cluster_id", N_NULL, SHIFT_SEED), [1, 4], ["draw"]).groupBy("draw", "h").agg(F.percentile("m", F.lit(0.05)).alias("k"), F.count("*").alias("n"))
     return k.groupBy("h").agg(F.round(F.avg("k"), 4).alias("k_independent"), F.sum("n").alias("n"))
 
 
-BLOCKS = resample.blocks(8, HOURS, 168, seed=2)
-BLOCKS_SQL = "bl AS (SELECT * FROM (VALUES " + ", ".join(f"({r}::BIGINT, {f}::BIGINT, {s}::BIGINT)" for r, f, s in BLOCKS) + f") v(rep, first, source)), ix AS (SELECT rep, first + i AS pos, source + i AS src FROM bl, (SELECT range AS i FROM range(168)) WHERE first + i < {HOURS})"
+#: Replicates of the block bootstrap, its block of hours, its seed.
+REPS, BLOCK, BLOCK_SEED = 200, 168, 2
+
+
+def blocks_sql(reps: int = REPS, block: int = BLOCK, seed: int = BLOCK_SEED, hours: str = "span") -> str:
+    return f"bl AS (SELECT rep, j, {drawn_sql('rep', 'j', seed)} % (n - {block} + 1) AS source, lo, n FROM (SELECT range AS rep FROM range({reps})), (SELECT lo, n, unnest(range((n + {block} - 1) // {block})) AS j FROM {hours}) WHERE n >= {block}), ix AS (SELECT rep, j * {block} + i AS pos, lo + source + i AS src FROM bl, (SELECT range AS i FROM range({block})) WHERE j * {block} + i < n)"
+
+
+BLOCKS_SQL = blocks_sql()
 
 
 @query(f"WITH {TWO}, {BLOCKS_SQL}, b AS (SELECT rep, pos AS t, CASE WHEN (pos + 1) % 168 <> 0 THEN v END AS v FROM ix JOIN two ON two.t = src), m AS ({m_sql('b', [1, 4], 'rep')}), k AS (SELECT rep, h, quantile_cont(m, 0.05) AS k FROM m GROUP BY ALL) SELECT h, round(quantile_cont(k, 0.05), 4) AS p5, round(quantile_cont(k, 0.5), 4) AS p50, round(quantile_cont(k, 0.95), 4) AS p95 FROM k GROUP BY h")
 def block_bootstrap_k(spark, sf_dir):
     """Moving blocks of a week; the last hour of a block is a gap, so that no window reaches over a splice."""
-    ix = F.broadcast(resample.block_index(spark, BLOCKS, HOURS, 168))
-    b = fleet(telemetry(spark, sf_dir)).join(ix, F.col("t") == F.col("src")).select("rep", F.col("pos").alias("t"), F.when((F.col("pos") + 1) % 168 != 0, F.col("v")).alias("v"))
+    f = fleet(telemetry(spark, sf_dir))
+    b = f.join(resample.block_index(span(f), REPS, BLOCK, BLOCK_SEED), F.col("t") == F.col("src")).select("rep", F.col("pos").alias("t"), F.when((F.col("pos") + 1) % 168 != 0, F.col("v")).alias("v"))
     k = minima(b, [1, 4], ["rep"]).groupBy("rep", "h").agg(F.percentile("m", F.lit(0.05)).alias("k"))
     q = k.groupBy("h").agg(F.percentile("k", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
     return q.select("h", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
@@ -115,10 +136,10 @@ def block_bootstrap_k(spark, sf_dir):
 @query(f"WITH {TWO}, {BLOCKS_SQL} SELECT rep, count(v) AS n, round(covar_pop(v, c), 4) AS cov, round(covar_pop(v, c) / (stddev_pop(v) * stddev_pop(c)), 6) AS rho FROM ix JOIN two ON two.t = src GROUP BY rep")
 def block_moment_boot(spark, sf_dir):
     """Covariances of resampled hours from sums of moments alone."""
-    x = two(telemetry(spark, sf_dir)).where("v is not null")
+    f = two(telemetry(spark, sf_dir))
+    x = f.where("v is not null")
     z = x.select("t", F.lit(1.0).alias("n"), F.col("v").alias("x"), F.col("c").alias("y"), (F.col("v") * F.col("c")).alias("xy"), (F.col("v") * F.col("v")).alias("xx"), (F.col("c") * F.col("c")).alias("yy"))
-    ix = F.broadcast(resample.block_index(spark, BLOCKS, HOURS, 168))
-    s = z.join(ix, F.col("t") == F.col("src")).groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")])
+    s = z.join(resample.block_index(span(f), REPS, BLOCK, BLOCK_SEED), F.col("t") == F.col("src")).groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")])
     cov = lambda a, b, ab: F.col(ab) / F.col("n") - F.col(a) / F.col("n") * F.col(b) / F.col("n")
     rho = cov("x", "y", "xy") / F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy"))
     return s.select("rep", F.col("n").cast("long").alias("n"), F.round(cov("x", "y", "xy"), 4).alias("cov"), F.round(rho, 6).alias("rho"))
@@ -136,7 +157,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = zero(lanes(tele, F.when(F.col("priority_class") == "LP", F.col("w"))))
     a = part.groupBy("t").agg(F.sum("v").alias("v"))
     p0 = tele.groupBy("t").agg(F.sum("w").alias("l")).agg((0.5 * F.avg("l")).alias("p0"))
-    p2 = resample.benchmark(trend(part, 84, 83, 24, ["cluster_id"]), "cluster_id", SHIFTS, HOURS, 4, 0.05).withColumnRenamed("k", "p2")
+    p2 = resample.benchmark(trend(part, 84, 83, 24, ["cluster_id"]), "cluster_id", N_NULL, SHIFT_SEED, 4, 0.05).withColumnRenamed("k", "p2")
     p3 = firm(a, [4], [0.95]).select(F.col("k").alias("p3"))
     return p0.crossJoin(a.agg(F.avg("v").alias("p1"))).crossJoin(p2).crossJoin(p3)
 
@@ -155,21 +176,21 @@ def shapley(spark, sf_dir):
 
 
 SCREEN = f"""WITH {TWO}, pr AS (SELECT t, coalesce(v, 0) / (SELECT max(v) FROM two) AS s, coalesce(c, 0) / (SELECT max(v) FROM two) AS c FROM two), de AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, d FROM (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / 1000 AS d FROM orders GROUP BY 1)),
-x AS (SELECT i, d, s, c FROM de JOIN pr ON pr.t = i % {HOURS}), g AS (SELECT margin, x.*, (SELECT max(d) FROM x) * (1 + margin) - d AS room FROM x, (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE AS margin)),
+x AS (SELECT i, d, s, c FROM de, span JOIN pr ON pr.t = lo + i % n), g AS (SELECT margin, x.*, (SELECT max(d) FROM x) * (1 + margin) - d AS room FROM x, (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE AS margin)),
 q AS (SELECT margin, room / s AS q, row_number() OVER (PARTITION BY margin ORDER BY room / s) AS i FROM g WHERE s > 0), b AS (SELECT margin, min(CASE WHEN s > c THEN room / (s - c) END) AS hard, min(CASE WHEN s > 0 THEN room / s END) AS rigid, count(*) AS n FROM g GROUP BY margin),
 hd AS (SELECT margin, budget, CASE WHEN least(hard, q, 20000) >= 1 THEN least(hard, q, 20000) ELSE 0 END AS load, rigid FROM b CROSS JOIN (SELECT unnest([0.0025, 0.005, 0.01, 0.02])::DOUBLE AS budget) LEFT JOIN q USING (margin) WHERE q.i = CAST(floor(round(budget * n, 6)) AS BIGINT) + 1)"""
 
 
 def screened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     x = two(telemetry(spark, sf_dir))
-    top = F.broadcast(x.agg(F.max("v").alias("top")))
+    top = x.agg(F.max("v").alias("top"))
     zero = F.lit(0.0)
     profile = x.crossJoin(top).select("t", (F.coalesce("v", zero) / F.col("top")).alias("s"), (F.coalesce("c", zero) / F.col("top")).alias("c"))
     day = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.sum("o_totalprice") / 1000).alias("d"))
     from pyspark.sql.window import Window
 
     demand = day.select((F.row_number().over(Window.orderBy("day")) - 1).cast("long").alias("i"), "d")
-    hours = demand.join(F.broadcast(profile), F.col("t") == F.col("i") % HOURS).select("i", "d", "s", "c")
+    hours = demand.crossJoin(span(x)).withColumn("t", F.expr("lo + i % n")).join(profile, "t").select("i", "d", "s", "c")
     frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} double")
     return hours, screen.headroom(hours, frame([0.02, 0.05, 0.1], "margin"), frame([0.0025, 0.005, 0.01, 0.02], "budget"))
 

@@ -104,9 +104,8 @@ def composition_bounds(spark, sf_dir):
 
 @query(f"WITH {TELE}, a AS (SELECT spec, sum(w) AS x FROM tele WHERE t < 300 AND priority_class = 'HP' AND spec <> 'A10' GROUP BY spec), b AS (SELECT spec, sum(w) AS y FROM tele WHERE t >= 300 AND spec <> 'H800' GROUP BY spec) SELECT coalesce(a.spec, b.spec) AS spec, round(coalesce(x, 0), 4) AS early, round(coalesce(y, 0), 4) AS late FROM a FULL JOIN b ON a.spec = b.spec")
 def full_outer_labels(spark, sf_dir):
-    t = telemetry(spark, sf_dir)
-    a = t.where("t < 300 AND priority_class = 'HP' AND spec <> 'A10'").groupBy("spec").agg(F.sum("w").alias("x"))
-    b = t.where("t >= 300 AND spec <> 'H800'").groupBy("spec").agg(F.sum("w").alias("y"))
+    a = telemetry(spark, sf_dir, until=300).where("priority_class = 'HP' AND spec <> 'A10'").groupBy("spec").agg(F.sum("w").alias("x"))
+    b = telemetry(spark, sf_dir, first=300).where("spec <> 'H800'").groupBy("spec").agg(F.sum("w").alias("y"))
     zero = F.lit(0.0)
     return a.join(b, "spec", "full").select("spec", F.round(F.coalesce("x", zero), 4).alias("early"), F.round(F.coalesce("y", zero), 4).alias("late"))
 
@@ -161,10 +160,13 @@ def sensor_pivot_hourly(spark, sf_dir):
     return c.select("t", "sensors", F.round("total", 9).alias("total"), F.round(F.col("most") - F.col("least"), 9).alias("spread"))
 
 
-NUMBERS = ["0.4-0.5", "~0.3", "17", "Brand#17", "~ 2 - 4", "n/a", "1e3", ""]
+NUMBERS = ["0.4-0.5", "~0.3", "17", "Brand#17", "~2 - 4", "~ 2 - 4", " .5 ", "n/a", "1e3", ""]
 
 
-@query("WITH x AS (SELECT unnest(['0.4-0.5', '~0.3', '17', 'Brand#17', '~ 2 - 4', 'n/a', '1e3', '']) AS s UNION ALL SELECT DISTINCT p_brand FROM part), y AS (SELECT s, regexp_extract(s, '([0-9]+\\.?[0-9]*)\\s*-\\s*([0-9]+\\.?[0-9]*)', 1) AS a, regexp_extract(s, '([0-9]+\\.?[0-9]*)\\s*-\\s*([0-9]+\\.?[0-9]*)', 2) AS b, regexp_extract(s, '([0-9]+\\.?[0-9]*)', 1) AS c FROM x) SELECT s, CASE WHEN a <> '' THEN (TRY_CAST(a AS DOUBLE) + TRY_CAST(b AS DOUBLE)) / 2 ELSE TRY_CAST(c AS DOUBLE) END AS number, starts_with(s, '~') AS approximate FROM y")
+PARSED = f"y AS (SELECT *, regexp_extract(trim(s), '{rollups.NUMBER_RANGE}', 1) AS a, regexp_extract(trim(s), '{rollups.NUMBER_RANGE}', 2) AS b, regexp_extract(trim(s), '{rollups.NUMBER}', 1) AS c FROM x), z AS (SELECT *, CASE WHEN a <> '' THEN (TRY_CAST(a AS DOUBLE) + TRY_CAST(b AS DOUBLE)) / 2 ELSE TRY_CAST(c AS DOUBLE) END AS number FROM y)"
+
+
+@query(f"WITH x AS (SELECT unnest({NUMBERS}) AS s UNION ALL SELECT DISTINCT p_brand FROM part), {PARSED} SELECT s, number, starts_with(s, '~') AS approximate FROM z")
 def parse_ranges(spark, sf_dir):
     x = spark.createDataFrame([(s,) for s in NUMBERS], "s string").unionByName(table(spark, sf_dir, "part").select(F.col("p_brand").alias("s")).distinct())
     return x.select("s", rollups.number_of("s").alias("number"), F.col("s").startswith("~").alias("approximate"))

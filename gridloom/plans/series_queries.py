@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators import covariance, events, fitting
-from gridloom.operators.rolling import deseasoned, fleet, interpolated, lanes
+from gridloom.operators.resample import uniform_sql
+from gridloom.operators.rolling import deseasoned, fleet, interpolated, lanes, span, trend
 from gridloom.plans.registry import query
 from gridloom.sources.tables import FLEET, LANES, TELE, table, telemetry
 
 RESID = LANES + """, c AS (SELECT *, v - CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS d, t % 24 + 24 * ((t // 24) % 7) AS how FROM lanes WINDOW w AS (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN 84 PRECEDING AND 84 FOLLOWING)),
 res AS (SELECT cluster_id, t, v, d - avg(d) OVER (PARTITION BY cluster_id, how) AS r FROM c)"""
+TREND_168 = """w1 AS (SELECT *, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS x FROM lanes WINDOW w AS (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)),
+tl AS (SELECT cluster_id, t, v, coalesce(first_value(x IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(x IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS trend FROM w1)"""
 DAYS = FLEET + ", days AS (SELECT t // 24 + 1 AS i, coalesce(sum(v), 0) AS v FROM fleet GROUP BY 1)"
 
 
@@ -105,13 +108,13 @@ def cov_portfolios(spark, sf_dir):
     return covariance.portfolios(residuals(spark, sf_dir), "cluster_id")
 
 
-@query(f"WITH {LANES}, c AS (SELECT cluster_id FROM lanes GROUP BY 1 HAVING avg(v) >= 1 AND count(v) >= 100), m AS (SELECT l.*, v >= 0.25 * max(v) OVER (PARTITION BY cluster_id) AS high FROM lanes l JOIN c USING (cluster_id)), h AS (SELECT t, bool_and(coalesce(high, false)) AS all_high FROM m GROUP BY t) SELECT count(*) AS full_hours, sum((t BETWEEN 168 AND 551)::INT)::BIGINT AS trimmed, sum(all_high::INT)::BIGINT AS allocated, sum((all_high AND t BETWEEN 168 AND 551)::INT)::BIGINT AS both FROM h")
+@query(f"WITH {LANES}, c AS (SELECT cluster_id FROM lanes GROUP BY 1 HAVING avg(v) >= 1 AND count(v) >= 100), m AS (SELECT l.*, v >= 0.25 * max(v) OVER (PARTITION BY cluster_id) AS high FROM lanes l JOIN c USING (cluster_id)), h AS (SELECT t, bool_and(coalesce(high, false)) AS all_high FROM m GROUP BY t) SELECT count(*) AS full_hours, sum((t BETWEEN lo + 168 AND lo + n - 169)::INT)::BIGINT AS trimmed, sum(all_high::INT)::BIGINT AS allocated, sum((all_high AND t BETWEEN lo + 168 AND lo + n - 169)::INT)::BIGINT AS both FROM h, span")
 def support_masks(spark, sf_dir):
     """Hours that pass an edge trim, a least allocation in every cluster, or both."""
     s = lanes(telemetry(spark, sf_dir))
     c = s.groupBy("cluster_id").agg(F.avg("v").alias("a"), F.count("v").alias("n")).where("a >= 1 AND n >= 100").select("cluster_id")
     m = s.join(c, "cluster_id", "left_semi").withColumn("high", F.coalesce(F.col("v") >= 0.25 * F.max("v").over(Window.partitionBy("cluster_id")), F.lit(False)))
-    h = m.groupBy("t").agg(F.bool_and("high").alias("high")).withColumn("trim", F.col("t").between(168, 551))
+    h = m.groupBy("t").agg(F.bool_and("high").alias("high")).crossJoin(span(s)).withColumn("trim", F.expr("t BETWEEN lo + 168 AND lo + n - 169"))
     n = lambda c: F.sum(c.cast("int"))
     return h.agg(F.count("*").alias("full_hours"), n(F.col("trim")).alias("trimmed"), n(F.col("high")).alias("allocated"), n(F.col("high") & F.col("trim")).alias("both"))
 
@@ -163,20 +166,32 @@ def session_occupancy(spark, sf_dir):
     return events.sessions(s, "a", "b", "w").select("t", F.round("x", 2).alias("x"))
 
 
-@query()
+#: The transform as sums: amplitudes of the residual's spectrum, then cosines with drawn phases.
+FOURIER = f"""x AS (SELECT cluster_id, u, t - lo AS j, t, v, trend, coalesce(v - trend, avg(v - trend) OVER (PARTITION BY cluster_id)) AS r, n FROM tl JOIN nm USING (cluster_id), span),
+f AS (SELECT cluster_id, any_value(u) AS u, k, any_value(n) AS n, sqrt(sum(r * cos(2 * pi() * ((j * k) % n) / n)) ** 2 + sum(r * sin(2 * pi() * ((j * k) % n) / n)) ** 2) AS a FROM x, (SELECT unnest(range(n // 2 + 1)) AS k FROM span) GROUP BY cluster_id, k),
+h AS (SELECT cluster_id, k, CASE WHEN k = 0 OR 2 * k = n THEN a ELSE 2 * a END AS a, CASE WHEN k = 0 OR 2 * k = n THEN 0 ELSE 2 * pi() * {uniform_sql('k', 'u', 3)} END AS phase FROM f)"""
+
+
+@query(f"WITH {LANES}, {TREND_168}, nm AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM (SELECT DISTINCT cluster_id FROM lanes)), {FOURIER} SELECT x.cluster_id, t, round(any_value(v), 6) AS v, round(CASE WHEN any_value(v) IS NOT NULL THEN any_value(trend) + sum(a * cos(2 * pi() * ((j * k) % n) / n + phase)) / any_value(n) END, 5) AS s FROM x JOIN h USING (cluster_id) GROUP BY x.cluster_id, t")
 def phase_surrogate(spark, sf_dir):
-    """Each cluster's series with its spectrum and random phases; a grouped numpy step, as Spark has no transform."""
-    return fitting.surrogates(lanes(telemetry(spark, sf_dir)), seed=3)
+    """Each cluster's trend plus a residual with its spectrum and drawn phases; a grouped numpy step, as Spark has no
+    transform."""
+    s = trend(lanes(telemetry(spark, sf_dir)), 84, 83, 24, ["cluster_id"])
+    return fitting.surrogates(s, seed=3).select("cluster_id", "t", F.round("v", 6).alias("v"), F.round("s", 5).alias("s"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLEET}, s AS (SELECT t, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS v FROM fleet WINDOW w AS (ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)),
+p AS (SELECT a.t AS i, b.t AS j, max(b.v) OVER w - min(b.v) OVER w <= 0.05 * avg(b.v) OVER w AND count(b.v) OVER w = b.t - a.t + 1 AS ok, avg(b.v) OVER w AS mean FROM s a JOIN s b ON b.t >= a.t WINDOW w AS (PARTITION BY a.t ORDER BY b.t ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT i, coalesce(min(j) FILTER (NOT ok), (SELECT lo + n FROM span)) AS stop FROM p GROUP BY i),
+r AS (SELECT lo AS i FROM span UNION ALL SELECT CASE WHEN stop - i >= 336 THEN stop ELSE i + 1 END FROM r JOIN e USING (i))
+SELECT r.i AS first, stop - 1 AS last, round(mean, 6) AS mean FROM r JOIN e USING (i) JOIN p ON p.i = r.i AND p.j = stop - 1 WHERE stop - r.i >= 336""")
 def plateaus(spark, sf_dir):
-    """Greedy runs of days whose range stays within a share of the mean; each run depends on where the last ended."""
-    days = lanes(telemetry(spark, sf_dir)).groupBy("cluster_id", F.expr("t div 24").alias("day")).agg(F.avg("v").alias("v"))
-    return fitting.plateaus(days, least=3, spread=0.5)
+    """Greedy runs of two weeks or more whose weekly mean stays within 5 %; each run depends on where the last ended."""
+    return fitting.plateaus(fleet(telemetry(spark, sf_dir)), least=336, spread=0.05).select("first", "last", F.round("mean", 6).alias("mean"))
 
 
 @query()
 def nnls_curve(spark, sf_dir):
-    """A monotone hinge curve by non-negative least squares: the sums on Spark, the small solve on the driver."""
-    return fitting.hinge_curve(telemetry(spark, sf_dir).where("u is not null"), [0.0, 0.25, 0.5, 0.75])
+    """A curve that doesn't fall, by non-negative least squares on four fifths of the racks; each segment's rise."""
+    rows = telemetry(spark, sf_dir).where("u is not null and (pod_id div 20) % 5 <> 0")
+    return fitting.solved(fitting.gram(rows, fitting.increments("u", [0.0, 0.25, 0.5, 0.75], 0.25), "w"))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hours of the calendar that the event table covers.
-HOURS = 720
-
 POD_HOURLY = """pod_id string, cluster_id string, gpu_spec_public string, job_type_public string, priority_class string,
 state_public string, gpu_request double, used_gpu_hours double, avg_gpu_sm_util double, cpu_request_cores double,
 avg_cpu_request_util double, day int, hour int"""
@@ -54,12 +51,18 @@ def write_days(rows: DataFrame, path: str, key: str = "day") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage rows from the event table: t (hour), cluster_id, pod_id, w, u (share or NULL), labels."""
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+def telemetry(spark: SparkSession, sf_dir: str, first: int | None = None, until: int | None = None) -> DataFrame:
+    """Usage rows from the event table: t (hour), cluster_id, pod_id, w, u (share or NULL), labels. Bounds on the hour
+    are put on the stored time, so that they reach the files."""
+    start = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, {})"
+    k = F.get_json_object("props", "$.k").cast("int")
     t = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts AS timestamp_ntz))")
     pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("user_id") % n + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    for bound, test in ((first, ">="), (until, "<")):
+        if bound is not None:
+            events = events.where(F.expr(f"ts {test} {start.format(bound)}"))
+    rows = events.select(
         t.alias("t"), F.col("event_type").alias("cluster_id"), F.col("user_id").alias("pod_id"), F.col("value").alias("w"), F.when(k >= 10, k / F.lit(100.0)).alias("u"), k.alias("k"),
         pick(3, "LP", "HP", "Other").alias("priority_class"), pick(4, "training", "online_inference", "offline_inference", "other").alias("job_type"), pick(5, "A10", "A100", "H800", "XPU-A", None).alias("spec"),
     )
@@ -72,6 +75,6 @@ TELE = """tele AS (SELECT CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))
  ['training', 'online_inference', 'offline_inference', 'other'][user_id % 4 + 1] AS job_type, ['A10', 'A100', 'H800', 'XPU-A', NULL][user_id % 5 + 1] AS spec,
  CASE WHEN user_id % 17 = 0 AND (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 >= 360 THEN 'Standby' ELSE 'Unknown' END AS state
  FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events))"""
-SPINE = f"spine AS (SELECT CAST(range AS BIGINT) AS t FROM range({HOURS}))"
+SPINE = "spine AS (SELECT unnest(range((SELECT min(t) FROM tele), (SELECT max(t) + 1 FROM tele))) AS t), span AS (SELECT min(t) AS lo, count(*) AS n FROM spine)"
 FLEET = f"{TELE}, {SPINE}, fleet AS (SELECT s.t, sum(w) AS v FROM spine s LEFT JOIN tele USING (t) GROUP BY s.t)"
 LANES = f"{TELE}, {SPINE}, lanes AS (SELECT s.t, c.cluster_id, sum(w) AS v FROM spine s CROSS JOIN (SELECT DISTINCT cluster_id FROM tele) c LEFT JOIN tele USING (t, cluster_id) GROUP BY s.t, c.cluster_id)"

@@ -23,7 +23,7 @@ def test_capacity_of_all_orders(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect():
         cap[r.o_orderdate.date()] += r.o_totalprice
     days = sorted(cap)
-    got = sorted(tuple(r) for r in registry.queries()["asof_capacity_whole"](spark, sf_dir).collect())
+    got = sorted(tuple(r) for r in registry.queries()["asof_capacity"](spark, sf_dir).collect())
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()
     want = sorted((r.l_orderkey, r.l_linenumber, cap[days[max(0, bisect.bisect_right(days, r.l_shipdate.date()) - 1)]]) for r in lines)
     assert [x[:2] for x in got] == [x[:2] for x in want]

@@ -146,11 +146,64 @@ def test_derating(spark):
 
 
 def test_blocks_and_shifts(spark):
-    b = resample.block_index(spark, resample.blocks(3, 50, 20), 50, 20).collect()
-    assert sorted((r.rep, r.pos) for r in b) == [(i, p) for i in range(3) for p in range(50)] and all(0 <= r.src < 50 for r in b)
-    s = spark.createDataFrame([("a", t, float(t), 0.0) for t in range(5)], "c string, t long, v double, trend double")
-    got = resample.decorrelated(s, "c", [(0, 0, 2)], 5).orderBy("t").collect()
-    assert [r.v for r in got] == [3.0, 4.0, 0.0, 1.0, 2.0]
+    hours = spark.createDataFrame([(7, 50)], "lo long, n long")
+    for circular in (False, True):
+        b = resample.block_index(hours, 3, 20, 1, circular).collect()
+        assert sorted((r.rep, r.pos) for r in b) == [(i, p) for i in range(3) for p in range(50)] and all(7 <= r.src < 57 for r in b)
+        assert all(b[i].src + 1 in (b[i + 1].src, b[i + 1].src + 50) for i in range(149) if b[i + 1].pos == b[i].pos + 1 and b[i + 1].pos % 20)
+    s = spark.createDataFrame([(c, t, float(t), 0.0) for c in "ab" for t in range(5)], "c string, t long, v double, trend double")
+    got = resample.decorrelated(s, "c", 2, 3).collect()
+    k = {(d, u): resample.drawn_numbers(np.array([d]), u, 3)[0] % 5 for d in range(2) for u in range(2)}
+    assert {(r.draw, r.t): r.v for r in got} == {(d, t): float(sum((t - k[d, u]) % 5 for u in range(2))) for d in range(2) for t in range(5)}
+
+
+def test_drawn_numbers_are_spread_and_the_same_everywhere(spark):
+    rows = spark.range(2000).withColumn("b", F.col("id") % 7)
+    got = [r.x for r in rows.select(resample.drawn("id", "b", 5).alias("x")).collect()]
+    assert got == [int(resample.drawn_numbers(np.array([i]), i % 7, 5)[0]) for i in range(2000)]
+    u = np.array(got) / resample.PRIME
+    assert abs(u.mean() - 0.5) < 0.02 and abs(np.corrcoef(u[:-7], u[7:])[0, 1]) < 0.06 and np.histogram(u, 10)[0].min() > 150
+    first, second = (resample.drawn_numbers(np.arange(2000), k, 5) % 720 for k in (0, 1))
+    assert len(set(((second - first) % 720).tolist())) > 500
+
+
+def usage_rows(spark, hours, units):
+    return spark.createDataFrame([(t, f"c{u:02}", 1.0 + u + (t % 24) / 10) for t in hours for u in range(units)], "t long, cluster_id string, w double")
+
+
+def test_calendars_and_units_come_from_the_rows(spark):
+    """A thousand hours and fourteen units, hours that don't begin at 0, and a gap."""
+    rows = usage_rows(spark, [t for t in range(5, 1005) if t != 77], 14)
+    f = rolling.fleet(rows).collect()
+    assert len(f) == 1000 and [r.t for r in f if r.v is None] == [77]
+    assert sum(r.v for r in f if r.v) == pytest.approx(rows.agg(F.sum("w")).first()[0])
+    s = rolling.lanes(rows)
+    assert s.count() == 14000
+    d = resample.decorrelated(s.withColumn("v", F.coalesce("v", F.lit(0.0))).withColumn("trend", F.lit(0.0)), "cluster_id", 2, 1)
+    for r in d.groupBy("draw").agg(F.sum("v").alias("v"), F.count("*").alias("n")).collect():
+        assert r.n == 1000 and r.v == pytest.approx(sum(x.v for x in f if x.v))
+    x = resample.numbered(s, "cluster_id")
+    assert {r.u for r in resample.picks(x, 40, 9).collect()} == set(range(14))
+
+
+def test_many_units_are_drawn_not_enumerated(spark):
+    rows = spark.createDataFrame([(f"c{u:02}",) for u in range(17)], "c string")
+    got = covariance.subsets(rows, "c", draws=5)
+    assert got.groupBy("n").agg(F.countDistinct("p").alias("p")).where("p <> 5").count() == 0
+    assert got.groupBy("p", "n").agg(F.countDistinct("c").alias("k")).where("k <> n").count() == 0
+    few = covariance.subsets(rows.where("c < 'c04'"), "c")
+    assert few.select("p").distinct().count() == 15 and few.where("bit_count(p) <> n").count() == 0
+
+
+def test_sessions_of_any_length(spark):
+    rows = [(0.25, 3.5, 2.0), (2.0, 3.0, 1.0), (2.5, 2.75, 4.0), (9.1, 9.2, 1.0), (5.0, 5.0, 9.0), (1.0, 4.0, 0.0)]
+    got = {r.t: r.x for r in events.sessions(spark.createDataFrame(rows, "a double, b double, w double"), "a", "b", "w").collect()}
+    want = {}
+    for a, b, w in rows:
+        for t in range(int(a), int(np.ceil(b))):
+            if b > a and w > 0:
+                want[t] = want.get(t, 0) + w * (min(b, t + 1) - max(a, t))
+    assert got == pytest.approx(want)
 
 
 def test_nnls():
@@ -161,11 +214,22 @@ def test_nnls():
     assert (x >= 0).all()
 
 
-def test_surrogates_keep_mean_and_spread(spark):
+def test_surrogates_keep_the_spectrum_of_the_residual(spark):
     r = np.random.default_rng(1)
-    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(r.random(64))], "cluster_id string, t long, v double")
-    got = fitting.surrogates(df, 1).toPandas()
-    assert got.s.mean() == pytest.approx(got.v.mean()) and abs(got.s - got.v).max() > 0.01
+    for n in (64, 65):
+        rows = [("a", i, float(x) + i / 10, i / 10) for i, x in enumerate(r.random(n))]
+        got = fitting.surrogates(spark.createDataFrame(rows, "cluster_id string, t long, v double, trend double"), 1).orderBy("t").toPandas()
+        line = np.arange(n) / 10
+        a, b = (np.abs(np.fft.rfft(got[c].to_numpy() - line)) for c in ("v", "s"))
+        assert b == pytest.approx(a) and abs(got.s - got.v).max() > 0.01
+    gap = spark.createDataFrame([("a", i, None if i == 3 else float(i), 0.0) for i in range(8)], "cluster_id string, t long, v double, trend double")
+    assert [x.t for x in fitting.surrogates(gap, 1).collect() if x.s is None] == [3]
+
+
+def test_a_saturating_curve_can_be_fitted(spark):
+    rows = spark.createDataFrame([(u / 100, float(np.interp(u / 100, [0, 0.25, 0.5, 0.75, 1], [1, 5, 7, 7.5, 7.5]))) for u in range(101)], "u double, w double")
+    x = [r.x for r in fitting.solved(fitting.gram(rows, fitting.increments("u", [0.0, 0.25, 0.5, 0.75], 0.25), "w")).orderBy("i").collect()]
+    assert x == pytest.approx([1, 4, 2, 0.5, 0], abs=1e-6)
 
 
 def test_sources(spark, tmp_path):
