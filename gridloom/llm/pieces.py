@@ -12,7 +12,8 @@ between are units; a unit is encoded once however often it occurs.
    that is seen, and the unit is folded step by step.
 4. A unit's boundaries and its longer pieces go beside its input partition, and a second pass over the texts puts them
    in order. Texts and ids are never exchanged.
-Units of one character, and units longer than LONG, are encoded by the same rule in the worker that reads them.
+Units of one character, and units longer than a number's bits allow (46 characters for 32,000 pieces), are encoded by
+the same rule in the worker that reads them.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from gridloom.llm.repeats import beside, stable
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 SPACE = "▁"
-#: Most characters of a unit that is encoded relationally (places are bits of a number), and units of an epoch.
-LONG, EPOCH = 60, 400_000
+#: Units of an epoch.
+EPOCH = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -72,6 +73,10 @@ class Pieces:
         order = sorted(normal, key=lambda i: (-m.pieces[i].score, i))
         self.rank = {self.text[i]: r for r, i in enumerate(order)}
         self.by_rank = np.array(order, np.int64)
+        #: Bits of boundaries in an edge's number, whose other bits are its rank (from minus half) and whether it may be late.
+        self.half = 1 << (len(order).bit_length() - 1)
+        self.places = 62 - len(order).bit_length()
+        self.long = self.places - 1
         self.longest = max(len(self.text[i]) for i in normal)
         self.worst = min(self.score.values()) - 10.0
         chars = sorted({c for i in normal if len(self.text[i]) > 1 for c in self.text[i]})
@@ -84,6 +89,8 @@ class Pieces:
             for a, b in zip(t, t[1:], strict=False):
                 self.joins[at[a], at[b]] = True
 
+        self.width, self.apart = len(chars) + 1, ~self.joins.ravel()
+
     def late(self, t: str) -> bool:
         """Whether a merge to t can become possible after its rank: one of two parts has a higher rank."""
         r = self.rank[t]
@@ -173,18 +180,15 @@ class Cut:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.concatenate([[0], np.cumsum(size)])
         joined = "".join(texts)
-        c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        k = pieces.index[c]
-        cut = np.ones(len(c), bool)
-        cut[1:] = ~pieces.joins[k[:-1], k[1:]]
+        k = pieces.index[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(k), bool)
+        if len(k):
+            np.take(pieces.apart, k[:-1].astype(np.int32) * np.int32(pieces.width) + k[1:], out=cut[1:])
         cut[first[:-1][size > 0]] = True
         start = np.flatnonzero(cut)
-        width = np.ones(len(c), np.int8)
-        for least in (0x80, 0x800, 0x10000):
-            width += c >= least
-        place = np.concatenate([[0], np.cumsum(width)])
-        o = np.append(place[start], place[-1]).astype(np.int32)
         packed = np.frombuffer(joined.encode(), np.uint8)
+        place = np.flatnonzero((packed & 0xC0) != 0x80)  # the first byte of each character
+        o = np.append(place[start], len(packed)).astype(np.int32)
         e = pa.StringArray.from_buffers(len(start), pa.py_buffer(o), pa.py_buffer(packed)).dictionary_encode()
         self.index = e.indices.to_numpy(zero_copy_only=False)
         self.units = e.dictionary
@@ -224,7 +228,7 @@ def _units(path: str, slice_bytes: int):
             for part in slices(batch, limit=slice_bytes):
                 cut = Cut(part.column("text"), pieces)
                 first = len(epochs.known)
-                epochs.places(cut.units.filter(pa.array((cut.chars > 1) & (cut.chars <= LONG))).to_pylist())
+                epochs.places(cut.units.filter(pa.array((cut.chars > 1) & (cut.chars <= pieces.long))).to_pylist())
                 yield new(first)
                 if epochs.full():
                     epochs.next()
@@ -238,41 +242,53 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, rank long, score double, late boolean")
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int, kind: int) -> DataFrame:
-    """(unit, n, edges) of the distinct units with any edge. For a BPE model the edges of two characters and more, as
-    (key, ends, span, late) in order of rank and place: key is 4096 * rank + 64 * start + length, ends and span have the
-    bits of the first and last boundary, and of all between. For a unigram model a map from 64 * start + length to (score,
-    rank)."""
-    least = 2 if kind == BPE else 1
+def lattice(units: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, edges) of the distinct units with any edge. For a BPE model the edges of two characters and more as
+    numbers in order of rank and place: the low bits are the boundaries from the first to the last. For a unigram model a
+    map from 64 * start + length to (score, rank)."""
+    least = 2 if pieces.kind == BPE else 1
     spots = units.select("unit", F.length("unit").alias("n")).select("unit", "n", F.explode(F.expr(f"sequence(0, n - {least})")).alias("s"))
-    spots = spots.select("unit", "n", "s", F.explode(F.expr(f"sequence({least}, least({longest}, n - s))")).alias("l"))
+    spots = spots.select("unit", "n", "s", F.explode(F.expr(f"sequence({least}, least({pieces.longest}, n - s))")).alias("l"))
     edges = spots.withColumn("piece", F.expr("substring(unit, s + 1, l)")).join(F.broadcast(table), "piece")
-    place = F.col("s") * 64 + F.col("l")
-    if kind == BPE:
-        ends = F.expr("shiftleft(1L, s) | shiftleft(1L, s + l)")
-        edge = F.struct((F.col("rank") * 4096 + place).alias("key"), ends.alias("ends"), F.expr("shiftleft(2L, s + l) - shiftleft(1L, s)").alias("span"), "late")
-        return edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    entry = F.struct(place.alias("key"), F.struct("score", "rank").alias("value"))
+    if pieces.kind == BPE:
+        key = F.expr(f"shiftleft(rank - {pieces.half}L, {pieces.places + 1}) + if(late, {1 << pieces.places}L, 0L) + shiftleft(2L, s + l) - shiftleft(1L, s)")
+        return edges.groupBy("unit").agg(F.sort_array(F.collect_list(key)).alias("edges")).select("unit", F.length("unit").alias("n"), "edges")
+    entry = F.struct((F.col("s") * 64 + F.col("l")).alias("key"), F.struct("score", "rank").alias("value"))
     return edges.groupBy("unit", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
 
 
 ALL = "(shiftleft(2L, n) - 1L)"
-#: Whether an edge joins two neighbours of the boundaries in a number: both ends are there, and one place between.
-JOINS = "(({m} & {e}.span) & {e}.ends) = {e}.ends AND bit_count({m} & {e}.span) = 3"
-JOINED = "(({m} & ~{e}.span) | {e}.ends)"
-#: This bit marks a unit in which a merge became possible after its turn.
-LATE = "shiftleft(1L, 62)"
-#: One pass by rank.
-MERGES = f"""
-aggregate(edges, {ALL}, (m, e) -> if({JOINS.format(m="m", e="e")},
-  if(size(late) > 0 AND exists(late, f -> f.key < e.key AND {JOINS.format(m=JOINED.format(m="m", e="e"), e="f")}), {JOINED.format(m="m", e="e")} | {LATE}, {JOINED.format(m="m", e="e")}), m))
-"""
-#: Step by step: the first edge by rank that joins two neighbours.
-STEPS = f"""
-aggregate(sequence(2, n), {ALL}, (m, t) -> element_at(transform(array(try_element_at(filter(edges, e -> {JOINS.format(m="m", e="e")}), 1)), f -> if(f is null, m, {JOINED.format(m="m", e="f")})), 1))
-"""
-#: The pieces of two characters and more, by place.
-LONGER = "transform(array_sort(transform(filter(edges, e -> (mask & e.span) = e.ends), e -> named_struct('at', e.key & 4095, 'rank', shiftright(e.key, 12)))), x -> cast(x.rank AS int))"
+
+
+def inner(k: str, places: int) -> str:
+    """The boundaries inside an edge."""
+    span = f"({k} & {(1 << places) - 1}L)"
+    return f"(shiftleft({span}, 1) & shiftright({span}, 1))"
+
+
+def joins(m: str, k: str, places: int) -> str:
+    """Whether an edge joins two neighbours of the boundaries in m: three of its places are there, one of them inside."""
+    return f"if(bit_count({m} & {k}) = 3, bit_count({m} & {inner(k, places)}) = 1, false)"
+
+
+def merges(places: int) -> str:
+    """The boundaries after one pass by rank; 0 if a merge became possible after its turn."""
+    seen = f"exists(late, f -> f < k AND {joins('x', 'f', places)})"
+    joined = f"m & ~{inner('k', places)}"
+    return f"aggregate(edges, {ALL}, (m, k) -> if({joins('m', 'k', places)}, if(size(late) = 0, {joined}, element_at(transform(array({joined}), x -> if({seen}, 0L, x)), 1)), m))"
+
+
+def steps(places: int) -> str:
+    """Step by step: the first edge by rank that joins two neighbours."""
+    return f"aggregate(sequence(2, n), {ALL}, (m, t) -> element_at(transform(array(try_element_at(filter(edges, k -> {joins('m', 'k', places)}), 1)), f -> if(f is null, m, m & ~{inner('f', places)})), 1))"
+
+
+def longer(places: int, half: int) -> str:
+    """The ranks of the pieces of two characters and more, by place."""
+    last = f"bit_count(mask & k) = 2 AND (mask & {inner('k', places)}) = 0"
+    return f"transform(sort_array(transform(filter(edges, k -> {last}), k -> named_struct('at', k & {(1 << places) - 1}L, 'rank', cast(shiftright(k, {places + 1}) + {half}L AS int)))), x -> x.rank)"
+
+
 #: For each place, the best score there and the start (the earliest, negated) of its last edge; then the boundaries.
 VITERBI = """
 aggregate(sequence(1, n), array(struct(cast(0 as double) as score, 0 as back)), (a, e) -> concat(a, array(
@@ -285,12 +301,13 @@ BACK = "aggregate(sequence(1, n), array(n), (b, t) -> if(b[0] = 0, b, concat(arr
 def folded(lattices: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, mask, ranks): boundaries as bits, and the ranks of the pieces of two characters and more, by place."""
     if pieces.kind == BPE:
-        rows = lattices.withColumn("late", F.expr("filter(edges, e -> e.late)")).withColumn("once", F.expr(MERGES))
-        rows = rows.withColumn("mask", F.when(F.col("once").bitwiseAND(F.expr(LATE)) == 0, F.col("once")).otherwise(F.expr(STEPS)))
-        return rows.select("unit", "mask", F.expr(LONGER).alias("ranks"))
+        late = F.expr(f"filter(edges, k -> (k & {1 << pieces.places}L) <> 0)")
+        rows = lattices.withColumn("late", late).withColumn("once", F.expr(merges(pieces.places)))
+        rows = rows.withColumn("mask", F.when(F.col("once") > 0, F.col("once")).otherwise(F.expr(steps(pieces.places))))
+        return rows.select("unit", "mask", F.expr(longer(pieces.places, pieces.half)).alias("ranks"))
     rows = lattices.withColumn("path", F.expr(VITERBI.format(longest=pieces.longest, worst=repr(pieces.worst)))).withColumn("bounds", F.expr(BACK))
-    longer = "filter(transform(sequence(0, size(bounds) - 2), i -> if(bounds[i + 1] - bounds[i] > 1, cast(try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i]).rank AS int), null)), r -> r is not null)"
-    return rows.select("unit", F.expr("aggregate(bounds, 0L, (m, b) -> m | shiftleft(1L, b))").alias("mask"), F.expr(longer).alias("ranks"))
+    ranks = "filter(transform(sequence(0, size(bounds) - 2), i -> if(bounds[i + 1] - bounds[i] > 1, cast(try_element_at(edges, bounds[i] * 64 + bounds[i + 1] - bounds[i]).rank AS int), null)), r -> r is not null)"
+    return rows.select("unit", F.expr("aggregate(bounds, 0L, (m, b) -> m | shiftleft(1L, b))").alias("mask"), F.expr(ranks).alias("ranks"))
 
 
 class Found:
@@ -330,7 +347,7 @@ def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
 def _ids(cut: Cut, row: np.ndarray, found: Found, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all distinct units, bounds by unit); row: of each unit in found, or -1."""
     size = cut.chars.astype(np.int64)
-    whole = (size > LONG).nonzero()[0]
+    whole = (size > pieces.long).nonzero()[0]
     mask = np.full(len(size), -1, np.int64)
     mask[row >= 0] = found.mask[row[row >= 0]]
     mask[whole] = 1
@@ -339,14 +356,14 @@ def _ids(cut: Cut, row: np.ndarray, found: Found, pieces: Pieces) -> tuple[np.nd
     place = np.arange(len(c)) - np.repeat(first, size)
     begin = (np.repeat(mask, size) >> np.minimum(place, 63)) & 1 == 1
     if len(whole):
-        begin[np.repeat(size > LONG, size) & (place > 0)] = False
+        begin[np.repeat(size > pieces.long, size) & (place > 0)] = False
     start = np.flatnonzero(begin)
     owner = np.repeat(np.arange(len(size)), size)[start]
     width = np.diff(np.append(start, len(c)))
     # spellings: all ids, then those of characters without a piece, then of long units
     table: list[int] = list(range(len(pieces.text)))
     at, n = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
-    longer = (width > 1) & (size[owner] <= LONG)
+    longer = (width > 1) & (size[owner] <= pieces.long)
     have = row[row >= 0]
     ranks = gathered(found.flat, found.bound[have], found.bound[have + 1] - found.bound[have])
     if len(ranks) != int(longer.sum()):
@@ -364,7 +381,7 @@ def _ids(cut: Cut, row: np.ndarray, found: Found, pieces: Pieces) -> tuple[np.nd
             spot[i], many[i] = len(table), len(ids)
             table += ids
     at[one], n[one] = spot[of], many[of]
-    head = np.flatnonzero((size[owner] > LONG) & (width > 1))
+    head = np.flatnonzero((size[owner] > pieces.long) & (width > 1))
     for i in head.tolist():
         ids = pieces.encoded(cut.units[int(owner[i])].as_py())
         at[i], n[i] = len(table), len(ids)
@@ -381,7 +398,7 @@ def _ordered(path: str, side: str, slice_bytes: int, texts: bool):
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
                 cut = Cut(part.column("text"), pieces)
-                some = (cut.chars > 1) & (cut.chars <= LONG)
+                some = (cut.chars > 1) & (cut.chars <= pieces.long)
                 row = np.full(len(cut.units), -1)
                 row[some] = found.of(epochs.number, epochs.places(cut.units.filter(pa.array(some)).to_pylist()))
                 if epochs.full():
@@ -436,7 +453,7 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slic
     docs = stable(docs, []).select("doc_id", "text")
     place = scratch(spark, "units")
     rows = written(docs.mapInArrow(_units(path, slice_bytes), "part long, epoch int, at int, unit string"), "units", place)
-    found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces.longest, pieces.kind), pieces)
+    found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces), pieces)
     side = scratch(spark, "pieces")
     rows.join(found, "unit").select("part", "epoch", "at", "mask", "ranks").repartition(tasks(spark), "part").write.partitionBy("part").option("compression", "zstd").parquet(side)
     removed(spark, place)
