@@ -334,10 +334,11 @@ class Join:
         return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary, times binary"), "keys", "bucket", "keys", "times")
 
     def candidates(self, firsts: str, keys: str) -> DataFrame:
-        """Rows (sig, row) for the rarest signatures that others have, of sets with enough of them, and for each such set
-        a row with sig null and its names."""
+        """Of sets with enough signatures that others have: a row (sig, row) for each of the rarest and the first set of
+        the slice that has it, a row (row, lead) for another set of the slice and that first one, and a row for each set
+        (row, n, names)."""
         width, percent, slice_bytes, buckets = self.width, self.percent, self.slice_bytes, self.buckets
-        names = ["sig", "row", "n", "names"]
+        names = ["sig", "row", "lead", "n", "names"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             listed, live = Side(firsts), Keys(keys)
@@ -362,18 +363,29 @@ class Join:
                     if not len(sig):
                         continue
                     ids = np.array(got) + listed.first
-                    n, have = len(sig), np.unique(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(ids[row]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                    none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+                    order = np.lexsort((row, sig))
+                    sig, row = sig[order], row[order]
+                    new = changes(sig)
+                    lead = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                    n = int(new.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(sig[new])), pa.array(ids[row[new]]), none(n), none(n), none(n, pa.binary())], names)
+                    near = np.unique(np.stack([row, lead])[:, row != lead], axis=1)
+                    n = near.shape[1]
+                    yield pa.RecordBatch.from_arrays([none(n), pa.array(ids[near[0]]), pa.array(ids[near[1]]), none(n), none(n, pa.binary())], names)
+                    have = np.unique(row)
                     sets = whole_names(text.take(pa.array(have)), width)
                     n = len(have)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[have]), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([none(n), pa.array(ids[have]), none(n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
-        return self.written(self.docs.mapInArrow(run, "sig long, row long, n long, names binary"), "candidates")
+        return self.written(self.docs.mapInArrow(run, "sig long, row long, lead long, n long, names binary"), "candidates")
 
-    def families(self, live: DataFrame) -> DataFrame:
-        """(row, family): sets that can be similar are in one family; sets alone in theirs are left out."""
+    def families(self, live: DataFrame, near: DataFrame) -> DataFrame:
+        """(row, family): sets that can be similar are in one family; sets alone in theirs are left out. live: (sig, row),
+        a set for all of a slice; near: (a, b) within a slice."""
         lead = live.groupBy("sig").agg(F.min("row").alias("b"), F.count("*").alias("times")).where("times > 1")
-        return rooted(self.components(live.join(lead.select("sig", "b"), "sig").select(F.col("row").alias("a"), "b"))).select(F.col("a").alias("row"), F.col("b").alias("family"))
+        edges = live.join(lead.select("sig", "b"), "sig").select(F.col("row").alias("a"), "b")
+        return rooted(self.components(edges.unionByName(near))).select(F.col("a").alias("row"), F.col("b").alias("family"))
 
     def blocks(self, family: DataFrame, sets: DataFrame) -> DataFrame:
         """(family, band, block, row): where each set meets the others; band is -1 where a family is one block."""
@@ -387,9 +399,27 @@ class Join:
         return self.written(rows.select("family", F.when(one, F.lit(-1)).otherwise(F.col("band")).alias("band"), block.alias("block"), "row", F.col("parts").cast("int").alias("parts")), "blocks")
 
     def met(self, rows: DataFrame, sets: DataFrame, work: Callable, wanted: list[str], schema: str) -> DataFrame:
-        """Rows (family, band, block, ...) with their sets, a block together."""
+        """Rows (family, band, block, ...) with their sets, a block together. What is to be done with a set is written by
+        its input partition and read where the set is read, so that sets are exchanged once, to their blocks."""
         key = ["family", "band", "block"]
-        rows = rows.join(sets.select("row", "names"), "row").select(*key, *wanted)
+        listed = [*key, *(c for c in wanted if c != "names")]
+        side = self.beside(rows.withColumn("part", F.shiftright("row", 32)), "places", *listed)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[int, pa.Table | None] = {}
+            for batch in batches:
+                for p in np.unique(np.asarray(batch.column("row")) >> 32).tolist():
+                    if p not in known:
+                        if len(known) > 4:
+                            known.clear()
+                        got = beside(side, p)
+                        known[p] = pa.concat_tables(got).combine_chunks() if got else None
+                    if known[p] is not None:
+                        own = pa.Table.from_batches([batch.select(["row", "names"])]).join(known[p], "row", join_type="inner")
+                        yield from own.select([*listed, "names"]).to_batches()
+
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        rows = sets.select("row", "names").mapInArrow(placed, ", ".join(f"{c} {kinds[c]}" for c in listed) + ", names binary").select(*key, *wanted)
         order = [c for c in wanted if c in ("kind", "row")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,8 +549,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, slice_bytes: int, block:
     classes = j.written(rows.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "row")).alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc").alias("doc"), F.col("f.row").alias("row"), "copies"), "classes")
     firsts = j.beside(classes.select(F.shiftright("row", 32).alias("part"), "row", F.lit(0).alias("s"), F.col("copies").alias("n"), "doc"), "firsts", "row", "s", "n", "doc")
     found = j.candidates(firsts, keys)
-    sets, live = found.where("sig is null").select("row", "n", "names"), found.where("sig is not null").select("sig", "row")
-    label = j.linked(j.families(live), sets)
+    sets, live = found.where("n is not null").select("row", "n", "names"), found.where("sig is not null").select("sig", "row")
+    near = found.where("lead is not null").select(F.col("row").alias("a"), F.col("lead").alias("b"))
+    label = j.linked(j.families(live, near), sets)
 
     own = F.struct("doc", "row")
     met = j.written(rooted(label).join(classes.select(F.col("row").alias("a"), own.alias("f")), "a"), "members")

@@ -254,10 +254,11 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + ":" + rest)
 
 
-def beside(path: str) -> list[pa.Table]:
-    """What was written below path for this task's input partition."""
+def beside(path: str, part: int | None = None) -> list[pa.Table]:
+    """What was written below path for an input partition, this task's if none is named."""
     fs, root = opened(path)
-    found = fs.get_file_info(pafs.FileSelector(f"{root}/part={TaskContext.get().partitionId()}", allow_not_found=True))
+    part = TaskContext.get().partitionId() if part is None else part
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/part={part}", allow_not_found=True))
     return [pq.read_table(f.path, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
 
 
