@@ -14,7 +14,7 @@ import pyarrow as pa
 
 L, N, O, S = 0, 1, 2, 3
 #: Distinct pre-tokens whose ids a worker keeps; beyond that it forgets and starts again.
-KEPT = 200_000
+KEPT = 100_000
 
 
 def default_path() -> str:

@@ -25,7 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import SPACE, Rolling, U
+from gridloom.llm.arrowtext import SPACE, U, Rolling, tidy
 from gridloom.llm.session import id_and_text, ship, tasks
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -188,4 +188,4 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(head), "key", "left")
     places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("extra")), F.when(F.col("previous").isNotNull(), F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("extra")))))
     rows = rows.select(F.explode(places).alias("place"), "key", "doc_id", "text").select("place.bucket", "place.extra", "key", "doc_id", "text")
-    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text").drop("key").mapInArrow(_edits, SCHEMA)
+    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text").drop("key").mapInArrow(tidy(_edits), SCHEMA)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import Rolling, U, Words, mixed, raw, signed, slices
+from gridloom.llm.arrowtext import U, Rolling, Words, mixed, raw, signed, slices, tidy
 from gridloom.llm.repeats import LAST, Side, beside, stable, without
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
@@ -302,7 +302,7 @@ class Join:
                     none = pa.nulls(len(cut), pa.int64())
                     yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([part_id] * len(cut), pa.int64()), pa.array(bucket[cut].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(more, pa.binary())], names)
 
-        return self.written(self.docs.mapInArrow(run, "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary, more binary"), "sets")
+        return self.written(self.docs.mapInArrow(tidy(run), "row long, doc long, n long, g1 long, g2 long, part long, bucket int, keys binary, more binary"), "sets")
 
     def beside(self, rows: DataFrame, name: str, *columns: str) -> str:
         self.made.append(scratch(self.spark, name))
@@ -331,7 +331,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([k.tobytes() for _, k, _ in found], pa.binary()), pa.array([n.astype("<u2").tobytes() for _, _, n in found], pa.binary())], ["part", "bucket", "keys", "times"])
 
         rows = rows.select("bucket", "part", "keys", "more").repartitionById(self.n, F.col("bucket") % self.n).sortWithinPartitions("bucket")
-        return self.beside(rows.mapInArrow(live, "part long, bucket int, keys binary, times binary"), "keys", "bucket", "keys", "times")
+        return self.beside(rows.mapInArrow(tidy(live), "part long, bucket int, keys binary, times binary"), "keys", "bucket", "keys", "times")
 
     def candidates(self, firsts: str, keys: str) -> DataFrame:
         """Of sets with enough signatures that others have: a row (sig, row) for each of the rarest and the first set of
@@ -378,7 +378,7 @@ class Join:
                     n = len(have)
                     yield pa.RecordBatch.from_arrays([none(n), pa.array(ids[have]), none(n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
-        return self.written(self.docs.mapInArrow(run, "sig long, row long, lead long, n long, names binary"), "candidates")
+        return self.written(self.docs.mapInArrow(tidy(run), "sig long, row long, lead long, n long, names binary"), "candidates")
 
     def families(self, live: DataFrame, near: DataFrame) -> DataFrame:
         """(row, family): sets that can be similar are in one family; sets alone in theirs are left out. live: (sig, row),
@@ -419,7 +419,7 @@ class Join:
                         yield from own.select([*listed, "names"]).to_batches()
 
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        rows = sets.select("row", "names").mapInArrow(placed, ", ".join(f"{c} {kinds[c]}" for c in listed) + ", names binary").select(*key, *wanted)
+        rows = sets.select("row", "names").mapInArrow(tidy(placed), ", ".join(f"{c} {kinds[c]}" for c in listed) + ", names binary").select(*key, *wanted)
         order = [c for c in wanted if c in ("kind", "row")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +433,7 @@ class Join:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], columns)
 
-        return rows.repartition(self.n, *key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+        return rows.repartition(self.n, *key).sortWithinPartitions(*key, *order).mapInArrow(tidy(run), schema)
 
     def inside(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
         """(row, label): the smallest row of its block that each set reaches over links in the block."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.arrowtext import Words, slices
+from gridloom.llm.arrowtext import Words, slices, tidy
 from gridloom.llm.session import id_and_text, ship
 
 #: First and last code point of letters of each script.
@@ -212,7 +212,7 @@ def _predicted(packed: bytes, switch: float, carry: list[str]):
         model: Model = pickle.loads(packed)
         k = len(model.languages)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=3 << 20):
                 n = part.num_rows
                 words = Words(part.column("text"))
                 label, score, mixed = ["und"] * n, np.zeros(n), np.zeros(n, np.int64)
@@ -249,8 +249,8 @@ def recognised(docs: DataFrame, least: float = 0.4, model: Model | None = None,
     """The rows, with all their columns, whose language is not `und` and holds at least that share of the words.
 
     Columns go by their place, so that extra ones may have any name."""
-    place = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*place).withColumn("text", F.coalesce(F.col(place[docs.columns.index("text")]), F.lit("")))
+    place = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*place).withColumn("text", F.coalesce("text", F.lit("")))  # no null text is kept
     out = _labelled(docs, rows, place, model, switch).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return out.select(*place).toDF(*docs.columns)
 
@@ -259,4 +259,4 @@ def _labelled(docs: DataFrame, rows: DataFrame, carry: list[str], model: Model |
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model or learned(docs)))
     schema = T.StructType([*(rows.schema[c] for c in carry), *T._parse_datatype_string("lang_pred string, score double, n_spans long").fields])
-    return rows.mapInArrow(lambda it: _predicted(packed.value, switch, carry)(it), schema)
+    return rows.mapInArrow(tidy(lambda it: _predicted(packed.value, switch, carry)(it)), schema)

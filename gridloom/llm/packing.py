@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridloom.llm import bytebpe
-from gridloom.llm.arrowtext import raw, slices
+from gridloom.llm.arrowtext import raw, slices, tidy
 from gridloom.llm.session import id_and_text, ship
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -140,4 +140,4 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024,
                 )
                 sequence += int(rows[:, 3].max()) + 1
 
-    return id_and_text(docs).mapInArrow(blocks, SCHEMA)
+    return id_and_text(docs).mapInArrow(tidy(blocks), SCHEMA)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import raw, slices
+from gridloom.llm.arrowtext import raw, slices, tidy
 from gridloom.llm.repeats import beside, stable
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
@@ -452,10 +452,10 @@ def encoded(docs: DataFrame, model: str | None = None, texts: bool = False, slic
     pieces = load(path)
     docs = stable(docs, []).select("doc_id", "text")
     place = scratch(spark, "units")
-    rows = written(docs.mapInArrow(_units(path, slice_bytes), "part long, epoch int, at int, unit string"), "units", place)
+    rows = written(docs.mapInArrow(tidy(_units(path, slice_bytes)), "part long, epoch int, at int, unit string"), "units", place)
     found = folded(lattice(rows.select("unit").distinct(), piece_table(spark, pieces), pieces), pieces)
     side = scratch(spark, "pieces")
     rows.join(found, "unit").select("part", "epoch", "at", "mask", "ranks").repartition(tasks(spark), "part").write.partitionBy("part").option("compression", "zstd").parquet(side)
     removed(spark, place)
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
-    return docs.mapInArrow(_ordered(path, side, slice_bytes, texts), schema)
+    return docs.mapInArrow(tidy(_ordered(path, side, slice_bytes, texts)), schema)

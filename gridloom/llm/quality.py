@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import repeats
-from gridloom.llm.arrowtext import Rolling, U, Words, mixed, signed, slices
+from gridloom.llm.arrowtext import U, Rolling, Words, mixed, signed, slices, tidy
 from gridloom.llm.session import removed, scratch, ship, written
 
 SYMBOLS = np.zeros(256, bool)
@@ -136,7 +136,7 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, min_word
     given = F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")
     docs = repeats.stable(docs, [*own, *carry])
     place = scratch(spark, "quality")
-    found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(_hashed, LINES), "quality", place)
+    found = written(docs.select("doc_id", given.alias("host"), "text").mapInArrow(tidy(_hashed), LINES), "quality", place)
     lines = found.select("row", "doc", "host", "digest", F.explode("lines").alias("line"))
     shared = lines.select("host", "line", "digest").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > line_limit)
     few = scratch(spark, "shared-lines")
@@ -146,4 +146,4 @@ def judged(docs: DataFrame, host: str = "source", line_limit: int = 50, min_word
     removed(spark, place)
     removed(spark, few)
     fields = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carry), *T._parse_datatype_string(VERDICT).fields])
-    return docs.select("doc_id", "text", *carry).mapInArrow(_verdicts(side, tuple(carry), min_words, min_left), fields)
+    return docs.select("doc_id", "text", *carry).mapInArrow(tidy(_verdicts(side, tuple(carry), min_words, min_left)), fields)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.arrowtext import Rolling, U, mixed, signed, slices
+from gridloom.llm.arrowtext import U, Rolling, mixed, signed, slices, tidy
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 CHUNKS = "key long, name1 long, name2 long, doc long, row long, s int, n int"
@@ -338,7 +338,7 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     docs = stable(docs, list(carry))
     texts = docs.select("doc_id", "text")
     place = scratch(spark, "chunks")
-    found = written(texts.mapInArrow(_chunk_rows(parse, width, slice_bytes), CHUNKS), "chunks", place)
+    found = written(texts.mapInArrow(tidy(_chunk_rows(parse, width, slice_bytes)), CHUNKS), "chunks", place)
 
     # 1. keys that can hold repeats; `many`: chunks of different names share the key
     by_key = [F.min("name1").alias("a"), F.max("name1").alias("b"), F.min("name2").alias("c"), F.max("name2").alias("d")]
@@ -371,12 +371,12 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     # 3. windows of what is left
     side = _to_side(met.where("gives"), "open")
     n, buckets = tasks(spark), 4 * tasks(spark)
-    names = texts.mapInArrow(_window_names(parse, width, slice_bytes, side, buckets), "bucket int, part long, first long, packed binary")
+    names = texts.mapInArrow(tidy(_window_names(parse, width, slice_bytes, side, buckets)), "bucket int, part long, first long, packed binary")
     names = names.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
     bits = scratch(spark, "bits")
     made += [side, bits]
-    names.mapInArrow(_decided(others), "part long, first long, bucket int, n int, bits binary").repartition(n, "part").write.partitionBy("part").parquet(bits)
-    hits = texts.mapInArrow(_hits(parse, width, slice_bytes, side, bits, others), "row long, s int, n int, doc long")
+    names.mapInArrow(tidy(_decided(others)), "part long, first long, bucket int, n int, bits binary").repartition(n, "part").write.partitionBy("part").parquet(bits)
+    hits = texts.mapInArrow(tidy(_hits(parse, width, slice_bytes, side, bits, others)), "row long, s int, n int, doc long")
     hits = kept(hits, "hits")  # by itself: in a union its tasks would have other numbers than the scan's
     spans = met.where("settled").select("row", "s", "n", "doc").unionByName(hits)
     side = _to_side(spans, "spans")
@@ -400,7 +400,7 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
                 whole = [part.column(c) for c in ("doc_id", *carry)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(whole, ["doc_id", *carry, *names])
 
-    return docs.mapInArrow(last, fields)
+    return docs.mapInArrow(tidy(last), fields)
 
 
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
             keep[list(listed.rows(batch))] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def sha256(data: bytes) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytebpe
-from gridloom.llm.arrowtext import raw, slices
+from gridloom.llm.arrowtext import raw, slices, tidy
 from gridloom.llm.session import id_and_text, ship, tasks
 
 #: More rows than Arrow batches have; positions in a block are then two bytes.
@@ -159,10 +159,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer or bytebpe.default_path()
-    rows = id_and_text(docs).mapInArrow(_frequencies(path, block_bytes), "block long, piece binary, width int, packed binary")
+    rows = id_and_text(docs).mapInArrow(tidy(_frequencies(path, block_bytes)), "block long, piece binary, width int, packed binary")
     place = F.shiftright("block", 24)
     met = rows.withColumn("salt", F.when(F.col("piece").isNull(), F.col("block")).otherwise(F.floor(place / group)))
     met = met.repartition(tasks(spark), "piece", "salt").sortWithinPartitions("salt", "piece")
-    sums = met.mapInArrow(_summed(path), "block long, kind int, packed binary")
+    sums = met.mapInArrow(tidy(_summed(path)), "block long, kind int, packed binary")
     back = sums.repartition(tasks(spark), "block").sortWithinPartitions("block", "kind")
-    return back.mapInArrow(_blocks(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return back.mapInArrow(tidy(_blocks(limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.arrowtext import tidy
 from gridloom.llm.session import scratch, ship, tasks, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -185,7 +186,7 @@ def archived(pages: DataFrame, root: str, least_bytes: int = 0, frame_bytes: int
     met = rows.join(many, "sha1", "left")
     other = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     met = met.withColumn("refers_to", F.when(other, F.col("winner"))).withColumn("html", F.when(~other, F.col("html")))
-    index = met.select("page_id", "url", "html", "refers_to", "payload_bytes", "sha1").mapInArrow(_write(root, frame_bytes, bundle_bytes, level), INDEX)
+    index = met.select("page_id", "url", "html", "refers_to", "payload_bytes", "sha1").mapInArrow(tidy(_write(root, frame_bytes, bundle_bytes, level)), INDEX)
     return written(index, "warc-index")
 
 
@@ -215,7 +216,7 @@ def read_back(index: DataFrame, frames: int = 32) -> DataFrame:
     """All records of the bundles in an index, read from the bundles; a task takes runs of `frames` frames."""
     run = F.floor(F.col("frame") / frames)
     todo = index.groupBy("bundle", run.alias("run")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-    return todo.repartition(tasks(index.sparkSession), "bundle", "run").mapInArrow(_read, RECORDS)
+    return todo.repartition(tasks(index.sparkSession), "bundle", "run").mapInArrow(tidy(_read), RECORDS)
 
 
 def round_trip(pages: DataFrame, root: str | None = None, **options) -> DataFrame:
