@@ -68,12 +68,12 @@ ENUMERATED, DRAWN = 14, 200
 def subsets(rows: DataFrame, unit: str, most: int = ENUMERATED, draws: int = DRAWN, seed: int = 5) -> DataFrame:
     """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` sets of each size drawn
     without replacement, as a reference of its own for each size, and p is a number. Units are numbered in the plan."""
-    o = numbered(rows, unit)
+    o = numbered(rows, unit, "_u")
     size = o.agg(F.count("*").alias("units"))
     whole = size.where(F.col("units") <= most).select(F.explode(F.expr(f"sequence(1L, shiftleft(1L, cast(least(units, {most}) AS int)) - 1)")).alias("p"))
-    whole = whole.join(o, F.expr("shiftright(p, cast(u AS int)) & 1 = 1")).select("p", unit, F.bit_count("p").cast("long").alias("n"))
+    whole = whole.join(o, F.expr("shiftright(p, cast(_u AS int)) & 1 = 1")).select("p", unit, F.bit_count("p").cast("long").alias("n"))
     some = size.where(F.col("units") > most).select(F.explode(F.expr("sequence(1L, units)")).alias("n")).crossJoin(rows.sparkSession.range(draws)).withColumn("p", F.col("n") * draws + F.col("id"))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(drawn("p", "u", seed), "u"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(drawn("p", "_u", seed), "_u"))
     some = some.crossJoin(o).withColumn("rank", rank).where("rank <= n").select("p", unit, "n")
     return whole.unionByName(some)
 

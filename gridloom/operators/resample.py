@@ -47,9 +47,9 @@ def uniform(a: str, b: str, seed: int) -> Column:
     return drawn(a, b, seed) / F.lit(float(PRIME))
 
 
-def numbered(units: DataFrame, unit: str) -> DataFrame:
+def numbered(units: DataFrame, unit: str, name: str = "u") -> DataFrame:
     """(unit, u): the units by name, from 0."""
-    return units.select(unit).distinct().withColumn("u", F.row_number().over(Window.orderBy(unit)).cast("long") - 1)
+    return units.select(unit).distinct().withColumn(name, F.row_number().over(Window.orderBy(unit)).cast("long") - 1)
 
 
 def picks(units: DataFrame, reps: int, seed: int) -> DataFrame:

@@ -1,14 +1,16 @@
 """Small cases with known results, and numpy versions of the core operators."""
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import power
-from gridloom.operators import backtest, covariance, events, fitting, resample, rolling, rollups, screen
-from gridloom.sources import tables
+from gridloom.operators import backtest, covariance, events, facts, fitting, resample, rolling, rollups, screen
+from gridloom.sources import files, tables
 
 
 def series(spark, values, **more):
@@ -245,3 +247,58 @@ def test_sources(spark, tmp_path):
     assert tables.utilisation_divisor(spark.createDataFrame([(55.0,)], "u double"), "u") == 100
     text = spark.createDataFrame([("1.5", "x"), ("NaN", "3")], "a string, b string")
     assert [tuple(r) for r in tables.coerced(text, a="double", b="int").collect()] == [(1.5, None), (None, 3)]
+
+
+def test_paths_samples_and_configurations(spark, tmp_path):
+    rows = spark.createDataFrame([(d, h, 55.0 + d) for d in range(5) for h in range(11, 14)], "day int, hour int, u double")
+    rows.write.partitionBy("day", "hour").parquet(str(tmp_path / "t"))
+    back = files.by_path(spark, str(tmp_path / "t"), "u double", ["day", "hour"])
+    assert sorted(tuple(r) for r in back.select("day", "hour", "u").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert files.sampled_divisor(spark.read.parquet(str(tmp_path / "t")), "u").first().divisor == 100.0
+    assert files.sampled_divisor(rows.withColumn("u", F.when(F.col("day") == 4, 99.0).otherwise(0.5)), "u").first().divisor == 1.0
+    (tmp_path / "p.yaml").write_text("idle_frac: {base: 0.3, range: [0.2, 0.4]}\npue: 1.4\ngpu_tdp_w: {A10: 160, A100: {base: 410, range: [300, 460]}}\n")
+    p = power.configured(files.config(spark, str(tmp_path / "p.yaml")))
+    assert (p["phi"], p["pue"], p["null_level"], p["tdp"]) == (0.3, 1.4, 0.3, {"A10": 160.0, "A100": 410.0})
+
+
+def test_written_once_and_in_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"k{i % 7}") for i in range(70)], "i long, k string")
+    assert files.if_absent(rows, str(tmp_path / "once")).count() == 70
+    assert files.if_absent(rows.limit(1), str(tmp_path / "once")).count() == 70
+    files.bucketed(rows, str(tmp_path / "b"), "k", 4)
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert {(r.k, r.bucket) for r in back.collect()} == {(f"k{i}", zlib.crc32(f"k{i}".encode()) % 4) for i in range(7)}
+    assert all(len(list((tmp_path / "b" / f"bucket={x}").glob("*.parquet"))) == 1 for x in {r.bucket for r in back.collect()})
+
+
+def test_provenance(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    r = files.provenance(spark, str(tmp_path / "x.bin")).first()
+    assert (r.name, r.bytes, r.sha256) == ("x.bin", 3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_facts_have_the_first_category_that_fits(spark):
+    got = {r.workload + "/" + r.phase: r.category for r in spark.createDataFrame(facts.FACTS, "workload string, phase string, s string, notes string").select("workload", "phase", facts.category()).collect()}
+    assert got["llm/node_idle"] == "idle: bare" and got["idle/allocated"] == "idle: allocated" and got["chat/facility"] is None and got["host/online"] is None
+    assert got["llm/training comm"] == "training: comm trough" and got["Training/steady"] == "training: mean" and got["unknown/unknown"] is None
+
+
+def test_whole_numbers_and_ranges_only(spark):
+    want = {"1e3": None, "17": 17.0, "~2-4": 3.0, " .5 ": 0.5, "a1": None, "1-2-3": None, "": None}
+    df = spark.createDataFrame([(s,) for s in want], "s string")
+    assert {r.s: r.n for r in df.select("s", rollups.number_of("s").alias("n")).collect()} == want
+
+
+def test_plateaus_restart_where_the_last_ended(spark):
+    v = [10.0] * 30 + [20.0] * 25 + [None] + [20.0] * 12 + [5.0] * 9
+    got = fitting.plateaus(series(spark, v), least=10, spread=0.0, window=1).collect()
+    assert got == []  # a mean of one value needs 24
+    flat = fitting.plateaus(series(spark, [10.0] * 100 + [20.0] * 100), least=40, spread=0.01, window=24).orderBy("first").collect()
+    assert flat[0].first == 12 and all(b.first > a.last for a, b in zip(flat, flat[1:], strict=False)) and len(flat) == 2
+
+
+def test_equal_sides_of_a_join(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, a string"), spark.createDataFrame([(1, 5.0)], "k long, v double")
+    assert [tuple(r) for r in rollups.one_to_one(a, b, "k").collect()] == [(1, "x", 5.0)]
+    with pytest.raises(Exception, match="repeated key"):
+        rollups.one_to_one(a.unionByName(a), b, "k").collect()
