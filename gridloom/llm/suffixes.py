@@ -44,7 +44,7 @@ def deduplicated_bytes(docs: DataFrame, width: int = 200, carry: tuple[str, ...]
 
     A byte of the UTF-8 text goes if a string of `width` bytes over it also starts anywhere else, in the same text or
     another, judged on the input; strings lie within a text. Null text is empty; repeated rows repeat each other; an
-    empty table gives no rows.
+    empty table gives no rows. Long texts are treated like any other. Carried columns may not be called like an output.
     """
 
     def finish(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple:

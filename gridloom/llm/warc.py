@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import tidy
+from gridloom.llm.repeats import opened
 from gridloom.llm.session import scratch, ship, tasks, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -33,11 +34,6 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -175,7 +171,8 @@ def archived(pages: DataFrame, root: str, least_bytes: int = 0, frame_bytes: int
 
     Of the records with equal payloads of at least least_bytes, that with the largest page_id is the response (null
     ids are the smallest; of repeated rows with that id each is a response); the others refer to it. Null html is an
-    empty payload. An empty table gives an empty index and no bundle.
+    empty payload. Rows that repeat an id repeat its record identifier. An empty table gives an empty index and no bundle.
+    Other columns are ignored, whatever their names; a very long payload is a frame of its own.
     """
     spark = pages.sparkSession
     ship(spark)
