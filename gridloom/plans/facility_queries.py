@@ -188,14 +188,19 @@ def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.bracketed(rows(spark, sf_dir).withColumn("ur", ur), knots, "ur", "f").withColumn("f", F.coalesce("f", F.lit(1.0)))
 
 
-@query(f"WITH {ROWS}, {SPINE}, {ERR.replace(TELE + ', ', '')}, {CORR}, h AS (SELECT t, sum(idle + active) AS a0, sum((idle + active) * f) AS a1, coalesce(sum(active) FILTER (layer = 'curtail'), 0) AS c0, coalesce(sum(active * f) FILTER (layer = 'curtail'), 0) AS c1 FROM co GROUP BY t) SELECT round(avg(a0), 4) AS workload, round(avg(a1), 4) AS workload_corrected, round(100 * (avg(a1) / avg(a0) - 1), 6) AS shift_pct, round(avg(c0) / avg(a0), 6) AS scope, round(avg(c1) / avg(a1), 6) AS scope_corrected FROM h WHERE a0 > 0")
+@query(f"""WITH {FAC}, {ERR.replace(TELE + ', ', '')}, {CORR}, h AS (SELECT t, sum(idle + active) AS a0, sum((idle + active) * f) AS a1, coalesce(sum(active) FILTER (layer = 'curtail'), 0) AS c0, coalesce(sum(active * f) FILTER (layer = 'curtail'), 0) AS c1 FROM co GROUP BY t),
+i AS (SELECT a0, a1, c0, c1, a0 + idle_floor + host AS i0, a1 + idle_floor + host AS i1 FROM h JOIN fa USING (t) WHERE a0 > 0), w AS (SELECT unnest(['workload', 'it', 'facility']) AS boundary, unnest([a0, i0, {power.PUE} * i0]) AS p0, unnest([a1, i1, {power.PUE} * i1]) AS p1, c0, c1 FROM i)
+SELECT boundary, round(avg(p0), 4) AS mean_w, round(avg(p1), 4) AS corrected_w, round(100 * (avg(p1) / avg(p0) - 1), 6) AS shift_pct, round(avg(c0) / avg(p0), 6) AS scope, round(avg(c1) / avg(p1), 6) AS scope_corrected FROM w GROUP BY boundary""")
 def corrected_scope(spark, sf_dir):
-    """What a correction by utilisation does to the load and to the share of it that can be curtailed."""
+    """What a correction by utilisation does to the load, and to the share of it that can be curtailed, by boundary."""
     lp = lambda c: F.coalesce(F.sum(F.when(F.col("layer") == "curtail", c)), F.lit(0.0))
     e = F.col("idle") + F.col("active")
     h = corrected(spark, sf_dir).groupBy("t").agg(F.sum(e).alias("a0"), F.sum(e * F.col("f")).alias("a1"), lp(F.col("active")).alias("c0"), lp(F.col("active") * F.col("f")).alias("c1")).where("a0 > 0")
+    i = h.join(hourly(spark, sf_dir).select("t", (F.col("idle_floor") + F.col("host")).alias("rest")), "t")
+    parts = {"workload": ("a0", "a1"), "it": ("a0 + rest", "a1 + rest"), "facility": (f"{power.PUE}D * (a0 + rest)", f"{power.PUE}D * (a1 + rest)")}
+    w = i.select("c0", "c1", F.explode(F.array(*[F.struct(F.lit(n).alias("boundary"), F.expr(a).alias("p0"), F.expr(b).alias("p1")) for n, (a, b) in parts.items()])).alias("x")).select("c0", "c1", "x.*")
     r = lambda a, b, n: F.round(F.avg(a) / F.avg(b), 6).alias(n)
-    return h.agg(F.round(F.avg("a0"), 4).alias("workload"), F.round(F.avg("a1"), 4).alias("workload_corrected"), F.round(100 * (F.avg("a1") / F.avg("a0") - 1), 6).alias("shift_pct"), r("c0", "a0", "scope"), r("c1", "a1", "scope_corrected"))
+    return w.groupBy("boundary").agg(F.round(F.avg("p0"), 4).alias("mean_w"), F.round(F.avg("p1"), 4).alias("corrected_w"), F.round(100 * (F.avg("p1") / F.avg("p0") - 1), 6).alias("shift_pct"), r("c0", "p0", "scope"), r("c1", "p1", "scope_corrected"))
 
 
 SETS = f"""{ROWS}, {SPINE}, ce AS (SELECT cluster_id, t, coalesce(sum(active) FILTER (layer = 'curtail'), 0) AS lp, coalesce(sum(active) FILTER (priority_class = 'HP' AND job_type IN ('training', 'offline_inference')), 0) AS hp FROM pw GROUP BY ALL),

@@ -190,7 +190,7 @@ def realizable_sweep(spark, sf_dir):
     return x.select("h", "q", "rho", F.round(F.col("q") * F.col("k"), 6).alias("k_q"), F.round(1 - F.col("rho") * (1 + 2.0 / (2 * F.col("h"))), 6).alias("net"), F.round("rec", 6).alias("recovery_h"), F.round(168 / (F.col("h") + F.col("rec")), 6).alias("calls"))
 
 
-GRID = "g AS (SELECT a / 4.0 AS a_t, b / 4.0 AS a_o FROM range(0, 5) x(a), range(0, 5) y(b))"
+GRID = "g AS (SELECT a / 4.0 AS a_t, b / 4.0 AS a_o, c / 4.0 AS a_l FROM range(0, 5) x(a), range(0, 5) y(b), range(0, 5) z(c))"
 JOBS = FLEET + ", jobs AS (SELECT s.t, sum(w * (priority_class = 'LP')::INT) AS lp, sum(w * (priority_class <> 'LP' AND job_type = 'training')::INT) AS tr, sum(w * (priority_class <> 'LP' AND job_type = 'offline_inference')::INT) AS off, sum(w) AS v FROM spine s LEFT JOIN tele USING (t) GROUP BY s.t)"
 
 
@@ -201,12 +201,13 @@ def jobs(tele: DataFrame) -> DataFrame:
     return dense(sums)
 
 
-@query(f"WITH {JOBS}, {GRID}, s AS (SELECT a_t, a_o, t, lp + a_t * tr + a_o * off AS v FROM jobs, g), m AS ({m_sql('s', [1, 4], 'a_t, a_o')}), r AS (SELECT *, row_number() OVER (PARTITION BY a_t, a_o, h ORDER BY m) AS i, count(*) OVER (PARTITION BY a_t, a_o, h) AS n FROM m), a AS (SELECT unnest([0.8, 0.95]) AS alpha) SELECT a_t::DOUBLE AS a_t, a_o::DOUBLE AS a_o, h, alpha::DOUBLE AS alpha, round(m, 6) AS cap FROM r, a WHERE i = n - CAST(ceil(round(alpha * n, 6)) AS BIGINT) + 1")
+@query(f"WITH {JOBS}, {GRID}, s AS (SELECT a_t, a_o, a_l, t, a_l * lp + a_t * tr + a_o * off AS v FROM jobs, g), m AS ({m_sql('s', [1, 4, 24], 'a_t, a_o, a_l')}), r AS (SELECT *, row_number() OVER (PARTITION BY a_t, a_o, a_l, h ORDER BY m) AS i, count(*) OVER (PARTITION BY a_t, a_o, a_l, h) AS n FROM m), a AS (SELECT unnest([0.8, 0.9, 0.95]) AS alpha) SELECT a_t::DOUBLE AS a_t, a_o::DOUBLE AS a_o, a_l::DOUBLE AS a_l, h, alpha::DOUBLE AS alpha, round(m, 6) AS cap FROM r, a WHERE i = n - CAST(ceil(round(alpha * n, 6)) AS BIGINT) + 1")
 def scope_grid(spark, sf_dir):
-    """Dependable load if only parts of two kinds of work take part."""
-    g = spark.range(0, 5).select((F.col("id") / 4.0).alias("a_t")).crossJoin(spark.range(0, 5).select((F.col("id") / 4.0).alias("a_o")))
-    s = jobs(telemetry(spark, sf_dir)).crossJoin(F.broadcast(g)).withColumn("v", F.col("lp") + F.col("a_t") * F.col("tr") + F.col("a_o") * F.col("off"))
-    return events.order_cap(minima(s, [1, 4], ["a_t", "a_o"]), ["a_t", "a_o", "h"], [0.8, 0.95])
+    """Dependable load if only parts of three kinds of work take part, by duration and share of windows."""
+    axes = ["a_t", "a_o", "a_l"]
+    g = spark.range(125).select(*[((F.floor(F.col("id") / 5**i) % 5) / 4.0).alias(a) for i, a in enumerate(axes)])
+    s = jobs(telemetry(spark, sf_dir)).crossJoin(g).withColumn("v", F.col("a_l") * F.col("lp") + F.col("a_t") * F.col("tr") + F.col("a_o") * F.col("off"))
+    return events.order_cap(minima(s, [1, 4, 24], axes), [*axes, "h"], [0.8, 0.9, 0.95])
 
 
 @query(f"WITH {JOBS}, f AS (SELECT unnest([0.1, 0.25, 0.4]) AS share), s AS (SELECT share, t, lp + tr - share * v AS v FROM jobs, f), m AS ({m_sql('s', [1, 4], 'share')}) SELECT share::DOUBLE AS share, h, count(*) AS n, round(avg((m >= 0)::INT), 6) AS coverage FROM m GROUP BY ALL")
