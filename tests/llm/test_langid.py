@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from gridloom.llm.langid import Model, identified, learned, paths, spans, viterbi
+from gridloom.llm.langid import SWITCH, Model, identified, learned, paths, spans, viterbi
 
 
 def brute(s, switch):
@@ -56,5 +56,28 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert identified(df.where("doc_id is null")).collect()[0].lang_pred == "und"
 
 
+def test_predictions_as_word_by_word(spark):
+    """Scores of one word at a time, a plain best path, a plain vote."""
+    text, rows = corpus()
+    r = random.Random(7)
+    texts = [" ".join(text(r.choice(["aa", "bb", "cc"]), r.randint(1, 9)) for _ in range(r.randint(1, 4))) for _ in range(40)] + ["12 !", "the 12 при"]
+    model = Model([t for _, t, _ in rows], [k for _, _, k in rows])
+    got = {x.doc_id: x for x in identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        scores, has = zip(*(model.scores([w]) for w in t.split()), strict=True)
+        s, has = np.concatenate(scores), np.concatenate(has)
+        best, back = s[0].copy(), []
+        for x in s[1:]:
+            moved = best.max() - SWITCH > best
+            back.append(np.where(moved, best.argmax(), np.arange(len(best))))
+            best = np.where(moved, best.max() - SWITCH, best) + x
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        votes = np.bincount(np.array(path[::-1])[has], minlength=3)
+        want = ("und", 0.0) if not has.any() else (model.languages[int(votes.argmax())], votes.max() / votes.sum())
+        assert (got[i].lang_pred, got[i].score) == want, t
+
+
 def test_nothing_learned():
     assert spans("a b", Model([], [])) == []

@@ -18,6 +18,7 @@ from gridloom.llm import queries as llm
 
 from .test_jaccard import brute as brute_groups
 from .test_quality import brute as brute_quality
+from .test_quality import brute_kept
 from .test_repeats import brute_bytes, brute_words, order
 
 
@@ -74,12 +75,13 @@ def test_op4(run, docs):
     assert sorted(tuple(r) for r in run("op4_jaccard_join")) == sorted(brute_groups([d[:2] for d in docs]))
 
 
-def test_op5(run, docs):
+def test_op5(run, docs, spark, sf_dir):
     got = {r.doc_id: r for r in run("op5_quality")}
     for i, t, _ in docs:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t)
-        assert not (r.base_failed and r.kept)
+    hosts = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
+    assert [got[i].kept for i, _, _ in docs] == [k for k, _ in brute_kept([(t, hosts[i]) for i, t, _ in docs], 50)]
 
 
 def test_op6(run, docs):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -24,6 +25,38 @@ def brute(t):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), again, len(cover), n < 10 or 100 * len(cover) > 20 * n
 
 
+def brute_kept(rows, limit, min_words=10, min_left=0.5):
+    """(kept, words of shared lines) of (text, host) rows, line by line."""
+    lines = lambda t: [(x, " ".join(WORD.findall(x.translate({c: c + 32 for c in range(0x41, 0x5B)})))) for x in (t or "").split("\n")]
+    texts = {}
+    for t, host in rows:
+        for _, x in lines(t):
+            if x:
+                texts.setdefault((host, x), set()).add(t)
+    out = []
+    for t, host in rows:
+        n, *_, failed = brute(t)
+        gone = sum(len(x.split(" ")) for _, x in lines(t) if x and len(texts[host, x]) > limit)
+        out.append((not failed and not (gone and (n - gone < min_words or n - gone < min_left * n)), gone))
+    return out
+
+
+def test_kept_as_line_by_line(spark):
+    r = random.Random(5)
+    common = [" ".join(f"c{k}x{j}" for j in range(r.randint(1, 14))) for k in range(12)]
+    texts = []
+    for i in range(160):
+        own = [" ".join(f"w{i}x{j}x{k}" for k in range(r.randint(1, 12))) for j in range(r.randint(0, 4))]
+        t = own + [x.upper() if r.random() < 0.2 else x.replace(" ", "  ") for x in r.sample(common, r.randint(0, 4))]
+        r.shuffle(t)
+        texts.append("\n".join(t))
+    texts += [None, "", texts[3], texts[3]]
+    df = frame(spark, texts)
+    got = {x.doc_id: (x.kept, x.n_line_words) for x in judged(df, line_limit=12).collect()}
+    want = brute_kept([(t, f"s{i % 2}") for i, t in enumerate(texts)], 12)
+    assert [got[i] for i in range(len(texts))] == want and 20 < sum(k for k, _ in want) < 140
+
+
 def test_measures(spark):
     texts = [*corpus(9, 40), "a | b\n\na | b\n c # <d>\n c # <d>\na | b", "one two three four five " * 2 + " ".join(map(str, range(60)))]
     got = {r.doc_id: r for r in judged(frame(spark, texts)).collect()}

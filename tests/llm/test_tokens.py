@@ -10,7 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from gridloom.llm import bytebpe
-from gridloom.llm.packing import packed
+from gridloom.llm.packing import pack, packed
 from gridloom.llm.tokencounts import token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,3 +72,41 @@ def test_packing(spark):
             at += r.length
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
     assert packed(frame(spark, ts).limit(0)).collect() == []
+
+
+def plain_pack(sizes, capacity, linear=1.0, quadratic=1.0 / 1024):
+    """The same packing with a look at every open sequence."""
+    out, rest, sequence = [], [], 0
+    for d, n in enumerate(sizes):
+        for start in range(0, n - capacity + 1, capacity):
+            out.append((d, start, capacity, sequence, 0))
+            sequence += 1
+        if n % capacity:
+            rest.append((d, n - n % capacity, n % capacity))
+    full, tail = divmod(sum(n for *_, n in rest), capacity)
+    rooms = [capacity] * full + [1 << b for b in range(capacity.bit_length(), -1, -1) if tail >> b & 1]
+    used, cost = [0] * len(rooms), [0.0] * len(rooms)
+    for d, start, n in sorted(rest, key=lambda x: (-x[2], x[0])):
+        while n:
+            open_ = [s for s in range(len(rooms)) if used[s] < rooms[s]]
+            s = min([s for s in open_ if rooms[s] - used[s] >= n] or open_, key=lambda s: (cost[s], s))
+            k = min(n, rooms[s] - used[s])
+            out.append((d, start, k, sequence + s, used[s]))
+            used[s] += k
+            cost[s] += linear * k + quadratic * k * k
+            start, n = start + k, n - k
+    return out
+
+
+def test_pack_takes_the_cheapest_of_all_open_sequences():
+    r = np.random.default_rng(8)
+    for capacity in (16, 64):
+        for _ in range(20):
+            sizes = r.integers(1, 3 * capacity, r.integers(0, 60))
+            assert pack(sizes, capacity) == plain_pack(sizes.tolist(), capacity)
+    sizes = r.integers(1, 400, 600)
+    cost = {}
+    for _, _, n, s, _ in pack(sizes, 1024):
+        cost[s] = cost.get(s, 0) + n + n * n / 1024
+    whole = [cost[s] for s in range(int(sizes.sum()) // 1024)]
+    assert max(whole) < 1.25 * min(whole)
