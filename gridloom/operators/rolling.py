@@ -35,9 +35,12 @@ def fleet(tele: DataFrame, value: Column | None = None) -> DataFrame:
 
 
 def lanes(tele: DataFrame, value: Column | None = None, unit: str = "cluster_id") -> DataFrame:
-    """(cluster_id, t, v): as fleet(), for each cluster."""
-    sums = tele.groupBy(unit, "t").agg(F.sum(F.col("w") if value is None else value).alias("v"))
-    grid = sums.select(unit).where(F.col(unit).isNotNull()).distinct().crossJoin(spine(sums))
+    """(cluster_id, t, v): as fleet(), for each cluster, on the calendar that they have together. Clusters and calendar
+    come from the same sums (of which a count is asked for, so that Spark sees one exchange), and the rows are read once."""
+    sums = tele.where(F.col(unit).isNotNull() & F.col("t").isNotNull()).groupBy(unit, "t").agg(F.sum(F.col("w") if value is None else value).alias("v"))
+    units = sums.groupBy(unit).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("v").alias("have")).where("have >= 0")
+    everywhere = Window.partitionBy()
+    grid = units.select(unit, F.min("lo").over(everywhere).alias("lo"), F.max("hi").over(everywhere).alias("hi")).select(unit, F.explode(F.sequence("lo", "hi")).alias("t"))
     return grid.join(sums, [unit, "t"], "left")
 
 
