@@ -109,7 +109,7 @@ def pack(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 0, block_bytes: int = 8 << 20) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 0, block_bytes: int = 5 << 20) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the tokenizer file, then `end_id`; a null or empty text has that id alone. Repeated

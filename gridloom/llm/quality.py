@@ -90,7 +90,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LINES.split(", ")]
     row = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=5 << 20):
             n = part.num_rows
             texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
             digest = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U, n)
@@ -105,7 +105,7 @@ def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = repeats.Side(side)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=5 << 20):
                 shared = {i: set(lines.tolist()) for i, (lines, _, _) in listed.rows(part).items()}
                 words = Words(part.column("text"))
                 starts = (words.data & 0xC0) != 0x80  # of code points

@@ -79,7 +79,7 @@ def without_words(data: bytes, gone: np.ndarray) -> bytes:
     return d[keep].tobytes()
 
 
-def deduplicated(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), slice_bytes: int = 8 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), slice_bytes: int = 5 << 20) -> DataFrame:
     """doc_id, the carried columns, n_words, n_removed, kept_sha256 (of the kept words joined by spaces) and kept_text
     (the text without the removed words) of every row.
 
