@@ -66,8 +66,8 @@ ENUMERATED, DRAWN = 14, 200
 
 
 def subsets(rows: DataFrame, unit: str, most: int = ENUMERATED, draws: int = DRAWN, seed: int = 5) -> DataFrame:
-    """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` sets of each size drawn
-    without replacement, as a reference of its own for each size, and p is a number. Units are numbered in the plan."""
+    """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` sets of each size, drawn
+    without replacement, and p is a number. Units are numbered in the plan."""
     o = numbered(rows, unit, "_u")
     size = o.agg(F.count("*").alias("units"))
     whole = size.where(F.col("units") <= most).select(F.explode(F.expr(f"sequence(1L, shiftleft(1L, cast(least(units, {most}) AS int)) - 1)")).alias("p"))

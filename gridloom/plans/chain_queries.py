@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import power
-from gridloom.operators import chain, covariance, events, fitting, resample
+from gridloom.operators import chain, events, fitting, resample
 from gridloom.operators.facility import banded
 from gridloom.operators.resample import drawn, drawn_sql, uniform, uniform_sql
 from gridloom.operators.rolling import filled, firm, fleet, lanes, minima, over, quantile, span, spine, supported, trend
 from gridloom.plans.firm_queries import TWO, WINDOWS, m_sql, tested, two
-from gridloom.plans.model_queries import BLOCK, KEYS, N_NULL, ROWS, STATS, ZERO, ZERO_LP, blocks_sql, shifts_sql, statistics, zero
+from gridloom.plans.model_queries import BLOCK, N_NULL, STATS, ZERO, ZERO_LP, blocks_sql, shifts_sql, statistics, zero
 from gridloom.plans.registry import query
 from gridloom.sources.tables import FLEET, LANES, table, telemetry
 

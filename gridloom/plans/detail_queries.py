@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import power
 from gridloom.operators import covariance, facts, lookups, rollups
 from gridloom.operators.facility import rounded as r6
-from gridloom.operators.resample import drawn_sql, block_index
-from gridloom.operators.rolling import deseasoned, firm, fleet, lanes, minima, over, quantile, running_min, span
+from gridloom.operators.resample import block_index
+from gridloom.operators.rolling import deseasoned, firm, fleet, lanes, minima, over, quantile, span
 from gridloom.plans.firm_queries import JOBS, TWO, jobs, k_sql, m_sql, two
 from gridloom.plans.model_queries import CHAIN, blocks_sql, chain
 from gridloom.plans.registry import query

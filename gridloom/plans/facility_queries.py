@@ -11,7 +11,7 @@ from gridloom.operators import facility, lookups
 from gridloom.operators.resample import uniform, uniform_sql
 from gridloom.operators.rolling import dense, firm, spine
 from gridloom.plans.firm_queries import m_sql
-from gridloom.plans.model_queries import KEYS, ROWS, STATS, hour_sums, rows, statistics
+from gridloom.plans.model_queries import ROWS, STATS, rows, statistics
 from gridloom.plans.registry import query
 from gridloom.sources.tables import SPINE, TELE, telemetry
 

@@ -12,7 +12,7 @@ from gridloom.plans.firm_queries import TWO, m_sql, two
 from gridloom.plans.registry import query
 from gridloom.plans.rollup_queries import STATS_SQL
 from gridloom.plans.series_queries import TREND_168
-from gridloom.operators.resample import drawn, drawn_sql, uniform, uniform_sql
+from gridloom.operators.resample import drawn_sql, uniform, uniform_sql
 from gridloom.sources.tables import LANES, SPINE, TELE, table, telemetry
 
 KEYS = ["t", "cluster_id", "spec", "job_type", "priority_class", "state"]

@@ -11,7 +11,7 @@ from gridloom.functions import power
 from gridloom.operators.rolling import firm, fleet
 from gridloom.operators.rollups import number_of
 from gridloom.plans.firm_queries import k_sql, m_sql
-from gridloom.plans.model_queries import KEYS, STATS, statistics
+from gridloom.plans.model_queries import STATS, statistics
 from gridloom.plans.registry import query
 from gridloom.plans.rollup_queries import NUMBERS, PARSED
 from gridloom.sources import files, tables
