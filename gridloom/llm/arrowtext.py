@@ -12,6 +12,9 @@ import xxhash
 #: Bytes that separate words: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Each byte, A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 #: An odd multiplier and its inverse modulo 2**64, for each of two rolling hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 U = np.uint64
@@ -30,8 +33,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+#: Rows of a slice at most, so that a row's number in its slice has 14 bits however large Arrow batches are.
+ROWS = 1 << 14
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts have about `limit` bytes together (one row at least)."""
+    """Cut a batch into runs of rows whose texts have about `limit` bytes together (one row at least, ROWS at most)."""
     n = batch.num_rows
     if not n:
         return
@@ -39,8 +46,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) ->
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-        yield batch.slice(at, min(end, n) - at)
-        at = min(end, n)
+        end = min(end, n, at + ROWS)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +60,20 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def lowered(col: pa.Array) -> pa.Array:
+    """The texts as binary, with ASCII letters in lower case."""
+    data, off = raw(col)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(LOWER[data])])
+
+
 class Words:
     """Words of the rows of a text column: byte spans, the row of each, and ids into a dictionary of distinct words."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, apart: np.ndarray = SPACE):
+        """apart: which bytes separate words."""
         self.data, self.off = raw(col)
         d, off = self.data, self.off
-        solid = ~SPACE[d]
+        solid = ~apart[d]
         first = np.zeros(len(d) + 1, bool)
         first[off] = True
         left = np.empty(len(d), bool)

@@ -36,26 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import U, Rolling, Words, mixed, raw, signed, slices, tidy
+from gridloom.llm.arrowtext import ROWS, U, Rolling, Words, lowered, mixed, signed, slices, tidy
 from gridloom.llm.repeats import LAST, Side, beside, stable, without
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
 #: Below so many differences, groups of three parts and subsets of two.
 SMALL = 16
-#: Bits of a shingle's name in signatures; the rest of 64 count the rows of a slice, which an Arrow batch bounds.
-#: Sets are verified on names of 64 bits.
-NAME = 50
 #: Names of a block: 1 MB.
 BLOCK = 1 << 17
-UPPER = np.arange(256, dtype=np.uint8)
-UPPER[0x41:0x5B] += 32
 
 
 def shingles(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, row) of each shingle of a text column; a text of fewer words has one."""
-    data, off = raw(col)
-    low = pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(UPPER[data])])
-    w = Words(low)
+    w = Words(lowered(col))
     n = len(w.start)
     roll = Rolling(w.hashes()[0])
     at = np.flatnonzero(w.row[: n - width + 1] == w.row[width - 1 :]) if n >= width else np.zeros(0, np.int64)
@@ -72,13 +65,20 @@ def changes(x: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Distinct shingles of the rows of a text column, sorted by row and hash; bound: of each row."""
+    """Distinct shingles of the rows of a text column by their 64-bit names, sorted by row and name; bound: of each row."""
 
     def __init__(self, col: pa.Array, width: int):
         h, row = shingles(col, width)
-        key = np.sort((row.astype(U) << U(NAME)) | (h >> U(64 - NAME)))
-        key = key[changes(key)]
-        self.h, self.row = key & U((1 << NAME) - 1), (key >> U(NAME)).astype(np.int64)
+        # in most cases the row and the first bits of the name in one number give the order
+        high = 64 - (ROWS - 1).bit_length()
+        key = (row.astype(U) << U(high)) | (h >> U(64 - high))
+        order = np.argsort(key)
+        if len(col) > ROWS or ((key[order[1:]] == key[order[:-1]]) & (h[order[1:]] != h[order[:-1]])).any():
+            order = np.lexsort((h, row))
+        h = h[order]
+        row = row[order]
+        keep = changes(h) | changes(row)
+        self.h, self.row = h[keep], row[keep]
         self.bound = np.searchsorted(self.row, np.arange(len(col) + 1))
         self.size = np.diff(self.bound)
 
@@ -86,16 +86,10 @@ class Sets:
         total = np.concatenate([np.zeros(1, U), np.cumsum(v, dtype=U)])
         return total[self.bound[1:]] - total[self.bound[:-1]]
 
-
-def whole_names(col: pa.Array, width: int) -> list[np.ndarray]:
-    """The distinct 64-bit names of each row's shingles, sorted."""
-    h, row = shingles(col, width)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    keep = changes(h) | changes(row)
-    h, row = h[keep], row[keep]
-    bound = np.searchsorted(row, np.arange(len(col) + 1)).tolist()
-    return [h[a:b] for a, b in zip(bound, bound[1:], strict=False)]
+    def names(self) -> list[np.ndarray]:
+        """The sorted names of each row."""
+        bound = self.bound.tolist()
+        return [self.h[a:b] for a, b in zip(bound, bound[1:], strict=False)]
 
 
 @lru_cache(4)
@@ -252,6 +246,9 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int, wanted: list[str]) -> I
 class Join:
     """The steps over one input; width, percent: words of a shingle, and the least similarity in percent."""
 
+    #: How the sets of a block are searched.
+    search = staticmethod(reached)
+
     def __init__(self, docs: DataFrame, width: int, percent: int, slice_bytes: int, block: int):
         self.spark = docs.sparkSession
         ship(self.spark)
@@ -374,7 +371,7 @@ class Join:
                     n = near.shape[1]
                     yield pa.RecordBatch.from_arrays([none(n), pa.array(ids[near[0]]), pa.array(ids[near[1]]), none(n), none(n, pa.binary())], names)
                     have = np.unique(row)
-                    sets = whole_names(text.take(pa.array(have)), width)
+                    sets = Sets(text.take(pa.array(have)), width).names()
                     n = len(have)
                     yield pa.RecordBatch.from_arrays([none(n), pa.array(ids[have]), none(n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
@@ -437,11 +434,11 @@ class Join:
 
     def inside(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
         """(row, label): the smallest row of its block that each set reaches over links in the block."""
-        percent = self.percent
+        percent, search = self.percent, self.search
 
         def work(key: tuple, group: list) -> list[tuple]:
             names = [np.frombuffer(x, "<u8") for _, x in group]
-            return [(row, group[k][0]) for (row, _), k in zip(group, reached(names, percent).tolist(), strict=True)]
+            return [(row, group[k][0]) for (row, _), k in zip(group, search(names, percent).tolist(), strict=True)]
 
         return self.written(self.met(blocks, sets, work, ["row", "names"], "row long, label long"), "inside")
 

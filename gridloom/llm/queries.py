@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.fingerprints import edit_fingerprints
 from gridloom.llm.jaccard import groups
 from gridloom.llm.langid import identified
+from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import packed
 from gridloom.llm.pieces import encoded
 from gridloom.llm.quality import judged
@@ -59,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 

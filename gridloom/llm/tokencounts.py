@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bytebpe
-from gridloom.llm.arrowtext import raw, slices, tidy
+from gridloom.llm.arrowtext import ROWS, raw, slices, tidy
 from gridloom.llm.session import id_and_text, ship, tasks
 
-#: More rows than Arrow batches have; positions in a block are then two bytes.
-ROWS = 1 << 16
 
 
 def _frequencies(path: str, block_bytes: int):

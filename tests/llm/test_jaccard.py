@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("xxhash")
-from gridloom.llm.jaccard import Sets, components, groups, reached, signatures, whole_names
+from gridloom.llm.jaccard import Sets, components, groups, reached, signatures
 
 from .data import frame, words
 
@@ -14,8 +14,8 @@ def shingles(t, width=5):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(rows, percent=75):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=75, width=5):
+    sets = [shingles(t, width) for _, t in rows]
     at = list(range(len(rows)))
 
     def root(i):
@@ -128,7 +128,7 @@ def test_reached():
         t.append(x)
     texts = [" ".join(x) for x in t]
     want = {i: c for i, _, c in brute(list(enumerate(texts)))}
-    got = reached(whole_names(pa.array(texts), 5), 75).tolist()
+    got = reached(Sets(pa.array(texts), 5).names(), 75).tolist()
     assert dict(enumerate(got)) == want
 
 

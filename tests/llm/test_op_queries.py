@@ -33,7 +33,7 @@ def run(spark, sf_dir):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in llm.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in llm.queries()) == list(range(1, 14))
     assert set(llm.queries()) | {"pipeline"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -121,3 +121,8 @@ def test_op10(run, docs):
     for i, t, _ in docs:
         ids = np.array(sp.encode(t), "<u4")
         assert (got[i].n_pieces, got[i].ids_crc32, got[i].decoded_sha256) == (len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_op11(run, docs):
+    want = [(i, n, c, i == c) for i, n, c in brute_groups([d[:2] for d in docs], 80, 2)]
+    assert sorted(tuple(r) for r in run("op11_minhash")) == sorted(want)
