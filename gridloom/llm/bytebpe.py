@@ -87,8 +87,8 @@ def load(path: str) -> ByteBpe:
 class PreTokens:
     """Pre-tokens of the rows of a text column, whole rows; special strings in a text stand alone, as by default."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, special: tuple[str, ...]):
-        """data, off: UTF-8 bytes and row offsets."""
+    def __init__(self, data: np.ndarray, off: np.ndarray, special: tuple[str, ...], keep: bool = False):
+        """data, off: UTF-8 bytes and row offsets; keep: keep the code points, where each begins, and which are marks."""
         text = data.tobytes().decode("utf-8")
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(c)
@@ -96,6 +96,7 @@ class PreTokens:
         self.data = data
         if not n:
             self.start, self.bound = np.zeros(0, np.int64), np.zeros(self.rows + 1, np.int64)
+            self.points, self.where, self.marks = c, np.zeros(1, np.int64), np.zeros(0, np.int64)
             return
         where = np.zeros(n + 1, np.int64)
         if n == len(data):
@@ -145,6 +146,8 @@ class PreTokens:
             start[a] = True
         marks = np.flatnonzero(start)
         self.start = where[marks]
+        if keep:
+            self.points, self.where, self.marks = c, where, marks
         self.bound = np.searchsorted(self.start, off)  # pre-tokens of row r: bound[r]..bound[r+1]
 
     def encode(self) -> tuple[np.ndarray, pa.Array]:

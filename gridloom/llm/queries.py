@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.alignment import aligned
 from gridloom.llm.fingerprints import edit_fingerprints
 from gridloom.llm.jaccard import groups
 from gridloom.llm.langid import identified
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import packed
+from gridloom.llm.phrases import collocations
 from gridloom.llm.pieces import encoded
 from gridloom.llm.quality import judged
 from gridloom.llm.session import documents
@@ -64,6 +66,14 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), longest=3, least=10, share=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 

@@ -16,7 +16,9 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from gridloom.llm import queries as llm
 
+from .test_alignment import brute as brute_alignment
 from .test_jaccard import brute as brute_groups
+from .test_phrases import brute as brute_phrases
 from .test_quality import brute as brute_quality
 from .test_quality import brute_kept
 from .test_repeats import brute_bytes, brute_words, order
@@ -126,3 +128,11 @@ def test_op10(run, docs):
 def test_op11(run, docs):
     want = [(i, n, c, i == c) for i, n, c in brute_groups([d[:2] for d in docs], 80, 2)]
     assert sorted(tuple(r) for r in run("op11_minhash")) == sorted(want)
+
+
+def test_op13(run, docs):
+    assert sorted(tuple(r) for r in run("op13_collocations")) == sorted(brute_phrases([(t, lang) for _, t, lang in docs]))
+
+
+def test_op12(run, docs):
+    assert sorted(tuple(r) for r in run("op12_alignment")) == sorted(brute_alignment([d[:2] for d in docs]))
