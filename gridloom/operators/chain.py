@@ -29,3 +29,10 @@ def levels(panel: DataFrame, unit: str, hours: Sequence[int], low: float, draws:
 
 def factors(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"a_persist": F.try_divide("p2", "p1"), "a_coinc": F.try_divide("p3", "p2")})
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """The factor of scope (p0: the level assumed at first), and the three factors' Shapley shares in closed form, as
+    coincidence does nothing without duration."""
+    two = F.sqrt(F.col("p2") * F.col("p3"))
+    return rows.withColumns({"a_scope": F.try_divide("p1", "p0"), "shapley_scope": F.try_divide("p1", "p0"), "shapley_duration": F.try_divide(two, F.col("p1")), "shapley_coincidence": F.sqrt(F.try_divide("p3", "p2"))})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.resample import drawn, numbered
+from gridloom.operators.resample import drawn, drawn_sql, numbered
 from gridloom.operators.rolling import filled, minima, over, supported
 
 
@@ -63,19 +63,45 @@ def excess(rows: DataFrame, unit: str) -> DataFrame:
 
 #: Units up to which all their sets are taken, and sets of each size drawn beyond that.
 ENUMERATED, DRAWN = 14, 200
+#: Numbers of sets up to which ranks are drawn and unranked; the prime is the step from rank to rank.
+RANKED, STEP = 1 << 40, 2147483647
 
 
 def subsets(rows: DataFrame, unit: str, most: int = ENUMERATED, draws: int = DRAWN, seed: int = 5) -> DataFrame:
-    """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` sets of each size, drawn
-    without replacement, and p is a number. Units are numbered in the plan."""
+    """(p, unit, n): every set of units, p being its bits; with more units than `most`, `draws` different sets of each size
+    n (all of them where there are no more), p being n * draws and the set's number. Units are numbered in the plan.
+
+    The sets of a size are numbered by the combinatorial number system. Drawn ranks lie a prime apart from a drawn first
+    one, modulo their number, which that prime doesn't divide, so that no rank comes twice. Where a size has more than
+    RANKED sets, members are drawn instead, and equal sets are left out.
+    """
     o = numbered(rows, unit, "_u")
     size = o.agg(F.count("*").alias("units"))
     whole = size.where(F.col("units") <= most).select(F.explode(F.expr(f"sequence(1L, shiftleft(1L, cast(least(units, {most}) AS int)) - 1)")).alias("p"))
     whole = whole.join(o, F.expr("shiftright(p, cast(_u AS int)) & 1 = 1")).select("p", unit, F.bit_count("p").cast("long").alias("n"))
-    some = size.where(F.col("units") > most).select(F.explode(F.expr("sequence(1L, units)")).alias("n")).crossJoin(rows.sparkSession.range(draws)).withColumn("p", F.col("n") * draws + F.col("id"))
+    sizes = size.where((F.col("units") > most) & (F.col("units") > 0)).select("units", F.explode(F.expr("sequence(1L, units)")).alias("n"))
+    sizes = sizes.withColumn("_all", F.expr("aggregate(sequence(1L, n), 1D, (a, j) -> a * (units - n + j) / j)"))
+    few = sizes.where(F.col("_all") <= RANKED).withColumn("_all", F.round("_all").cast("long"))
+    few = few.withColumn("_i", F.explode(F.expr(f"sequence(0L, least(_all, {draws}L) - 1)"))).withColumn("_rank", (drawn("n", "0", seed) + F.col("_i") * STEP) % F.col("_all"))
+    choose = "aggregate(sequence(1L, greatest(s.k, 1L)), 1L, (a, j) -> a * (c - s.k + j) div j)"  # C(c, s.k)
+    took = f"if(s.k > 0 and {choose} <= s.rank, named_struct('rank', s.rank - {choose}, 'k', s.k - 1, 'm', concat(s.m, array(c))), s)"
+    members = F.expr(f"aggregate(sequence(units - 1, 0L, -1L), named_struct('rank', _rank, 'k', n, 'm', cast(array() AS array<bigint>)), (s, c) -> {took}).m")
+    few = few.select((F.col("n") * draws + F.col("_i")).alias("p"), "n", F.explode(members).alias("_u")).join(o, "_u").select("p", unit, "n")
+    some = sizes.where(F.col("_all") > RANKED).select("n").crossJoin(rows.sparkSession.range(draws)).withColumn("p", F.col("n") * draws + F.col("id"))
     rank = F.row_number().over(Window.partitionBy("p").orderBy(drawn("p", "_u", seed), "_u"))
-    some = some.crossJoin(o).withColumn("rank", rank).where("rank <= n").select("p", unit, "n")
-    return whole.unionByName(some)
+    some = some.crossJoin(o).withColumn("rank", rank).where("rank <= n").groupBy("p", "n").agg(F.sort_array(F.collect_list("_u")).alias("_m"))
+    some = some.groupBy("n", "_m").agg(F.min("p").alias("p")).select("p", "n", F.explode("_m").alias("_u")).join(o, "_u").select("p", unit, "n")
+    return whole.unionByName(few).unionByName(some)
+
+
+def subsets_sql(units: str, most: int = ENUMERATED, draws: int = DRAWN, seed: int = 5) -> str:
+    """CTEs up to mb (p, cluster_id, n) by the rule of subsets(), for up to 33 units; `units` has a row for each cluster_id.
+    Needs WITH RECURSIVE."""
+    choose = "CASE WHEN k > c THEN 0 ELSE (factorial(c::INT) // (factorial(k::INT) * factorial((c - k)::INT)))::BIGINT END"
+    return f"""nu AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS i FROM (SELECT DISTINCT cluster_id FROM {units})), un AS (SELECT count(*) AS units FROM nu),
+dr AS (SELECT n, i, units, ({drawn_sql('n', '0', seed)} + i * {STEP}) % total AS rank FROM (SELECT n, units, (factorial(units::INT) // (factorial(n::INT) * factorial((units - n)::INT)))::BIGINT AS total FROM (SELECT units, unnest(range(1, units + 1)) AS n FROM un WHERE units > {most})), (SELECT range AS i FROM range({draws})) WHERE i < total),
+ur AS (SELECT n, i, units - 1 AS c, rank, n AS k, -1::BIGINT AS took FROM dr UNION ALL SELECT n, i, c - 1, CASE WHEN k > 0 AND b <= rank THEN rank - b ELSE rank END, CASE WHEN k > 0 AND b <= rank THEN k - 1 ELSE k END, CASE WHEN k > 0 AND b <= rank THEN c ELSE -1 END FROM (SELECT *, {choose} AS b FROM ur) WHERE c >= 0),
+mb AS (SELECT p, cluster_id, CAST(bit_count(p) AS BIGINT) AS n FROM (SELECT range AS p FROM range(1, CASE WHEN (SELECT units FROM un) <= {most} THEN CAST(2 ** least((SELECT units FROM un), {most}) AS BIGINT) ELSE 1 END)), nu WHERE (p >> i) & 1 = 1 UNION ALL SELECT n * {draws} + ur.i, cluster_id, n FROM ur JOIN nu ON nu.i = took)"""
 
 
 def pairs(rows: DataFrame, unit: str, value: str, keys: Sequence[str] = (), every: bool = False) -> DataFrame:
@@ -103,11 +129,15 @@ def pooled(series: DataFrame, members: DataFrame, unit: str, key: str) -> DataFr
     return s.select(key, "n", "t", F.when(F.col("have") == F.col("n"), F.col("x")).alias("v"))
 
 
-def portfolio_firmness(series: DataFrame, unit: str, h: int, low: float) -> DataFrame:
-    s = pooled(series, subsets(series, unit), unit, "p")
+def portfolio_levels(series: DataFrame, unit: str, h: int, low: float, members: DataFrame) -> DataFrame:
+    """(p, n, k, a): each portfolio's dependable level and its mean."""
+    s = pooled(series, members, unit, "p")
     k = minima(s, [h], ["p", "n"]).groupBy("p", "n").agg(F.percentile("m", F.lit(low)).alias("k"))
-    a = s.groupBy("p").agg(F.avg("v").alias("a"))
-    return k.join(a, "p").groupBy("n").agg(F.count("*").alias("portfolios"), F.round(F.avg("k") / F.avg("a"), 6).alias("firmness"))
+    return k.join(s.groupBy("p").agg(F.avg("v").alias("a")), "p")
+
+
+def portfolio_firmness(series: DataFrame, unit: str, h: int, low: float) -> DataFrame:
+    return portfolio_levels(series, unit, h, low, subsets(series, unit)).groupBy("n").agg(F.count("*").alias("portfolios"), F.round(F.avg("k") / F.avg("a"), 6).alias("firmness"))
 
 
 def nested(series: DataFrame, unit: str, h: int, low: float) -> DataFrame:

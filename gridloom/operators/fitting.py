@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.operators.resample import PRIME, drawn_numbers, numbered
+from gridloom.operators.resample import PRIME, drawn_numbers, numbered, picks
 from gridloom.operators.rolling import over, supported
 
 
@@ -18,10 +19,10 @@ def power_law(rows: DataFrame, x: str, y: str) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.pow(F.corr("y", "x"), 2), 6).alias("r2"))
 
 
-def parabola(rows: DataFrame) -> DataFrame:
-    """(n, c0, c1, c2) of y = c0 + c1 x + c2 x^2 by Cramer's rule on the normal equations."""
+def parabola(rows: DataFrame, keys: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """(keys, n, c0, c1, c2) of y = c0 + c1 x + c2 x^2 by Cramer's rule on the normal equations."""
     x, y = F.col("x"), F.col("y")
-    a = rows.agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sx2"), F.sum(x * x * x).alias("sx3"), F.sum(x * x * x * x).alias("sx4"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x * y).alias("sx2y"))
+    a = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sx2"), F.sum(x * x * x).alias("sx3"), F.sum(x * x * x * x).alias("sx4"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x * y).alias("sx2y"))
     m = [["n", "sx", "sx2"], ["sx", "sx2", "sx3"], ["sx2", "sx3", "sx4"]]
     right = ["sy", "sxy", "sx2y"]
 
@@ -30,7 +31,7 @@ def parabola(rows: DataFrame) -> DataFrame:
         return c[0][0] * (c[1][1] * c[2][2] - c[1][2] * c[2][1]) - c[0][1] * (c[1][0] * c[2][2] - c[1][2] * c[2][0]) + c[0][2] * (c[1][0] * c[2][1] - c[1][1] * c[2][0])
 
     swap = lambda k: [[right[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-    return a.select("n", *[F.round(det(swap(k)) / det(m), 4).alias(f"c{k}") for k in range(3)])
+    return a.select(*keys, "n", *[F.round(F.try_divide(det(swap(k)), det(m)), digits).alias(f"c{k}") for k in range(3)])
 
 
 def surrogates(series: DataFrame, seed: int) -> DataFrame:
@@ -69,14 +70,9 @@ def plateaus(series: DataFrame, least: int, spread: float, window: int = 168, ke
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, v = pdf["t"].to_numpy(), pdf["v"].to_numpy(float)
-        out, i = [], 0
+        out, i, run = [], 0, Level(v, spread)
         while i < len(v):
-            j, low, high, total = i, np.inf, -np.inf, 0.0
-            while j < len(v) and not np.isnan(v[j]):
-                low, high, total = min(low, v[j]), max(high, v[j]), total + v[j]
-                if high - low > spread * total / (j - i + 1):
-                    break
-                j += 1
+            j = run.stop(i)
             if j - i >= least:
                 out.append((*(pdf[k].iloc[0] for k in keys), int(t[i]), int(t[j - 1]), float(v[i:j].mean())))
                 i = j
@@ -88,6 +84,49 @@ def plateaus(series: DataFrame, least: int, spread: float, window: int = 168, ke
     return rows.groupBy(*keys).applyInPandas(one, ", ".join(kinds))
 
 
+class Level:
+    """How far a series stays level from each place on, in O(log n) for a place.
+
+    The range of a stretch only grows with its end, its mean lies between its least and its largest value. So the stretch
+    is level up to where the range first passes spread * least, and broken from where it passes spread * largest; both are
+    found by doubling steps over tables of minima and maxima, and the few places between them are tried by running sums.
+    """
+
+    def __init__(self, v: np.ndarray, spread: float):
+        self.v, self.spread, self.n = v, spread, len(v)
+        self.sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(v))])
+        self.low, self.high = [v], [v]
+        size = 1
+        while 2 * size <= self.n:
+            a, b = self.low[-1], self.high[-1]
+            self.low.append(np.minimum(a[:-size], a[size:]))
+            self.high.append(np.maximum(b[:-size], b[size:]))
+            size *= 2
+
+    def reach(self, i: int, low: float, high: float, j: int, largest: bool) -> tuple[int, float, float]:
+        """(the first end for which the range is over spread times the least or the largest value, and the two before it);
+        low, high: of v[i:j]."""
+        for k in range(len(self.low) - 1, -1, -1):
+            if j + (1 << k) <= self.n:
+                a, b = min(low, self.low[k][j]), max(high, self.high[k][j])
+                if not np.isnan(self.low[k][j]) and b - a <= self.spread * (b if largest else a):
+                    j, low, high = j + (1 << k), a, b
+        return j, low, high
+
+    def stop(self, i: int) -> int:
+        """The first place that the stretch from i can't have: a gap, the end, or one that breaks the level."""
+        if np.isnan(self.v[i]):
+            return i
+        j, low, high = self.reach(i, self.v[i], self.v[i], i, False)
+        end = self.reach(i, low, high, j, True)[0]  # with values of one sign; others are tried one by one
+        while j < self.n and not np.isnan(self.v[j]):
+            low, high = min(low, self.v[j]), max(high, self.v[j])
+            if j >= end and low > 0 or high - low > self.spread * (self.sums[j + 1] - self.sums[i]) / (j + 1 - i):
+                break
+            j += 1
+        return j
+
+
 def nnls(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Non-negative least squares of the normal equations, by active sets."""
     n = len(right)
@@ -125,6 +164,31 @@ def gram(rows: DataFrame, basis: Sequence[Column], y: str, keys: Sequence[str] =
     return sums.select(*keys, F.array(*[F.coalesce(F.col(f"g{i}_{j}"), F.lit(0.0)) for i in range(n) for j in range(n)]).alias("g"), F.array(*[F.coalesce(F.col(f"b{i}"), F.lit(0.0)) for i in range(n)]).alias("b"), "n")
 
 
+def resampled(sums: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
+    """(rep, g, b, n): the sums of gram() over units drawn with replacement, as often as there are units. A unit's sums are
+    multiplied by how many times it is picked, so that a replicate is a row for each unit that it has, whatever their rows."""
+    own = sums.join(numbered(sums, unit), unit)
+    times = picks(own, reps, seed).groupBy("rep", "u").agg(F.count("*").alias("_m"))
+    rows = times.join(own, "u")
+    size = sums.select(F.size("b").alias("k")).first()
+    k = size.k if size else 0
+    total = rows.groupBy("rep").agg(*[F.sum(F.col("_m") * F.col("g")[i]).alias(f"g{i}") for i in range(k * k)], *[F.sum(F.col("_m") * F.col("b")[i]).alias(f"b{i}") for i in range(k)], F.sum(F.col("_m") * F.col("n")).alias("n"))
+    return total.select("rep", F.array(*[f"g{i}" for i in range(k * k)]).alias("g"), F.array(*[f"b{i}" for i in range(k)]).alias("b"), "n")
+
+
+def level_at(solution: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, i, x): the curve of increments() at its start and after each segment, from the solution's coefficients."""
+    return solution.select(*keys, "i", F.sum("x").over(Window.partitionBy(*keys).orderBy("i")).alias("x"))
+
+
+def predicted(basis: Sequence[Column]) -> Column:
+    """The fit at a row, with the coefficients in a column `coefficients`."""
+    out = F.lit(0.0)
+    for i, x in enumerate(basis):
+        out = out + F.col("coefficients")[i] * x
+    return out
+
+
 def solved(sums: DataFrame, keys: str = "") -> DataFrame:
     """(keys, i, x): the non-negative solution of each row of gram()."""
 

@@ -29,17 +29,6 @@ def curve(column: str, knots: Sequence[float], values: Sequence[float]) -> Colum
     return out
 
 
-def bracketed(rows: DataFrame, knots: DataFrame, at: str, name: str) -> DataFrame:
-    """rows with the value at a place on the line through knots (u, c), flat beyond the first and the last. A range join:
-    knots are a few rows, and Spark picks the strategy by their size."""
-    ends = knots.agg(F.min_by("c", "u").alias("a"), F.max_by("c", "u").alias("b")).select(F.explode(F.array(F.struct(F.lit(float("-inf")).alias("u"), F.col("a").alias("c")), F.struct(F.lit(float("inf")).alias("u"), F.col("b").alias("c")))).alias("x")).select("x.*")
-    w = Window.orderBy("u")
-    spans = knots.unionByName(ends).select(F.col("u").alias("_x"), F.col("c").alias("_c"), F.lead("u").over(w).alias("_nx"), F.lead("c").over(w).alias("_nc"))
-    hit = rows.join(spans, (F.col(at) >= F.col("_x")) & (F.col(at) < F.col("_nx")), "left")
-    line = F.when(F.col("_c") == F.col("_nc"), F.col("_c")).otherwise(F.col("_c") + (F.col("_nc") - F.col("_c")) * (F.col(at) - F.col("_x")) / (F.col("_nx") - F.col("_x")))
-    return hit.withColumn(name, line).drop("_x", "_c", "_nx", "_nc")
-
-
 def crossing(points: DataFrame, x: str, y: str, share: float) -> DataFrame:
     """(x): where the line through the points first falls below a share of the largest y."""
     w = Window.orderBy(x)

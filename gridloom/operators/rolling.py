@@ -61,6 +61,39 @@ def minima(series: DataFrame, hours: Sequence[int], keys: Sequence[str] = ()) ->
     return wide.select(*keys, "t", tall).select(*keys, "t", "x.h", "x.m").where("m is not null")
 
 
+def blocked(series: DataFrame, before: int, after: int, block: int, keys: Sequence[str] = ()) -> DataFrame:
+    """series with a block number, and whether a row is the block's own: rows near an edge go to the next block as well, so
+    that windows over `before` rows back and `after` ahead, by keys and `_block`, are whole for a block's own rows. A long
+    series is so dealt over tasks, at (before + after) / block copies of a row. The calendar is complete."""
+    number = F.expr(f"floor(t / {block})")
+    reach = F.sequence(F.expr(f"floor((t - {after}) / {block})"), F.expr(f"floor((t + {before}) / {block})"))
+    return series.withColumn("_block", F.explode(reach)).withColumn("_own", F.col("_block") == number)
+
+
+def long_minima(series: DataFrame, hours: Sequence[int], keys: Sequence[str] = (), block: int = 1 << 16) -> DataFrame:
+    """As minima(), for series of any length: no window holds more than a block."""
+    rows = blocked(series, 0, max(hours) - 1, block, keys)
+    own = [*keys, "_block"]
+    wide = rows.select(*own, "_own", "t", *[running_min(h, own).alias(f"m{h}") for h in hours]).where("_own")
+    tall = F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.col(f"m{h}").alias("m")) for h in hours])).alias("x")
+    return wide.select(*keys, "t", tall).select(*keys, "t", "x.h", "x.m").where("m is not null")
+
+
+def long_trend(series: DataFrame, before: int, after: int, least: int, keys: Sequence[str] = (), block: int = 1 << 16) -> DataFrame:
+    """(keys, t, v, trend): trend() without filling, for series of any length."""
+    w = over([*keys, "_block"], -before, after)
+    return blocked(series, before, after, block, keys).withColumn("trend", supported(F.avg("v"), "v", w, least)).where("_own").select(*keys, "t", "v", "trend")
+
+
+def long_dense(sums: DataFrame) -> DataFrame:
+    """(t, v) on the complete calendar of t, which is a range dealt over tasks."""
+    ends = span(sums).first()
+    if ends is None:
+        return sums.select("t", "v")
+    spark = sums.sparkSession
+    return spark.range(ends.lo, ends.lo + ends.n).withColumnRenamed("id", "t").join(sums.select("t", "v"), "t", "left")
+
+
 def quantile(column: str | Column, p: float) -> Column:
     return F.percentile(column, F.lit(p))
 

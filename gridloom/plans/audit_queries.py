@@ -80,15 +80,37 @@ def unit_bootstrap(spark, sf_dir):
     return resample.picks(x, N_BOOT, 9).join(x, "u").groupBy("rep").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg(F.col("s") / F.col("a")), 6).alias("mean_cv"))
 
 
-@query("WITH o AS (SELECT range AS o FROM range(168, 649, 24)), w AS (SELECT o, o - 168 AS a, o AS b, o AS c, o + 72 AS d FROM o) SELECT x.o AS origin, y.o AS other, greatest(0, least(x.d, y.d) - greatest(x.c, y.c)) AS test_overlap, greatest(0, least(x.b, y.d) - greatest(x.a, y.c)) AS leak FROM w x JOIN w y ON x.o < y.o AND y.c < x.d")
+#: Hours of training and of test, and how far origins lie apart.
+TRAIN, TEST, EVERY = 168, 72, 24
+ORIGINS = f"{FLEET}, w AS (SELECT unnest(range(lo + {TRAIN}, lo + n - {TEST} + 1, {EVERY})) AS o FROM span), sp AS (SELECT o, o - {TRAIN} AS a, o AS b, o AS c, o + {TEST} AS d, row_number() OVER (ORDER BY o) <= count(*) OVER () // 2 AS early FROM w)"
+
+
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o, a, b, c, d): the origins that the rows' calendar has room for, with their training and test hours."""
+    o = span(telemetry(spark, sf_dir)).where(f"n >= {TRAIN + TEST}").select(F.explode(F.expr(f"sequence(lo + {TRAIN}, lo + n - {TEST}, {EVERY}L)")).alias("o"))
+    return o.select("o", (F.col("o") - TRAIN).alias("a"), F.col("o").alias("b"), F.col("o").alias("c"), (F.col("o") + TEST).alias("d"))
+
+
+@query(f"WITH {ORIGINS} SELECT x.o AS origin, y.o AS other, greatest(0, least(x.d, y.d) - greatest(x.c, y.c)) AS test_overlap, greatest(0, least(x.b, y.d) - greatest(x.a, y.c)) AS leak FROM sp x JOIN sp y ON x.o < y.o AND y.c < x.d")
 def overlap_audit(spark, sf_dir):
-    """Which origins share test hours, and whether a test lies in another's training."""
-    w = spark.range(168, 649, 24).select(F.col("id").alias("o"), (F.col("id") - 168).alias("a"), F.col("id").alias("b"), F.col("id").alias("c"), (F.col("id") + 72).alias("d"))
-    x, y = w.alias("x"), w.alias("y")
+    """Which origins share test hours, and whether a test lies in another's training. An origin has as many partners as
+    steps fit into its test, so they are named and joined by equality."""
+    w = origins(spark, sf_dir)
+    x = w.withColumn("other", F.explode(F.expr(f"sequence(o + {EVERY}, o + {(TEST - 1) // EVERY * EVERY}, {EVERY}L)")))
+    y = w.select(F.col("o").alias("other"), F.col("c").alias("yc"), F.col("d").alias("yd"))
     cut = lambda a, b, c, d: F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
-    j = x.join(y, F.expr("x.o < y.o AND y.c < x.d"))
-    c = lambda n: F.col(n)
-    return j.select(c("x.o").alias("origin"), c("y.o").alias("other"), cut(c("x.c"), c("x.d"), c("y.c"), c("y.d")).alias("test_overlap"), cut(c("x.a"), c("x.b"), c("y.c"), c("y.d")).alias("leak"))
+    return x.join(y, "other").select(F.col("o").alias("origin"), "other", cut("c", "d", "yc", "yd").alias("test_overlap"), cut("a", "b", "yc", "yd").alias("leak"))
+
+
+@query(f"WITH {ORIGINS}, e AS (SELECT count(*) AS origins, count(*) FILTER (early) AS early, min(c) FILTER (early) AS c0, max(d) FILTER (early) AS c1, min(c) FILTER (NOT early) AS t0, max(d) FILTER (NOT early) AS t1, min(a) FILTER (NOT early) AS r0, max(b) FILTER (NOT early) AS r1 FROM sp) SELECT origins, early, greatest(0, least(c1, t1) - greatest(c0, t0)) AS scored_overlap, greatest(0, least(c1, r1) - greatest(c0, r0)) AS training_overlap FROM e")
+def split_overlap(spark, sf_dir):
+    """Hours that the tests of the earlier origins share with those of the later ones, and with their training."""
+    w = origins(spark, sf_dir)
+    x = w.withColumn("early", F.row_number().over(Window.orderBy("o")) <= F.expr("count(*) over () div 2"))
+    on = lambda f, c, early: f(F.when(F.col("early") == early, F.col(c)))
+    e = x.agg(F.count("*").alias("origins"), F.count_if("early").alias("early"), on(F.min, "c", True).alias("c0"), on(F.max, "d", True).alias("c1"), on(F.min, "c", False).alias("t0"), on(F.max, "d", False).alias("t1"), on(F.min, "a", False).alias("r0"), on(F.max, "b", False).alias("r1"))
+    both = lambda a, b: F.greatest(F.lit(0), F.least("c1", b) - F.greatest("c0", a))
+    return e.select("origins", "early", both("t0", "t1").alias("scored_overlap"), both("r0", "r1").alias("training_overlap"))
 
 
 @query(f"WITH {LANES}, x AS (SELECT *, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS tr FROM lanes WINDOW w AS (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)), y AS (SELECT cluster_id, t, coalesce(first_value(tr IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(tr IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS tr FROM x), z AS (SELECT *, median(tr) OVER (PARTITION BY cluster_id) AS mid FROM y) SELECT cluster_id, sum((abs(tr - mid) <= 0.1 * mid)::INT)::BIGINT AS stable_hours, count(*) AS n FROM z GROUP BY 1")

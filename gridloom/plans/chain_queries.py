@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import power
-from gridloom.operators import chain, events, fitting, resample
+from gridloom.operators import chain, events, fitting, replicates, resample
 from gridloom.operators.facility import banded
 from gridloom.operators.resample import drawn, drawn_sql, uniform, uniform_sql
 from gridloom.operators.rolling import filled, firm, fleet, lanes, minima, over, quantile, span, spine, supported, trend
@@ -56,14 +56,53 @@ CHAIN_REPS, CHAIN_DRAWS = 20, 4
 @query(f"WITH {ZERO_LP}, {blocks_sql(CHAIN_REPS, BLOCK, 6)}, pn AS (SELECT rep, cluster_id, lo + pos AS t, CASE WHEN (pos + 1) % {BLOCK} <> 0 THEN v END AS v FROM ix JOIN lanes ON lanes.t = src, span), {shifts_sql(CHAIN_DRAWS, 1, 6)}, {trend_sql('pn', 'rep, cluster_id')}, {rolled_sql('rep')}, {levels_sql('pn', [1, 4], 'rep')}, f AS (SELECT h, unnest(['a_persist', 'a_coinc']) AS factor, unnest([p2 / nullif(p1, 0), p3 / nullif(p2, 0)]) AS x FROM lv) {bands_sql('f', 'x', 'h, factor')}")
 def chain_bootstrap(spark, sf_dir):
     """The factors over blocks of weeks drawn again, all clusters alike; the last hour of a block is a gap."""
-    p = part(spark, sf_dir)
-    ix = resample.block_index(span(p), CHAIN_REPS, BLOCK, 6)
-    rows = p.join(ix.withColumnRenamed("src", "t"), "t").crossJoin(span(p)).select("rep", "cluster_id", (F.col("lo") + F.col("pos")).alias("t"), F.when((F.col("pos") + 1) % BLOCK != 0, F.col("v")).alias("v"))
-    f = chain.factors(chain.levels(rows, "cluster_id", [1, 4], 0.05, CHAIN_DRAWS, 6, ["rep"]))
+    f = chain.factors(replicates.chain_replicates(part(spark, sf_dir), "cluster_id", [1, 4], [0.05], CHAIN_DRAWS, CHAIN_REPS, BLOCK, 6, own=False))
     return banded(f.unpivot(["rep", "h"], ["a_persist", "a_coinc"], "factor", "x"), "x", ["h", "factor"], 4)
 
 
-MEMBERS = 5
+#: The bands' replicates, and draws of the benchmark in each.
+BAND_REPS, BAND_DRAWS, BAND_BLOCKS = 1000, 2, ((168, 35), (336, 36))
+
+
+def band_sql(block: int, seed: int) -> str:
+    """The chain of every replicate of a block length."""
+    return f"""SELECT {block}::BIGINT AS block, h, p1, p2, p3 FROM (WITH {blocks_sql(BAND_REPS, block, seed)}, pn AS (SELECT rep, cluster_id, lo + pos AS t, CASE WHEN (pos + 1) % {block} <> 0 THEN v END AS v FROM ix JOIN lanes ON lanes.t = src, span),
+nm AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS u FROM (SELECT DISTINCT cluster_id FROM lanes)), sh AS (SELECT rep, draw, u, {drawn_sql(f'(rep * {BAND_DRAWS} + draw)', 'u', seed)} % n AS shift FROM nm, (SELECT range AS rep FROM range({BAND_REPS})), (SELECT range AS draw FROM range({BAND_DRAWS})), span), {trend_sql('pn', 'rep, cluster_id')},
+rl AS (SELECT rep, draw, cluster_id, lo + (t - lo + shift) % n AS t, v - trend AS r FROM tl JOIN nm USING (cluster_id) JOIN sh USING (rep, u), span),
+de AS (SELECT rep, draw, t, CASE WHEN count(r + trend) = count(*) THEN greatest(sum(r + trend), 0) END AS v FROM rl JOIN (SELECT rep, cluster_id, t, trend FROM tl) USING (rep, cluster_id, t) GROUP BY ALL), {levels_sql('pn', [1, 4, 24], 'rep')} SELECT * FROM lv)"""
+
+
+BANDS = f"{ZERO_LP}, p0 AS (SELECT 0.5 * avg(l) AS p0 FROM (SELECT sum(w) AS l FROM tele GROUP BY t)), lw AS ({' UNION ALL '.join(band_sql(*x) for x in BAND_BLOCKS)}), f AS (SELECT block, h, unnest(['a_scope', 'a_persist', 'a_coinc', 'shapley_scope', 'shapley_duration', 'shapley_coincidence']) AS factor, unnest([p1 / nullif(p0, 0), p2 / nullif(p1, 0), p3 / nullif(p2, 0), p1 / nullif(p0, 0), sqrt(p2 * p3) / nullif(p1, 0), sqrt(p3 / nullif(p2, 0))]) AS x FROM lw, p0)"
+
+
+@query(f"WITH {BANDS} {bands_sql('f', 'x', 'block, h, factor')}")
+def chain_bands(spark, sf_dir):
+    """Bands of the factors, and of their Shapley shares, over 1,000 replicates of each block length."""
+    p, tele = part(spark, sf_dir), telemetry(spark, sf_dir)
+    p0 = tele.groupBy("t").agg(F.sum("w").alias("l")).agg((0.5 * F.avg("l")).alias("p0"))
+    rows = None
+    for block, seed in BAND_BLOCKS:
+        one = replicates.chain_replicates(p, "cluster_id", [1, 4, 24], [0.05], BAND_DRAWS, BAND_REPS, block, seed).withColumn("block", F.lit(block).cast("long"))
+        rows = one if rows is None else rows.unionByName(one)
+    f = chain.shares(chain.factors(rows.crossJoin(p0)))
+    names = ["a_scope", "a_persist", "a_coinc", "shapley_scope", "shapley_duration", "shapley_coincidence"]
+    return banded(f.unpivot(["block", "rep", "h"], names, "factor", "x"), "x", ["block", "h", "factor"], 4)
+
+
+SURROGATES = 200
+
+
+@query()
+def surrogate_coincidence(spark, sf_dir):
+    """The coincidence factor of panels whose clusters keep their trends and spectra but are independent: about 1."""
+    z = zero(lanes(telemetry(spark, sf_dir)))
+    lv = replicates.replicated(z, "cluster_id", SURROGATES, replicates.surrogate_levels([1, 4, 24], 0.05, 20, 37), "rep long, h long, p2 double, p3 double")
+    x = lv.withColumn("x", F.try_divide("p3", "p2"))
+    mean = x.groupBy("h").agg(F.round(F.avg("x"), 4).alias("mean"), F.count("x").alias("panels"))
+    return banded(x, "x", ["h"], 4).join(mean, "h")
+
+
+MEMBERS = 30
 MEMBERS_SQL = f"mb AS (SELECT member, CASE WHEN member = 0 THEN 0.2 ELSE 0.15 + 0.1 * {uniform_sql('member', '0', 21)} END AS phi, CASE WHEN member = 0 THEN 0.3 ELSE 0.1 + 0.4 * {uniform_sql('member', '1', 21)} END AS null_level FROM (SELECT range AS member FROM range({MEMBERS})))"
 ENSEMBLE = f"""{LANES}, {'st AS' + STATS.split(', st AS')[1]}, {MEMBERS_SQL},
 ac AS (SELECT member, cluster_id, t, sum({power.active_sql('phi', 'null_level')}) AS a FROM st, mb WHERE {power.LAYER_SQL} = 'curtail' GROUP BY ALL),
@@ -78,7 +117,7 @@ def ensemble_structure(spark, sf_dir):
     ac = statistics(spark, sf_dir).where(power.layer() == "curtail").crossJoin(mb).withColumn("a", power.energy(F.col("phi"), F.col("null_level"))[1]).groupBy("member", "cluster_id", "t").agg(F.sum("a").alias("a"))
     grid = lanes(telemetry(spark, sf_dir)).select("cluster_id", "t").crossJoin(mb.select("member"))
     pn = grid.join(ac, ["member", "cluster_id", "t"], "left").select("member", "cluster_id", "t", F.coalesce("a", F.lit(0.0)).alias("v"))
-    f = chain.factors(chain.levels(pn, "cluster_id", [1, 4, 24], 0.05, CHAIN_DRAWS, 22, ["member"]))
+    f = chain.factors(replicates.by_member(pn, "cluster_id", "member", replicates.chain_levels(None, [1, 4, 24], [0.05], CHAIN_DRAWS, 22), replicates.LEVELS)).withColumnRenamed("rep", "member")
     at = lambda c, h: F.max(F.when(F.col("h") == h, F.col(c)))
     falls = lambda c: (at(c, 1) >= at(c, 4)) & (at(c, 4) >= at(c, 24))
     g = f.groupBy("member").agg(falls("a_persist").alias("mp"), falls("a_coinc").alias("mc"), F.bool_and((F.col("a_persist") < 1) & (F.col("a_coinc") < 1)).alias("lt"))
@@ -175,7 +214,7 @@ def paired_bootstrap(spark, sf_dir):
     return banded(x.unpivot("rep", ["observed", "constant", "ratio"], "what", "x"), "x", ["what"], 4)
 
 
-EXACT = f"ex AS (SELECT rep, j, least({BLOCK}, n - j * {BLOCK}) AS size, lo, n FROM (SELECT range AS rep FROM range(100)), (SELECT lo, n, unnest(range((n + {BLOCK} - 1) // {BLOCK})) AS j FROM span)), ey AS (SELECT rep, lo + {drawn_sql('rep', 'j', 29)} % (n - size + 1) AS first, size FROM ex)"
+EXACT = f"ex AS (SELECT rep, j, least({BLOCK}, n - j * {BLOCK}) AS size, lo, n FROM (SELECT range AS rep FROM range(1000)), (SELECT lo, n, unnest(range((n + {BLOCK} - 1) // {BLOCK})) AS j FROM span)), ey AS (SELECT rep, lo + {drawn_sql('rep', 'j', 29)} % (n - size + 1) AS first, size FROM ex)"
 
 
 @query(f"WITH {TWO}, {EXACT}, z AS (SELECT rep, v, c FROM ey JOIN two ON two.t >= first AND two.t < first + size WHERE v IS NOT NULL) SELECT rep, count(*) AS n, round(covar_pop(v, c), 4) AS cov FROM z GROUP BY rep")
@@ -188,7 +227,7 @@ def exact_block_moments(spark, sf_dir):
     sums = f.select((F.col("t") + 1).alias("t"), *[F.sum(F.when(known, e).otherwise(0.0)).over(run).alias(k) for k, e in terms.items()])
     zero_row = span(f).select(F.col("lo").alias("t"), *[F.lit(0.0).alias(k) for k in terms])
     sums = sums.unionByName(zero_row)
-    ex = span(f).crossJoin(spark.range(100).withColumnRenamed("id", "rep")).select("rep", "lo", "n", F.explode(F.expr(f"sequence(0L, (n + {BLOCK} - 1) div {BLOCK} - 1)")).alias("j")).withColumn("size", F.least(F.lit(BLOCK), F.col("n") - F.col("j") * BLOCK))
+    ex = span(f).crossJoin(spark.range(1000).withColumnRenamed("id", "rep")).select("rep", "lo", "n", F.explode(F.expr(f"sequence(0L, (n + {BLOCK} - 1) div {BLOCK} - 1)")).alias("j")).withColumn("size", F.least(F.lit(BLOCK), F.col("n") - F.col("j") * BLOCK))
     ey = ex.withColumn("first", F.col("lo") + drawn("rep", "j", 29) % (F.col("n") - F.col("size") + 1))
     ends = ey.select("rep", F.explode(F.array(F.struct((F.col("first") + F.col("size")).alias("t"), F.lit(1).alias("sign")), F.struct(F.col("first").alias("t"), F.lit(-1).alias("sign")))).alias("e")).select("rep", "e.*")
     d = ends.join(sums, "t").groupBy("rep").agg(*[F.sum(F.col("sign") * F.col(k)).alias(k) for k in terms])
@@ -248,13 +287,13 @@ def rack_bootstrap(spark, sf_dir):
 
 
 #: Alignments of the load's profile with the system's calendar.
-N_ALIGN, MARGIN, BUDGET = 100, 0.05, 0.005
+N_ALIGN, MARGIN, BUDGET = 200, 0.05, 0.005
 PROFILE = f"""pf AS (SELECT t - lo AS i, n, v / nameplate AS s, c / nameplate AS c, 0.25 * v / {power.PUE} / nameplate AS cap25, (SELECT sum(c) / sum(v) FROM pz) AS share FROM (SELECT *, first_value(x IGNORE NULLS) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nameplate FROM (SELECT *, CASE WHEN count(v) OVER w >= 24 THEN max(v) OVER w END AS x FROM pz WINDOW w AS (ORDER BY t ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))), span)"""
 ALIGN = f"""{TWO}, pz AS (SELECT t, coalesce(v, 0) AS v, coalesce(c, 0) AS c FROM two), {PROFILE}, dm AS (SELECT row_number() OVER (ORDER BY day) - 1 AS j, d FROM (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / 1000 AS d FROM orders GROUP BY 1)), pk AS (SELECT max(d) * {1 + MARGIN} AS cap, count(*) AS nh FROM dm),
 al AS (SELECT range AS a, {drawn_sql('range', '0', 34)} % (SELECT n FROM span) AS off FROM range({N_ALIGN})),
 x AS (SELECT a, j, d, s, cap - d AS room, nh, unnest(['full', 'measured', 'cap25', 'constant', 'linear']) AS scenario, unnest([s, c, cap25, share * s, c * (1 + 0.1 * s)]) AS c FROM dm, pk, al JOIN pf ON pf.i = (j - off + {10**6} * n) % n),
 hr AS (SELECT scenario, a, min(CASE WHEN s > c THEN room / (s - c) END) AS hard, min(room / greatest(s, 1e-6)) AS rigid, any_value(nh) AS nh FROM x GROUP BY ALL), qr AS (SELECT scenario, a, room / s AS q, row_number() OVER (PARTITION BY scenario, a ORDER BY room / s) AS r FROM x WHERE s > 0),
-ld AS (SELECT scenario, a, rigid, CASE WHEN least(hard, q, 20000) >= 1 THEN least(hard, q, 20000) ELSE 0 END AS load FROM hr LEFT JOIN qr USING (scenario, a) WHERE r = CAST(floor(round({BUDGET} * nh, 6)) AS BIGINT) + 1)"""
+ld AS (SELECT scenario, a, rigid, CASE WHEN least(hard, q, 20000) >= 1 THEN least(hard, q, 20000) ELSE 0 END AS load FROM (SELECT *, CAST(floor(round({BUDGET} * nh, 6)) AS BIGINT) + 1 AS r FROM hr) LEFT JOIN qr USING (scenario, a, r))"""
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +310,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     x = x.select("a", "j", "d", "s", "nh", (F.col("cap") - F.col("d")).alias("room"), "x.scenario", "x.c")
     hr = x.groupBy("scenario", "a").agg(F.min(F.when(F.col("s") > F.col("c"), F.col("room") / (F.col("s") - F.col("c")))).alias("hard"), F.min(F.col("room") / F.greatest("s", F.lit(1e-6))).alias("rigid"), F.first("nh").alias("nh"))
     qr = x.where("s > 0").select("scenario", "a", (F.col("room") / F.col("s")).alias("q")).withColumn("r", F.row_number().over(Window.partitionBy("scenario", "a").orderBy("q")))
-    ld = hr.withColumn("r", F.floor(F.round(BUDGET * F.col("nh"), 6)) + 1).join(qr, ["scenario", "a", "r"]).withColumn("load", F.least("hard", "q", F.lit(20000.0)))
+    ld = hr.withColumn("r", F.floor(F.round(BUDGET * F.col("nh"), 6)) + 1).join(qr, ["scenario", "a", "r"], "left").withColumn("load", F.least("hard", "q", F.lit(20000.0)))
     return x, ld.select("scenario", "a", "rigid", F.when(F.col("load") >= 1, F.col("load")).otherwise(0.0).alias("load"))
 
 

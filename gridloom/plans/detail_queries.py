@@ -11,7 +11,7 @@ from gridloom.operators.facility import rounded as r6
 from gridloom.operators.resample import block_index
 from gridloom.operators.rolling import deseasoned, firm, fleet, lanes, minima, over, quantile, span
 from gridloom.plans.firm_queries import JOBS, TWO, jobs, k_sql, m_sql, two
-from gridloom.plans.model_queries import CHAIN, blocks_sql, chain
+from gridloom.plans.model_queries import CHAIN, SCREEN, blocks_sql, chain, screened
 from gridloom.plans.registry import query
 from gridloom.plans.series_queries import RESID, residuals
 from gridloom.sources.tables import FLEET, LANES, TELE, table, telemetry
@@ -61,12 +61,12 @@ def tolerance_lookup(spark, sf_dir):
     return sums.join(tol, "job", "left").select("job", "status", F.round(F.col("x") * F.coalesce("s_30", F.lit(0.0)), 2).alias("tolerant"), "n")
 
 
-@query(f"WITH {LANES}, g AS (SELECT t, count(v) >= 3 AND t % 97 <> 5 AS good FROM lanes GROUP BY t), f AS (SELECT cluster_id, l.t, good, CASE WHEN good THEN v END AS v FROM lanes l JOIN g USING (t)) SELECT cluster_id, count(*) AS hours, count(v) AS valid, round(avg(v), 6) AS mean_v, sum(first::INT)::BIGINT AS good_hours FROM f JOIN (SELECT t, any_value(good) AS first FROM f GROUP BY t) USING (t) GROUP BY cluster_id")
+@query(f"WITH {LANES}, g AS (SELECT t, count(v) >= 3 AS good FROM lanes GROUP BY t), f AS (SELECT cluster_id, l.t, good, CASE WHEN good THEN v END AS v FROM lanes l JOIN g USING (t)) SELECT cluster_id, count(*) AS hours, count(v) AS valid, round(avg(v), 6) AS mean_v, sum(first::INT)::BIGINT AS good_hours FROM f JOIN (SELECT t, any_value(good) AS first FROM f GROUP BY t) USING (t) GROUP BY cluster_id")
 def hour_flags(spark, sf_dir):
-    """Hours marked by how many clusters report, and a known bad one in each cycle; the mark goes to every row of the
+    """Hours marked by how many clusters report; the mark goes to every row of the
     hour, and one of the equal marks of an hour stands for it."""
     s = lanes(telemetry(spark, sf_dir))
-    g = s.groupBy("t").agg(((F.count("v") >= 3) & (F.col("t") % 97 != 5)).alias("good"))
+    g = s.groupBy("t").agg((F.count("v") >= 3).alias("good"))
     f = s.join(g, "t").withColumn("v", F.when(F.col("good"), F.col("v")))
     one = f.groupBy("t").agg(F.first("good").alias("first"))
     return f.join(one, "t").groupBy("cluster_id").agg(F.count("*").alias("hours"), F.count("v").alias("valid"), F.round(F.avg("v"), 6).alias("mean_v"), F.sum(F.col("first").cast("int")).alias("good_hours"))
@@ -88,20 +88,20 @@ def censored_spans(spark, sf_dir):
     return sp.crossJoin(e).where("NOT (t_min <= lo OR t_max >= hi)").select("pod_id", "t_min", "t_max", F.round("gh", 4).alias("gh"))
 
 
-@query(f"WITH {TELE}, a AS (SELECT DISTINCT spec FROM tele WHERE t % 2 = 0 AND spec IS NOT NULL), b AS (SELECT unnest({list(power.TDP)}) AS spec), u AS (SELECT spec FROM a UNION SELECT spec FROM b) SELECT spec, spec IN (SELECT spec FROM a) AS seen, spec IN (SELECT spec FROM b) AS named FROM u")
+@query(f"WITH {TELE}, a AS (SELECT DISTINCT spec FROM tele WHERE spec IS NOT NULL), b AS (SELECT unnest({list(power.TDP)}) AS spec), u AS (SELECT spec FROM a UNION SELECT spec FROM b) SELECT spec, spec IN (SELECT spec FROM a) AS seen, spec IN (SELECT spec FROM b) AS named FROM u")
 def label_sets(spark, sf_dir):
     """Labels that are in the rows, in the parameters, or both."""
-    a = telemetry(spark, sf_dir).where("t % 2 = 0 and spec is not null").select("spec").distinct()
+    a = telemetry(spark, sf_dir).where("spec is not null").select("spec").distinct()
     b = spark.createDataFrame([(x,) for x in power.TDP], "spec string")
     tagged = a.withColumn("i", F.lit(1)).unionByName(b.withColumn("i", F.lit(2)))
     return tagged.groupBy("spec").agg((F.max((F.col("i") == 1).cast("int")) == 1).alias("seen"), (F.max((F.col("i") == 2).cast("int")) == 1).alias("named"))
 
 
-@query(f"WITH {FLEET} SELECT t FROM spine EXCEPT SELECT t FROM tele WHERE w > 40")
+@query(f"WITH {LANES} SELECT cluster_id, t FROM lanes EXCEPT SELECT cluster_id, t FROM tele")
 def missing_hours(spark, sf_dir):
-    """The calendar's hours in which no row has so much weight."""
+    """The calendar's hours in which a cluster has no row."""
     tele = telemetry(spark, sf_dir)
-    return fleet(tele).select("t").join(tele.where("w > 40").select("t"), "t", "left_anti")
+    return lanes(tele).select("cluster_id", "t").join(tele.select("cluster_id", "t"), ["cluster_id", "t"], "left_anti")
 
 
 @query(f"WITH {LANES}, m AS (SELECT cluster_id, avg(coalesce(v, 0)) AS a FROM lanes GROUP BY 1) SELECT cluster_id, round(a, 6) AS mean_v, row_number() OVER (ORDER BY a DESC, cluster_id) AS place FROM m WHERE a >= 0.95 * (SELECT avg(a) FROM m)")
@@ -123,12 +123,12 @@ def stable_order(spark, sf_dir):
 # scalar functions
 
 
-@query(f"WITH {TELE} SELECT pod_id, t, round(least(greatest(k / 100.0::DOUBLE, 0.1), 0.9), 6) AS clipped, sha256(cluster_id || ':' || pod_id) AS name, substr(spec, 1, 2) AS short, concat_ws('|', cluster_id, spec, job_type) AS path, round(CASE WHEN u < 0.25 THEN 60 + 480 * u WHEN u < 0.5 THEN 180 + 240 * (u - 0.25) WHEN u < 0.75 THEN 240 + 144 * (u - 0.5) ELSE 276 + 96 * (u - 0.75) END, 6) AS watts, round(ln(1 + w), 6) AS log_w FROM tele WHERE w > 90")
+@query(f"WITH {TELE} SELECT pod_id, t, round(least(greatest(k / 100.0::DOUBLE, 0.1), 0.9), 6) AS clipped, sha256(cluster_id || ':' || pod_id) AS name, substr(spec, 1, 2) AS short, concat_ws('|', cluster_id, spec, job_type) AS path, round(CASE WHEN u < 0.25 THEN 60 + 480 * u WHEN u < 0.5 THEN 180 + 240 * (u - 0.25) WHEN u < 0.75 THEN 240 + 144 * (u - 0.5) ELSE 276 + 96 * (u - 0.75) END, 6) AS watts, round(ln(1 + w), 6) AS log_w FROM tele")
 def scalar_functions(spark, sf_dir):
     """Clips at both ends, digests, slices, joined labels, a curve by cases, logarithms."""
     u = F.col("u")
     watts = F.when(u < 0.25, 60 + 480 * u).when(u < 0.5, 180 + 240 * (u - 0.25)).when(u < 0.75, 240 + 144 * (u - 0.5)).otherwise(276 + 96 * (u - 0.75))
-    return telemetry(spark, sf_dir).where("w > 90").select(
+    return telemetry(spark, sf_dir).select(
         "pod_id", "t", F.round(F.least(F.greatest(F.col("k") / 100.0, F.lit(0.1)), F.lit(0.9)), 6).alias("clipped"), F.sha2(F.concat_ws(":", "cluster_id", F.col("pod_id").cast("string")), 256).alias("name"),
         F.substring("spec", 1, 2).alias("short"), F.concat_ws("|", "cluster_id", "spec", "job_type").alias("path"), F.round(watts, 6).alias("watts"), F.round(F.log1p("w"), 6).alias("log_w"),
     )
@@ -141,15 +141,23 @@ def finite_values(spark, sf_dir):
     return spark.sql("SELECT o_orderstatus, count(*) AS n, count(CASE WHEN NOT isnan(y) AND abs(y) < double('infinity') THEN y END) AS finite FROM finite_values_in WHERE o_orderstatus <> :label GROUP BY o_orderstatus", args={"label": "it's"})
 
 
-FACTS_SQL = "fc AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in facts.FACTS) + ") v(workload, phase, s, notes))"
+#: What each pod's readings say, as facts are written down: work, phase, a number as a text, and how it is known.
+FACT = "CASE pod_id % 3 WHEN 0 THEN cast(lo AS {text}) WHEN 1 THEN concat('~', cast(hi AS {text})) ELSE concat(cast(lo AS {text}), '-', cast(hi AS {text})) END"
+PHASE = "CASE WHEN state = 'Standby' AND spec IS NULL THEN 'deep idle' WHEN state = 'Standby' THEN 'idle' WHEN job_type = 'training' AND priority_class = 'LP' THEN 'comm trough' WHEN job_type = 'other' AND priority_class = 'HP' THEN 'burn' WHEN job_type = 'online_inference' AND spec IS NULL THEN 'facility' ELSE 'steady' END"
+NOTES = "CASE WHEN spec = 'A10' THEN 'EXACT' WHEN spec = 'A100' THEN 'COMPUTED from hours' ELSE '' END"
+FACTS_SQL = f"fc AS (SELECT job_type AS workload, {PHASE} AS phase, {FACT.format(text='VARCHAR')} AS s, {NOTES} AS notes FROM (SELECT pod_id, job_type, priority_class, spec, state, min(k) / 100.0::DOUBLE AS lo, max(k) / 100.0::DOUBLE AS hi FROM tele GROUP BY ALL))"
 
 
-@query(f"WITH {FACTS_SQL}, x AS (SELECT workload, phase, notes, s FROM fc), {facts.PARSED}, g AS (SELECT {facts.category_sql()} AS category, number AS v, CASE WHEN starts_with(notes, 'EXACT') THEN 'EXACT' WHEN starts_with(notes, 'COMPUTED') THEN 'COMPUTED' ELSE 'APPROX' END AS tag FROM z) SELECT category, tag, count(*) AS n, round(min(v), 6) AS least, round(median(v), 6) AS middle, round(max(v), 6) AS most, round(CASE category {' '.join(f"WHEN '{k}' THEN {v!r}" for k, v in facts.MODELLED.items())} END, 6) AS modelled FROM g WHERE v <= 1.3 AND category IS NOT NULL GROUP BY ALL")
+def facts_of(spark, sf_dir):
+    """(workload, phase, s, notes): a fact of each pod and state."""
+    x = telemetry(spark, sf_dir).groupBy("pod_id", "job_type", "priority_class", "spec", "state").agg((F.min("k") / 100.0).alias("lo"), (F.max("k") / 100.0).alias("hi"))
+    return x.select(F.col("job_type").alias("workload"), F.expr(PHASE).alias("phase"), F.expr(FACT.format(text="STRING")).alias("s"), F.expr(NOTES).alias("notes"))
+
+
+@query(f"WITH {TELE}, {FACTS_SQL}, x AS (SELECT workload, phase, notes, s FROM fc), {facts.PARSED}, g AS (SELECT {facts.category_sql()} AS category, number AS v, CASE WHEN starts_with(notes, 'EXACT') THEN 'EXACT' WHEN starts_with(notes, 'COMPUTED') THEN 'COMPUTED' ELSE 'APPROX' END AS tag FROM z) SELECT category, tag, count(*) AS n, round(min(v), 6) AS least, round(median(v), 6) AS middle, round(max(v), 6) AS most, round(CASE category {' '.join(f"WHEN '{k}' THEN {v!r}" for k, v in facts.MODELLED.items())} END, 6) AS modelled FROM g WHERE v <= 1.3 AND category IS NOT NULL GROUP BY ALL")
 def facts_by_category(spark, sf_dir):
-    """Compiled facts by category and trust, beside what the model says."""
-    x = spark.createDataFrame(facts.FACTS, "workload string, phase string, s string, notes string")
-    g = x.select(facts.category(), rollups.number_of("s").alias("v"), F.when(F.col("notes").startswith("EXACT"), "EXACT").when(F.col("notes").startswith("COMPUTED"), "COMPUTED").otherwise("APPROX").alias("tag"))
-    modelled = F.element_at(F.create_map(*[F.lit(x) for kv in facts.MODELLED.items() for x in kv]), F.col("category"))
+    """Facts by category and trust, beside what the model says."""
+    g = facts_of(spark, sf_dir).select(facts.category(), rollups.number_of("s").alias("v"), F.when(F.col("notes").startswith("EXACT"), "EXACT").when(F.col("notes").startswith("COMPUTED"), "COMPUTED").otherwise("APPROX").alias("tag"))
     return g.where("v <= 1.3 and category is not null").groupBy("category", "tag").agg(F.count("*").alias("n"), F.round(F.min("v"), 6).alias("least"), F.round(F.median("v"), 6).alias("middle"), F.round(F.max("v"), 6).alias("most")).withColumn("modelled", F.round(F.try_element_at(F.create_map(*[F.lit(x) for kv in facts.MODELLED.items() for x in kv]), F.col("category")), 6))
 
 
@@ -194,11 +202,11 @@ def clock_profile(spark, sf_dir):
     return x.groupBy(F.expr("t % 24").alias("hour")).agg(F.avg("v").alias("v"), F.avg("c").alias("c")).crossJoin(m).select("hour", F.round(F.col("v") / F.col("mv"), 6).alias("all_"), F.round(F.col("c") / F.col("mc"), 6).alias("part"))
 
 
-@query(f"WITH {FLEET}, me AS (SELECT t, 1.1 * sum(w) + t % 7 AS kw FROM tele WHERE t % 3 <> 0 GROUP BY t), c AS (SELECT f.t, kw / nullif(v, 0) AS ratio FROM fleet f LEFT JOIN me USING (t) WHERE kw > 0) SELECT count(*) AS hours, round(quantile_cont(ratio, 0.05), 6) AS p5, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(ratio, 0.95), 6) AS p95 FROM c")
+@query(f"WITH {FLEET}, me AS (SELECT t, 1.1 * sum(w) + t % 7 AS kw FROM tele GROUP BY t), c AS (SELECT f.t, kw / nullif(v, 0) AS ratio FROM fleet f LEFT JOIN me USING (t) WHERE kw > 0) SELECT count(*) AS hours, round(quantile_cont(ratio, 0.05), 6) AS p5, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(ratio, 0.95), 6) AS p95 FROM c")
 def closure_ratio(spark, sf_dir):
     """A meter over the sum of parts, in hours that the meter has."""
     tele = telemetry(spark, sf_dir)
-    me = tele.where("t % 3 <> 0").groupBy("t").agg((1.1 * F.sum("w") + F.col("t") % 7).alias("kw"))
+    me = tele.groupBy("t").agg((1.1 * F.sum("w") + F.col("t") % 7).alias("kw"))
     c = fleet(tele).join(me, "t", "left").where("kw > 0").withColumn("ratio", F.try_divide("kw", "v"))
     q = c.agg(F.count("*").alias("hours"), F.percentile("ratio", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
     return q.select("hours", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
@@ -266,13 +274,32 @@ def tail_scalar(spark, sf_dir):
     return s.select("h", F.round("scalar", 6).alias("scalar"), F.round(F.try_divide("kc", "kl"), 6).alias("required"), F.round(F.avg("scalar").over(Window.partitionBy()), 6).alias("mean_scalar"))
 
 
-@query("WITH q AS (SELECT range / 20.0 AS q FROM range(0, 21)), r AS (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS rho), g AS (SELECT rho, q, q * (1 - rho * q * 1.25) AS gain, lead(q) OVER w AS nq, lead(q * (1 - rho * q * 1.25)) OVER w AS ng, max(q * (1 - rho * q * 1.25)) OVER (PARTITION BY rho) / 2 AS want FROM q, r WINDOW w AS (PARTITION BY rho ORDER BY q)) SELECT rho, round(min(q + (nq - q) * (want - gain) / (ng - gain)) FILTER (gain < want AND ng >= want), 6) AS half_gain_q, round(min(q) FILTER (1 - rho * (1 + 2.0 / (2 * 4)) * 2 * q <= 0), 6) AS break_even_q FROM g GROUP BY rho")
+#: Shares of the curtailable part that are had, a margin of the peak, and a share of hours.
+SHARES, HALF_MARGIN, HALF_BUDGET = 20, 0.05, 0.005
+HALF = f"""{SCREEN.split(', g AS (SELECT margin')[0]}, pk AS (SELECT max(d) * {1 + HALF_MARGIN} AS cap, count(*) AS n FROM x), rm AS (SELECT i, s, c, cap - d AS room FROM x, pk), st AS (SELECT room / s AS q FROM (SELECT *, row_number() OVER (ORDER BY room / s) AS r FROM rm WHERE s > 0), pk WHERE r = CAST(floor(round({HALF_BUDGET} * n, 6)) AS BIGINT) + 1),
+hq AS (SELECT q, min(CASE WHEN s > q * c THEN room / (s - q * c) END) AS hard FROM rm, (SELECT range / {SHARES}.0 AS q FROM range(0, {SHARES + 1})) GROUP BY q), h2 AS (SELECT min(room / (0.8 * s)) AS hard FROM rm WHERE s > 0), nf AS (SELECT min(room / s) AS y FROM rm WHERE s > 0),
+ld AS (SELECT hq.q, least(hard, (SELECT q FROM st), 20000) AS y FROM hq), wa AS (SELECT unnest(['half_gain_q', 'break_even_q']) AS what, unnest([((SELECT y FROM ld WHERE q = 1) + (SELECT y FROM nf)) / 2, (SELECT least(hard, (SELECT q FROM st), 20000) FROM h2)]) AS want),
+sg AS (SELECT *, lead(q) OVER (ORDER BY q) AS nq, lead(y) OVER (ORDER BY q) AS ny FROM ld)"""
+
+
+@query(f"{HALF} SELECT what, round(want, 4) AS want, round((SELECT min(q + (nq - q) * (want - y) / (ny - y)) FROM sg WHERE y < want AND ny >= want), 6) AS q FROM wa")
 def half_gain_share(spark, sf_dir):
-    """The realised share at which half the gain is had, on the line between grid points, and the one that breaks even."""
-    g = spark.range(0, 21).select((F.col("id") / 20.0).alias("q")).crossJoin(spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "rho double")).withColumn("gain", F.col("q") * (1 - F.col("rho") * F.col("q") * 1.25))
-    half = lookups.rising(g, "q", "gain", 0.5, ["rho"])
-    even = g.groupBy("rho").agg(F.min(F.when(1 - F.col("rho") * (1 + 2.0 / 8) * 2 * F.col("q") <= 0, F.col("q"))).alias("e"))
-    return half.join(even, "rho").select("rho", F.round("x", 6).alias("half_gain_q"), F.round("e", 6).alias("break_even_q"))
+    """The share of the curtailable part at which half of what it gains is had, and the share that gives as much as a
+    fifth of the load would, both on the line between grid points; load and system are the tables' own."""
+    hours = screened(spark, sf_dir)[0]
+    cap = hours.agg((F.max("d") * (1 + HALF_MARGIN)).alias("cap"), F.count("*").alias("n"))
+    x = hours.crossJoin(cap).withColumn("room", F.col("cap") - F.col("d"))
+    stat = x.where("s > 0").select("n", (F.col("room") / F.col("s")).alias("stat")).withColumn("r", F.row_number().over(Window.orderBy("stat"))).where(F.col("r") == F.floor(F.round(HALF_BUDGET * F.col("n"), 6)) + 1).select("stat")
+    grid = F.explode(F.array(*[F.lit(i / SHARES) for i in range(SHARES + 1)])).alias("q")
+    hard = x.select("s", "c", "room", grid).groupBy("q").agg(F.min(F.when(F.col("s") > F.col("q") * F.col("c"), F.col("room") / (F.col("s") - F.col("q") * F.col("c")))).alias("hard"))
+    load = hard.crossJoin(stat).select("q", F.least("hard", "stat", F.lit(20000.0)).alias("y"))
+    own = x.where("s > 0").agg(F.min(F.col("room") / (0.8 * F.col("s"))).alias("hard"), F.min(F.col("room") / F.col("s")).alias("rigid")).crossJoin(stat)
+    ends = own.crossJoin(load.where("q = 1").select(F.col("y").alias("full"))).select(((F.col("full") + F.col("rigid")) / 2).alias("half_gain_q"), F.least("hard", "stat", F.lit(20000.0)).alias("break_even_q"))
+    want = ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("want")) for c in ("half_gain_q", "break_even_q")])).alias("x")).select("x.*")
+    w = Window.orderBy("q")
+    lines = load.withColumns({"nq": F.lead("q").over(w), "ny": F.lead("y").over(w)})
+    at = lines.crossJoin(want).where("y < want AND ny >= want").groupBy("what").agg(F.min(F.col("q") + (F.col("nq") - F.col("q")) * (F.col("want") - F.col("y")) / (F.col("ny") - F.col("y"))).alias("q"))
+    return want.join(at, "what", "left").select("what", F.round("want", 4).alias("want"), F.round("q", 6).alias("q"))
 
 
 # synchrony and covariance
@@ -342,12 +369,12 @@ def cov_mask_grid(spark, sf_dir):
     return z.select("mask", "kind", "p", "hours", F.round(F.sqrt(F.col("v") / F.col("s2")), 6).alias("ratio"), F.round((F.col("v") - F.col("s2")) / (F.col("s1") * F.col("s1") - F.col("s2")), 6).alias("rho_w"))
 
 
-@query(f"WITH {RESID}, {blocks_sql(40, 168, 41)}, ok AS (SELECT t FROM res GROUP BY t HAVING count(r) = (SELECT count(DISTINCT cluster_id) FROM res)), fs AS (SELECT t, sum(r) AS z FROM res JOIN ok USING (t) GROUP BY t), v AS (SELECT rep, var_pop(z) AS v FROM ix JOIN fs ON fs.t = src GROUP BY rep), o AS (SELECT rep, sum(q) AS q FROM (SELECT rep, var_pop(r) AS q FROM ix JOIN res ON res.t = src JOIN ok ON ok.t = src GROUP BY rep, cluster_id) GROUP BY rep), f AS (SELECT sqrt(v / q) AS x FROM v JOIN o USING (rep)) SELECT count(*) AS reps, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.95), 6) AS p95, quantile_cont(x, 0.05) > 1 OR quantile_cont(x, 0.95) < 1 AS excludes_one FROM f")
+@query(f"WITH {RESID}, {blocks_sql(200, 168, 41)}, ok AS (SELECT t FROM res GROUP BY t HAVING count(r) = (SELECT count(DISTINCT cluster_id) FROM res)), fs AS (SELECT t, sum(r) AS z FROM res JOIN ok USING (t) GROUP BY t), v AS (SELECT rep, var_pop(z) AS v FROM ix JOIN fs ON fs.t = src GROUP BY rep), o AS (SELECT rep, sum(q) AS q FROM (SELECT rep, var_pop(r) AS q FROM ix JOIN res ON res.t = src JOIN ok ON ok.t = src GROUP BY rep, cluster_id) GROUP BY rep), f AS (SELECT sqrt(v / q) AS x FROM v JOIN o USING (rep)) SELECT count(*) AS reps, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.95), 6) AS p95, quantile_cont(x, 0.05) > 1 OR quantile_cont(x, 0.95) < 1 AS excludes_one FROM f")
 def sync_interval(spark, sf_dir):
     """A band of the ratio over weeks drawn again, and whether it leaves out independence."""
     res = residuals(spark, sf_dir)
     x = covariance.complete(res, "cluster_id").withColumnRenamed("t", "src")
-    ix = block_index(span(res), 40, 168, 41)
+    ix = block_index(span(res), 200, 168, 41)
     v = x.groupBy("src").agg(F.sum("r").alias("z")).join(ix, "src").groupBy("rep").agg(F.var_pop("z").alias("v"))
     q = x.join(ix, "src").groupBy("rep", "cluster_id").agg(F.var_pop("r").alias("q")).groupBy("rep").agg(F.sum("q").alias("q"))
     b = v.join(q, "rep").withColumn("x", F.sqrt(F.col("v") / F.col("q"))).agg(F.count("*").alias("reps"), F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("b"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import power
-from gridloom.operators import facility, lookups
+from gridloom.operators import asof, facility, lookups
 from gridloom.operators.resample import uniform, uniform_sql
 from gridloom.operators.rolling import dense, firm, spine
 from gridloom.plans.firm_queries import m_sql
@@ -33,15 +33,15 @@ def host_stats(spark, sf_dir):
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, cluster_id, spec, gpu_count, cores): what is installed, by hour; some hours are missing."""
+    """(t, cluster_id, spec, gpu_count, cores): what is installed, by hour."""
     tele = telemetry(spark, sf_dir)
     seen = tele.groupBy("cluster_id", "spec").agg(F.min("t").alias("t"), F.max("t").alias("last"))
-    hours = spine(seen.select("t").unionByName(seen.select(F.col("last").alias("t")))).where("t % 97 <> 5")
+    hours = spine(seen.select("t").unionByName(seen.select(F.col("last").alias("t"))))
     kinds = seen.where("spec is not null").select("cluster_id", "spec", (40.0 + 10 * F.length("cluster_id")).alias("gpu_count"))
     return hours.crossJoin(kinds).withColumn("cores", 2 * F.col("gpu_count"))
 
 
-INV = "inv AS (SELECT t, cluster_id, spec, 40.0::DOUBLE + 10 * length(cluster_id) AS gpu_count, 2 * (40.0::DOUBLE + 10 * length(cluster_id)) AS cores FROM spine, (SELECT DISTINCT cluster_id, spec FROM tele WHERE spec IS NOT NULL) WHERE t % 97 <> 5)"
+INV = "inv AS (SELECT t, cluster_id, spec, 40.0::DOUBLE + 10 * length(cluster_id) AS gpu_count, 2 * (40.0::DOUBLE + 10 * length(cluster_id)) AS cores FROM spine, (SELECT DISTINCT cluster_id, spec FROM tele WHERE spec IS NOT NULL))"
 FAC = f"""{ROWS}, {SPINE}, {INV}, occ AS (SELECT t, cluster_id, spec, sum(gpu_hours) AS gh FROM st WHERE spec IS NOT NULL GROUP BY ALL),
 fl AS (SELECT t, sum(greatest(gpu_count - coalesce(gh, 0), 0) * {power.TDP_SQL} * {power.IDLE}) AS idle_floor, sum(cores) * {power.HOST_IDLE} AS host_idle FROM inv LEFT JOIN occ USING (t, cluster_id, spec) GROUP BY t),
 ho AS (SELECT t, sum((1.0::DOUBLE + pod_id % 8) * k / 100.0::DOUBLE) FILTER (state <> 'Standby') * {power.HOST_PEAK - power.HOST_IDLE} AS host_busy FROM tele GROUP BY t),
@@ -95,10 +95,11 @@ def parameters(spark: SparkSession, draws: int = N_DRAWS) -> DataFrame:
     return d.select("draw", "name", F.when(F.col("draw") == 0, F.col("base")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * uniform("draw", "i", DRAW_SEED)).alias("value"))
 
 
-@query(f"WITH {PARAMS_SQL} SELECT draw, name, round(value, 9) AS value FROM pd")
+@query(f"WITH {TELE}, {PARAMS_SQL}, sp AS (SELECT 'tdp:' || spec AS name, sum(w) AS hours FROM tele WHERE spec IS NOT NULL GROUP BY 1) SELECT draw, name, round(value, 9) AS value, round(hours, 4) AS hours FROM pd LEFT JOIN sp USING (name)")
 def parameter_draws(spark, sf_dir):
-    """All parameters of the power model, drawn from their ranges."""
-    return parameters(spark).withColumn("value", F.round("value", 9))
+    """All parameters of the power model, drawn from their ranges; those of a kind of device with the hours it was used."""
+    hours = telemetry(spark, sf_dir).where("spec is not null").groupBy(F.concat(F.lit("tdp:"), F.col("spec")).alias("name")).agg(F.round(F.sum("w"), 4).alias("hours"))
+    return parameters(spark).withColumn("value", F.round("value", 9)).join(hours, "name", "left").select("draw", "name", "value", "hours")
 
 
 LINE_SQL = power.on_sql(power.LINEAR)
@@ -185,7 +186,7 @@ def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's rows with the factor f that brings their power to the meter's, by their utilisation."""
     knots = errors(spark, sf_dir).where("family = 'training'").select("u", (F.col("p_met") / F.col("p_mod")).alias("c"))
     ur = F.when(F.col("gpu_hours") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s0") / F.col("gpu_hours")))).otherwise(0.0)
-    return lookups.bracketed(rows(spark, sf_dir).withColumn("ur", ur), knots, "ur", "f").withColumn("f", F.coalesce("f", F.lit(1.0)))
+    return asof.interpolated_at(rows(spark, sf_dir).withColumn("ur", ur), knots, "ur", "f").withColumn("f", F.coalesce("f", F.lit(1.0)))
 
 
 @query(f"""WITH {FAC}, {ERR.replace(TELE + ', ', '')}, {CORR}, h AS (SELECT t, sum(idle + active) AS a0, sum((idle + active) * f) AS a1, coalesce(sum(active) FILTER (layer = 'curtail'), 0) AS c0, coalesce(sum(active * f) FILTER (layer = 'curtail'), 0) AS c1 FROM co GROUP BY t),

@@ -35,9 +35,12 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import gridloom.plans.audit_queries  # noqa: F401
     import gridloom.plans.chain_queries  # noqa: F401
+    import gridloom.plans.covariance_queries  # noqa: F401
     import gridloom.plans.detail_queries  # noqa: F401
     import gridloom.plans.facility_queries  # noqa: F401
     import gridloom.plans.firm_queries  # noqa: F401
+    import gridloom.plans.fit_queries  # noqa: F401
+    import gridloom.plans.join_queries  # noqa: F401
     import gridloom.plans.model_queries  # noqa: F401
     import gridloom.plans.rollup_queries  # noqa: F401
     import gridloom.plans.series_queries  # noqa: F401

@@ -182,7 +182,11 @@ def classify_text(spark, sf_dir):
     return d.groupBy("category", "lang").agg(F.count("*").alias("n"))
 
 
-@query()
+#: CRC-32 of a number's digits, bit by bit.
+CRC = "xor(list_reduce(list_transform(range(0, 8 * length({s})), lambda j: ((ascii({s}[j // 8 + 1]) >> (j % 8)) & 1)::BIGINT), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295)"
+
+
+@query(f"SELECT CAST({CRC.format(s='(user_id::VARCHAR)')} % 16 AS BIGINT) AS bucket, count(*) AS n, count(DISTINCT user_id) AS pods FROM events GROUP BY 1")
 def crc_buckets(spark, sf_dir):
     """Rows by CRC-32 bucket of the entity, as a bucketed sink deals them."""
     bucket = F.pmod(F.crc32(F.col("user_id").cast("string").cast("binary")), F.lit(16))

@@ -99,9 +99,8 @@ def excess_covariance(spark, sf_dir):
     return covariance.excess(residuals(spark, sf_dir), "cluster_id")
 
 
-@query(f"""{EXC}, cv AS (SELECT a.cluster_id AS a, b.cluster_id AS b, covar_pop(a.r, b.r) AS c FROM x a JOIN x b ON a.t = b.t GROUP BY ALL), o AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS i FROM u),
-p AS (SELECT range AS p FROM range(1, CAST(2 ** (SELECT count(*) FROM u) AS BIGINT))), m AS (SELECT p, cluster_id FROM p, o WHERE (p >> i) & 1 = 1), k AS (SELECT p, count(*) AS n FROM m GROUP BY p HAVING count(*) >= 2),
-z AS (SELECT p, n, sum(c) AS v, sum(CASE WHEN a = b THEN c END) AS s2, sum(CASE WHEN a = b THEN sqrt(c) END) AS s1 FROM k JOIN m ma USING (p) JOIN m mb USING (p) JOIN cv ON cv.a = ma.cluster_id AND cv.b = mb.cluster_id GROUP BY p, n)
+@query(f"""{EXC.replace('WITH ', 'WITH RECURSIVE ', 1)}, cv AS (SELECT a.cluster_id AS a, b.cluster_id AS b, covar_pop(a.r, b.r) AS c FROM x a JOIN x b ON a.t = b.t GROUP BY ALL), {covariance.subsets_sql('u')},
+z AS (SELECT p, ma.n, sum(c) AS v, sum(CASE WHEN a = b THEN c END) AS s2, sum(CASE WHEN a = b THEN sqrt(c) END) AS s1 FROM mb ma JOIN mb USING (p) JOIN cv ON cv.a = ma.cluster_id AND cv.b = mb.cluster_id WHERE ma.n >= 2 GROUP BY p, ma.n)
 SELECT p, n, round(sqrt(v / s2), 6) AS ratio, round((v - s2) / (s1 * s1 - s2), 6) AS rho_w FROM z""")
 def cov_portfolios(spark, sf_dir):
     """Every portfolio of two clusters or more, from one covariance matrix."""
@@ -119,14 +118,31 @@ def support_masks(spark, sf_dir):
     return h.agg(F.count("*").alias("full_hours"), n(F.col("trim")).alias("trimmed"), n(F.col("high")).alias("allocated"), n(F.col("high") & F.col("trim")).alias("both"))
 
 
-@query(f"""WITH {LANES}, o AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS i FROM (SELECT DISTINCT cluster_id FROM lanes)), p AS (SELECT range AS p FROM range(1, CAST(2 ** (SELECT count(*) FROM o) AS BIGINT))), b AS (SELECT p, cluster_id, count(*) OVER (PARTITION BY p) AS n FROM p, o WHERE (p >> i) & 1 = 1),
-s AS (SELECT p, any_value(b.n) AS n, t, CASE WHEN count(v) = any_value(b.n) THEN sum(v) END AS v FROM b JOIN lanes USING (cluster_id) GROUP BY p, t), m AS (SELECT p, n, min(v) OVER w AS m, count(v) OVER w AS c FROM s WINDOW w AS (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), k AS (SELECT p, n, quantile_cont(m, 0.05) AS k FROM m WHERE c = 4 GROUP BY p, n), a AS (SELECT p, avg(v) AS a FROM s GROUP BY p)
-SELECT n, count(*) AS portfolios, round(avg(k) / avg(a), 6) AS firmness FROM k JOIN a USING (p) GROUP BY n""")
+def pooled_sql(most: int = covariance.ENUMERATED, draws: int = covariance.DRAWN) -> str:
+    """CTEs up to pk (p, n, k, a): each portfolio's dependable level over four hours, and its mean."""
+    return f"""{LANES}, {covariance.subsets_sql('lanes', most, draws)},
+s AS (SELECT p, any_value(mb.n) AS n, t, CASE WHEN count(v) = any_value(mb.n) THEN sum(v) END AS v FROM mb JOIN lanes USING (cluster_id) GROUP BY p, t), m AS (SELECT p, n, min(v) OVER w AS m, count(v) OVER w AS c FROM s WINDOW w AS (PARTITION BY p ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), k AS (SELECT p, n, quantile_cont(m, 0.05) AS k FROM m WHERE c = 4 GROUP BY p, n), pk AS (SELECT * FROM k JOIN (SELECT p, avg(v) AS a FROM s GROUP BY p) USING (p))"""
+
+
+@query(f"WITH RECURSIVE {pooled_sql()} SELECT n, count(*) AS portfolios, round(avg(k) / avg(a), 6) AS firmness FROM pk GROUP BY n")
 def portfolio_enum(spark, sf_dir):
     """Dependable share of the mean by portfolio size, over all portfolios."""
     return covariance.portfolio_firmness(lanes(telemetry(spark, sf_dir)), "cluster_id", 4, 0.05)
 
 
+#: Portfolios of each size that are drawn, and the share of the mean that they hold.
+SCAN = 6
+
+
+@query(f"WITH RECURSIVE {pooled_sql(0, SCAN)} SELECT n, count(*) AS portfolios, round(quantile_cont(k / a, 0.05), 6) AS p5, round(quantile_cont(k / a, 0.5), 6) AS p50, round(quantile_cont(k / a, 0.95), 6) AS p95 FROM pk GROUP BY n")
+def portfolio_scan(spark, sf_dir):
+    """The spread of the dependable share over portfolios drawn without repetition, by their size."""
+    s = lanes(telemetry(spark, sf_dir))
+    k = covariance.portfolio_levels(s, "cluster_id", 4, 0.05, covariance.subsets(s, "cluster_id", most=0, draws=SCAN))
+    q = k.groupBy("n").agg(F.count("*").alias("portfolios"), F.percentile(F.col("k") / F.col("a"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    return q.select("n", "portfolios", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p5", "p50", "p95"))])
+
+
 @query(f"""WITH {LANES}, r AS (SELECT cluster_id, row_number() OVER (ORDER BY avg(v) DESC, cluster_id) AS rank FROM lanes GROUP BY 1), s AS (SELECT n, t, CASE WHEN count(v) = n THEN sum(v) END AS v FROM r JOIN (SELECT rank AS n FROM r) z ON rank <= n JOIN lanes USING (cluster_id) GROUP BY n, t), m AS (SELECT n, min(v) OVER w AS m, count(v) OVER w AS c FROM s WINDOW w AS (PARTITION BY n ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) SELECT n, round(quantile_cont(m, 0.05), 6) AS k, count(*) AS n_windows FROM m WHERE c = 4 GROUP BY n""")
 def nested_topn(spark, sf_dir):
     """The largest cluster, the two largest, and so on."""
@@ -180,18 +196,25 @@ def phase_surrogate(spark, sf_dir):
     return fitting.surrogates(s, seed=3).select("cluster_id", "t", F.round("v", 6).alias("v"), F.round("s", 5).alias("s"))
 
 
-@query(f"""WITH RECURSIVE {FLEET}, s AS (SELECT t, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS v FROM fleet WINDOW w AS (ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)),
+def plateau_sql(least: int) -> str:
+    return f"""WITH RECURSIVE {FLEET}, s AS (SELECT t, CASE WHEN count(v) OVER w >= 24 THEN avg(v) OVER w END AS v FROM fleet WINDOW w AS (ORDER BY t ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)),
 p AS (SELECT a.t AS i, b.t AS j, max(b.v) OVER w - min(b.v) OVER w <= 0.05 * avg(b.v) OVER w AND count(b.v) OVER w = b.t - a.t + 1 AS ok, avg(b.v) OVER w AS mean FROM s a JOIN s b ON b.t >= a.t WINDOW w AS (PARTITION BY a.t ORDER BY b.t ROWS UNBOUNDED PRECEDING)),
 e AS (SELECT i, coalesce(min(j) FILTER (NOT ok), (SELECT lo + n FROM span)) AS stop FROM p GROUP BY i),
-r AS (SELECT lo AS i FROM span UNION ALL SELECT CASE WHEN stop - i >= 336 THEN stop ELSE i + 1 END FROM r JOIN e USING (i))
-SELECT r.i AS first, stop - 1 AS last, round(mean, 6) AS mean FROM r JOIN e USING (i) JOIN p ON p.i = r.i AND p.j = stop - 1 WHERE stop - r.i >= 336""")
+r AS (SELECT lo AS i FROM span UNION ALL SELECT CASE WHEN stop - i >= {least} THEN stop ELSE i + 1 END FROM r JOIN e USING (i))
+SELECT r.i AS first, stop - 1 AS last, round(mean, 6) AS mean FROM r JOIN e USING (i) JOIN p ON p.i = r.i AND p.j = stop - 1 WHERE stop - r.i >= {least}"""
+
+
+def level_runs(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    return fitting.plateaus(fleet(telemetry(spark, sf_dir)), least=least, spread=0.05).select("first", "last", F.round("mean", 6).alias("mean"))
+
+
+@query(plateau_sql(336))
 def plateaus(spark, sf_dir):
     """Greedy runs of two weeks or more whose weekly mean stays within 5 %; each run depends on where the last ended."""
-    return fitting.plateaus(fleet(telemetry(spark, sf_dir)), least=336, spread=0.05).select("first", "last", F.round("mean", 6).alias("mean"))
+    return level_runs(spark, sf_dir, 336)
 
 
-@query()
-def nnls_curve(spark, sf_dir):
-    """A curve that doesn't fall, by non-negative least squares on four fifths of the racks; each segment's rise."""
-    rows = telemetry(spark, sf_dir).where("u is not null and (pod_id div 20) % 5 <> 0")
-    return fitting.solved(fitting.gram(rows, fitting.increments("u", [0.0, 0.25, 0.5, 0.75], 0.25), "w"))
+@query(plateau_sql(24))
+def plateaus_of_a_day(spark, sf_dir):
+    """The same for runs of a day or more, of which a month has some."""
+    return level_runs(spark, sf_dir, 24)

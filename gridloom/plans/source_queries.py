@@ -13,7 +13,7 @@ from gridloom.operators.rollups import number_of
 from gridloom.plans.firm_queries import k_sql, m_sql
 from gridloom.plans.model_queries import STATS, statistics
 from gridloom.plans.registry import query
-from gridloom.plans.rollup_queries import NUMBERS, PARSED
+from gridloom.plans.rollup_queries import CRC, PARSED
 from gridloom.sources import files, tables
 from gridloom.sources.shared import shared_path
 from gridloom.sources.tables import FLEET, TELE, table, telemetry
@@ -86,12 +86,17 @@ def sessions_csv(spark, sf_dir):
     return rows.groupBy(F.to_date("start").cast("string").alias("day")).agg(F.min("o_custkey").alias("low"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"WITH x AS (SELECT unnest({NUMBERS}) AS s), {PARSED} SELECT s, number FROM z")
+#: A part's price as a text: a number, about a number, a range, or its brand.
+PRICED = "CASE p_size % 4 WHEN 0 THEN cast(p_size AS {text}) WHEN 1 THEN concat('~', cast(p_size AS {text}), '.5') WHEN 2 THEN concat(cast(p_size AS {text}), ' - ', cast(p_size + 3 AS {text})) ELSE p_brand END"
+
+
+@query(f"WITH x AS (SELECT p_partkey, {PRICED.format(text='VARCHAR')} AS s FROM part), {PARSED} SELECT p_partkey, s, number FROM z")
 def facts_csv(spark, sf_dir):
     """Facts as they stand in a CSV, parsed after they are read."""
     path = shared_path(spark, "facts")
-    spark.createDataFrame([(s,) for s in NUMBERS], "s string").write.option("header", True).option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return files.text_table(spark, path).select(F.coalesce("s", F.lit("")).alias("s"), number_of("s").alias("number"))
+    x = table(spark, sf_dir, "part").select("p_partkey", F.expr(PRICED.format(text="STRING")).alias("s"))
+    x.write.option("header", True).option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.text_table(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.coalesce("s", F.lit("")).alias("s"), number_of("s").alias("number"))
 
 
 VARIANT = {"idle_frac": {"base": 0.25, "range": [0.15, 0.25]}, "pue": {"base": 1.3}, "gpu_tdp_w": {"A10": 160.0}}
@@ -100,11 +105,14 @@ VARIANT = {"idle_frac": {"base": 0.25, "range": [0.15, 0.25]}, "pue": {"base": 1
 @query(f"WITH {STATS} SELECT round(sum(1.3 * (CASE WHEN spec = 'A10' THEN 160.0 ELSE {power.TDP_SQL} END * 0.25 * gpu_hours)), 2) AS variant, round(sum({power.PUE} * ({power.TDP_SQL} * {power.IDLE} * gpu_hours)), 2) AS base FROM st")
 def config_variant(spark, sf_dir):
     """Idle energy under the parameters of a configuration file, in JSON and in YAML, and under the base ones."""
-    path = shared_path(spark, "config")
-    text = json.dumps(VARIANT)  # which YAML takes as well
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    read = files.config(spark, path)
-    doc = files.json_document(spark, path).select("idle_frac.base", "pue.base").first()
+    path, text = shared_path(spark, "config"), json.dumps(VARIANT)
+    lines = [f"{k}:" + "".join(f"\n  {a}: {json.dumps(b)}" for a, b in v.items()) for k, v in VARIANT.items()]
+    for end, value in ((".json", text), (".yaml", "\n".join(["# a variant", *lines]))):
+        spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(path + end)
+    read = files.config(spark, path + ".yaml")
+    if read != files.config(spark, path + ".json"):
+        raise ValueError("the YAML and the JSON configuration differ")
+    doc = files.json_document(spark, path + ".json").select("idle_frac.base", "pue.base").first()
     p = power.configured(read)
     if (doc[0], doc[1]) != (p["phi"], p["pue"]):
         raise ValueError("the document and the configuration differ")
@@ -134,7 +142,7 @@ def cached_table(spark, sf_dir):
     return files.if_absent(rows.withColumn("w", F.lit(0.0)), path)
 
 
-@query()
+@query(f"WITH {TELE} SELECT CAST({CRC.format(s='(pod_id::VARCHAR)')} % 16 AS INTEGER) AS bucket, count(*) AS n, count(DISTINCT pod_id) AS pods, round(sum(w), 4) AS w FROM tele GROUP BY 1")
 def bucketed_sink(spark, sf_dir):
     """Entities dealt over buckets; an entity lies in one bucket alone, so that distinct counts add up."""
     path = shared_path(spark, "buckets")
@@ -143,6 +151,13 @@ def bucketed_sink(spark, sf_dir):
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("pod_id").alias("pods"), F.round(F.sum("w"), 4).alias("w"))
 
 
+@query(f"WITH {HOURLY}, f AS (SELECT *, row_number() OVER (ORDER BY 'day=' || day || '/hour=' || hour || '/') - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day, hour FROM hu)), s AS (SELECT day, hour FROM f WHERE n <= 3 OR (i * 3) // n > ((i - 1) * 3) // n AND i > 0 OR i = 0) SELECT day::INT AS day, hour::INT AS hour, count(*) AS n, CASE WHEN max(k) > 1.5 THEN 100.0 ELSE 1.0 END::DOUBLE AS divisor FROM hu JOIN s USING (day, hour) GROUP BY ALL")
+def sampled_by_file(spark, sf_dir):
+    """Three of all files, evenly spread; whether a column holds percentages, by each."""
+    rows = files.sampled_files(spark, partitioned(spark, sf_dir, "files"), f"{SCHEMA}, day int, hour int", 3)
+    return rows.groupBy("day", "hour").agg(F.count("*").alias("n"), F.when(F.max("k") > 1.5, 100.0).otherwise(1.0).alias("divisor"))
+
+
 SUMMARY = f"WITH {FLEET}, m AS ({m_sql('fleet', [1, 4])}), k AS ({k_sql('m', shares=[0.95])}), su AS (SELECT 'k_' || h AS name, round(k, 3) AS value FROM k)"
 
 
@@ -168,5 +183,5 @@ def compare_saved(spark, sf_dir):
 
 @query()
 def provenance(spark, sf_dir):
-    """Names, sizes and digests of input files."""
+    """Names, sizes and digests of input files, who read them, where and when."""
     return files.provenance(spark, f"{sf_dir}/nation.parquet").unionByName(files.provenance(spark, f"{sf_dir}/region.parquet"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+import os
+import re
+import socket
+import subprocess
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def by_path(spark: SparkSession, root: str, schema: str, keys: Sequence[str]) -> DataFrame:
@@ -79,8 +87,57 @@ def markdown(rows: DataFrame, name: str, value: str) -> DataFrame:
     return rows.select(F.concat(F.lit("- **"), F.col(name), F.lit("**: "), F.col(value).cast("string")).alias("value"))
 
 
-def provenance(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files at path, and who read them; for inputs of at most 2 GB a file, since a file is
-    one value here."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(spark.version).alias("spark"))
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, modified) of the files at path or below that aren't empty; their contents aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def sampled_files(spark: SparkSession, path: str, schema: str, most: int = 3) -> DataFrame:
+    """The rows of `most` files, evenly spread over the files at path in order of their names; no other file is opened.
+    `path` of a row's file goes along."""
+    files = listing(spark, path).where("path LIKE '%.parquet'").select("path")
+    n = files.agg(F.count("*").alias("n"))
+    ranked = files.withColumn("i", F.row_number().over(Window.orderBy("path")) - 1).crossJoin(n)  # a row for each file
+    take = ranked.where(F.expr(f"n <= {most} OR (i * {most}) div n > ((i - 1) * {most}) div n OR i = 0")).limit(most).select("path").collect()
+    return spark.read.schema(schema).option("basePath", path).parquet(*sorted(r.path for r in take)).withColumn("path", F.col("_metadata.file_path"))
+
+
+def revision(folder: str | None = None) -> str | None:
+    """The checked-out revision of a folder (this code's, if none is named), where git can tell."""
+    try:
+        out = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder or os.path.dirname(os.path.abspath(__file__)), capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return out.stdout.strip() or None
+
+
+def hashed(path: str, chunk: int) -> tuple[str, int]:
+    """(SHA-256, chunks) of a file, read through its file system a chunk at a time."""
+    uri = path if re.match(r"\w[\w+.-]+://", path) else "file://" + re.sub(r"^file:/*", "/", path)
+    source, name = fs.FileSystem.from_uri(uri)
+    digest, n = hashlib.sha256(), 0
+    with source.open_input_stream(name) as f:
+        while data := f.read(chunk):
+            digest.update(data)
+            n += 1
+    return digest.hexdigest(), n
+
+
+def provenance(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """(path, name, bytes, sha256, chunks, modified, host, revision, spark, read_at) of the files at path: what was read,
+    when, by which code, and where. Files are dealt over tasks, each reads its own in chunks, so they may be of any size."""
+    rows = listing(spark, path)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    code = revision()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed(x, chunk) for x in batch.column("path").to_pylist()]
+            n = batch.num_rows
+            out = [batch.column(c) for c in ("path", "bytes", "modified")] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([socket.gethostname()] * n, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["path", "bytes", "modified", "sha256", "chunks", "host"])
+
+    out = rows.repartition(tasks, "path").mapInArrow(run, "path string, bytes long, modified timestamp, sha256 string, chunks long, host string")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return out.select("path", name, "bytes", "sha256", "chunks", "modified", "host", F.lit(code).alias("revision"), F.lit(spark.version).alias("spark"), F.current_timestamp().alias("read_at"))
