@@ -279,7 +279,7 @@ class Mined:
         return rows
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, slice_bytes: int = 8 << 20) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, slice_bytes: int = 5 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of each language whose words go together best.
 
     Texts in ASCII lower case are split at `.,;:!?` and line ends into pieces, these at spaces and tabs into words; all
