@@ -7,9 +7,11 @@
    last token which the other side hasn't matched yet; the lagging side's next token overlaps that token alone, which is
    a link, and what dangles then is the next state. Transitions depend on the residual and the token alone and are
    memoised. An empty residual closes a group.
-3. Links are counted by pair of ids in each task (pairs are bounded by the two vocabularies), and summed over all. Each
-   input partition gets the counts of its own pairs in a side file, with whether a count is the highest of its B id.
-4. A second pass over the texts sums them by document.
+3. A row for each slice holds what its documents have, and their links as numbers: each document's chunks, each chunk's
+   links, each link's pair of ids. Links are counted by pair in each task (pairs are bounded by the two vocabularies),
+   and summed over all.
+4. Each input partition gets the counts of its own pairs in a side file, with whether a count is the highest of its B id;
+   the slices are read again, and counts summed by document. Texts are read and tokenised once.
 Texts and tokens are never exchanged.
 """
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bytebpe, pieces
 from gridloom.llm.arrowtext import raw, slices, tidy
-from gridloom.llm.repeats import beside, stable
-from gridloom.llm.session import removed, scratch, ship, tasks, written
+from gridloom.llm.repeats import beside
+from gridloom.llm.session import id_and_text, removed, scratch, ship, tasks, written
 
 #: Transitions and chunks that a worker keeps; beyond that it forgets and starts again. Longer chunks aren't kept.
 KEPT, LONGEST = 100_000, 200
@@ -55,25 +57,25 @@ class Transducer:
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
         """(groups, links) of two sequences that spell the same bytes, else None."""
-        known, out, links = self.known, [], []
-        ids, at = (a, b), [0, 0]
-        while at[0] < len(a) and at[1] < len(b):
+        known, first, out, links = self.known, self.spell[0], [], []
+        ids, at, size = (a, b), [0, 0], (len(a), len(b))
+        while at[0] < size[0] and at[1] < size[1]:
             lead, last = 0, a[at[0]]
-            residual = self.spell[0][last]
+            residual = first[last]
             group = ([last], [])
             at[0] += 1
             while residual:
                 lag = 1 - lead
-                if at[lag] == len(ids[lag]):
+                i = at[lag]
+                if i == size[lag]:
                     return None
-                token = ids[lag][at[lag]]
-                at[lag] += 1
+                token = ids[lag][i]
+                at[lag] = i + 1
                 group[lag].append(token)
                 links.append((last, token) if lag else (token, last))
                 key = (lead, residual, token)
-                if key in known:
-                    got = known[key]
-                else:
+                got = known.get(key, 0)
+                if got == 0:
                     got = self.after(lead, residual, token)
                     if len(known) >= KEPT:
                         known.clear()
@@ -84,7 +86,7 @@ class Transducer:
                     last = token
                 lead, residual = got
             out.append(group)
-        return (out, links) if at == [len(a), len(b)] else None
+        return (out, links) if at == [*size] else None
 
 
 class Tokenizers:
@@ -106,6 +108,7 @@ class Tokenizers:
         whole = data.tobytes()
         spelled = {i: t for t, i in self.a.ranks.items()}
         self.align = Transducer(([spelled.get(i, b"") for i in range(max(spelled) + 1)], [whole[p : p + n] for p, n in zip(at.tolist(), size.tolist(), strict=True)]))
+        self.names = [str(i) for i in range(max(map(len, self.align.spell)))]
         self.chunks: dict[bytes, tuple | None] = {}
 
     def tokens(self, chunks: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
@@ -116,13 +119,13 @@ class Tokenizers:
 
     def aligned(self, chunks: list[bytes]) -> list[tuple[int, int, int, list[int], bytes] | None]:
         """(tokens of A, of B, groups, links as 2**32 * a + b, groups as text) of each chunk, None where the bytes differ."""
-        known = self.chunks
+        known, name = self.chunks, self.names
         new = [c for c in chunks if c not in known]
         fresh = {}
         for c, (a, b) in zip(new, self.tokens(new), strict=True):
             got = self.align.groups(a, b)
             if got is not None:
-                text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in got[0])
+                text = ";".join([",".join([name[i] for i in x]) + "|" + ",".join([name[i] for i in y]) for x, y in got[0]])
                 got = (len(a), len(b), len(got[0]), [x << 32 | y for x, y in got[1]], text.encode())
             fresh[c] = got
         out = [fresh[c] if c in fresh else known[c] for c in chunks]
@@ -185,22 +188,50 @@ def summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def _pairs(paths: tuple[str, str], slice_bytes: int):
-    """(part, pair, n): how many links of this task's input partition have each pair of ids."""
+#: Numbers of a slice, packed: which documents count, the chunks of each, which distinct one each is; the links of each
+#: distinct chunk, which pair each is; the pairs.
+PACKED = ["sound", "bound", "chunks", "sizes", "links", "pairs"]
+SLICES = "part long, pair long, n long, docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string, groups: string>>, " + ", ".join(f"{c} binary" for c in PACKED)
+DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
+
+
+def least(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after one that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if x.max(initial=0) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _aligned(paths: tuple[str, str], slice_bytes: int, texts: bool):
+    """A row for each slice, and at the end of a task (part, pair, n): how many links of its input partition have each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part_id = load(*paths), TaskContext.get().partitionId()
         pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kinds = pa.schema([("part", pa.int64()), ("pair", pa.int64()), ("n", pa.int64()), ("docs", pa.list_(pa.struct([(c, pa.string() if c.startswith("groups") else pa.int64()) for c in DOC]))), *((c, pa.binary()) for c in PACKED)])
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part_id] * len(pairs), pa.int64()), pa.array(pairs), pa.array(n)], ["part", "pair", "n"])
+            k = len(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([part_id] * k, pa.int64()), pa.array(pairs), pa.array(n), *(pa.nulls(k, f.type) for f in list(kinds)[3:])], schema=kinds)
 
         for batch in batches:
             for part in slices(batch, limit=slice_bytes):
                 s = Aligned(part.column("text"), t)
-                times = np.repeat(s.times, s.size)
-                some = times > 0
-                pairs, n = summed(np.concatenate([pairs, s.links[some]]), np.concatenate([n, times[some]]))
+                by_chunk = [np.array([x[i] if x else 0 for x in s.found], np.int64) for i in range(3)] + [s.size]
+                spelled = [x[4] if x else b"" for x in s.found]
+                index, ends = s.index.tolist(), s.bound.tolist()
+                whole = [b";".join(map(spelled.__getitem__, index[a:b])) if ok else b"" for a, b, ok in zip(ends, ends[1:], s.sound.tolist(), strict=False)]
+                docs = [part.column("doc_id"), *(pa.array(s.by_row(v)) for v in by_chunk), pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in whole], pa.string())]
+                docs.append(pa.array([x.decode() for x in whole], pa.string()) if texts else pa.nulls(part.num_rows, pa.string()))
+                own, place = np.unique(s.links, return_inverse=True)
+                row = [least(x) for x in (s.sound, s.bound, s.index, s.size, place, own)]
+                listed = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.StructArray.from_arrays(docs, names=DOC))
+                yield pa.RecordBatch.from_arrays([pa.array([part_id]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), listed, *(pa.array([x], pa.binary()) for x in row)], schema=kinds)
+                times = np.bincount(place, np.repeat(s.times, s.size), len(own)).astype(np.int64)
+                pairs, n = summed(np.concatenate([pairs, own[times > 0]]), np.concatenate([n, times[times > 0]]))
                 if len(pairs) > PAIRS:
                     yield out()
                     pairs, n = pairs[:0], n[:0]
@@ -210,48 +241,52 @@ def _pairs(paths: tuple[str, str], slice_bytes: int):
 
 
 class Counts:
-    """What the side files say of the pairs of this task's input partition."""
+    """What the side files say of the pairs of an input partition."""
 
-    def __init__(self, side: str):
-        tables = beside(side)
+    def __init__(self, side: str, part: int):
+        tables = beside(side, part)
         pair, n, best = (np.concatenate([np.asarray(t.column(c)) for t in tables]) if tables else np.zeros(0, np.int64) for c in ("pair", "total", "best"))
         order = np.argsort(pair)
         self.pair, self.n, self.best = pair[order], n[order], best[order].astype(np.int64)
 
-    def of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, count, whether it is the highest of its B id) of each pair."""
+    def of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether it is the highest of its B id) of each pair; 0 for pairs of texts that don't count."""
         if not len(self.pair):
-            return np.zeros(len(pairs), bool), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+            return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
         known = self.pair[at] == pairs
-        return known, np.where(known, self.n[at], 0), np.where(known, self.best[at], 0)
+        return np.where(known, self.n[at], 0), np.where(known, self.best[at], 0)
 
 
-def _documents(paths: tuple[str, str], side: str, slice_bytes: int, texts: bool):
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + ["groups"] * texts
+def differences(total: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Sums between bounds."""
+    run = np.concatenate([[0], np.cumsum(total)])
+    return run[bound[1:]] - run[bound[:-1]]
+
+
+def _counted(side: str):
+    """Slices to documents with the sums of their links' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, counts = load(*paths), Counts(side)
+        now, counts = None, None
         for batch in batches:
-            for part in slices(batch, limit=slice_bytes):
-                s = Aligned(part.column("text"), t)
-                known, count, best = counts.of(s.links)
-                if not known[np.repeat(s.times, s.size) > 0].all():
-                    raise RuntimeError("the input's rows came in another order in this pass; write it to a table first")
-                bound = np.concatenate([[0], np.cumsum(s.size)])
-                by_chunk = [np.array([x[i] if x else 0 for x in s.found], np.int64) for i in range(3)] + [s.size]
-                for v in (best, count):
-                    total = np.concatenate([[0], np.cumsum(v)])
-                    by_chunk.append(total[bound[1:]] - total[bound[:-1]])
-                spelled = [x[4] if x else b"" for x in s.found]
-                index, ends = s.index.tolist(), s.bound.tolist()
-                whole = [b";".join(map(spelled.__getitem__, index[a:b])) if ok else b"" for a, b, ok in zip(ends, ends[1:], s.sound.tolist(), strict=False)]
-                out = [part.column("doc_id"), *(pa.array(s.by_row(v)) for v in by_chunk), pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in whole], pa.string())]
-                yield pa.RecordBatch.from_arrays(out + [pa.array([x.decode() for x in whole], pa.string())] * texts, names)
+            for i in range(batch.num_rows):
+                part = batch.column("part")[i].as_py()
+                if part != now:
+                    now, counts = part, Counts(side, part)
+                sound, bound, index, size, place, own = (numbers(batch.column(c)[i].as_buffer().to_pybytes()) for c in PACKED)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                count, best = (np.where(sound > 0, differences(differences(v[place], ends)[index], bound), 0) for v in counts.of(own))
+                docs = batch.column("docs")[i].values
+                whole = {c: docs.field(c) for c in DOC} | {"n_best": pa.array(best), "count_sum": pa.array(count)}
+                yield pa.RecordBatch.from_pydict({c: whole[c] for c in OUT})
 
     return run
 
 
+OUT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"]
+
+
 def link_counts(rows: DataFrame) -> DataFrame:
     """(pair, total, best) over all partitions; best: no other pair of its B id has more links."""
     total = rows.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
@@ -273,13 +308,14 @@ def aligned(docs: DataFrame, first: str | None = None, second: str | None = None
     spark = docs.sparkSession
     ship(spark)
     paths = (first or bytebpe.default_path(), second or pieces.default_path())
-    docs = stable(docs, []).select("doc_id", "text")
-    places = [scratch(spark, x) for x in ("pairs", "counts")]
-    rows = written(docs.mapInArrow(tidy(_pairs(paths, slice_bytes)), "part long, pair long, n long"), "pairs", places[0])
-    counts = written(link_counts(rows), "counts", places[1])
+    docs = id_and_text(docs)
+    places = [scratch(spark, x) for x in ("slices", "counts")]
+    rows = written(docs.select("doc_id", "text").mapInArrow(tidy(_aligned(paths, slice_bytes, texts)), SLICES), "slices", places[0])
+    pairs = rows.where("pair is not null").select("part", "pair", "n")
+    counts = written(link_counts(pairs), "counts", places[1])
     side = scratch(spark, "links")
-    rows.select("part", "pair").distinct().join(counts, "pair").repartition(tasks(spark), "part").write.partitionBy("part").option("compression", "zstd").parquet(side)
-    for path in places:
-        removed(spark, path)
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string" * texts
-    return docs.mapInArrow(tidy(_documents(paths, side, slice_bytes, texts)), schema)
+    pairs.select("part", "pair").distinct().join(counts, "pair").repartition(tasks(spark), "part").write.partitionBy("part").option("compression", "zstd").parquet(side)
+    removed(spark, places[1])
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
+    out = rows.where("pair is null").drop("pair", "n").mapInArrow(tidy(_counted(side)), schema)
+    return out if texts else out.drop("groups")
