@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,8 +151,9 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rb
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            bucket, extra, doc, text = (batch.column(c)[i].as_py() for c in ("bucket", "extra", "doc_id", "text"))
+        texts = batch.column("text")
+        for i, (bucket, extra, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "extra", "doc_id")), strict=True)):
+            text = texts[i].as_py()
             if extra and (held is None or held[0] != bucket):
                 continue  # a second first row: the one before has been used
             tree = Tree(text.encode())
@@ -168,24 +170,37 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness; see SCHEMA.
 
     The edited text has its last n_chars // 4 code points replaced by the first as many (or all) of the next
-    document's, in order of doc_id, then text; null ids come first; after the last comes the first, so that a single
-    row is its own next. Null texts are empty. Repeated rows are documents of their own. An empty table gives no rows.
-    Other columns are ignored, whatever their names.
+    document's, in order of doc_id, then the text's hash, then text; null ids come first; after the last comes the
+    first, so that a single row is its own next. Null texts are empty. Repeated rows are documents of their own. An
+    empty table gives no rows. Other columns are ignored, whatever their names. A very long text is a row like others.
 
-    Texts are dealt once, by ranges of doc_id; what the driver gathers is the first id of each range.
+    Texts are dealt once, by ranges of doc_id, and of the text's hash where an id has so many rows that several cuts
+    fall on it; rows that are alike in both stay together. What the driver gathers is the first row's id and hash of
+    each range.
     """
     spark = docs.sparkSession
     ship(spark)
     n = tasks(spark)
-    rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))
-    rows = rows.withColumn("at", F.col("key").cast("double"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    rows = id_and_text(docs).withColumns({"key": key, "at": key.cast("double"), "hash": F.xxhash64("text")})
+    times = Counter(rows.select("at").approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n))
+    cuts = sorted(times)
+    base, table = 1, [(0, 0, None, 0)]  # range, its first bucket, an id with many rows, and how many buckets that gets
+    for i, c in enumerate(cuts):
+        m = times[c] if times[c] > 1 else 0
+        table.append((i + 1, base, int(c) if m else None, m))
+        base += m + 2 if m else 1
     rows = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range").transform(rows) if cuts else rows.withColumn("range", F.lit(0))
-    rows = rows.withColumn("bucket", F.col("range").cast("int")).drop("at", "range")
-    firsts = sorted((r.bucket, r.key) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).collect())
-    heads = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    head = spark.createDataFrame(heads, "key long, previous int")
-    rows = rows.join(F.broadcast(head), "key", "left")
+    rows = rows.withColumn("range", F.col("range").cast("int")).join(F.broadcast(spark.createDataFrame(table, "range int, base int, id long, m int")), "range")  # a row for each range
+    share = F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("m"), 31).cast("int")
+    slot = F.when((F.col("m") == 0) | (F.col("key") < F.col("id")), 0).when(F.col("key") > F.col("id"), F.col("m") + 1).otherwise(1 + share)
+    # in the order of the hash as a number without sign, so that shares follow each other
+    rows = rows.select((F.col("base") + slot).alias("bucket"), "key", F.col("hash").bitwiseXOR(F.lit(-(1 << 63))).alias("hash"), "doc_id", "text")
+    firsts = sorted((r.bucket, *r.first) for r in rows.groupBy("bucket").agg(F.min(F.struct("key", "hash")).alias("first")).collect())
+    heads = [(key, h, firsts[i - 1][0]) for i, (_, key, h) in enumerate(firsts)]
+    head = spark.createDataFrame(heads, "key long, hash long, previous int")
+    rows = rows.join(F.broadcast(head), ["key", "hash"], "left")
     places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("extra")), F.when(F.col("previous").isNotNull(), F.struct(F.col("previous").alias("bucket"), F.lit(True).alias("extra")))))
-    rows = rows.select(F.explode(places).alias("place"), "key", "doc_id", "text").select("place.bucket", "place.extra", "key", "doc_id", "text")
-    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text").drop("key").mapInArrow(tidy(_edits), SCHEMA)
+    rows = rows.select(F.explode(places).alias("place"), "key", "hash", "doc_id", "text").select("place.bucket", "place.extra", "key", "hash", "doc_id", "text")
+    order = ["bucket", "extra", "key", "hash", "text"]
+    return rows.repartitionById(n, F.col("bucket") % n).sortWithinPartitions(*order).drop("key", "hash").mapInArrow(tidy(_edits), SCHEMA)

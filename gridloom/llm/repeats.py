@@ -6,7 +6,8 @@ consecutive and form a chunk. What is exchanged are chunks (about one for each d
 
 1. `key` names the units around a chunk's position. A key that one document alone has (or that occurs once) holds no
    repeat; its chunks go.
-2. `name` names all units of a chunk. Equal names settle all windows of the chunks at once.
+2. `name` names all units of a chunk. Equal names settle all windows of the chunks at once. Where a text repeats itself
+   with a period, each window is a chunk of its own; chunks of one name that lie a step p apart r times are one row.
 3. Where chunks with different names share a key (a repeat begins or ends inside), one chunk of each name gives its
    windows, by a 96-bit name each. Their distinct names are exchanged in packed, sorted runs by range of names, and a
    bit for each comes back.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from gridloom.llm.arrowtext import U, Rolling, mixed, signed, slices, tidy
 from gridloom.llm.session import removed, scratch, ship, tasks, written
 
-CHUNKS = "key long, name1 long, name2 long, doc long, row long, s int, n int"
+CHUNKS = "key long, name1 long, name2 long, doc long, row long, s int, n int, p int, r int"
 #: A document without an id comes after all others.
 LAST = (1 << 63) - 1
 HIGH = U(0xFFFFFFFFFFFFFFFF)
@@ -95,6 +96,23 @@ def chunks(u: Units, width: int) -> tuple[np.ndarray, ...]:
     return text, position[new], at[new], at[end]
 
 
+def steps(text: np.ndarray, names: list[np.ndarray], s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, step, how many) of runs of chunks of one text with equal names and starts a constant step apart."""
+    n = len(s)
+    order = np.lexsort((s, names[1], names[0], text))
+    t, a, b, at = text[order], names[0][order], names[1][order], s[order]
+    same, d = np.zeros(n, bool), np.zeros(n, np.int64)
+    same[1:] = (t[1:] == t[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    d[1:] = at[1:] - at[:-1]
+    change = np.zeros(n, bool)  # the step differs from the one before
+    change[1:] = same[1:] & same[:-1] & (d[1:] != d[:-1])
+    place = np.arange(n)
+    since = place - np.maximum.accumulate(np.where(change, 0, place))
+    first = np.flatnonzero(~same | (change & (since % 2 == 1)))  # after a new run's first chunk the second sets its step
+    many = np.diff(np.append(first, n))
+    return order[first], np.where(many > 1, d[np.minimum(first + 1, n - 1)], 0), many
+
+
 def _chunk_rows(parse: Callable, width: int, slice_bytes: int):
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
@@ -108,8 +126,10 @@ def _chunk_rows(parse: Callable, width: int, slice_bytes: int):
                     name = [Rolling(h, k).span(s, e + width) for k, h in enumerate(u.hashes)]
                     with np.errstate(over="ignore"):
                         name[0] = mixed(name[0] ^ (p - s).astype(U))
+                    one, step, many = steps(text, name, s)
+                    text, p, s, e = (x[one] for x in (text, p, s, e))
                     doc = np.asarray(part.column("doc_id").fill_null(LAST))[text]
-                    out = [signed(u.key[p]), signed(name[0]), signed(name[1]), doc, row + text, (s - u.bound[text]).astype(np.int32), (e - s + 1).astype(np.int32)]
+                    out = [signed(u.key[p]), signed(name[0][one]), signed(name[1][one]), doc, row + text, *(x.astype(np.int32) for x in (s - u.bound[text], e - s + 1, step, many))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
                 row += part.num_rows
 
@@ -269,9 +289,12 @@ class Side:
         part = TaskContext.get().partitionId()
         self.first, self.doc = part << 32, None
         tables = beside(path)
-        self.row, self.s, self.n, self.doc = (np.concatenate([np.asarray(t.column(c)) for t in tables]) if tables else np.zeros(0, np.int64) for c in ("row", "s", "n", "doc"))
+        read = lambda c: np.concatenate([np.asarray(t.column(c)) for t in tables]).astype(np.int64) if tables else np.zeros(0, np.int64)
+        self.row, self.s, self.n, self.doc = (read(c) for c in ("row", "s", "n", "doc"))
+        stepped = tables and "r" in tables[0].column_names
+        self.p, self.r = (read("p"), read("r")) if stepped else (np.zeros(len(self.row), np.int64), np.ones(len(self.row), np.int64))
         order = np.argsort(self.row, kind="stable")
-        self.row, self.s, self.n, self.doc = (x[order].astype(np.int64) for x in (self.row, self.s, self.n, self.doc))
+        self.row, self.s, self.n, self.doc, self.p, self.r = (x[order] for x in (self.row, self.s, self.n, self.doc, self.p, self.r))
         self.next = self.first
 
     def rows(self, part: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
@@ -288,14 +311,18 @@ class Side:
             i = int(self.row[x]) - self.first
             if doc[i] != self.doc[x]:
                 raise RuntimeError("the input's rows came in another order in this pass; write it to a table first")
-            out[i] = (self.s[x:y], self.s[x:y] + self.n[x:y], y - x)
+            s, n, p, r = self.s[x:y], self.n[x:y], self.p[x:y], self.r[x:y]
+            if (r > 1).any():
+                k = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+                s, n = np.repeat(s, r) + np.repeat(p, r) * k, np.repeat(n, r)
+            out[i] = (s, s + n, y - x)
         return out
 
 
 def _to_side(rows: DataFrame, name: str) -> str:
-    """Write (row, s, n, doc) rows by input partition."""
+    """Write (row, s, n, doc), and p and r if they are there, by input partition."""
     path = scratch(rows.sparkSession, name)
-    rows.select(F.shiftright("row", 32).alias("part"), "row", "s", "n", "doc").repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    rows.select(F.shiftright("row", 32).alias("part"), "row", "s", "n", "doc", *(c for c in ("p", "r") if c in rows.columns)).repartition(tasks(rows.sparkSession), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
     return path
 
 
@@ -345,7 +372,7 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     if others:
         live = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *by_key).where("low < high")
     else:
-        live = found.groupBy("key").agg(F.count("*").alias("times"), *by_key).where("times > 1")
+        live = found.groupBy("key").agg(F.sum("r").alias("times"), *by_key).where("times > 1")
     made: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -363,10 +390,10 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
         met = left.join(kept(same, "names"), ["key", "name1", "name2"])
         settled, gives = F.col("doc") > F.col("least"), F.col("many") & (F.col("doc") == F.col("least"))
     else:
-        same = left.groupBy("key", "name1", "name2").agg(F.min(place).alias("least"), F.count("*").alias("times"))
+        same = left.groupBy("key", "name1", "name2").agg(F.min(place).alias("least"), F.sum("r").alias("times"))
         met = left.join(kept(same, "names"), ["key", "name1", "name2"])
         settled, gives = F.col("times") > 1, F.col("many") & ((F.col("times") == 1) | (place == F.col("least")))
-    met = kept(met.select("row", "s", "n", "doc", settled.alias("settled"), gives.alias("gives")), "settled")
+    met = kept(met.select("row", "s", "n", "doc", "p", "r", settled.alias("settled"), gives.alias("gives")), "settled")
 
     # 3. windows of what is left
     side = _to_side(met.where("gives"), "open")
@@ -378,12 +405,14 @@ def repeated(docs: DataFrame, parse: Callable, width: int, others: bool, finish:
     names.mapInArrow(tidy(_decided(others)), "part long, first long, bucket int, n int, bits binary").repartition(n, "part").write.partitionBy("part").parquet(bits)
     hits = texts.mapInArrow(tidy(_hits(parse, width, slice_bytes, side, bits, others)), "row long, s int, n int, doc long")
     hits = kept(hits, "hits")  # by itself: in a union its tasks would have other numbers than the scan's
-    spans = met.where("settled").select("row", "s", "n", "doc").unionByName(hits)
+    spans = met.where("settled").select("row", "s", "n", "doc", "p", "r").unionByName(hits.select("*", F.lit(0).alias("p"), F.lit(1).alias("r")))
     side = _to_side(spans, "spans")
     for path in made:
         removed(spark, path)
 
     names = [x.split()[0] for x in schema.split(", ")]
+    if clash := {*names, "doc_id", "text"} & set(carry):
+        raise ValueError(f"carried columns are called like others: {sorted(clash)}")
     kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
     fields = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in carry), *T._parse_datatype_string(schema).fields])
     none = np.zeros(0, np.int64)

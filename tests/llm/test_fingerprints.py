@@ -63,3 +63,28 @@ def test_helper_columns_of_the_input_are_ignored(spark):
     names = ["key", "at", "range", "bucket", "extra", "previous", "place"]
     df = spark.createDataFrame([(i, f"text {i}", *range(7)) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     assert sorted(r.n_chars for r in edit_fingerprints(df).collect()) == [6] * 5
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    """A third of all rows have one id, a third have none; each text is edited by the next in order of id and hash."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text number {i} with {i * i} words " * (1 + i % 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    listed = [(-(1 << 63) if r.doc_id is None else r.doc_id, r.h % (1 << 64), r.text, r.doc_id) for r in df.select("*", F.xxhash64("text").alias("h")).collect()]
+    listed.sort()
+    want = []
+    for k, (_, _, t, i) in enumerate(listed):
+        nxt = listed[(k + 1) % len(listed)][2]
+        n = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
+    out = edit_fingerprints(df)
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in out.collect())
+    parts = out.select("doc_id", "edited_sha256", F.spark_partition_id().alias("p")).where("doc_id is null").groupBy("p").agg(F.count("edited_sha256").alias("n")).collect()
+    assert len(parts) > 1 and max(r.n for r in parts) < 250
+
+
+def test_a_very_long_text(spark):
+    texts = ["word " * 1_000_000, "x" * 5_000_000, "end"]
+    got = {r.doc_id: r for r in edit_fingerprints(frame(spark, texts)).collect()}
+    assert [got[i].n_chars for i in range(3)] == [len(t) for t in texts] and got[0].near_edited > 0.7

@@ -82,3 +82,66 @@ def test_empty(spark):
     assert deduplicated(df).collect() == [] and deduplicated_bytes(df).collect() == []
     with pytest.raises(ValueError):
         deduplicated(df, width=40)
+
+
+def chunk_rows(texts, parse, width):
+    """What a task emits for a slice of these texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.llm.arrowtext import Rolling, mixed
+    from gridloom.llm.repeats import chunks, steps
+
+    u = parse(pa.array([t.encode() for t in texts], pa.binary()))
+    text, p, s, e = chunks(u, width)
+    name = [Rolling(h, k).span(s, e + width) for k, h in enumerate(u.hashes)]
+    name[0] = mixed(name[0] ^ (p - s).astype(np.uint64))
+    one, step, many = steps(text, name, s)
+    assert many.sum() == len(s)
+    found = sorted(int(a + k * d) for a, d, m in zip(s[one], step, many, strict=True) for k in range(m))
+    assert found == sorted(s.tolist())
+    at = {int(x): (int(a), int(b)) for x, a, b in zip(s, *name, strict=True)}
+    assert all(at[int(a + k * d)] == at[int(a)] for a, d, m in zip(s[one], step, many, strict=True) for k in range(m))
+    return len(s), len(one)
+
+
+def test_periodic_texts_are_few_rows():
+    from gridloom.llm.substring import word_units
+    from gridloom.llm.suffixes import byte_units
+
+    r = random.Random(3)
+    for t in ("a" * 20_000, "ab " * 7_000, "0123456789abcdef" * 1_500):
+        chunks, rows = chunk_rows([t, t], byte_units(200), 200)
+        assert rows < 120 + chunks // 100, (t[:5], chunks, rows)
+    for t in ("same " * 5_000, "one two three " * 2_000):
+        chunks, rows = chunk_rows([t, "x y z"], word_units(50), 50)
+        assert rows < 60 + chunks // 100
+    odd = "".join(r.choice(["ab", "abc", "q" * 250, "x" * 230 + "y"]) for _ in range(300))
+    chunk_rows([odd, odd[50:], "".join(chr(97 + r.randrange(26)) for _ in range(3000))], byte_units(200), 200)
+
+
+def test_periodic_texts_as_by_brute_force(spark):
+    r = random.Random(11)
+    texts = ["ab" * 400, "ab" * 300 + "x", "abc" * 250, "q" + "abc" * 120, "z" * 199, "z" * 200, "y" * 201, " ".join(["u v"] * 90), " ".join(["v u"] * 60 + ["w"]), "u " * 120, "".join(r.choice("ab") for _ in range(900)), "".join(["ab" * 150, "c", "ab" * 150])]
+    docs = list(enumerate(texts))
+    assert order(tuple(x) for x in deduplicated_bytes(frame(spark, texts)).collect()) == order(brute_bytes(docs))
+    got = deduplicated(frame(spark, texts)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert order(tuple(x) for x in got) == order(brute_words(docs))
+
+
+def test_very_long_texts(spark):
+    """5 MB of one letter, of one word again and again, and on one line, each beside a copy of a part."""
+    r = random.Random(12)
+    line = " ".join(f"w{r.getrandbits(30)}" for _ in range(450_000))
+    texts = ["a" * 5_000_000, "b" * 100 + "a" * 150, "word " * 1_000_000, "word " * 49 + "end", line, line[1_000_000:1_200_000]]
+    got = {x.doc_id: x for x in deduplicated_bytes(frame(spark, texts, 2)).collect()}
+    assert (got[0].n_removed, got[0].n_spans) == (5_000_000, 1) and got[1].n_removed == 0
+    assert (got[2].n_removed, got[2].n_spans) == (5_000_000, 1) and got[5].n_removed == 200_000 and got[4].n_removed == 200_000
+    got = {x.doc_id: x for x in deduplicated(frame(spark, texts, 2)).collect()}
+    assert [got[i].n_removed for i in range(5)] == [0] * 5 and got[5].n_removed >= len(texts[5].split()) - 2
+
+
+def test_carried_columns_may_not_clash(spark):
+    df = frame(spark, ["a b"]).withColumnRenamed("row", "kept_text")
+    with pytest.raises(ValueError, match="kept_text"):
+        deduplicated(df, carry=("kept_text",))
