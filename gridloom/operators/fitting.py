@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.resample import PRIME, drawn_numbers, numbered, picks
+from gridloom.operators.resample import PRIME, drawn_numbers, numbered, numbered_many, picks
 from gridloom.operators.rolling import over, supported
 
 
@@ -167,7 +167,7 @@ def gram(rows: DataFrame, basis: Sequence[Column], y: str, keys: Sequence[str] =
 def resampled(sums: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
     """(rep, g, b, n): the sums of gram() over units drawn with replacement, as often as there are units. A unit's sums are
     multiplied by how many times it is picked, so that a replicate is a row for each unit that it has, whatever their rows."""
-    own = sums.join(numbered(sums, unit), unit)
+    own = sums.join(numbered_many(sums, unit), unit)
     times = picks(own, reps, seed).groupBy("rep", "u").agg(F.count("*").alias("_m"))
     rows = times.join(own, "u")
     size = sums.select(F.size("b").alias("k")).first()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.rolling import minima, span
+from gridloom.sources.shared import shared_path
 
 PRIME = 2147483647
 STEPS = 4
@@ -52,6 +53,19 @@ def numbered(units: DataFrame, unit: str, name: str = "u") -> DataFrame:
     return units.select(unit).distinct().withColumn(name, F.row_number().over(Window.orderBy(unit)).cast("long") - 1)
 
 
+def numbered_many(units: DataFrame, unit: str, name: str = "u") -> DataFrame:
+    """As numbered(), for units as many as rows: ranges of them are sorted in tasks, and each starts where the ranges before
+    it end. The ranges are written, so that a task that runs again numbers alike."""
+    path, spark = shared_path(units.sparkSession, "numbered"), units.sparkSession
+    rows = units.select(unit).distinct().repartitionByRange(unit).sortWithinPartitions(unit)
+    rows.withColumn("_i", F.monotonically_increasing_id()).write.parquet(path)
+    place = F.col("_i").bitwiseAND((1 << 33) - 1)
+    back = spark.read.parquet(path).select(unit, F.shiftright("_i", 33).alias("_p"), place.alias("_i"))
+    sizes = back.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    first = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
+    return back.join(first, "_p").select(unit, (F.col("_first") + F.col("_i")).alias(name))
+
+
 def picks(units: DataFrame, reps: int, seed: int) -> DataFrame:
     """(rep, i, u): as many units as there are (numbered by u), drawn with replacement."""
     n = units.agg(F.count("*").alias("units"))

@@ -278,7 +278,7 @@ def rack_bootstrap(spark, sf_dir):
     rack = F.expr("pod_id div 5")
     ra = telemetry(spark, sf_dir).where("u is not null and (pod_id div 5) % 5 <> 0").withColumn("rack", rack)
     g = fitting.gram(ra, [F.lit(1.0), F.col("u")], "w", ["rack"])
-    g = g.join(resample.numbered(g, "rack"), "rack")
+    g = g.join(resample.numbered_many(g, "rack"), "rack")
     s = resample.picks(g, 100, 33).join(g.drop("n"), "u").groupBy("rep").agg(*[F.sum(F.col("g")[i]).alias(n) for i, n in ((0, "n"), (1, "sx"), (3, "sxx"))], F.sum(F.col("b")[0]).alias("sy"), F.sum(F.col("b")[1]).alias("sxy"))
     line = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     l = s.withColumn("slope", line).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))

@@ -62,7 +62,7 @@ SELECT left_out, round(stddev_samp(x) / sqrt(any_value(q)), 6) AS ratio FROM s J
 def jackknife_sync(spark, sf_dir):
     res = residuals(spark, sf_dir)
     u = res.select(F.col("cluster_id").alias("left_out")).distinct()
-    k = res.crossJoin(F.broadcast(u)).where("cluster_id <> left_out")
+    k = res.crossJoin(u).where("cluster_id <> left_out")
     return covariance.synchrony(k, "cluster_id", ["left_out"]).select("left_out", "ratio")
 
 

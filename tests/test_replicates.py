@@ -243,3 +243,11 @@ def test_sampled_files(spark, tmp_path):
     rows = files.sampled_files(spark, path, "id long, day int", 3)
     assert sorted(r.day for r in rows.select("day").distinct().collect()) == [0, 4, 7] and rows.count() == 30
     assert files.sampled_files(spark, path, "id long, day int", 50).count() == 100
+
+
+def test_many_units_are_numbered_in_order(spark):
+    rows = [(f"k{random.Random(i).randint(0, 4000):05d}",) for i in range(6000)]
+    df = spark.createDataFrame(rows, "unit string").repartition(5)
+    got = {r.unit: r.u for r in resample.numbered_many(df, "unit").collect()}
+    assert got == {k: i for i, k in enumerate(sorted({x for x, in rows}))}
+    assert resample.numbered_many(df.limit(0), "unit").count() == 0
