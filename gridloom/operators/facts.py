@@ -46,11 +46,5 @@ MODELLED = {
     "idle: allocated": power.IDLE, "training: mean": saturated(power.CURVES["training"][-1]), "stress / compute phase": saturated(1.0),
     "inference: online mixed": saturated(power.CURVES["online_inference"][-1]), "inference: decode-dominated": saturated(power.CURVES["online_inference"][-1]), "inference: offline batch": saturated(power.CURVES["offline_inference"][-1]),
 }
-#: Invented facts: workload, phase, number, notes.
-FACTS = [
-    ("idle", "allocated", "0.2", "EXACT a"), ("idle_fleet", "any", "0.1-0.14", "COMPUTED"), ("llm", "node_idle", "~0.16", "read off a figure"), ("training", "mean", "0.9", "EXACT"), ("Training", "steady", "0.85-0.95", "COMPUTED"),
-    ("llm", "training comm", "0.4", ""), ("gemm stress", "all", "1.0", "EXACT"), ("llm", "prefill", "~0.8", ""), ("llm", "decode", "0.4-0.5", "EXACT"), ("image", "diffusion", "0.75", ""), ("offline batch", "all", "0.7", "EXACT"),
-    ("inference", "mixed", "0.5", "COMPUTED b"), ("chat", "online", "0.45", ""), ("chat", "facility", "0.6", "EXACT"), ("host", "online", "0.3", ""), ("training", "mean", "1e3", ""), ("training", "mean", "1.5", ""), ("unknown", "unknown", "0.5", ""),
-]
 #: The same parsing as rollups.number_of, as common table expressions over x(s).
 PARSED = f"y AS (SELECT *, regexp_extract(trim(s), '{NUMBER_RANGE}', 1) AS a, regexp_extract(trim(s), '{NUMBER_RANGE}', 2) AS b, regexp_extract(trim(s), '{NUMBER}', 1) AS c FROM x), z AS (SELECT *, CASE WHEN a <> '' THEN (TRY_CAST(a AS DOUBLE) + TRY_CAST(b AS DOUBLE)) / 2 ELSE TRY_CAST(c AS DOUBLE) END AS number FROM y)"

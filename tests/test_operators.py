@@ -277,8 +277,16 @@ def test_provenance(spark, tmp_path):
     assert (r.name, r.bytes, r.sha256) == ("x.bin", 3, hashlib.sha256(b"abc").hexdigest())
 
 
+#: Invented facts: workload, phase, number, notes.
+FACTS = [
+    ("idle", "allocated", "0.2", "EXACT a"), ("idle_fleet", "any", "0.1-0.14", "COMPUTED"), ("llm", "node_idle", "~0.16", "read off a figure"), ("training", "mean", "0.9", "EXACT"), ("Training", "steady", "0.85-0.95", "COMPUTED"),
+    ("llm", "training comm", "0.4", ""), ("gemm stress", "all", "1.0", "EXACT"), ("llm", "prefill", "~0.8", ""), ("llm", "decode", "0.4-0.5", "EXACT"), ("image", "diffusion", "0.75", ""), ("offline batch", "all", "0.7", "EXACT"),
+    ("inference", "mixed", "0.5", "COMPUTED b"), ("chat", "online", "0.45", ""), ("chat", "facility", "0.6", "EXACT"), ("host", "online", "0.3", ""), ("training", "mean", "1e3", ""), ("training", "mean", "1.5", ""), ("unknown", "unknown", "0.5", ""),
+]
+
+
 def test_facts_have_the_first_category_that_fits(spark):
-    got = {r.workload + "/" + r.phase: r.category for r in spark.createDataFrame(facts.FACTS, "workload string, phase string, s string, notes string").select("workload", "phase", facts.category()).collect()}
+    got = {r.workload + "/" + r.phase: r.category for r in spark.createDataFrame(FACTS, "workload string, phase string, s string, notes string").select("workload", "phase", facts.category()).collect()}
     assert got["llm/node_idle"] == "idle: bare" and got["idle/allocated"] == "idle: allocated" and got["chat/facility"] is None and got["host/online"] is None
     assert got["llm/training comm"] == "training: comm trough" and got["Training/steady"] == "training: mean" and got["unknown/unknown"] is None
 
