@@ -27,6 +27,8 @@ from gridloom.llm import repeats
 from gridloom.llm.arrowtext import U, Rolling, Words, mixed, signed, slices, tidy
 from gridloom.llm.session import removed, scratch, ship, written
 
+#: Bytes of text that a worker takes at once.
+SLICE = 3 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 LINES = "row long, doc long, host string, digest long, lines array<long>"
@@ -56,8 +58,9 @@ def repeated_words(words: Words, width: int = 5) -> np.ndarray:
 
 
 def _by_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[off[1:]] - total[off[:-1]]
+    total = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=total[1:])
+    return (total[off[1:]] - total[off[:-1]]).astype(np.int64)
 
 
 def _line(w: list[bytes]) -> int:
@@ -90,7 +93,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LINES.split(", ")]
     row = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch, limit=5 << 20):
+        for part in slices(batch, limit=SLICE):
             n = part.num_rows
             texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
             digest = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U, n)
@@ -105,7 +108,7 @@ def _verdicts(side: str, carry: tuple[str, ...], min_words: int, min_left: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = repeats.Side(side)
         for batch in batches:
-            for part in slices(batch, limit=5 << 20):
+            for part in slices(batch, limit=SLICE):
                 shared = {i: set(lines.tolist()) for i, (lines, _, _) in listed.rows(part).items()}
                 words = Words(part.column("text"))
                 starts = (words.data & 0xC0) != 0x80  # of code points
