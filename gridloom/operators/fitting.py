@@ -34,6 +34,13 @@ def parabola(rows: DataFrame, keys: Sequence[str] = (), digits: int = 4) -> Data
     return a.select(*keys, "n", *[F.round(F.try_divide(det(swap(k)), det(m)), digits).alias(f"c{k}") for k in range(3)])
 
 
+def centred(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, x, y) less their means by keys. A parabola's c2 stays; its determinants no longer cancel where the x of a
+    key lie close together far from 0."""
+    w = Window.partitionBy(*keys)
+    return rows.select(*keys, *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in ("x", "y")])
+
+
 def surrogates(series: DataFrame, seed: int) -> DataFrame:
     """(cluster_id, t, v, s): the trend plus a residual with the amplitudes of its own spectrum and phases drawn anew.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.operators import fitting, resample, selection
 from gridloom.operators.rolling import long_dense, long_minima, long_trend
@@ -72,11 +73,12 @@ def quadratic_interval(spark, sf_dir):
     """The quadratic coefficient of spread against mean on a log scale, with an interval from units drawn again."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = o.groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"), F.count("*").alias("n")).where("n > 2 and s > 0")
-    x = n.join(resample.numbered(n, "k"), "k").select("u", (F.log10("m") - 5.1).alias("x"), F.log10("s").alias("y"))
-    rows = resample.picks(x, 500, 43).join(x, "u").select("rep", "x", "y")
+    x = n.withColumn("u", F.row_number().over(Window.orderBy(F.asc_nulls_last("k"))).cast("long") - 1).select("u", (F.log10("m") - 5.1).alias("x"), F.log10("s").alias("y"))
+    rows = resample.picks(x, 500, 43).join(x, "u").select("rep", "x", "y").unionByName(x.select(F.lit(-1).cast("long").alias("rep"), "x", "y"))
     enough = rows.groupBy("rep").agg(F.countDistinct("x").alias("different")).where("different > 4").select("rep")
-    b = fitting.parabola(rows.join(enough, "rep", "left_semi"), ["rep"], 12).agg(F.percentile("c2", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return fitting.parabola(x, digits=12).crossJoin(b).select(F.round("c2", 2).alias("c2"), F.round(F.col("q")[0], 1).alias("low"), F.round(F.col("q")[1], 1).alias("high"))
+    c = fitting.parabola(fitting.centred(rows.join(enough, "rep", "left_semi"), ["rep"]), ["rep"], 12)
+    q = F.percentile(F.when(F.col("rep") >= 0, F.col("c2")), F.array(F.lit(0.025), F.lit(0.975))).alias("q")
+    return c.agg(F.max(F.when(F.col("rep") < 0, F.col("c2"))).alias("c2"), q).select(F.round("c2", 2).alias("c2"), F.round(F.col("q")[0], 1).alias("low"), F.round(F.col("q")[1], 1).alias("high"))
 
 
 SHARES = [0.01, 0.05, 0.5, 0.95, 0.99]

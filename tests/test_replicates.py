@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import chain, covariance, fitting, replicates, resample, selection
 from gridloom.operators.rolling import long_dense, long_minima, long_trend, minima, over, span, supported
+from gridloom.plans import registry
 from gridloom.sources import files
 
-from .compare import value
+from .compare import connect, differences, value
 
 
 def plan(df):
@@ -251,3 +253,37 @@ def test_many_units_are_numbered_in_order(spark):
     got = {r.unit: r.u for r in resample.numbered_many(df, "unit").collect()}
     assert got == {k: i for i, k in enumerate(sorted({x for x, in rows}))}
     assert resample.numbered_many(df.limit(0), "unit").count() == 0
+
+
+def exact_c2(x, y):
+    """The quadratic coefficient of a least-squares parabola, in fractions."""
+    x, y = [Fraction(v) for v in x], [Fraction(v) for v in y]
+    s = [sum(v**k for v in x) for k in range(5)]
+    r = [sum(v**k * w for v, w in zip(x, y, strict=True)) for k in range(3)]
+    det = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - b[0] * (a[1] * c[2] - a[2] * c[1]) + c[0] * (a[1] * b[2] - a[2] * b[1])
+    return float(det(s[:3], s[1:4], r) / det(s[:3], s[1:4], s[2:5]))
+
+
+def orders_of(spark, path, prices):
+    """The two tables that quadratic_interval reads, from (nation, prices)."""
+    rows = [(i, nation, float(p)) for i, (nation, ps) in enumerate(prices) for p in ps]
+    spark.createDataFrame([(i, n) for i, (n, _) in enumerate(prices)], "c_custkey long, c_nationkey int").write.parquet(str(path / "customer.parquet"))
+    spark.createDataFrame([(i, p) for i, _, p in rows], "o_custkey long, o_totalprice double").write.parquet(str(path / "orders.parquet"))
+    return str(path)
+
+
+def test_an_interval_of_means_that_lie_close_together(spark, tmp_path):
+    prices = [(k, [250_000 + 40 * k + s * (1000 + k * k * 37 % 501) for s in (-2, -1, 1, 2)]) for k in range(25)]
+    got = registry.queries()["quadratic_interval"](spark, orders_of(spark, tmp_path, prices)).first()
+    x, y = [math.log10(np.mean(p)) - 5.1 for _, p in prices], [math.log10(np.std(p, ddof=1)) for _, p in prices]
+    picked = np.array([resample.drawn_numbers(np.arange(500), u, 43) % 25 for u in range(25)]).T
+    reps = [exact_c2([x[i] for i in r], [y[i] for i in r]) for r in picked if len(set(r)) > 4]
+    assert abs(got.c2 - exact_c2(x, y)) < 0.006
+    assert (got.low, got.high) == pytest.approx(np.quantile(reps, [0.025, 0.975]), abs=0.06)
+
+
+@pytest.mark.parametrize("nations", [(0, 1, 2, 3), (0, 1, 2, 3, 4, 5, None)])
+def test_an_interval_of_few_or_unnamed_nations(spark, tmp_path, nations):
+    path = orders_of(spark, tmp_path, [(n, [10.0 ** (i + 1), 2 * 10.0 ** (i + 1), (3 + i % 3) * 10.0 ** (i + 1)]) for i, n in enumerate(nations)])
+    name = "quadratic_interval"
+    assert differences(spark, connect(path), name, registry.queries()[name], registry.oracle_sql()[name], path) is None
