@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import power
 from gridloom.operators import backtest, covariance, events, facts, fitting, resample, rolling, rollups, screen
+from gridloom.plans import registry
 from gridloom.sources import files, tables
 
+from .compare import connect, differences
+
 
 def series(spark, values, **more):
     return spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "t long, v double")
@@ -312,3 +315,14 @@ def test_equal_sides_of_a_join(spark):
     assert [tuple(r) for r in rollups.one_to_one(a, b, "k").collect()] == [(1, "x", 5.0)]
     with pytest.raises(Exception, match="repeated key"):
         rollups.one_to_one(a.unionByName(a), b, "k").collect()
+
+
+def test_hours_with_few_clusters_are_marked(spark, tmp_path):
+    """Hour 1 has two clusters, hour 2 none; hour 5 has all three, as any other hour."""
+    seen = {0: "abc", 1: "ab", 3: "abc", 4: "a", 5: "abc"}
+    rows = [(f"2024-01-01 0{t}:30:00", 7, c, 10.0 * t + 1) for t, cs in seen.items() for c in cs]
+    events = spark.createDataFrame(rows, "ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.withColumn("props", F.lit('{"k": 50}')).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["hour_flags"](spark, str(tmp_path)).orderBy("cluster_id").collect()
+    assert [tuple(r) for r in got] == [(c, 6, 3, round((1 + 31 + 51) / 3, 6), 3) for c in "abc"]
+    assert differences(spark, connect(str(tmp_path)), "hour_flags", registry.queries()["hour_flags"], registry.oracle_sql()["hour_flags"], str(tmp_path)) is None
