@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import power
-from gridloom.operators import backtest, covariance, events, facts, fitting, resample, rolling, rollups, screen
-from gridloom.plans import registry
+from gridloom.operators import backtest, covariance, events, facility, facts, fitting, resample, rolling, rollups, screen
+from gridloom.plans import facility_queries, registry
 from gridloom.sources import files, tables
 
 from .compare import connect, differences
@@ -326,3 +326,25 @@ def test_hours_with_few_clusters_are_marked(spark, tmp_path):
     got = registry.queries()["hour_flags"](spark, str(tmp_path)).orderBy("cluster_id").collect()
     assert [tuple(r) for r in got] == [(c, 6, 3, round((1 + 31 + 51) / 3, 6), 3) for c in "abc"]
     assert differences(spark, connect(str(tmp_path)), "hour_flags", registry.queries()["hour_flags"], registry.oracle_sql()["hour_flags"], str(tmp_path)) is None
+
+
+def test_hours_outside_the_inventory_are_not_good(spark):
+    """Hour 1 isn't in the inventory, in hour 2 no device worked, hour 3 has no row; hour 5 is as good as hour 0."""
+    pods = [(t, "c", "A10", "training", "Unknown", gh, 10.0, 30.0) for t, gh in ((0, 3.0), (1, 3.0), (2, 0.0), (4, 9.0), (5, 3.0))]
+    used = [(t, "Unknown", 8.0, 0.5) for t in (0, 1, 2, 4, 5)]
+    devices = [(t, "c", "A10", 4.0, 8.0) for t in (0, 2, 3, 4, 5)]
+    got = facility.hourly(
+        spark.createDataFrame(pods, "t long, cluster_id string, spec string, job_type string, state string, gpu_hours double, idle double, active double"),
+        spark.createDataFrame(used, "t long, state string, cores double, busy double"),
+        spark.createDataFrame(devices, "t long, cluster_id string, spec string, gpu_count double, cores double"),
+    )
+    one, host, busy = power.TDP["A10"] * power.IDLE, 8 * power.HOST_IDLE, 4 * (power.HOST_PEAK - power.HOST_IDLE)
+    want = [(0, True, 40.0, one, host + busy), (1, False, 40.0, 0.0, busy), (2, False, 40.0, 4 * one, host + busy), (3, False, 0.0, 4 * one, host), (4, True, 40.0, 0.0, host + busy), (5, True, 40.0, one, host + busy)]
+    assert [(r.t, r.good, r.pods, pytest.approx(r.idle_floor), pytest.approx(r.host)) for r in got.orderBy("t").collect()] == want
+
+
+def test_the_inventory_has_every_hour(spark, sf_dir):
+    tele, inv = tables.telemetry(spark, sf_dir), facility_queries.inventory(spark, sf_dir)
+    kinds = {tuple(r) for r in tele.where("spec is not null").select("cluster_id", "spec").distinct().collect()}
+    lo, hi = tele.agg(F.min("t"), F.max("t")).first()
+    assert sorted((r.t, r.cluster_id, r.spec) for r in inv.collect()) == sorted((t, *k) for t in range(lo, hi + 1) for k in kinds)
